@@ -40,8 +40,9 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     return (np.concatenate([h, near, skip]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def train_ftrl(texts, labels, bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coordinates, weights, bias) of the model; the bias bears no L1."""
+def train_ftrl(texts, labels, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """(coordinates, weights, bias) of the model; the bias bears no L1, and fewer than 4000 rows bear less of it."""
+    l1 *= min(1.0, len(labels) / 4000)
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(7)
