@@ -1,2 +1,472 @@
-QUERIES = {}
-SQL = {}
+"""Registered queries: each builds lines from the ``events`` table and takes them apart again.
+
+The SQL computes the expected rows from the table's columns, without the text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import decode, derive, fields, logfmt, render
+from ..operators import order, profile, slices
+from ..sources import lines as sources
+from ..streaming import follow
+from . import synth
+from .landing import landed, scratch, write_sources
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Columns of the events that the SQL forms share.
+EV = """WITH ev AS (SELECT event_id, ts, event_id % 12 AS k, user_id AS u, event_type AS ty, props,
+  'evt ' || event_type || ' ' || event_id AS m, CAST(floor(abs(value) * 100) AS BIGINT) AS c,
+  ['INFO', 'warning', 'ERROR', 'odd'][user_id % 4 + 1] AS lv, ['INFO', 'WARN', 'ERROR', 'INFO'][user_id % 4 + 1] AS ln,
+  [200, 404, 500, 418][user_id % 4 + 1] AS st, ['200 OK', '404 Not Found', '500 Internal Server Error', '418'][user_id % 4 + 1] AS sr,
+  '/logs/d' || (user_id % 2) || '/svc-' || (user_id % 4) || '.log' AS file, 'svc-' || (user_id % 4) || '.log' AS base,
+  CASE event_id % 12 WHEN 0 THEN 'canonical' WHEN 1 THEN 'java' WHEN 2 THEN 'message' WHEN 3 THEN 'message' WHEN 4 THEN 'message' WHEN 5 THEN 'time_only'
+   WHEN 6 THEN 'json' WHEN 7 THEN 'logfmt' WHEN 8 THEN 'text' WHEN 9 THEN 'text' ELSE 'time_only' END AS shape,
+  CASE WHEN event_id % 12 IN (0, 1, 2, 3, 5, 10, 11) THEN ts END AS lts FROM events)
+"""
+
+
+def query(sql: str | None = None, events: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = (EV if events else "") + sql
+        return f
+
+    return add
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decode.configure(spark)
+    return decode.classified(synth.log_lines(spark, sf_dir))
+
+
+def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parsed(spark, sf_dir).withColumn("pairs", logfmt.parse_logfmt(decode.logfmt_text()))
+    return decode.unified_record(p, pairs=F.col("pairs"))
+
+
+def ntz(column: str):
+    return F.col(column).cast("timestamp_ntz")
+
+
+@query("SELECT CASE shape WHEN 'text' THEN 'parse_errors' ELSE shape END AS shape, count(*) AS n FROM ev GROUP BY 1")
+def shape_counts(spark, sf_dir):
+    return profile.shape_counts(parsed(spark, sf_dir))
+
+
+@query("SELECT file, event_id AS line_no, shape FROM ev")
+def classify_shape(spark, sf_dir):
+    return parsed(spark, sf_dir).select("file", "line_no", "shape")
+
+
+@query("SELECT event_id AS line_no, k NOT IN (8, 9) AS is_json, k IN (0,1,2,3,4,5,6,10,11) AS is_object FROM ev")
+def decode_json(spark, sf_dir):
+    return parsed(spark, sf_dir).select("line_no", F.col("__value").isNotNull().alias("is_json"), F.col("__map").isNotNull().alias("is_object"))
+
+
+_SHARES = ", ".join(f"CASE WHEN t = 0 THEN 0.0 ELSE {s} / t * 100 END AS {s}_pct" for s in [*fields.SHAPES, "parse_errors"])
+_COUNTS = ", ".join(f"count(*) FILTER (shape = '{s}') AS {s}" for s in fields.SHAPES if s != "text")
+
+
+@query(f""", c1 AS (SELECT {_COUNTS}, 0::BIGINT AS text, count(*) FILTER (shape = 'text') AS parse_errors, count(*) FILTER (shape <> 'text') AS t FROM ev)
+SELECT * EXCLUDE (t), t AS total, t - logfmt AS json_parses, t AS successful_parses, {_SHARES} FROM c1""")
+def shape_profile(spark, sf_dir):
+    return profile.shape_profile(parsed(spark, sf_dir))
+
+
+@query(", p AS (SELECT count(*) FILTER (shape = 'canonical') / count(*) FILTER (shape <> 'text') * 100 AS x FROM ev) SELECT CASE WHEN x > 50 THEN 'good' WHEN x > 25 THEN 'moderate' ELSE 'poor' END AS verdict, x AS canonical_pct FROM p")
+def profile_verdict(spark, sf_dir):
+    return profile.profile_verdict(profile.shape_profile(parsed(spark, sf_dir)))
+
+
+@query("""SELECT event_id AS line_no, ts AS timestamp, lv AS level, m AS message, 'GET' AS method, '/u/' || u AS url, st::BIGINT AS status, c || 'ms' AS elapsed, c AS size,
+'r' || event_id AS request_id, '10.0.0.' || (u % 250) AS remote_host, 'ua/1' AS user_agent, '{"user_id":"' || u || '"}' AS rest FROM ev WHERE k = 0""")
+def canonical_records(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'canonical'").withColumn("r", decode.canonical_record())
+    return p.select("line_no", "r.*").withColumns({"timestamp": ntz("timestamp"), "rest": F.to_json("rest")})
+
+
+@query("""SELECT event_id AS line_no, ts AS timestamp, m AS message, lv AS level, 't' || (u % 8) AS thread, 'r' || event_id AS request_id, 'com.acme.C' || (u % 5) AS class, 'run' AS method, 'svc' AS source,
+'E: x' || chr(10) || chr(9) || 'at a' || u || chr(10) || chr(9) || 'at b' AS stack_trace, 'note="' || ty || '"' AS rest FROM ev WHERE k = 1""")
+def java_records(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'java'").withColumn("r", decode.java_record())
+    return p.select("line_no", "r.*").withColumns({"timestamp": ntz("timestamp"), "rest": F.array_join(render.rest_cells(F.col("rest")), ", ")})
+
+
+_MESSAGE = {f: "NULL" for f in fields.MESSAGE} | {
+    "timestamp": "CASE WHEN k < 4 THEN ts END", "message": "m", "level": "lv", "method": "CASE k WHEN 3 THEN 'POST' END", "url": "CASE k WHEN 3 THEN '/p/' || u END",
+    "status": "CASE k WHEN 3 THEN st::VARCHAR END", "size": "CASE k WHEN 3 THEN c::VARCHAR END", "request_id": "CASE k WHEN 4 THEN 'r' || event_id END", "host": "CASE k WHEN 3 THEN 'h' || (u % 4) END",
+    "module": "CASE k WHEN 2 THEN 'm' || (u % 3) WHEN 3 THEN 'lg' END", "file": "CASE k WHEN 2 THEN 'a.rs' END", "line": "CASE k WHEN 2 THEN (u % 100)::BIGINT END", "function": "CASE k WHEN 2 THEN 'f' END",
+    "query_args": "CASE k WHEN 3 THEN 'a=1' END", "trace_id": "CASE k WHEN 2 THEN 'tr' || event_id END",
+}
+_MESSAGE = {f: f"CAST({x} AS VARCHAR)" if x == "NULL" else x for f, x in _MESSAGE.items()}
+_REST = """CASE k WHEN 2 THEN 'zone="z' || (u % 2) || '"' WHEN 3 THEN '' ELSE 'extra={"a":' || u || ',"b":[1,2]}' END"""
+
+
+@query(f"SELECT event_id AS line_no, {', '.join(f'{x} AS {f}' for f, x in _MESSAGE.items())}, {_REST} AS rest FROM ev WHERE k IN (2, 3, 4)")
+def message_records(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'message'").withColumn("r", decode.message_record())
+    return p.select("line_no", "r.*").withColumns({"timestamp": ntz("timestamp"), "rest": F.array_join(render.rest_cells(F.col("rest")), ", ")})
+
+
+@query("""SELECT event_id AS line_no, ts AS timestamp, CASE k WHEN 5 THEN 'kind="' || ty || '", user=' || u WHEN 10 THEN 'elapsed=' || c || ', level="' || lv || '", message="' || m || '"'
+ELSE 'host="a", hostname="b", level="' || lv || '", message="' || m || '"' END AS rest FROM ev WHERE k IN (5, 10, 11)""")
+def time_only_records(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'time_only'").withColumn("r", decode.time_only_record())
+    return p.select("line_no", ntz("r.timestamp").alias("timestamp"), F.array_join(render.rest_cells(F.col("r.rest")), ", ").alias("rest"))
+
+
+@query("""SELECT event_id AS line_no, 'kind="' || ty || '", nested={"x":' || event_id || '}, user=' || u AS rest FROM ev WHERE k = 6""")
+def json_records(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'json'").withColumn("r", decode.json_record())
+    return p.select("line_no", F.array_join(render.rest_cells(F.col("r.rest")), ", ").alias("rest"))
+
+
+@query("""SELECT event_id AS line_no, unnest(CASE k WHEN 3 THEN ['host', 'level', 'message', 'method', 'module', 'query_args', 'size', 'status', 'timestamp', 'url'] ELSE ['level', 'message', 'request_id'] END) AS field FROM ev WHERE k IN (3, 4)""")
+def resolve_aliases(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("line_no % 12 IN (3, 4)")
+    return p.select("line_no", F.explode(F.map_keys(decode.resolve_aliases(fields.MESSAGE))).alias("field"))
+
+
+@query("""SELECT file, event_id AS line_no, shape, lts AS ts, CASE WHEN k IN (0, 1, 2, 3, 4, 7) THEN lv END AS level,
+CASE WHEN k IN (0, 1, 2, 3, 4, 7) THEN m WHEN k = 8 THEN m || ' plain' WHEN k = 9 THEN '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","level":' END AS message FROM ev""")
+def unified_records(spark, sf_dir):
+    return unified(spark, sf_dir).select("file", "line_no", "shape", ntz("ts").alias("ts"), "level", "message")
+
+
+@query("SELECT event_id AS line_no FROM ev WHERE lts IS NOT NULL")
+def has_timestamp(spark, sf_dir):
+    return decode.unified_record(parsed(spark, sf_dir)).where("ts IS NOT NULL").select("line_no")
+
+
+@query("""SELECT event_id AS line_no, unnest(['kind', 'user', 'nested']) AS key, unnest(['"' || ty || '"', u::VARCHAR, '{"x":' || event_id || '}']) AS value FROM ev WHERE k = 6""")
+def rest_entries(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'json'")
+    return p.select("line_no", F.explode(decode.rest_map({})).alias("key", "value"))
+
+
+@query("""SELECT event_id AS line_no, c::VARCHAR AS whole, (c // 100) || CASE WHEN c % 100 = 0 THEN '' ELSE '.' || rtrim(lpad((c % 100)::VARCHAR, 2, '0'), '0') END AS fraction, c || '000' AS exponent, 'x' AS text FROM ev""")
+def coerce_string_or_number(spark, sf_dir):
+    ev = synth.events(spark, sf_dir)
+    cents = F.lpad((F.col("c") % 100).cast("string"), 2, "0")
+    text = F.concat(F.lit('{"a":'), "c", F.lit(',"b":'), F.expr("c div 100"), F.lit("."), cents, F.lit(',"d":'), "c", F.lit('e3,"t":"x"}'))
+    v = ev.select(F.col("event_id").alias("line_no"), F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>").alias("v"))
+    one = lambda k: decode.coerce_string_or_number(F.col("v")[k], F.schema_of_variant(F.col("v")[k]))
+    return v.select("line_no", one("a").alias("whole"), one("b").alias("fraction"), one("d").alias("exponent"), one("t").alias("text"))
+
+
+def _logfmt(spark, sf_dir):
+    decode.configure(spark)
+    p = decode.decoded(synth.log_lines(spark, sf_dir)).withColumn("shape", F.when(F.schema_of_variant("__value") == "STRING", F.lit("logfmt")))
+    return p.where("shape = 'logfmt'").withColumn("p", logfmt.parse_logfmt(decode.logfmt_text()))
+
+
+@query("""SELECT event_id AS line_no, unnest(['level', 'msg', 'user', 'took']) AS key, unnest([lv, m, u::VARCHAR, c::VARCHAR]) AS value, unnest(['string', 'string', 'int', 'int']) AS type FROM ev WHERE k = 7""")
+def logfmt_pairs(spark, sf_dir):
+    p = _logfmt(spark, sf_dir).select("line_no", F.explode("p.pairs").alias("key", "v"))
+    return p.select("line_no", "key", F.col("v.s").alias("value"), F.col("v.type").alias("type"))
+
+
+@query("SELECT event_id AS line_no, unnest(['user', 'took']) AS key, unnest([u, c]) AS number, 'ok bare' AS bare FROM ev WHERE k = 7")
+def logfmt_typed(spark, sf_dir):
+    p = _logfmt(spark, sf_dir).select("line_no", F.array_join("p.bare", " ").alias("bare"), F.explode(logfmt.drop_primary_keys(F.col("p"))).alias("key", "v"))
+    return p.select("line_no", "key", F.col("v.i").cast("bigint").alias("number"), "bare")
+
+
+@query("SELECT event_id AS line_no, CASE WHEN u % 2 = 0 THEN 'INFO' ELSE lv END AS level, CASE WHEN u % 2 = 0 THEN 'job ' || event_id || ' done' ELSE m END AS message FROM ev")
+def logfmt_defaults(spark, sf_dir):
+    text = F.when(F.col("u") % 2 == 0, F.concat(F.lit("level=30 msg=42 job "), "e", F.lit(" done"))).otherwise(F.concat(F.lit('lvl="'), "lv", F.lit('" msg="'), "m", F.lit('"')))
+    p = synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), logfmt.parse_logfmt(text).alias("p"))
+    return p.select("line_no", logfmt.logfmt_level(F.col("p")).alias("level"), logfmt.logfmt_message(F.col("p")).alias("message"))
+
+
+@query("SELECT line_no, key, CAST(json_extract(props, '$.' || key) AS VARCHAR) AS value FROM (SELECT event_id AS line_no, props, unnest(json_keys(props)) AS key FROM events)", events=False)
+def props_entries(spark, sf_dir):
+    decode.configure(spark)
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_no"), F.col("props").alias("line"))
+    return decode.decoded(raw).select("line_no", F.explode(decode.rest_map({})).alias("key", "value"))
+
+
+@query("SELECT event_id AS line_no, ln AS level FROM ev")
+def levels(spark, sf_dir):
+    return synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), derive.normalize_level(F.col("lv")).alias("level"))
+
+
+@query("SELECT event_id AS line_no, sr AS status FROM ev")
+def status_reason(spark, sf_dir):
+    return synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), derive.status_reason(F.col("st").cast("string")).alias("status"))
+
+
+def _http(spark, sf_dir):
+    some = lambda bit, x: F.when(F.expr(f"(event_id div {bit}) % 2 = 1"), x)
+    return synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), some(1, F.lit("GET")).alias("method"), some(2, F.lit("/x")).alias("url"), some(4, F.col("st").cast("string")).alias("status"), some(8, F.lit("q=1")).alias("args"), some(16, F.lit("/p")).alias("path"))
+
+
+_HTTP_SQL = """, h AS (SELECT event_id AS line_no, event_id % 2 = 1 AS me, (event_id // 2) % 2 = 1 AS ur, CASE WHEN (event_id // 4) % 2 = 1 THEN sr ELSE '' END AS s, (event_id // 8) % 2 = 1 AS ar, (event_id // 16) % 2 = 1 AS pa FROM ev),
+r AS (SELECT *, nullif(CASE WHEN me AND ur THEN 'GET /x ' || s WHEN ur THEN '/x' || s ELSE s END, '') AS q FROM h),
+f AS (SELECT *, q || CASE WHEN ar THEN '&q=1' ELSE '' END AS request FROM r) """
+
+
+@query(_HTTP_SQL + "SELECT line_no, request FROM f")
+def request_lines(spark, sf_dir):
+    return _http(spark, sf_dir).select("line_no", derive.request_line(F.col("method"), F.col("url"), F.col("status"), F.col("args")).alias("request"))
+
+
+@query(_HTTP_SQL + "SELECT line_no, CASE WHEN pa THEN '/p' || CASE WHEN request IS NULL AND ar THEN '&q=1' ELSE '' END END AS path, CASE WHEN NOT pa AND request IS NULL AND ar THEN 'q=1' END AS args FROM f")
+def path_args(spark, sf_dir):
+    h = _http(spark, sf_dir).withColumn("request", derive.request_line(F.col("method"), F.col("url"), F.col("status"), F.col("args")))
+    path, args = derive.path_args(F.col("request"), F.col("path"), F.col("args"))
+    return h.select("line_no", path.alias("path"), args.alias("args"))
+
+
+@query("""SELECT event_id AS line_no, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'm' WHEN 2 THEN 'f' WHEN 3 THEN 'm::f' WHEN 4 THEN 'a.rs:' || u || ')' WHEN 5 THEN 'm (a.rs:' || u || ')' WHEN 6 THEN 'f (a.rs:' || u || ')' ELSE 'm::f (a.rs:' || u || ')' END AS location FROM ev""")
+def locations(spark, sf_dir):
+    some = lambda bit, x: F.when(F.expr(f"(event_id div {bit}) % 2 = 1"), x)
+    return synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), derive.location(some(1, F.lit("m")), some(2, F.lit("f")), some(4, F.lit("a.rs")), F.col("u")).alias("location"))
+
+
+@query(""", s AS (SELECT event_id AS line_no, c * (event_id % 3000) AS n FROM ev) SELECT line_no, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CASE WHEN n % 1024 = 0 THEN (n // 1024)::VARCHAR ELSE format('{:.2f}', n / 1024) END || ' KiB'
+ELSE CASE WHEN n % 1048576 = 0 THEN (n // 1048576)::VARCHAR ELSE format('{:.2f}', n / 1048576) END || ' MiB' END AS size FROM s""")
+def human_sizes(spark, sf_dir):
+    return synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), derive.human_size(F.col("c") * (F.col("event_id") % 3000)).alias("size"))
+
+
+@query("SELECT event_id AS line_no, strftime(ts, '%Y-%m-%d-%H:%M:%S') AS shown FROM ev")
+def time_format(spark, sf_dir):
+    decode.configure(spark)
+    return synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), derive.format_time(F.col("event_time")).alias("shown"))
+
+
+@query("SELECT event_id AS line_no, CASE WHEN k < 4 THEN strftime(ts, '%Y-%m-%d-%H:%M:%S') ELSE 'r' || event_id END AS shown FROM ev WHERE k IN (2, 3, 4)")
+def time_column(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'message'").withColumn("r", decode.message_record())
+    return p.select("line_no", derive.time_column(F.col("r.timestamp"), F.col("r.request_id")).alias("shown"))
+
+
+@query("SELECT event_id AS line_no, to_microseconds AS us, nanos FROM (SELECT event_id, epoch_us(ts) - 7200000000 AS to_microseconds, event_id % 1000 AS nanos FROM ev)")
+def parse_rfc3339(spark, sf_dir):
+    """Times with a two-hour offset and nanoseconds."""
+    decode.configure(spark)
+    text = F.concat(F.date_format("event_time", "yyyy-MM-dd't'HH:mm:ss.SSSSSS"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit("+02:00"))
+    ev = synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), text.alias("x"))
+    return ev.select("line_no", F.unix_micros(decode.parse_rfc3339(F.col("x"))).alias("us"), decode.nanos_of(F.col("x")).cast("bigint").alias("nanos"))
+
+
+@query("SELECT event_id AS line_no, m AS text, length(m) AS width FROM ev")
+def visible_text(spark, sf_dir):
+    text = F.concat(F.lit("\x1b[31m"), "m", F.lit("\x1b[0m"))
+    return synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), derive.visible_text(text).alias("text"), derive.visible_width(text).cast("bigint").alias("width"))
+
+
+@query("SELECT doc_id, unnest(range(len(p)))::INT AS part_no, unnest(p) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)", events=False)
+def message_lines(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return slices.message_lines(docs, "text").select("doc_id", "part_no", "part")
+
+
+@query("SELECT event_id AS line_no, unnest([0, 1, 2])::INT AS part_no, unnest(['E: x', chr(9) || 'at a' || u, chr(9) || 'at b']) AS part FROM ev WHERE k = 1")
+def stack_trace_lines(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'java'").withColumn("r", decode.java_record()).select("line_no", F.col("r.stack_trace").alias("trace"))
+    return slices.message_lines(p, "trace").select("line_no", "part_no", "part")
+
+
+@query("SELECT event_id AS line_no FROM ev WHERE k = 1")
+def multiline(spark, sf_dir):
+    p = parsed(spark, sf_dir).where("shape = 'java'").select("line_no", decode.java_record()["stack_trace"].alias("trace"))
+    return p.where(derive.is_multiline(F.col("trace"))).select("line_no")
+
+
+_MERGED = ", o AS (SELECT *, row_number() OVER (ORDER BY lts NULLS LAST, string_split(file, '/'), event_id) - 1 AS pos FROM ev) "
+
+
+def _merged(spark, sf_dir):
+    return order.with_position(order.merge_chronological(decode.dropped(decode.unified_record(parsed(spark, sf_dir)))))
+
+
+@query(_MERGED + "SELECT pos, file, event_id AS line_no FROM o")
+def merge_chronological(spark, sf_dir):
+    return _merged(spark, sf_dir).select("pos", "file", "line_no")
+
+
+@query(_MERGED + "SELECT pos, CASE WHEN lag(base) OVER (ORDER BY pos) IS DISTINCT FROM base THEN '==> ' || base || ' <==' END AS header FROM o")
+def source_headers(spark, sf_dir):
+    return order.source_headers(_merged(spark, sf_dir)).select("pos", "header")
+
+
+#: Lines of landed files are numbered from 0 within each source; text as in the form of plain lines.
+_LANDED = ", o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY base) AS total, m || ' plain' AS line FROM ev), b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY base ORDER BY n) - length(line) - 1 AS start_byte, sum(length(line) + 1) OVER (PARTITION BY base) AS size FROM o) "
+
+
+def _numbered(spark, sf_dir):
+    return sources.with_line_numbers(landed(spark, sf_dir))
+
+
+def _offset(spark, sf_dir):
+    return sources.with_byte_offsets(landed(spark, sf_dir))
+
+
+@query(_LANDED + "SELECT base AS source, n AS line_no, line FROM o")
+def line_numbers(spark, sf_dir):
+    return _numbered(spark, sf_dir).select("source", "line_no", "line")
+
+
+@query(_LANDED + "SELECT base AS source, start_byte::BIGINT AS start_byte, line FROM b")
+def byte_offsets(spark, sf_dir):
+    return _offset(spark, sf_dir).select("source", "start_byte", "line")
+
+
+@query(_LANDED + "SELECT base AS source, n AS line_no, line FROM o WHERE n >= 25")
+def skip_lines(spark, sf_dir):
+    return slices.skip_lines(_numbered(spark, sf_dir), 25).select("source", "line_no", "line")
+
+
+@query(_LANDED + "SELECT base AS source, n AS line_no, line FROM o WHERE n >= total - 10")
+def last_lines(spark, sf_dir):
+    return slices.last_lines(_numbered(spark, sf_dir), 10).select("source", "line_no", "line")
+
+
+@query(_LANDED + "SELECT base AS source, start_byte::BIGINT AS start_byte, substr(line, greatest(1000 - start_byte, 0)::INT + 1) AS line FROM b WHERE start_byte + length(line) >= 1000")
+def skip_bytes(spark, sf_dir):
+    return slices.skip_bytes(_offset(spark, sf_dir), 1000).select("source", "start_byte", "line")
+
+
+@query(_LANDED + "SELECT base AS source, start_byte::BIGINT AS start_byte, substr(line, greatest(size - 500 - start_byte, 0)::INT + 1) AS line FROM b WHERE start_byte + length(line) >= size - 500")
+def last_bytes(spark, sf_dir):
+    return slices.last_bytes(_offset(spark, sf_dir), 500).select("source", "start_byte", "line")
+
+
+@query(_LANDED + "SELECT base AS source, line FROM o")
+def union_sources(spark, sf_dir):
+    """Two reads of different sources in one frame, duplicates kept."""
+    lines = landed(spark, sf_dir)
+    return sources.union_sources(lines.where("source < 'svc-2'"), lines.where("source >= 'svc-2'")).select("source", "line")
+
+
+@query("SELECT base AS source, count(*) AS lines, sum(length(m || ' plain') + 1)::BIGINT AS bytes FROM ev GROUP BY base")
+def source_stats(spark, sf_dir):
+    return profile.source_stats(landed(spark, sf_dir).withColumn("file", F.col("source"))).select(F.col("file").alias("source"), "lines", "bytes")
+
+
+_ARRIVED = ", a AS (SELECT *, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 3600000000 AS batch_no FROM ev), s AS (SELECT *, (row_number() OVER (PARTITION BY batch_no ORDER BY ts, event_id) - 1) // 10 AS sub_no FROM a) "
+
+
+def _batched(spark, sf_dir):
+    parsed_ = decode.dropped(decode.unified_record(parsed(spark, sf_dir))).withColumns({"arrival": F.col("event_time"), "seq": F.col("line_no")})
+    start = parsed_.agg(F.min("arrival")).first()[0]
+    return order.arrival_batches(parsed_, F.lit(start), window_ms=3_600_000, most_lines=10)
+
+
+@query(_ARRIVED + "SELECT event_id AS line_no, batch_no, sub_no FROM s")
+def arrival_batches(spark, sf_dir):
+    return _batched(spark, sf_dir).select("line_no", "batch_no", "sub_no")
+
+
+@query(_ARRIVED + "SELECT row_number() OVER (ORDER BY batch_no, sub_no, lts NULLS LAST, ts, event_id) - 1 AS pos, event_id AS line_no FROM s")
+def order_batches(spark, sf_dir):
+    return order.with_position(order.order_batches(_batched(spark, sf_dir))).select("pos", "line_no")
+
+
+@query("SELECT DISTINCT p_name AS name, levenshtein(p_name, (SELECT min(p_name) FROM part) || 'x') AS distance FROM part WHERE levenshtein(lower(p_name), lower((SELECT min(p_name) FROM part) || 'x')) BETWEEN 1 AND 3 ORDER BY distance, name LIMIT 3", events=False)
+def similar_sources(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name"))
+    target = parts.agg(F.min("name")).first()[0] + "x"
+    return profile.similar_sources(parts, target).withColumn("distance", F.col("distance").cast("bigint"))
+
+
+@query("SELECT event_id AS line_no, base FROM ev")
+def base_names(spark, sf_dir):
+    return synth.log_lines(spark, sf_dir).select("line_no", derive.base_name(F.col("file")).alias("base"))
+
+
+_SIZE = "CASE WHEN c < 1024 THEN c || ' B' WHEN c % 1024 = 0 THEN (c // 1024) || ' KiB' WHEN c < 1048576 THEN format('{:.2f}', c / 1024) || ' KiB' ELSE format('{:.2f}', c / 1048576) || ' MiB' END"
+_CELLS = f"""CASE k
+WHEN 0 THEN 'reqid="r' || event_id || '"  method="GET"  url="/u/' || u || '"  status=' || st || '  size="' || {_SIZE} || '"  elapsed="' || c || 'ms"  remote_host="10.0.0.' || (u % 250) || '"  user_agent="ua/1"  user_id=' || u
+WHEN 1 THEN 'reqid="r' || event_id || '"  thread="t' || (u % 8) || '"  class="com.acme.C' || (u % 5) || ' :: run"  source="svc"  note="' || ty || '"'
+WHEN 2 THEN 'location="m' || (u % 3) || '::f (a.rs:' || (u % 100) || ')"  trace_id="tr' || event_id || '"  zone="z' || (u % 2) || '"'
+WHEN 3 THEN 'location="lg"  request="POST /p/' || u || ' ' || sr || '&a=1"  host="h' || (u % 4) || '"  size="' || c || '"'
+WHEN 4 THEN 'extra={{ a=' || u || ', 1, 2 }}'
+WHEN 5 THEN 'kind="' || ty || '"  user=' || u
+WHEN 6 THEN 'kind="' || ty || '"  nested={{ x=' || event_id || ' }}  user=' || u
+WHEN 7 THEN 'took=' || c || '  user=' || u || '  ok  bare'
+WHEN 10 THEN 'elapsed=' || c || '  level="' || lv || '"  message="' || m || '"'
+WHEN 11 THEN 'host="a"  hostname="b"  level="' || lv || '"  message="' || m || '"' END"""
+
+
+def _cells(spark, sf_dir):
+    p = unified(spark, sf_dir).withColumns({"c": decode.canonical_record(), "j": decode.java_record(), "g": decode.message_record(), "t": decode.time_only_record(), "o": decode.json_record()})
+    col = F.col
+    cells = F.when(col("shape") == "canonical", render.canonical_cells(col("c"))).when(col("shape") == "java", render.java_cells(col("j"))).when(col("shape") == "message", render.message_cells(col("g")))
+    cells = cells.when(col("shape") == "time_only", render.nested_rest_cells(col("t.rest"))).when(col("shape") == "json", render.nested_rest_cells(col("o.rest"))).when(col("shape") == "logfmt", render.logfmt_cells(col("pairs")))
+    return decode.dropped(p.withColumn("cells", cells))
+
+
+@query(f"SELECT event_id AS line_no, {_CELLS} AS cells FROM ev")
+def record_cells(spark, sf_dir):
+    return _cells(spark, sf_dir).select("line_no", F.array_join("cells", "  ").alias("cells"))
+
+
+@query(f""", x AS (SELECT *, {_CELLS} AS cells, chr(10) || repeat(' ', 29) || ' │ ' AS pad, CASE WHEN k = 4 THEN 'r' || event_id WHEN lts IS NULL THEN '' ELSE strftime(lts, '%Y-%m-%d-%H:%M:%S') END AS tm FROM ev)
+SELECT event_id AS line_no, CASE WHEN k = 8 THEN m || ' plain' WHEN k = 9 THEN '{{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","level":'
+WHEN k IN (5, 6, 10, 11) THEN '    JSON ' || rpad(tm, 20, ' ') || ' │ ' || cells
+ELSE lpad(ln, 8, ' ') || ' ' || rpad(tm, 20, ' ') || ' │ ' || m || pad || cells || CASE WHEN k = 1 THEN pad || 'E: x' || pad || chr(9) || 'at a' || u || pad || chr(9) || 'at b' ELSE '' END END AS rendered FROM x""".replace("{{", "{"))
+def render_record(spark, sf_dir):
+    p = _cells(spark, sf_dir)
+    time = derive.time_column(F.col("ts"), F.col("g.request_id"))
+    return p.select("line_no", render.render_record(F.col("shape"), F.col("level"), time, F.col("message"), F.col("cells"), F.col("line"), F.col("j.stack_trace")).alias("rendered"))
+
+
+@query("""SELECT event_id AS line_no, unnest(['{ a=' || u || ', b="x" }', '1, { c=' || event_id || ' }', '"t"', 'null', 'true', '1.5']) AS shown FROM ev""")
+def render_value(spark, sf_dir):
+    texts = F.array(F.concat(F.lit('{"b":"x","a":'), "u", F.lit("}")), F.concat(F.lit('[1,{"c":'), "e", F.lit("}]")), F.lit('"t"'), F.lit("null"), F.lit("true"), F.lit("1.5"))
+    rows = synth.events(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.explode(texts).alias("x"))
+    return rows.select("line_no", render.render_value(F.col("x")).alias("shown"))
+
+
+@query("SELECT event_id AS line_no, upper(m) AS line FROM ev WHERE k = 8")
+def apply_lines(spark, sf_dir):
+    def shout(frames):
+        for f in frames:
+            f = f[f["line"].str.endswith(" plain") & f["line"].str.startswith("evt ")]
+            yield f.assign(line=f["line"].str.removesuffix(" plain").str.upper())
+
+    return sources.apply_lines(synth.log_lines(spark, sf_dir).select("line_no", "line"), shout, "line_no long, line string")
+
+
+@query(_LANDED + "SELECT base AS source, count(*) AS lines FROM o GROUP BY base")
+def follow_merged(spark, sf_dir):
+    """Follow the landed files to their end; one file a micro-batch."""
+    return _followed(spark, sf_dir).groupBy(F.regexp_extract("file", r"source=([^/]+)", 1).alias("source")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(_LANDED + "SELECT base AS source, line FROM o WHERE n >= total - 5")
+def follow_from(spark, sf_dir):
+    """The last five lines of the files there at the start; nothing is new after it."""
+    decode.configure(spark)
+    folder, path = write_sources(spark, sf_dir), scratch(spark, "follow")
+    existing = sources.expand_paths(spark, [f"{folder}/*/*.txt"])
+    head, stream = follow.follow_from(spark, f"{folder}/*", existing, 5)
+    follow.follow_merged(stream, f"{path}/out", f"{path}/checkpoint", interval=None).awaitTermination()
+    shown = [head.select("file", "line")]
+    if _exists(spark, f"{path}/out"):
+        shown.append(spark.read.parquet(f"{path}/out").select("file", "line"))
+    return sources.union_sources(*shown).select(F.regexp_extract("file", r"source=([^/]+)", 1).alias("source"), "line")
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _followed(spark, sf_dir):
+    decode.configure(spark)
+    folder, path = write_sources(spark, sf_dir), scratch(spark, "follow")
+    stream = follow.follow_lines(spark, f"{folder}/*", [], files_per_trigger=4)
+    follow.follow_merged(stream, f"{path}/out", f"{path}/checkpoint", interval=None).awaitTermination()
+    return spark.read.parquet(f"{path}/out")
