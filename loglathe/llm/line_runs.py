@@ -122,8 +122,8 @@ def deduped(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, batches
     frequent = saved(runs.totals().where(F.col("n") >= least_docs).select("h1", "h2", "keeper"), "frequent-lines")
     hit = keys.join(small_side(frequent, frequent.count(), most_broadcast_rows), ["h1", "h2"]).where(~F.col("__id").eqNullSafe(F.col("keeper")))
     drops = saved(hit.groupBy("__id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")), "line-drops")
-    size = drops.agg(F.coalesce(F.sum(F.size("__drops")), F.lit(0))).first()[0]
-    joined = docs.join(small_side(drops, size, most_broadcast_rows), docs["doc_id"].eqNullSafe(drops["__id"]), "left").drop("__id")
+    # Hash arrays are wide and grow with the corpus, so the texts are always dealt by id, at any size.
+    joined = docs.join(drops.hint("merge"), docs["doc_id"].eqNullSafe(drops["__id"]), "left").drop("__id")
     lines = lines_of(F.col("text"))
     kept = F.when(F.col("__drops").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(line_key(x)) < least_chars) | ~F.array_contains(F.col("__drops"), _hash(line_key(x)))))
     out = joined.withColumn("__kept", kept).withColumns({"__lines": F.size(lines).cast("long"), "__dropped": (F.size(lines) - F.size("__kept")).cast("long")})
