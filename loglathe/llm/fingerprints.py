@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -62,16 +62,24 @@ class Sampler:
         # variables of the first terms met; any other term's are made anew, with the same values
         self.slots: dict[str, int] = {}
         self.known = np.zeros((3, kept_terms, samples), np.float32)
+        self.recent: deque = deque(maxlen=3)
 
     def variables(self, terms: list[str]) -> np.ndarray:
         out = np.empty((3, len(terms), self.samples), np.float32)
-        at = np.fromiter((self.slots.get(t, -1) for t in terms), np.int64, len(terms))
-        have, lack = np.nonzero(at >= 0)[0], np.nonzero(at < 0)[0]
-        out[:, have] = self.known[:, at[have]]
+        lack = np.arange(len(terms))
+        for slots, variables in ((self.slots, self.known), *self.recent):
+            if len(lack) == 0:
+                return out
+            at = np.fromiter((slots.get(terms[i], -1) for i in lack), np.int64, len(lack))
+            have = at >= 0
+            out[:, lack[have]] = variables[:, at[have]]
+            lack = lack[~have]
         if len(lack):
             hashes = np.fromiter((self.hashes[terms[i]] for i in lack), np.uint64, len(lack))
             made = np.stack(term_variables(hashes, self.samples))
             out[:, lack] = made
+            if len(lack) > 8:  # an edited text shares its terms with the texts just before
+                self.recent.append(({terms[i]: n for n, i in enumerate(lack)}, made))
             room = min(self.known.shape[1] - len(self.slots), len(lack))
             if room > 0:
                 first = len(self.slots)
@@ -92,7 +100,10 @@ class Sampler:
             r, c, beta = self.variables(own)
             ln = np.log(np.fromiter((weights[t] for t in own), np.float32, len(own)))[:, None]
             t = np.floor(ln / r + beta)
-            key = c - r * (t - beta) - r
+            key = np.subtract(t, beta)
+            key += 1
+            key *= r
+            np.subtract(c, key, out=key)
             at = key.argmin(axis=0)
             lanes = np.arange(self.samples)
             least = key[at, lanes]
