@@ -16,7 +16,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import struct
 from array import array
 
 import numpy as np
@@ -189,11 +188,19 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+@functools.lru_cache(maxsize=2)
+def id_width(path: str) -> int:
+    """Bytes that every id of the vocabulary fits in: 2 or 4."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 2 if max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])]) < 1 << 16 else 4
+
+
 @functools.lru_cache(maxsize=2)
 def library_pieces(path: str) -> tuple[Splitter, Memo]:
     """A splitter and a memo of the tokenizers library's ids for each piece."""
-    splitter = Splitter(path)
-    return splitter, Memo(lambda piece: array("I", splitter.library.encode(piece, add_special_tokens=False).ids).tobytes(), 400_000)
+    splitter, form = Splitter(path), "H" if id_width(path) == 2 else "I"
+    return splitter, Memo(lambda piece: array(form, splitter.library.encode(piece, add_special_tokens=False).ids).tobytes(), 400_000)
 
 
 def encode(text: Column, path: str | None = None) -> Column:
@@ -223,13 +230,13 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
 
 def library_encode(text: Column, path: str | None = None, end_id: int | None = None) -> Column:
-    """Ids by the tokenizers library, packed as little-endian unsigned 32-bit integers.
+    """Ids by the tokenizers library, packed as little-endian unsigned integers of ``id_width`` bytes.
 
     Pieces are independent in byte-level BPE, so the library encodes each
     distinct piece once per worker. ``end_id`` is appended to each document.
     """
     path = path or default_vocabulary()
-    end = b"" if end_id is None else struct.pack("<I", end_id)
+    end = b"" if end_id is None else end_id.to_bytes(id_width(path), "little")
 
     @F.arrow_udf(T.BinaryType())
     def packed(texts: pa.Array) -> pa.Array:

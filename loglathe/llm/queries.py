@@ -41,7 +41,7 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
     docs = table(spark, sf_dir, "documents").select("doc_id", bpe.library_encode(F.col("text"), end_id=0).alias("ids"))
-    return token_files.token_files(spark, docs, folder)[1]
+    return token_files.token_files(spark, docs, folder, width=bpe.id_width(bpe.default_vocabulary()))[1]
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 The ids of all documents, in ascending id order, form one stream. It is cut by
 ranges of the document id into files; within a file the stream is laid out in
-sequences of ``seq_len`` ids, a fixed-size list each, beside a fixed-size list
-of mask bytes (1: an id, 0: padding at the file's end). Record batches have
+sequences of ``seq_len`` ids, a fixed-size list each (16-bit ids where the
+vocabulary allows), beside a fixed-size list of mask bits (set: an id; not set:
+padding at the file's end). Record batches have
 ``batch_rows`` sequences, so a memory-mapped file gives any sequence, or any
 document, as a view of the file without decoding. Beside ``tokens-N.arrow``
 lies ``tokens-N.index.arrow``: doc_id, start within the file, n_tokens.
@@ -53,10 +54,11 @@ def range_parts(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.withColumn("__part", part(F.col(id_col).cast("long")))
 
 
-def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_col: str = "ids", seq_len: int = 2048, batch_rows: int = 64) -> DataFrame:
-    """Write packed ids (``ids_col``, binary) and return the saved manifest with each file's ``base``."""
+def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_col: str = "ids", seq_len: int = 2048, batch_rows: int = 64, width: int = 4) -> DataFrame:
+    """Write packed ids (``ids_col``, binary, ``width`` bytes an id) and return the saved manifest with each file's ``base``."""
     n = partitions(docs.sparkSession)
-    schema = pa.schema([("ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    kind = np.uint16 if width == 2 else np.uint32
+    schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
     def write(batches):
         fs, top = local_path(folder)
@@ -69,8 +71,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_
             for at in range(0, size, block):
                 own = values[at : min(size, at + block)]
                 pad = -len(own) % seq_len
-                ids = np.concatenate([own, np.zeros(pad, np.uint32)])
-                mask = np.concatenate([np.ones(len(own), np.uint8), np.zeros(pad, np.uint8)])
+                ids = np.concatenate([own, np.zeros(pad, kind)])
+                mask = np.concatenate([np.ones(len(own), bool), np.zeros(pad, bool)])
                 out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), seq_len) for x in (ids, mask)], schema=schema))
             return values[size:]
 
@@ -83,16 +85,16 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_
                 files = [fs.open_output_stream(p, compression=None) for p in paths]
                 out = pa.ipc.new_file(files[0], schema)
                 index = pa.ipc.new_file(files[1], INDEX)
-            sizes = pa.compute.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            sizes = pa.compute.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) // width
             starts = tokens + np.cumsum(sizes) - sizes
             index.write_batch(pa.record_batch([batch.column(1), pa.array(starts), pa.array(sizes)], schema=INDEX))
             docs_, tokens = docs_ + batch.num_rows, tokens + int(sizes.sum())
             for x in batch.column(2):
-                left.append(np.frombuffer(x.as_buffer(), np.uint32))
+                left.append(np.frombuffer(x.as_buffer(), kind))
                 if len(left) >= 256 or len(left[-1]) >= block:
                     left = [put(np.concatenate(left))]
         if out is not None:
-            put(np.concatenate([np.zeros(0, np.uint32), *left]), last=True)
+            put(np.concatenate([np.zeros(0, kind), *left]), last=True)
             for writer in (out, index):
                 writer.close()
             for f in files:
@@ -115,7 +117,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 with fs.open_input_file(row["path"]) as f, fs.open_input_file(row["index_path"]) as g:
                     tokens, index = pa.ipc.open_file(f), pa.ipc.open_file(g)
-                    buffer, loaded, done = np.zeros(0, np.uint32), 0, 0  # ids from `done` on that are loaded
+                    buffer, loaded, done = np.zeros(0, tokens.schema.field(0).type.value_type.to_pandas_dtype()), 0, 0  # ids from `done` on that are loaded
                     for k in range(index.num_record_batches):
                         docs = index.get_batch(k)
                         crcs = []
@@ -134,12 +136,12 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def sequence(path: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sequence and its mask of a local file, as views of the mapped file."""
+    """One sequence (a view of the mapped file) and its mask (unpacked from the file's bits) of a local file."""
     source = pa.memory_map(path)
     reader = pa.ipc.open_file(source)
     rows = reader.get_batch(0).num_rows
     batch = reader.get_batch(number // rows)
-    return tuple(batch.column(c)[number % rows].values.to_numpy(zero_copy_only=True) for c in (0, 1))
+    return tuple(batch.column(c)[number % rows].values.to_numpy(zero_copy_only=c == 0) for c in (0, 1))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, folder: str, **options) -> tuple[DataFrame, DataFrame]:

@@ -60,7 +60,7 @@ def test_token_files(spark, library):
     docs = texts(spark).unionByName(texts(spark).where("doc_id = 4")).unionByName(texts(spark).where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
     packed = docs.drop("ids").withColumn("ids", bpe.library_encode(F.col("text"), end_id=0))
     folder = scratch(spark, "files")
-    manifest, back = token_files.token_files(spark, packed, folder, seq_len=16, batch_rows=2)
+    manifest, back = token_files.token_files(spark, packed, folder, seq_len=16, batch_rows=2, width=bpe.id_width(bpe.default_vocabulary()))
     got = sorted(back.collect(), key=lambda x: x["start"])
     at = 0
     for row, (doc, text) in zip(got, sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), strict=True):
@@ -71,4 +71,4 @@ def test_token_files(spark, library):
     files = [f for f in manifest.collect() if f["n_tokens"] >= 16]
     ids, mask = token_files.sequence(files[0]["path"], 0)
     assert len(ids) == 16 and mask.all() and ids.base is not None
-    assert token_files.token_files(spark, packed.limit(0), scratch(spark, "none"))[1].count() == 0
+    assert token_files.token_files(spark, packed.limit(0), scratch(spark, "none"), width=2)[1].count() == 0
