@@ -110,7 +110,7 @@ def deduped(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, batches
     bounds = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("b")).first()["b"] or []
     number = F.lit(0)
     for b in bounds:
-        number = number + F.when(F.col("__id") <= F.lit(b), 1).otherwise(0)
+        number = number + F.when(F.col("__id").isNull() | (F.col("__id") <= F.lit(b)), 1).otherwise(0)
     keys = line_keys(docs, least_chars).withColumn("batch", number)
     path = scratch(spark, "line-keys")
     keys.write.partitionBy("batch").parquet(path)
