@@ -19,100 +19,94 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter, deque
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Memo, partitions
+from .shared import partitions
 from .token_files import range_parts
 
 SAMPLES = 128
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX
-    x = (x ^ (x >> np.uint64(27))) * _STEP
-    return x ^ (x >> np.uint64(31))
+@functools.cache
+def gamma_quantiles() -> np.ndarray:
+    """The gamma(2, 1) values below which (n + 1/2) / 2**16 of the distribution lies, by bisection."""
+    upper = 1 - (np.arange(1 << 16) + 0.5) / (1 << 16)
+    low, high = np.zeros(1 << 16), np.full(1 << 16, 40.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        below = (1 + x) * np.exp(-x) > upper
+        low, high = np.where(below, x, low), np.where(below, high, x)
+    return low.astype(np.float32)
 
 
-def term_variables(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(r, ln c, beta) of each term and sample: r and c are gamma(2, 1), beta is uniform."""
-    lanes = _mixed(np.arange(1, 3 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    x = _mixed(hashes[:, None] ^ lanes[None, :])
-    high = ((x >> np.uint64(32)).astype(np.float32) + 0.5) * np.float32(2.0**-32)
-    low = ((x & np.uint64(0xFFFFFFFF)).astype(np.float32) + 0.5) * np.float32(2.0**-32)
-    np.clip(high, 1e-9, 1 - 1e-7, out=high)
-    np.clip(low, 1e-9, 1 - 1e-7, out=low)
-    k = samples
-    r = -np.log(high[:, :k] * low[:, :k])
-    c = np.log(-np.log(high[:, k : 2 * k] * low[:, k : 2 * k]))
-    return r, c, high[:, 2 * k :]
+def packed_keys(hashes: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
+    """One number for each weighted term and sample: the key in order, then 16 bits of the term and its grid step.
+
+    The least number over a text's terms holds the sample's bits in its end.
+    """
+    x = hashes[:, None] ^ (np.arange(1, samples + 1, dtype=np.uint64) * _GOLDEN)[None, :]
+    x *= _MIX
+    x ^= x >> np.uint64(32)
+    x *= _STEP
+    x ^= x >> np.uint64(29)
+    quarters = x.astype("<u8", copy=False).view("<u2").reshape(len(hashes), samples, 4)  # four uniform variables
+    scale = np.float32(2.0**-16)
+    r = gamma_quantiles()[quarters[:, :, 0]]
+    beta = (quarters[:, :, 1] + np.float32(0.5)) * scale
+    c = (quarters[:, :, 2] + np.float32(0.5)) * scale
+    c *= (quarters[:, :, 3] + np.float32(0.5)) * scale
+    np.log(c, out=c)
+    np.negative(c, out=c)  # gamma(2, 1)
+    np.log(c, out=c)
+    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + beta)
+    bits = (c - r * (t - beta + 1)).view(np.uint32)
+    bits ^= (bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(1 << 31)  # floats in order as whole numbers
+    code = ((hashes & np.uint64(0xFFFF)).astype(np.int64)[:, None] + t.astype(np.int64) * 0x9E37) & 0xFFFF
+    return bits.astype(np.uint64) << np.uint64(16) | np.maximum(code, 1).astype(np.uint64)  # 0 is the empty set's
 
 
 class Sampler:
-    def __init__(self, samples: int = SAMPLES, kept_terms: int = 16_000):
+    """Fingerprints; it keeps the numbers of weighted terms met and starts anew when full."""
+
+    def __init__(self, samples: int = SAMPLES, kept_terms: int = 100_000, block: int = 256):
+        self.samples, self.block = samples, block
+        self.slots: dict[tuple[str, int], int] = {}
+        self.known = np.zeros((kept_terms, samples), np.uint64)
+
+    def rows(self, terms: list[tuple[str, int]]) -> list[int]:
+        """Where the numbers of at most ``block`` weighted terms are kept."""
         from xxhash import xxh3_64_intdigest
 
-        self.samples = samples
-        self.hashes = Memo(lambda w: xxh3_64_intdigest(w.encode("utf-8", "replace")), 300_000)
-        # variables of the first terms met; any other term's are made anew, with the same values
-        self.slots: dict[str, int] = {}
-        self.known = np.zeros((3, kept_terms, samples), np.float32)
-        self.recent: deque = deque(maxlen=3)
-
-    def variables(self, terms: list[str]) -> np.ndarray:
-        out = np.empty((3, len(terms), self.samples), np.float32)
-        lack = np.arange(len(terms))
-        for slots, variables in ((self.slots, self.known), *self.recent):
-            if len(lack) == 0:
-                return out
-            at = np.fromiter((slots.get(terms[i], -1) for i in lack), np.int64, len(lack))
-            have = at >= 0
-            out[:, lack[have]] = variables[:, at[have]]
-            lack = lack[~have]
-        if len(lack):
-            hashes = np.fromiter((self.hashes[terms[i]] for i in lack), np.uint64, len(lack))
-            made = np.stack(term_variables(hashes, self.samples))
-            out[:, lack] = made
-            if len(lack) > 8:  # an edited text shares its terms with the texts just before
-                self.recent.append(({terms[i]: n for n, i in enumerate(lack)}, made))
-            room = min(self.known.shape[1] - len(self.slots), len(lack))
-            if room > 0:
-                first = len(self.slots)
-                self.known[:, first : first + room] = made[:, :room]
-                self.slots.update({terms[i]: first + n for n, i in enumerate(lack[:room])})
-        return out
-
-    def fingerprint(self, text: str, block: int = 2048) -> np.ndarray:
+        at = list(map(self.slots.get, terms))
+        if None not in at:
+            return at
+        lack = [x for x, n in zip(terms, at, strict=True) if n is None]
+        if len(self.slots) + len(lack) > len(self.known):
+            self.slots.clear()
+            return self.rows(terms)
+        hashes = np.array([xxh3_64_intdigest(word.encode("utf-8", "replace")) for word, _ in lack], np.uint64)
+        first = len(self.slots)
+        self.known[first : first + len(lack)] = packed_keys(hashes, np.array([n for _, n in lack]), self.samples)
+        self.slots.update(zip(lack, range(first, first + len(lack)), strict=True))
+        return [self.slots[x] for x in terms]
+
+    def fingerprint(self, text: str) -> np.ndarray:
         """One unsigned 16-bit number for each sample."""
-        weights = Counter(text.lower().split())
-        if not weights:
+        terms = list(Counter(text.lower().split()).items())
+        if not terms:
             return np.zeros(self.samples, np.uint16)
-        terms = list(weights)
-        best = np.full(self.samples, np.inf, np.float32)
-        chosen, step = np.zeros(self.samples, np.uint64), np.zeros(self.samples, np.float32)
-        for first in range(0, len(terms), block):
-            own = terms[first : first + block]
-            r, c, beta = self.variables(own)
-            ln = np.log(np.fromiter((weights[t] for t in own), np.float32, len(own)))[:, None]
-            t = np.floor(ln / r + beta)
-            key = np.subtract(t, beta)
-            key += 1
-            key *= r
-            np.subtract(c, key, out=key)
-            at = key.argmin(axis=0)
-            lanes = np.arange(self.samples)
-            least = key[at, lanes]
-            better = least < best
-            hashes = np.fromiter((self.hashes[own[i]] for i in at), np.uint64, self.samples)
-            best = np.where(better, least, best)
-            chosen, step = np.where(better, hashes, chosen), np.where(better, t[at, lanes], step)
-        mixed = _mixed(chosen + (step.astype(np.int64) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return np.maximum(mixed >> np.uint64(48), np.uint64(1)).astype(np.uint16)  # 0 is the empty set's
+        least = np.full(self.samples, np.iinfo(np.uint64).max)
+        for first in range(0, len(terms), self.block):
+            own = self.known[self.rows(terms[first : first + self.block])]
+            np.minimum(least, own.min(axis=0), out=least)
+        return (least & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 @functools.lru_cache(maxsize=2)
