@@ -198,9 +198,24 @@ def id_width(path: str) -> int:
 
 @functools.lru_cache(maxsize=2)
 def library_pieces(path: str) -> tuple[Splitter, Memo]:
-    """A splitter and a memo of the tokenizers library's ids for each piece."""
+    """A splitter and a memo of the tokenizers library's ids for each piece.
+
+    A piece is already cut, so it goes straight to the library's model, in byte
+    letters; special tokens, and all pieces of a file with a normaliser, go
+    through the whole library.
+    """
     splitter, form = Splitter(path), "H" if id_width(path) == 2 else "I"
-    return splitter, Memo(lambda piece: array(form, splitter.library.encode(piece, add_special_tokens=False).ids).tobytes(), 400_000)
+    library, model = splitter.library, splitter.library.model
+    letters = {byte: letter for letter, byte in byte_letters().items()}
+
+    def ids(piece: str) -> bytes:
+        if library.normalizer is not None or piece in splitter.special:
+            found = library.encode(piece, add_special_tokens=False).ids
+        else:
+            found = [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+        return array(form, found).tobytes()
+
+    return splitter, Memo(ids, 400_000)
 
 
 def encode(text: Column, path: str | None = None) -> Column:
