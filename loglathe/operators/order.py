@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.derive import base_name
+from ..plans.landing import scratch
 
 KEYS = ["ts", "ts_nanos", "__file_parts", "line_no"]
 
@@ -25,14 +26,18 @@ def with_position(ordered: DataFrame, name: str = "pos") -> DataFrame:
     """Number the rows of an ordered frame from 0, without a window over all rows.
 
     Rows are numbered within their partition; the partitions' sizes (one row
-    each) are summed up and added.
+    each) are summed up and added. The frame is written once with both numbers:
+    evaluated twice, a range shuffle may cut its partitions elsewhere.
     """
-    tagged = ordered.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    spark, path = ordered.sparkSession, scratch(ordered.sparkSession, "ordered")
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    tagged = ordered.withColumns({"__part": F.spark_partition_id(), "__own": own})
+    tagged.write.parquet(path)
+    tagged = spark.read.schema(tagged.schema).parquet(path)
     sizes = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # one row for each partition
-    own = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return tagged.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + own).cast("long")).drop("__part", "__at", "__start")
+    return tagged.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__own")).cast("long")).drop("__part", "__own", "__start")
 
 
 def source_headers(positioned: DataFrame, mode: str = "swap", last_name: str | None = None, pos: str = "pos") -> DataFrame:

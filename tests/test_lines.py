@@ -120,6 +120,20 @@ def test_merge_headers_and_profile(spark):
     assert (none["total"], none["canonical_pct"]) == (0, 0.0)
 
 
+def test_positions_are_dense_when_the_range_sampler_samples(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 400_000
+        rows = spark.range(0, n, 1, 8).select(F.concat(F.lit("/a/x"), F.col("id") % 4).alias("file"), F.col("id").alias("line_no"), F.timestamp_micros(F.xxhash64("id") % 10**12).alias("ts"), (F.col("id") % 7).cast("int").alias("ts_nanos"), F.concat(F.lit("m"), "id").alias("line"))
+        placed = order.with_position(order.merge_chronological(rows))
+        got = placed.agg(F.count("line"), F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.max("file"), F.max("ts_nanos")).first()
+        assert list(got)[:4] == [n, n, 0, n - 1]
+        taken = placed.where("pos % 1000 = 0").orderBy("pos").collect()
+        assert [(r["ts"], r["line_no"]) for r in taken] == sorted((r["ts"], r["line_no"]) for r in taken)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_follow_orders_each_batch_and_starts_at_the_end(spark, tmp_path):
     decode.configure(spark)
     land = tmp_path / "land"
