@@ -2,32 +2,37 @@
 
 Texts become template tokens: numbers, a unit after a number, and names
 (capitalised words within a sentence) are typed placeholders, other words are
-themselves in lower case. Windows of ``width`` template tokens are hash-joined
-with the windows of the benchmark; a window must have ``literals`` words that
-are no placeholders. Items shorter than a window are one window of their own
-length. Windows of one document and one item on one diagonal (same offset) form
-a match; its slots must be consistent: each value of an item's slot stands
-against one value of the document throughout, so a re-parameterised question
-matches and a chance mixture doesn't. A document is contaminated by an item if
-consistent matches cover ``enough`` of its template tokens (or all of a shorter
-item).
+themselves in lower case. Windows of ``width`` tokens are hash-joined with the
+windows of the benchmark in two forms: as templates, of which a window must have
+``literals`` words that are no placeholders, and plain, with every word and
+number as it is in lower case, so that whole copies are found whatever they are
+made of. Items shorter than a window are one window of their own length. Plain
+windows always count. Template windows of one document and one item on one
+diagonal (same offset) must be consistent: each
+value of an item's slot stands against one value of the document throughout, so
+a re-parameterised question matches and a chance mixture doesn't.
+A document is contaminated by an item if the tokens of
+the item under windows that count, each counted once, are ``enough`` (or all of
+a shorter item).
 
 A fixed-size bitmap of the benchmark's window hashes spares the join most
 windows; it only ever passes too many, and the join is exact.
 
 Defined results: null and empty texts have no windows; null item ids and null
-document ids are kept as a group; repeated rows give one result row.
+document ids are kept as a group; repeated rows give one result row; ``exact``
+says that all windows that count are word for word.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Memo, saved, small_side
@@ -36,49 +41,64 @@ from .shared import Memo, saved, small_side
 UNITS = frozenset("mm cm m km g kg mg t l ml s ms min h hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees litre litres liter liters byte bytes kb mb gb".split())
 TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[.!?\n]")
 WIDTH, LITERALS, ENOUGH = 8, 4, 13
+TEXTS = 256  # texts taken apart at once
 END, WORD, CAPITAL, NUMBER, UNIT = range(5)
 
 
 def _kind(token: str) -> tuple[int, int]:
     if token in ".!?\n":
         return END, 0
-    if token[0].isdigit():
-        return NUMBER, 0
     low = token.lower()
     h = zlib.crc32(low.encode("utf-8", "replace")) + (len(low) << 32)
-    return (UNIT if low in UNITS else CAPITAL if token[0].isupper() and token[1:].islower() else WORD), h
+    return (NUMBER if token[0].isdigit() else UNIT if low in UNITS else CAPITAL if token[0].isupper() and token[1:].islower() else WORD), h
 
 
 _kinds = Memo(lambda t: (k := _kind(t))[0] + (k[1] << 3))
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(tokens, template hashes, slot type of each: 0 none, 1 number, 2 unit, 3 name)."""
-    raw = TOKEN.findall(text) if text else []
+def _mixed(value: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        value = value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return value ^ (value >> np.uint64(29))
+
+
+def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' (tokens, template hashes, plain hashes, slot type of each: 0 none, 1 number, 2 unit, 3 name, number of the text)."""
+    found = [TOKEN.findall(t) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    raw = list(chain.from_iterable(found))
     packed = np.fromiter(map(_kinds.__getitem__, raw), np.int64, len(raw))
     kind, h = packed & 7, packed >> 3
     before = np.concatenate([[END], kind[:-1]])[: len(kind)]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = END
     slot = np.where(kind == NUMBER, 1, np.where((kind == UNIT) & (before == NUMBER), 2, np.where((kind == CAPITAL) & (before != END), 3, 0)))
     keep = np.nonzero(kind != END)[0]
-    slot = slot[keep]
-    with np.errstate(over="ignore"):
-        value = np.where(slot > 0, slot, h[keep]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return [raw[i] for i in keep] if slot.any() else [], value ^ (value >> np.uint64(29)), slot
+    slot, h = slot[keep], h[keep]
+    return [raw[i] for i in keep], _mixed(np.where(slot > 0, slot, h)), _mixed(h), slot, np.repeat(np.arange(len(found)), sizes)[keep]
 
 
-def windows(value: np.ndarray, slot: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the window at each position, whether it has enough literal words)."""
+def hashes(value: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the window at each position."""
     n = len(value) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+    if n <= 0 or width <= 0:
+        return np.zeros(0, np.int64)
     h = np.full(n, width, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(width):
             h = h * np.uint64(0x100000001B3 | 1 << 60) + value[j : j + n]
         h ^= h >> np.uint64(32)
         h = h * np.uint64(0xD6E8FEB86659FD93)
-    free = np.concatenate([[0], np.cumsum(slot == 0)])
-    return (h ^ (h >> np.uint64(31))).view(np.int64), free[width:] - free[:-width] >= min(literals, width)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def windows(slot: np.ndarray, row: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """(template window with enough literal words, window with a slot) at each position; both false across texts."""
+    n = len(slot) - width + 1
+    if n <= 0 or width <= 0:
+        return np.zeros(0, bool), np.zeros(0, bool)
+    total = np.concatenate([[0], np.cumsum(slot == 0)])
+    free, within = total[width:] - total[:-width], row[:n] == row[width - 1 :]
+    return within & (free >= min(literals, width)), within & (free < width)
 
 
 def _slots(tokens: list[str], slot: np.ndarray, at: int, width: int) -> list[str]:
@@ -86,17 +106,22 @@ def _slots(tokens: list[str], slot: np.ndarray, at: int, width: int) -> list[str
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
-    """One row for each window of each item: item_id, h, pos, slots, size (template tokens of the item), width."""
+    """One row for each window of each item: item_id, h, pos, slots, size (template tokens of the item), width.
+
+    A window without slots has the same hash in both forms; others have a second row, plain and without slots.
+    """
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def cut(frames):
         for pdf in frames:
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
-                tokens, value, slot = template(text)
-                own = min(width, len(value))
-                h, ok = windows(value, slot, own, literals)
-                rows += [(item, int(h[p]), int(p), _slots(tokens, slot, p, own), len(value), own) for p in np.nonzero(ok)[0]] if own else []
+                tokens, typed, plain, slot, row = templates([text])
+                own = min(width, len(slot))
+                ok, slotted = windows(slot, row, own, literals)
+                h, hp = hashes(typed, own), hashes(plain, own)
+                rows += [(item, int(h[p]), int(p), _slots(tokens, slot, p, own), len(slot), own) for p in np.nonzero(ok)[0]]
+                rows += [(item, int(hp[p]), int(p), [], len(slot), own) for p in np.nonzero(slotted)[0]]
             yield pd.DataFrame(rows, columns=["item_id", "h", "pos", "slots", "size", "width"])
 
     return benchmark.select("item_id", "text").mapInPandas(cut, f"item_id {kind}, h long, pos int, slots array<string>, size int, width int").distinct()
@@ -113,6 +138,17 @@ def bitmap(hashes: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def _pairs(window: Column) -> Column:
+    """Distinct (item's value, document's value) of a window's slots."""
+    return F.array_distinct(F.zip_with(window["item_slots"], window["slots"], lambda s, v: F.struct(s.alias("s"), v.alias("v"))))
+
+
+def _agreeing(found: Column) -> Column:
+    """The windows of a diagonal, if each item value stands against one value of the document."""
+    pairs = F.array_distinct(F.flatten(F.transform(found, _pairs)))
+    return F.when(F.size(pairs) == F.size(F.array_distinct(pairs["s"])), found)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, enough: int = ENOUGH, most_broadcast_rows: int = 500_000) -> DataFrame:
     """Rows (doc_id, item_id, matched_tokens, item_tokens, first_pos, exact) of contaminated documents only."""
     spark = docs.sparkSession
@@ -124,36 +160,54 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lite
 
     def probe(batches):
         passes = shared.value.view(np.uint64)
+
+        def passing(h, ok):
+            at = np.nonzero(ok)[0]
+            spot = h[at].view(np.uint64) >> np.uint64(64 - bits)
+            return at[(passes[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)].tolist()
+
         for batch in batches:
             ids, out = batch.column(0), ([], [], [], [])
-            for row, text in enumerate(batch.column(1)):
-                tokens, value, slot = template(text.as_py())
+            for start in range(0, batch.num_rows, TEXTS):
+                texts = batch.column(1).slice(start, TEXTS).to_pylist()
+                tokens, typed, plain, slot, row = templates(texts)
+                first = np.searchsorted(row, np.arange(len(texts)))
                 for w in widths:
-                    h, ok = windows(value, slot, w, literals)
-                    spot = h.view(np.uint64) >> np.uint64(64 - bits)
-                    ok &= (passes[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    for p in np.nonzero(ok)[0].tolist():
-                        for column, x in zip(out, (row, int(h[p]), p, _slots(tokens, slot, p, w)), strict=True):
-                            column.append(x)
+                    ok, slotted = windows(slot, row, w, literals)
+                    h, hp = hashes(typed, w), hashes(plain, w)
+                    found = [(p, int(h[p]), _slots(tokens, slot, p, w)) for p in passing(h, ok)]
+                    found += [(p, int(hp[p]), []) for p in passing(hp, slotted)]
+                    seen = set()
+                    for p, x, slots in sorted(found):
+                        r = int(row[p])
+                        if not slots:  # the place of a plain window doesn't matter: its first one in the text will do
+                            if (r, x) in seen:
+                                continue
+                            seen.add((r, x))
+                        for column, v in zip(out, (start + r, x, int(p - first[r]), slots), strict=True):
+                            column.append(v)
             yield pa.record_batch([ids.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.string()))], names=["doc_id", "h", "pos", "slots"])
 
     hits = docs.select("doc_id", "text").mapInArrow(probe, f"doc_id {kind}, h long, pos int, slots array<string>")
     there = items.select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "size", "width")
     matched = hits.join(small_side(there, facts["n"], most_broadcast_rows), "h").where(F.size("slots") == F.size("item_slots"))
-    # A diagonal has at most as many windows as the item, however often the passage occurs.
-    runs = matched.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
-        F.countDistinct("item_pos").alias("n"),
-        F.min("pos").alias("first_pos"),
+    # Plain windows (no diagonal) and a diagonal's have at most as many places in the item as it has windows.
+    diagonal = F.when(F.size("slots") > 0, F.col("pos") - F.col("item_pos"))
+    runs = matched.groupBy("doc_id", "item_id", diagonal.alias("diagonal")).agg(
+        F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("found"),
+        F.min("pos").alias("at"),
         F.max("size").alias("size"),
         F.max("width").alias("width"),
     )
-    runs = runs.where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots"))))
-    exact = F.forall("pairs", lambda p: p["item_slots"] == p["slots"])
+    runs = runs.withColumn("found", _agreeing(F.col("found"))).where(F.size("found") > 0)
+    exact = F.forall("found", lambda w: w["item_slots"] == w["slots"])
     found = runs.groupBy("doc_id", "item_id").agg(
-        F.least(F.sum("n") + F.max("width") - 1, F.max("size")).cast("int").alias("matched_tokens"),
+        F.flatten(F.collect_set(F.array_sort(F.array_distinct(F.col("found.item_pos"))))).alias("places"),
+        F.max("width").alias("width"),
         F.max("size").alias("item_tokens"),
-        F.min("first_pos").alias("first_pos"),
+        F.min(F.coalesce(F.array_min("found.item_pos") + F.col("diagonal"), F.col("at"))).alias("first_pos"),
         F.min(exact).alias("exact"),
     )
+    under = F.flatten(F.transform(F.array_distinct("places"), lambda p: F.sequence(p, p + F.col("width") - 1)))
+    found = found.select("doc_id", "item_id", F.size(F.array_distinct(under)).alias("matched_tokens"), "item_tokens", "first_pos", "exact")
     return found.where(F.col("matched_tokens") >= F.least(F.lit(enough), F.col("item_tokens")))

@@ -22,6 +22,19 @@ def test_templates_catch_exact_and_reparameterised_items(spark):
     assert decontamination.contaminated(df, items.limit(0)).count() == 0 and decontamination.contaminated(df.limit(0), items).count() == 0
 
 
+def leaks(spark, items, docs):
+    frame = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, text string")
+    rows = decontamination.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    return {(r["doc_id"], r["item_id"]): r for r in rows}
+
+
+def test_every_whole_copy_of_an_item_is_found(spark):
+    items = ["Compute 3 x 4 + 5 x 6 - 7 x 8 for x = 2 and y = 9.", "Is Paris in France?", "Natalia sold clips to 48 of her friends in April, and then she sold half as many clips in May. How many clips did Natalia sell altogether in April and May?"]
+    got = leaks(spark, items, [f"so it is. {t} and no more" for t in items] + [items[2].lower(), items[2].upper(), "Is Rome in France?"])
+    assert got.keys() == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)}
+    assert all(r["matched_tokens"] == r["item_tokens"] and r["exact"] for r in got.values())
+
+
 def test_toxicity(spark):
     bad = [(i, f"you are a trash person number{i} ok") for i in range(60)]
     good = [(100 + i, f"you are a kind person number{i} ok") for i in range(60)]
