@@ -8,9 +8,10 @@ windows of the benchmark in two forms: as templates, of which a window must have
 number as it is in lower case, so that whole copies are found whatever they are
 made of. Items shorter than a window are one window of their own length. Plain
 windows always count. Template windows of one document and one item on one
-diagonal (same offset) must be consistent: each
-value of an item's slot stands against one value of the document throughout, so
-a re-parameterised question matches and a chance mixture doesn't.
+diagonal (same offset) must be consistent: a
+window counts if each of its slots has the value that most windows of the
+diagonal give that value of the item, or if all its slots are equal, so a
+re-parameterised question matches and a chance mixture doesn't.
 A document is contaminated by an item if the tokens of
 the item under windows that count, each counted once, are ``enough`` (or all of
 a shorter item).
@@ -143,10 +144,29 @@ def _pairs(window: Column) -> Column:
     return F.array_distinct(F.zip_with(window["item_slots"], window["slots"], lambda s, v: F.struct(s.alias("s"), v.alias("v"))))
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _most(values: Column, own: Column) -> Column:
+    """The most frequent value; of several the item's own, or else the last in order."""
+    votes = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (v == own).alias("own"), v.alias("v")))
+    return F.array_max(votes)["v"]
+
+
 def _agreeing(found: Column) -> Column:
-    """The windows of a diagonal, if each item value stands against one value of the document."""
-    pairs = F.array_distinct(F.flatten(F.transform(found, _pairs)))
-    return F.when(F.size(pairs) == F.size(F.array_distinct(pairs["s"])), found)
+    """The windows of a diagonal that agree with the value most windows give each slot, and those whose slots are all equal."""
+
+    def elected(pairs: Column) -> Column:
+        one = lambda s: F.struct(s.alias("s"), _with(F.transform(F.filter(pairs, lambda p: p["s"] == s), lambda p: p["v"]), lambda values: _most(values, s)).alias("v"))
+        return F.transform(F.array_distinct(pairs["s"]), one)
+
+    def kept(chosen: Column) -> Column:
+        return F.filter(found, lambda w: (w["item_slots"] == w["slots"]) | (F.size(F.array_except(_pairs(w), chosen)) == 0))
+
+    pairs = F.flatten(F.transform(found, _pairs))  # each window has one vote for a pair
+    return F.when(F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(pairs["s"])), found).otherwise(_with(_with(pairs, elected), kept))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, enough: int = ENOUGH, most_broadcast_rows: int = 500_000) -> DataFrame:

@@ -35,6 +35,13 @@ def test_every_whole_copy_of_an_item_is_found(spark):
     assert all(r["matched_tokens"] == r["item_tokens"] and r["exact"] for r in got.values())
 
 
+def test_one_differing_value_leaves_the_rest_of_a_copy(spark):
+    item = "The small town of the north built a long bridge over the river in 2019 and the people of the valley were glad, but later the water rose and took it away in 2019"
+    got = leaks(spark, [item], [item, "2018".join(item.rsplit("2019", 1)), item.replace("2019", "2001"), "2001".join(item.replace("2019", "2018").rsplit("2018", 1))])
+    assert got.keys() == {(0, 0), (1, 0), (2, 0), (3, 0)} and not got[2, 0]["exact"]
+    assert got[0, 0]["matched_tokens"] == got[2, 0]["matched_tokens"] == got[0, 0]["item_tokens"] and 13 <= got[1, 0]["matched_tokens"] < got[0, 0]["item_tokens"]
+
+
 def test_toxicity(spark):
     bad = [(i, f"you are a trash person number{i} ok") for i in range(60)]
     good = [(100 + i, f"you are a kind person number{i} ok") for i in range(60)]
