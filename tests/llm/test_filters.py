@@ -42,6 +42,13 @@ def test_one_differing_value_leaves_the_rest_of_a_copy(spark):
     assert got[0, 0]["matched_tokens"] == got[2, 0]["matched_tokens"] == got[0, 0]["item_tokens"] and 13 <= got[1, 0]["matched_tokens"] < got[0, 0]["item_tokens"]
 
 
+def test_a_phrase_counts_once_however_often_it_occurs(spark):
+    phrase = "which of the following is the correct answer"
+    item = f"{phrase} if all the green boxes are moved from one room into another"
+    got = leaks(spark, [item], [" and so on. ".join([phrase] * 6), " then ".join([f"{phrase} or 7 of the following is the correct {n}" for n in range(6)]), item])
+    assert got.keys() == {(2, 0)}
+
+
 def test_toxicity(spark):
     bad = [(i, f"you are a trash person number{i} ok") for i in range(60)]
     good = [(100 + i, f"you are a kind person number{i} ok") for i in range(60)]
