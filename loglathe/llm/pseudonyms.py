@@ -5,11 +5,14 @@ keyed permutation of the format's values: the same value always gets the same
 pseudonym, in every document, and different values get different ones.
 
 - card numbers (13 to 19 digits that pass the Luhn test): the digits before the
-  check digit are permuted and the check digit is computed anew;
-- IBANs (mod-97 test): the account part is permuted and the check digits are
-  computed anew;
+  check digit are permuted and the check digit is computed anew; in a longer run
+  of digit groups, every stretch of whole groups is tried, the longest first;
+- IBANs (mod-97 test), in one piece or in groups of four, tried likewise: the
+  account part is permuted and the check digits are computed anew;
 - dates (ISO, or day and month with ``/`` or ``.`` and a year from 1800 to 2199):
-  the day number is permuted within the 146,097 days of the 400 years;
+  the day number is permuted within the 146,097 days of the 400 years; where only
+  month and day can be meant, within the days after the 12th, so that the result
+  reads the same way;
 - IPv4 addresses: both 16-bit halves are permuted against each other;
 - telephone numbers, US social security numbers and e-mail names: digits and
   letters are permuted within their classes, all else stays.
@@ -39,6 +42,10 @@ FORMS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])",
 }
+#: Runs of groups in which stretches are tried: grouped IBANs, cards.
+IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}){2,}(?:[ -][A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+CARD_RUN = r"(?<![\dA-Za-z+])\d(?:[ -]?\d){12,}(?![\dA-Za-z])"
+IBAN_GROUPS = r"[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?"
 ROUNDS, EPOCH, DAYS = 8, "1800-01-01", (189, 773)
 
 
@@ -91,21 +98,33 @@ def feistel_chars(value: Column, key: str, tag: str) -> Column:
     return F.concat(done["x"], done["y"])
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of a string of digits whose last one has weight 1."""
     places = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.pmod(d.cast("int") * 2 - 1, F.lit(9)) + F.when(d == "0", 0 - F.lit(8)).otherwise(1)))
     return F.aggregate(places, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
+def _filled(value: Column, new: Column) -> Column:
+    """``value`` with its k-th digit or letter replaced by the k-th character of ``new``."""
+    step = lambda a, c: F.when(F.rlike(c, F.lit("[A-Za-z0-9]")), F.struct(F.concat(a["s"], F.substring(new, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
+    return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), step)["s"]
+
+
+def is_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (F.pmod(luhn_sum(digits), F.lit(10)) == 0) & (F.length(F.replace(digits, F.lit("0"))) > 0)
+
+
 def card(value: Column, key: str) -> Column:
     """Same separators and length, a valid check digit; null if not valid."""
     digits = F.regexp_replace(value, r"\D", "")
     body = feistel_chars(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     new = F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    chars = F.split(value, "")
-    # the k-th digit of the form takes the k-th new digit
-    filled = F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), lambda a, c: F.when(c.between("0", "9"), F.struct(F.concat(a["s"], F.substring(new, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))))
-    return F.when(F.length(digits).between(13, 19) & (F.pmod(luhn_sum(digits), F.lit(10)) == 0) & (F.length(F.replace(digits, F.lit("0"))) > 0), filled["s"])
+    return F.when(is_card(digits), _with(new, lambda n: _filled(value, n)))
 
 
 def _mod97(text: Column) -> Column:
@@ -114,22 +133,38 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(F.pmod(r * F.when(value(c) < 10, 10).otherwise(100) + value(c), F.lit(97)).cast("int")))
 
 
+def is_iban(text: Column) -> Column:
+    return F.length(text).between(15, 34) & (_mod97(F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))) == 1)
+
+
 def iban(value: Column, key: str) -> Column:
-    country, body = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
+    plain = F.regexp_replace(value, "[ -]", "")
+    country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     new = feistel_chars(body, key, "iban")
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_mod97(F.concat(body, F.substring(value, 1, 4))) == 1, F.concat(country, check, new))
+    whole = _with(new, lambda n: F.concat(country, F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0"), n))
+    return F.when(is_iban(plain), _with(whole, lambda w: F.when(plain == value, w).otherwise(_filled(value, w))))
+
+
+def _permuted_day(day: Column, key: str) -> Column:
+    low, high = DAYS
+    a, b = feistel_numbers(F.floor(day / high), F.pmod(day, F.lit(high)), low, high, key, "date")
+    return (a * high + b).cast("int")
 
 
 def date(value: Column, key: str) -> Column:
+    epoch = F.lit(EPOCH).cast("date")
     iso = F.substring(value, 5, 1) == "-"
     mark = F.when(iso, F.lit("-")).otherwise(F.substring(value, 3, 1))
     plain = F.when(iso, value).otherwise(F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2)))
-    day = F.datediff(F.try_to_date(plain, "yyyy-MM-dd"), F.lit(EPOCH).cast("date"))
-    low, high = DAYS
-    a, b = feistel_numbers(F.floor(day / high), F.pmod(day, F.lit(high)), low, high, key, "date")
-    new = F.date_add(F.lit(EPOCH).cast("date"), (a * high + b).cast("int"))
-    return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
+    new = F.date_add(epoch, _permuted_day(F.datediff(F.try_to_date(plain, "yyyy-MM-dd"), epoch), key))
+    out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
+    # month first: the permutation is repeated until the day is after the 12th again (a bijection; 0.4 ** 64 is left)
+    late = lambda n: F.dayofmonth(F.date_add(epoch, n)) > 12
+    american = F.datediff(F.try_to_date(F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 1, 2), F.substring(value, 4, 2)), "yyyy-MM-dd"), epoch)
+    turn = lambda s, i: F.when((i > 1) & late(s), s).otherwise(_permuted_day(s, key))
+    other = F.date_add(epoch, F.aggregate(F.sequence(F.lit(1), F.lit(64)), american, turn))
+    us = F.concat(F.date_format(other, "MM"), mark, F.date_format(other, "dd"), mark, F.date_format(other, "yyyy"))
+    return F.when(~iso & (F.substring(value, 4, 2) > "12"), us).otherwise(out)
 
 
 def ip(value: Column, key: str) -> Column:
@@ -151,19 +186,64 @@ def phone(value: Column, key: str) -> Column:
     return F.concat(head, feistel_chars(F.substring(value, F.length(head) + 1, F.length(value)), key, "phone"))
 
 
+def _marked(text: Column, form: str) -> Column:
+    return F.regexp_replace(text, f"({form})", f"{MARK}$1{MARK}")
+
+
+def _within(text: Column, form: str, change) -> Column:
+    """``change`` of all that fits ``form`` outside the marked values of ``text``."""
+    inner = lambda part: F.when(F.rlike(part, F.lit(form)), F.array_join(F.transform(F.split(_marked(part, form), MARK), lambda p, i: F.when(i % 2 == 1, change(p)).otherwise(p)), "")).otherwise(part)
+    outer = lambda t: F.array_join(F.transform(F.split(t, MARK), lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(MARK), p, F.lit(MARK))).otherwise(inner(p))), "")
+    return _with(text, lambda t: F.when(F.rlike(t, F.lit(form)), outer(t)).otherwise(t))
+
+
+def _stretches(run: Column, valid) -> Column:
+    """``run`` with its valid stretches of whole groups marked: the longest first, none over another."""
+
+    def candidates(groups: Column) -> Column:
+        last = F.size(groups) - 1
+        spans = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda a: F.transform(F.sequence(a, F.least(a + 18, last)), lambda b: F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(groups, a + 1, b - a + 1), " ").alias("s")))))
+        good = F.filter(spans, lambda x: valid(x["s"]))
+        return F.array_sort(F.transform(good, lambda x: F.struct((-F.length(F.replace(x["s"], F.lit(" ")))).alias("n"), x["a"].alias("a"), x["b"].alias("b"))))
+
+    def taken(found: Column) -> Column:
+        none = F.filter(found, lambda x: F.lit(False))
+        return F.aggregate(found, none, lambda got, x: F.when(F.exists(got, lambda g: (g["a"] <= x["b"]) & (x["a"] <= g["b"])), got).otherwise(F.concat(got, F.array(x))))
+
+    def drawn(got: Column) -> Column:
+        mark = lambda at, i: F.when(F.exists(got, lambda g: g[at] == i), F.lit(MARK)).otherwise(F.lit(""))
+        return _with(F.split(run, "[A-Z0-9]+"), lambda gaps: F.array_join(F.transform(F.split(run, "[ -]"), lambda x, i: F.concat(F.get(gaps, i), mark("a", i), x, mark("b", i))), ""))
+
+    return _with(_with(_with(F.split(run, "[ -]"), candidates), taken), drawn)
+
+
+def _card_run(run: Column) -> Column:
+    def valid(s: Column) -> Column:
+        return _with(F.replace(s, F.lit(" ")), is_card)
+
+    return _stretches(run, valid)
+
+
+def _iban_run(run: Column) -> Column:
+    return _stretches(run, lambda s: F.rlike(s, F.lit(f"^{IBAN_GROUPS}$")) & is_iban(F.replace(s, F.lit(" "))))
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with values replaced in ``text_col``; adds n_replaced and kinds (sorted, distinct)."""
     text = F.col(text_col)
-    any_form = "|".join(FORMS.values())
-    # odd places of the split are values
-    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), f"({any_form})", f"{MARK}$1{MARK}")
-    parts = F.split(marked, MARK)
+    others = "|".join(form for kind, form in FORMS.items() if kind != "card")
+    any_form = "|".join([*FORMS.values(), IBAN_RUN])
+    # odd places of the split are values; cards come after the other forms, in what these leave
+    marked = _within(F.replace(text, F.lit(MARK), F.lit("")), IBAN_RUN, _iban_run)
+    marked = _within(marked, others, lambda p: F.concat(F.lit(MARK), p, F.lit(MARK)))
+    parts = F.split(_within(marked, CARD_RUN, _card_run), MARK)
     make = {"email": email, "iban": iban, "ip": ip, "date": date, "phone": phone, "ssn": lambda v, k: feistel_chars(v, k, "ssn"), "card": card}
 
     def one(part: Column, i: Column) -> Column:
         out = F.struct(part.alias("s"), F.lit("").alias("kind"))
         for kind in reversed(FORMS):
-            fits = (i % 2 == 1) & F.rlike(part, F.lit(f"^(?:{FORMS[kind]})$"))
+            form = FORMS[kind] + (f"|{IBAN_GROUPS}" if kind == "iban" else "")
+            fits = (i % 2 == 1) & F.rlike(part, F.lit(f"^(?:{form})$"))
             new = make[kind](part, key)
             out = F.when(fits & new.isNotNull(), F.struct(new.alias("s"), F.lit(kind).alias("kind"))).otherwise(out)
         return out

@@ -99,6 +99,20 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert pseudonyms.pseudonymised(df.limit(0), "key").count() == 0
 
 
+def test_values_beside_other_digits(spark):
+    whole = ["4111111111111111 123", "4111 1111 1111 1111 12/27", "item 7 4111111111111111", "4111111111111111 12/27/2025", "DE89 3704 0044 0532 0130 00 123", "OR12 DE89 3704 0044 0532 0130 00", "on 12/27/2025"]
+    df = spark.createDataFrame(list(enumerate(whole)), "doc_id int, text string")
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymised(df, "key").collect()}
+    assert [got[i]["n_replaced"] for i in range(len(whole))] == [1, 1, 1, 2, 1, 1, 1]
+    card = re.search(r"\d{16}", got[0]["text"])[0]
+    assert card != "4111111111111111" and luhn(card) == 0 and got[0]["text"] == f"{card} 123" and got[2]["text"] == f"item 7 {card}"
+    assert got[1]["text"] == " ".join(card[i : i + 4] for i in range(0, 16, 4)) + " 12/27"
+    iban = re.search(r"DE[\d ]+ \d\d(?= 123)", got[4]["text"])[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and got[5]["text"].startswith("OR12 DE")
+    month, day, _ = got[6]["text"][3:].split("/")
+    assert int(month) <= 12 < int(day) and got[6]["text"][3:] != "12/27/2025" and got[3]["text"] == f"{card} {got[6]['text'][3:]}"
+
+
 def test_dates_are_permuted(spark):
     days = spark.range(0, 146_097, 97).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     out = days.select(pseudonyms.date(F.col("d"), "k").alias("p"))
