@@ -165,8 +165,9 @@ def classified(lines: DataFrame, line_col: str = "line") -> DataFrame:
 def resolve_aliases(table: dict) -> Column:
     """Map of own field names to values of the keys that ``table`` knows; the later of two names wins."""
     alias = F.create_map(*[F.lit(x) for pair in fields.aliases(table).items() for x in pair])
-    known = F.filter(F.map_entries("__map"), lambda e: alias[e["key"]].isNotNull())
-    return F.map_from_entries(F.transform(known, lambda e: F.struct(alias[e["key"]].alias("key"), F.to_json(e["value"]).alias("value"))))
+    known = F.array_distinct(F.reverse(F.filter("__keys", lambda k: alias[k].isNotNull())))
+    last = F.filter(known, lambda k, i: ~F.exists(F.slice(known, 1, i), lambda x: alias[x] == alias[k]))
+    return F.map_from_entries(F.transform(last, lambda k: F.struct(alias[k].alias("key"), F.to_json(F.col("__map")[k]).alias("value"))))
 
 
 def rest_map(table: dict) -> Column:

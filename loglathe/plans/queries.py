@@ -135,6 +135,24 @@ def resolve_aliases(spark, sf_dir):
     return p.select("line_no", F.explode(F.map_keys(decode.resolve_aliases(fields.MESSAGE))).alias("field"))
 
 
+_OBJECT_FIELDS = """CASE k
+WHEN 0 THEN ['elapsed', 'host', 'level', 'message', 'method', 'request_id', 'size', 'status', 'timestamp', 'url', 'user_agent']
+WHEN 1 THEN ['level', 'message', 'method', 'module', 'request_id', 'thread', 'timestamp']
+WHEN 2 THEN ['file', 'function', 'level', 'line', 'message', 'module', 'timestamp', 'trace_id']
+WHEN 3 THEN ['host', 'level', 'message', 'method', 'module', 'query_args', 'size', 'status', 'timestamp', 'url']
+WHEN 4 THEN ['level', 'message', 'request_id']
+WHEN 5 THEN ['timestamp']
+WHEN 10 THEN ['elapsed', 'level', 'message', 'timestamp']
+WHEN 11 THEN ['host', 'level', 'message', 'timestamp'] END"""
+
+
+@query(f"SELECT event_id AS line_no, unnest({_OBJECT_FIELDS}) AS field FROM ev WHERE k IN (0, 1, 2, 3, 4, 5, 10, 11)")
+def resolve_aliases_of_all(spark, sf_dir):
+    """Every decoded object; ``resolve_aliases`` and its SQL have two kinds of lines only."""
+    p = parsed(spark, sf_dir).where("__map IS NOT NULL")
+    return p.select("line_no", F.explode(F.map_keys(decode.resolve_aliases(fields.MESSAGE))).alias("field"))
+
+
 @query("""SELECT file, event_id AS line_no, shape, lts AS ts, CASE WHEN k IN (0, 1, 2, 3, 4, 7) THEN lv END AS level,
 CASE WHEN k IN (0, 1, 2, 3, 4, 7) THEN m WHEN k = 8 THEN m || ' plain' WHEN k = 9 THEN '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","level":' END AS message FROM ev""")
 def unified_records(spark, sf_dir):
