@@ -1,8 +1,11 @@
 """Edges of the other operators: nulls, empty texts and tables, ties, clashing columns."""
 
 import hashlib
+import math
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +64,46 @@ def test_toxicity(spark):
     assert df.select(toxicity.score(F.col("text"), None, spark).alias("s")).first()["s"] == 0.0
 
 
+def plain_ftrl(rows, labels, alpha, beta, l1, l2, epochs, size):
+    """FTRL-proximal as published, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi, own = z.get(i, 0.0), (0.0, 0.0) if i == size else (l1, l2)
+        return 0.0 if abs(zi) <= own[0] else -(zi - math.copysign(own[0], zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + own[1])
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            w = {i: weight(i) for i in [*rows[r], size]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[r]
+            for i, wi in w.items():
+                rate = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - rate * wi, n.get(i, 0.0) + g * g
+    return {i: w for i in z if i != size and (w := weight(i))}, weight(size)
+
+
+def test_weights_are_those_of_plain_ftrl():
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["kind", "trash", "you", "me", "so", "very", "day"]) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    labels = [int("trash" in t) for t in texts]
+    rows = [np.unique(toxicity.features(t, 10)) for t in texts]
+    for l1 in (0.5, 3.0):
+        i, w, bias = toxicity.train_ftrl(rows, labels, 10, 0.4, 1.0, l1, 0.7, 2)
+        want, want_bias = plain_ftrl([x.tolist() for x in rows], labels, 0.4, 1.0, l1, 0.7, 2, 1 << 10)
+        assert sorted(want) == i.tolist() and abs(bias - want_bias) < 1e-9
+        assert all(abs(x - want[k]) < 1e-5 for k, x in zip(i.tolist(), w.tolist(), strict=True))
+
+
+def test_toxicity_learns_from_one_text_of_an_id(spark):
+    rows = [(i % 4, f"trash {i}" if i % 2 else f"kind {i}", "x") for i in range(400)] + [(9, "long " * 100_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)] + [(9, 0)], "doc_id long, toxic int")
+    i, w, bias = toxicity.fit(df, labels, most_rows=4, l1=0.0)
+    scores = df.select("doc_id", toxicity.score(F.col("text"), (i, w, bias), spark).alias("s")).collect()
+    assert len(scores) == len(rows) and all(0 <= r["s"] <= 1 for r in scores)
+
+
 def test_warc_round_trip(spark):
     long = "<p>é" * 600
     rows = [(1, "http://a/", long), (9, None, long), (3, "http://b/\r\nX: 1", long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "")]
@@ -75,6 +118,22 @@ def test_warc_round_trip(spark):
     row = index.where("page_id = 9").first()
     assert warc_bundles.read_record(folder, row)[1] == long.encode()
     assert warc_bundles.read_bundles(warc_bundles.write_bundles(pages.limit(0), folder), folder).count() == 0
+    plan = lambda most: sorted(tuple(r) for r in warc_bundles.with_revisits(pages, most_broadcast_rows=most).drop("payload").collect())
+    assert plan(0) == plan(10)
+
+
+def test_warc_ids_tell_records_apart(spark):
+    long = "y" * 3_000_000
+    rows = [(1, "u", "one"), (1, "u", "two"), (1, "u", "two"), (2, "u", long), (3, "u", long)]
+    folder = scratch(spark, "warc")
+    index = warc_bundles.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, frame_bytes=1 << 16)
+    ids = [r["record_id"] for r in index.collect()]
+    assert len(ids) == 5 and len(set(ids)) == 4
+    blocks = sorted(warc_bundles.read_record(folder, r)[1] for r in index.where("page_id = 1").collect())
+    assert blocks == [b"one", b"two", b"two"]
+    assert warc_bundles.read_record(folder, index.where("page_id = 3").first())[1] == long.encode()
+    fields, block = warc_bundles.read_record(folder, index.where("page_id = 2").first())
+    assert block == b"" and fields["WARC-Refers-To"] == index.where("page_id = 3").first()["record_id"]
 
 
 def luhn(digits):
