@@ -3,10 +3,10 @@
 The ids of all documents, in ascending id order, form one stream. It is cut by
 ranges of the document id into files; within a file the stream is laid out in
 sequences of ``seq_len`` ids, a fixed-size list each (16-bit ids where the
-vocabulary allows), beside a fixed-size list of mask bits (set: an id; not set:
+vocabulary allows), beside a fixed-size list of mask bytes (1: an id; 0:
 padding at the file's end). Record batches have
-``batch_rows`` sequences, so a memory-mapped file gives any sequence, or any
-document, as a view of the file without decoding. Beside ``tokens-N.arrow``
+``batch_rows`` sequences, so a memory-mapped file gives any sequence with its
+mask, or any document, as views of the file without decoding. Beside ``tokens-N.arrow``
 lies ``tokens-N.index.arrow``: doc_id, start within the file, n_tokens.
 
 A task writes under a name of its own attempt; only the names that successful
@@ -14,7 +14,9 @@ tasks return are in the manifest, so lost executors leave no wrong file.
 
 Defined results: null and empty texts are documents of the end id alone; rows
 with one document id follow each other in order of their ids; null document ids
-come first; an empty table gives an empty manifest; other columns are ignored.
+come first; a text of any length is one document, laid out over as many
+sequences as it takes; an empty table gives an empty manifest; other columns,
+whatever their names, are ignored.
 The folder must be one that every executor can open by pyarrow.
 """
 
@@ -58,7 +60,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_
     """Write packed ids (``ids_col``, binary, ``width`` bytes an id) and return the saved manifest with each file's ``base``."""
     n = partitions(docs.sparkSession)
     kind = np.uint16 if width == 2 else np.uint32
-    schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+    schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
     def write(batches):
         fs, top = local_path(folder)
@@ -72,7 +74,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_
                 own = values[at : min(size, at + block)]
                 pad = -len(own) % seq_len
                 ids = np.concatenate([own, np.zeros(pad, kind)])
-                mask = np.concatenate([np.ones(len(own), bool), np.zeros(pad, bool)])
+                mask = np.concatenate([np.ones(len(own), np.uint8), np.zeros(pad, np.uint8)])
                 out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), seq_len) for x in (ids, mask)], schema=schema))
             return values[size:]
 
@@ -136,12 +138,12 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def sequence(path: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sequence (a view of the mapped file) and its mask (unpacked from the file's bits) of a local file."""
+    """One sequence and its mask of a local file, both as views of the mapped file."""
     source = pa.memory_map(path)
     reader = pa.ipc.open_file(source)
     rows = reader.get_batch(0).num_rows
     batch = reader.get_batch(number // rows)
-    return tuple(batch.column(c)[number % rows].values.to_numpy(zero_copy_only=c == 0) for c in (0, 1))
+    return tuple(batch.column(c)[number % rows].values.to_numpy(zero_copy_only=True) for c in (0, 1))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, folder: str, **options) -> tuple[DataFrame, DataFrame]:

@@ -46,6 +46,24 @@ def test_random_texts(library):
         assert own.decode(got) == library.decode(want, skip_special_tokens=False) == text
 
 
+def test_one_long_piece(library):
+    own, r = bpe.bpe(bpe.default_vocabulary()), random.Random(7)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "a"):
+        text = "".join(r.choice(letters) for _ in range(200_000))
+        assert np.frombuffer(own.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    kept = len(own.packed)
+    assert own.decode(np.frombuffer(own.encode(text), np.uint32)) == text and len(own.packed) == kept
+
+
+def test_latin_texts_are_cut_as_the_library_cuts_them(library):
+    splitter, r = bpe.Splitter(bpe.default_vocabulary()), random.Random(11)
+    letters = [chr(c) for c in range(0x2B0)] + ["'s", "'ve", "'ll", " ", " ", "a", "1"] * 20
+    for _ in range(3000):
+        text = "".join(r.choice(letters) for _ in range(r.randint(1, 30)))
+        assert splitter.cut(text) == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)], text
+
+
 def test_columns(spark, library):
     rows = texts(spark).select("doc_id", "text", bpe.encode(F.col("text")).alias("i"))
     rows = rows.withColumn("d", bpe.decode(F.col("i"))).collect()
@@ -70,5 +88,5 @@ def test_token_files(spark, library):
         at += len(ids)
     files = [f for f in manifest.collect() if f["n_tokens"] >= 16]
     ids, mask = token_files.sequence(files[0]["path"], 0)
-    assert len(ids) == 16 and mask.all() and ids.base is not None
+    assert len(ids) == 16 and mask.all() and ids.base is not None and mask.base is not None and not mask.flags.writeable
     assert token_files.token_files(spark, packed.limit(0), scratch(spark, "none"), width=2)[1].count() == 0
