@@ -4,9 +4,11 @@ Validated values in a text are replaced by values of the same format, by a
 keyed permutation of the format's values: the same value always gets the same
 pseudonym, in every document, and different values get different ones.
 
-- card numbers (13 to 19 digits that pass the Luhn test): the digits before the
-  check digit are permuted and the check digit is computed anew; in a longer run
-  of digit groups, every stretch of whole groups is tried, the longest first;
+- card numbers (13 to 19 digits that pass the Luhn test, in one piece or in
+  groups with blanks, hyphens or dots): the digits
+  before the check digit are permuted and the check digit is computed anew; in a
+  longer run of digit groups, every stretch of whole groups is tried, the longest
+  first;
 - IBANs (mod-97 test), in one piece or in groups of four, tried likewise: the
   account part is permuted and the check digits are computed anew;
 - dates (ISO, or day and month with ``/`` or ``.`` and a year from 1800 to 2199):
@@ -18,10 +20,14 @@ pseudonym, in every document, and different values get different ones.
   letters are permuted within their classes, all else stays.
 
 Only Spark expressions are used: texts are split at the found values, and the
-values alone are transformed. The key is a parameter.
-
-Defined results: null texts stay null, texts without values stay as they are
-(of texts with values, U+0001 goes, as it marks them during the work); all other columns stay, but columns named n_replaced and kinds are replaced.
+values alone are transformed. All rounds are SHA-2 over the key, which is a
+parameter.
+
+Defined results: null texts stay null; empty texts and texts without values stay
+as they are; texts of any length are searched whole; characters that are no part
+of a value stay, control characters too; equal rows have equal results; an empty
+table gives an empty result; all other columns stay, but columns named
+n_replaced, kinds and __parts are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\x01"
+#: A text's own U+0001 and U+0002 during the work.
+ESCAPED = (("\x02", "\x02\x04"), (MARK, "\x02\x03"))
 #: The forms that are looked for, in order.
 FORMS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -40,11 +48,11 @@ FORMS = {
     "date": r"(?<![\d./-])(?:(?:18|19|20|21)\d{2}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.](?:18|19|20|21)\d{2})(?![\d/-]|\.\d)",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])",
+    "card": r"(?<![\dA-Za-z])\d(?:[ .-]?\d){12,18}(?![\dA-Za-z])",
 }
 #: Runs of groups in which stretches are tried: grouped IBANs, cards.
 IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}){2,}(?:[ -][A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD_RUN = r"(?<![\dA-Za-z+])\d(?:[ -]?\d){12,}(?![\dA-Za-z])"
+CARD_RUN = r"(?<![\dA-Za-z+])\d(?:[ .-]?\d){12,}(?![\dA-Za-z])"
 IBAN_GROUPS = r"[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?"
 ROUNDS, EPOCH, DAYS = 8, "1800-01-01", (189, 773)
 
@@ -84,14 +92,20 @@ def _shift(char: Column, by: Column) -> Column:
 
 
 def feistel_chars(value: Column, key: str, tag: str) -> Column:
-    """Permute strings of one pattern of classes: each half is shifted by keyed numbers of the other half."""
+    """Permute strings of one pattern of classes: each half is shifted by keyed numbers of the other half.
+
+    A round's numbers are 16-bit pieces of SHA-512 over key, round, pattern and
+    the other half; a half of over 32 characters takes as many digests as it needs.
+    """
     half = F.floor(F.length(value) / 2).cast("int")
     shape = F.translate(value, string.digits + string.ascii_lowercase + string.ascii_uppercase, "0" * 10 + "a" * 26 + "A" * 26)
     start = F.struct(F.substring(value, F.lit(1), half).alias("x"), F.substring(value, half + 1, F.length(value)).alias("y"))
 
     def turn(state: Column, n: Column) -> Column:
-        other = F.concat(shape, F.lit("|"), state["y"])
-        moved = F.array_join(F.transform(F.split(state["x"], ""), lambda c, i: _shift(c, F.pmod(F.xxhash64(F.lit(f"{key}|{tag}"), n, i, F.sha2(other, 256)), F.lit(1 << 40)))), "")
+        message = F.concat(F.lit(f"{key}|{tag}|"), n.cast("string"), F.lit("|"), shape, F.lit("|"), state["y"])
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(state["x"]) / 32).cast("int")), lambda b: F.sha2(F.concat(b.cast("string"), F.lit("|"), message), 512))
+        by = lambda digests, i: F.conv(F.substring(digests, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        moved = _with(F.array_join(blocks, ""), lambda digests: F.array_join(F.transform(F.split(state["x"], ""), lambda c, i: _shift(c, by(digests, i))), ""))
         return F.struct(state["y"].alias("x"), moved.alias("y"))
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
@@ -212,9 +226,9 @@ def _stretches(run: Column, valid) -> Column:
 
     def drawn(got: Column) -> Column:
         mark = lambda at, i: F.when(F.exists(got, lambda g: g[at] == i), F.lit(MARK)).otherwise(F.lit(""))
-        return _with(F.split(run, "[A-Z0-9]+"), lambda gaps: F.array_join(F.transform(F.split(run, "[ -]"), lambda x, i: F.concat(F.get(gaps, i), mark("a", i), x, mark("b", i))), ""))
+        return _with(F.split(run, "[A-Z0-9]+"), lambda gaps: F.array_join(F.transform(F.split(run, "[ .-]"), lambda x, i: F.concat(F.get(gaps, i), mark("a", i), x, mark("b", i))), ""))
 
-    return _with(_with(_with(F.split(run, "[ -]"), candidates), taken), drawn)
+    return _with(_with(_with(F.split(run, "[ .-]"), candidates), taken), drawn)
 
 
 def _card_run(run: Column) -> Column:
@@ -234,7 +248,9 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     others = "|".join(form for kind, form in FORMS.items() if kind != "card")
     any_form = "|".join([*FORMS.values(), IBAN_RUN])
     # odd places of the split are values; cards come after the other forms, in what these leave
-    marked = _within(F.replace(text, F.lit(MARK), F.lit("")), IBAN_RUN, _iban_run)
+    own = F.rlike(text, F.lit("[\x01\x02]"))
+    plain = F.when(own, F.replace(F.replace(text, *map(F.lit, ESCAPED[0])), *map(F.lit, ESCAPED[1]))).otherwise(text)
+    marked = _within(plain, IBAN_RUN, _iban_run)
     marked = _within(marked, others, lambda p: F.concat(F.lit(MARK), p, F.lit(MARK)))
     parts = F.split(_within(marked, CARD_RUN, _card_run), MARK)
     make = {"email": email, "iban": iban, "ip": ip, "date": date, "phone": phone, "ssn": lambda v, k: feistel_chars(v, k, "ssn"), "card": card}
@@ -252,5 +268,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     hit = F.rlike(text, F.lit(any_form))
     done = docs.withColumn("__parts", F.when(hit, changed))
     kinds = F.filter(F.coalesce(F.col("__parts.kind"), F.array().cast("array<string>")), lambda k: k != "")
-    new = F.when(F.col("__parts").isNull(), text).otherwise(F.array_join(F.col("__parts.s"), ""))
+    joined = F.array_join(F.col("__parts.s"), "")
+    back = F.replace(F.replace(joined, *map(F.lit, ESCAPED[1][::-1])), *map(F.lit, ESCAPED[0][::-1]))
+    new = F.when(F.col("__parts").isNull(), text).otherwise(F.when(own, back).otherwise(joined))
     return done.withColumns({text_col: new, "n_replaced": F.size(kinds).cast("long"), "kinds": F.array_sort(F.array_distinct(kinds))}).drop("__parts")

@@ -12,7 +12,8 @@ from .shared import scratch, table
 
 #: The rules of the url query, (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-PSEUDONYM_KEY = "loglathe-pseudonyms"
+#: The key of the query where the session has none; a real one comes from the session's configuration.
+PSEUDONYM_KEY = ("spark.loglathe.pseudonyms.key", "no secret")
 
 
 def held_out(doc_id=None):
@@ -51,7 +52,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(*PSEUDONYM_KEY))
 
 
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
