@@ -17,8 +17,12 @@ Only DataFrame operations are used. Each row is a document.
 
 Defined results: null and empty texts are one empty line; rows with one id are
 separate documents for the count, and all of them keep the line if theirs is the
-largest id; a null id is below all others; an empty table gives an empty result;
-other columns are kept.
+largest id; a null id is below all others; texts and lines of any length count
+whole; an empty table gives an empty result; other columns are kept, but columns
+named __lines, __dropped, __kept, __drops or __id are replaced.
+
+The runs are tables of the session's catalog while the work lasts; they and
+their files are dropped at its end.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, saved, scratch, small_side
+from .shared import forget, partitions, saved, scratch, small_side
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -53,13 +57,27 @@ class SortedRuns:
         self.spark, self.fan_in, self.buckets = spark, fan_in, partitions(spark)
         self.levels: list[list[str]] = []
         self.repeats: list[DataFrame] = []
+        self.paths: dict[str, str] = {}
+        self.batches: list[str] = []
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch(self.spark, "line-run")
         dealt = keys.repartition(self.buckets, "h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch(self.spark, "line-run")).saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {run}")
+        forget(self.spark, self.paths.pop(run))
+
+    def close(self) -> None:
+        """Drop all runs and batches: their tables and their files."""
+        for run in list(self.paths):
+            self._drop(run)
+        forget(self.spark, *self.batches)
+        self.levels, self.repeats, self.batches = [], [], []
+
     def add(self, batch: DataFrame) -> None:
         """Take in one batch of (h1, h2, n, keeper), one row a key."""
         met, known = batch, F.lit(False)
@@ -69,7 +87,7 @@ class SortedRuns:
         if not self.levels:
             self._keep(0, self._write(met))
             return
-        met = saved(met.select("h1", "h2", "n", "keeper", known.alias("known")), "line-batch")
+        met = saved(met.select("h1", "h2", "n", "keeper", known.alias("known")), "line-batch", self.batches)
         self.repeats.append(met.where("known").select("h1", "h2", "n"))
         self._keep(0, self._write(met.where("NOT known").drop("known")))
 
@@ -85,7 +103,7 @@ class SortedRuns:
                 merged = merged.unionByName(part)
             self._keep(level + 1, self._write(merged))
             for r in full:
-                self.spark.sql(f"DROP TABLE {r}")
+                self._drop(r)
 
     def totals(self) -> DataFrame:
         """(h1, h2, n, keeper) of all keys over all batches."""
@@ -121,7 +139,9 @@ def deduped(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, batches
         runs.add(keys.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("keeper")))
     frequent = saved(runs.totals().where(F.col("n") >= least_docs).select("h1", "h2", "keeper"), "frequent-lines")
     hit = keys.join(small_side(frequent, frequent.count(), most_broadcast_rows), ["h1", "h2"]).where(~F.col("__id").eqNullSafe(F.col("keeper")))
+    runs.close()
     drops = saved(hit.groupBy("__id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")), "line-drops")
+    forget(spark, path)
     # Hash arrays are wide and grow with the corpus, so the texts are always dealt by id, at any size.
     joined = docs.join(drops.hint("merge"), docs["doc_id"].eqNullSafe(drops["__id"]), "left").drop("__id")
     lines = lines_of(F.col("text"))

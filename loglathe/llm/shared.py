@@ -17,22 +17,37 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path of this name below the shared folder of the session.
 
-    The session's ``spark.checkpoint.dir`` decides; a local folder is used only
-    where that is unset, as in tests.
+    The session's ``spark.checkpoint.dir`` decides. Where that is unset, a local
+    folder is used by a local session (as in tests); on a cluster it is an error,
+    since executors don't share such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "loglathe-scratch")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that ``scratch`` named and nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def saved(df: DataFrame, name: str, until: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    ``until`` gets the path, for ``forget`` when the table has been used.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if until is not None:
+        until.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,14 +76,25 @@ def local_path(uri: str):
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and forgets all beyond ``most`` entries."""
+    """A dict that computes what it lacks, of at most ``most`` entries.
+
+    When half of them are used, they become the older half, and the half before
+    is forgotten; what is asked for again moves back. Keys of over ``longest``
+    characters (numbers: None) are computed but not kept, so its bytes are
+    bounded too.
+    """
 
-    def __init__(self, compute, most: int = 200_000):
+    def __init__(self, compute, most: int = 100_000, longest: int | None = 64):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.half, self.longest, self.older = compute, most // 2, longest, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if self.longest is None or len(key) <= self.longest:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
         return value

@@ -279,11 +279,13 @@ def brute_lines(rows):
 
 @pytest.mark.parametrize("batches", [1, 5])
 def test_line_runs(spark, batches):
+    """Against plain Python, with clashing columns, ties and a very long text."""
     line, other = "This Line is long enough É", "another line that is long"
-    rows = [(i, f" {line.upper().replace('É', 'É')}\t\n{other if i % 3 else 'x'}\n\n{line}" if i % 2 else f"own {i}\n{other}") for i in range(20)] + [(30, None), (31, ""), (32, other), (33, "\n\n")]
+    rows = [(i, f" {line.upper().replace('É', 'É')}\t\n{other if i % 3 else 'x'}\n\n{line}" if i % 2 else f"own {i}\n{other}") for i in range(20)] + [(30, None), (31, ""), (32, other), (33, "\n\n"), (34, "\n".join(["long line of a long text " + "z" * 2000, other] * 500))]
     df = spark.createDataFrame([(i, t, "clash", 5) for i, t in rows], "doc_id long, text string, h1 string, n int")
     got = {r["doc_id"]: r["text"] for r in line_runs.deduped(df, batches=batches).collect()}
     assert got == brute_lines(rows)
     assert line_runs.deduped(df.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
     ties = spark.createDataFrame([(1, line), (1, line), (None, line)], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["text"]) for r in line_runs.deduped(ties).collect()) == [("1", line), ("1", line), ("None", "")]
