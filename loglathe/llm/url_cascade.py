@@ -15,14 +15,17 @@ The levels' size follows the number of rules (and the logarithm of the number
 of keys), not the corpus; ``most_bits`` guards it.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
-and no rule; an empty table gives an empty result; other columns are kept, but
-columns named host, path, rule or verdict are replaced.
+and no rule; equal urls are judged alike; a url of any length is judged whole;
+an empty table gives an empty result; other columns are kept, but columns named
+host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import string
+import sys
+from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +67,7 @@ class Cascade:
         others = saved(universe.select("key").where("key IS NOT NULL").distinct().join(listed, "key", "left_anti"), "cascade-universe")
         inside, outside = listed, others
         n, m = inside.count(), outside.count()
-        self.levels: list[tuple[bytes, int, int]] = []
+        self.levels: list[tuple[Column, int, int]] = []  # each level's bits are one literal, however often they are tested
         while n:
             if len(self.levels) >= most_levels:
                 raise RuntimeError("the cascade does not end")
@@ -73,26 +76,28 @@ class Cascade:
             if bits > most_bits:
                 raise ValueError(f"a level of {bits} bits is over most_bits: split the rule list")
             hashes = max(1, round(math.log2(1 / rate)))
-            self.levels.append((self._filled(inside, bits, hashes), bits, hashes))
+            self.levels.append((F.lit(self._filled(inside, bits, hashes)), bits, hashes))
             passed = saved(outside.where(self._passes(F.col("key"), len(self.levels))), "cascade-passed")
             inside, outside = passed, inside
             n, m = inside.count(), n
 
     def _filled(self, keys: DataFrame, bits: int, hashes: int) -> bytes:
-        """The level's bits; at most most_bits / 8 bytes come to the driver, gathered byte by byte."""
+        """The level's bits, gathered by 64-bit words: at most most_bits / 64 rows come to the driver."""
         level = len(self.levels) + 1
         spots = keys.select(F.explode(F.array(*_spots(F.col("key"), level, bits, hashes))).alias("spot"))
-        bytes_ = spots.groupBy(F.shiftright("spot", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(spot % 8 as int))")).alias("byte"))
-        out = bytearray(-(-bits // 8))
-        for row in bytes_.collect():
-            out[row["at"]] = row["byte"]
-        return bytes(out)
+        words = spots.groupBy(F.shiftright("spot", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("word"))
+        out = array("q", bytes(8 * -(-bits // 64)))
+        for row in words.toLocalIterator():
+            out[row["at"]] = row["word"]
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _passes(self, key: Column, level: int) -> Column:
         filled, bits, hashes = self.levels[level - 1]
 
         def test(spot: Column) -> Column:
-            byte = F.substring(F.lit(filled), F.shiftright(spot, 3).cast("int") + 1, F.lit(1))
+            byte = F.substring(filled, F.shiftright(spot, 3).cast("int") + 1, F.lit(1))
             return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (spot % 8).cast("int")) == 1
 
         out = F.lit(True)
