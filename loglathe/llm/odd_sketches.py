@@ -6,16 +6,23 @@ of them give buckets, and the samples folded into a parity bitmap give an odd
 sketch, whose XOR population count estimates high similarities. Instead of all
 pairs of a bucket, its members are paired with its smallest id, the hub. Pairs
 that the sketches rule out (far below the threshold) go, all others are
-confirmed on full sets. Links give components. Members of one hub's group that
-are still in different components are then compared with each other in blocks of
-bounded size, by exact intersection counts, and each block returns at most one
-link for two components: no bucket is capped, no pair of texts in a bucket is
-left out, and no group is expanded into pairs.
+confirmed on full sets. Links give components.
+
+Members of one hub's group that are still in different components may be linked
+with each other too. Their sketches alone are compared, in blocks of thousands;
+texts that no sketch of another component comes near are done. For the others, a
+link at the threshold needs a common shingle among each set's rarest ones (as
+many as the threshold lets two sets differ by, and one more), so texts that
+share one of these are a group. Groups of the same texts are one. Their full
+sets are compared in blocks of bounded size, and each block returns no more
+links than it takes to join its components: no bucket is capped, no pair that
+can be linked is left out, and no group is expanded into pairs.
 
 Defined results: texts without words are linked with nothing; texts with fewer
-words than a shingle have their whole sequence as one; rows with a null id have
-no component and are kept; rows with one id are one node; other columns are
-ignored.
+words than a shingle have their whole sequence as one; texts of any length have
+all their shingles; rows with a null id have no component and are kept; rows
+with one id are one node, and links of any of its texts count; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +34,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import partitions, saved, small_side
+from .shared import forget, partitions, saved, small_side
 
 BANDS, ROWS, SKETCH_BITS = 36, 5, 512
 _MIX, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -100,16 +108,21 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int, most_broadcast_rows: int) -> DataFrame:
-    """(id, set): packed sorted hashes, one row for each of ``ids`` (a column ``id``, distinct)."""
+def sets_of(docs: DataFrame, texts: DataFrame, words: int, most_broadcast_rows: int, used: list[str]) -> DataFrame:
+    """(id, d1, set): sorted hashes, one row for each of ``texts`` (columns ``id`` and ``d1``, distinct)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches):
+        from xxhash import xxh3_128_intdigest
+
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], names=["id", "set"])
+            own = [shingle_set(x.as_py(), words) for x in batch.column(1)]
+            high = np.array([xxh3_128_intdigest(x.tobytes()) >> 64 for x in own], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(high), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["id", "d1", "set"])
 
+    ids = texts.select("id").distinct()
     wanted = docs.select("doc_id", "text").join(small_side(ids, ids.count(), most_broadcast_rows), F.col("doc_id") == F.col("id"), "left_semi")
-    return saved(wanted.mapInArrow(pack, f"id {kind}, set binary").dropDuplicates(["id"]), "shingle-sets")
+    return saved(wanted.mapInArrow(pack, f"id {kind}, d1 long, set array<long>").dropDuplicates(["id", "d1"]), "shingle-sets", used)
 
 
 def most_odd(similarity: float, samples: int, bits: int) -> int:
@@ -122,17 +135,23 @@ def odd_bits(a: Column, b: Column) -> Column:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable, for each id of ``links`` (a, b), by alternating stars."""
-    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
+    """(id, component): the smallest id reachable, for each id of ``links`` (a, b), by alternating stars.
+
+    The least neighbours are written before they are joined, so that adaptive
+    execution can split the rows of a node with very many links.
+    """
+    spark, state, old = links.sparkSession, None, []
+    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", old)
     for _ in range(most_rounds):
+        used, old = old, []
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", used)
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars", used)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars", old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        forget(spark, *used)
         if now == state:
             break
         state = now
@@ -149,10 +168,28 @@ def _similar(a: np.ndarray, b: np.ndarray, share: Fraction) -> bool:
     return share.denominator * common >= share.numerator * (len(a) + len(b) - common)
 
 
+def _joining(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> list[int]:
+    """The links (a, b) that join components ca and cb not joined by the ones before."""
+    parent: dict = {}
+
+    def root(x):
+        while (y := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(y, y)
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(ca.tolist(), cb.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            out.append(k)
+    return out
+
+
 def block_links(pdf: pd.DataFrame, share: Fraction) -> pd.DataFrame:
-    """Links between members of different components, one at most for two components."""
+    """Links between members of different components, no more than join them."""
     pdf = pdf.sort_values("id").reset_index(drop=True)
-    own = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+    own = [np.asarray(x).view(np.uint64) for x in pdf["set"]]
     size = np.array([len(x) for x in own])
     shingles, member = np.concatenate(own), np.repeat(np.arange(len(own)), size)
     _, column, count = np.unique(shingles, return_inverse=True, return_counts=True)
@@ -174,62 +211,119 @@ def block_links(pdf: pd.DataFrame, share: Fraction) -> pd.DataFrame:
     if len(set(block)) > 1:
         linked &= block[:, None] != block[None, :]
     i, j = np.nonzero(linked)
-    out = pd.DataFrame({"a": pdf["id"].to_numpy()[i], "b": pdf["id"].to_numpy()[j], "ca": comp[i], "cb": comp[j]})
-    return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
-
-
-def linked(docs: DataFrame, words: int = 5, similarity: str = "0.8", bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, block: int = 512, most_broadcast_rows: int = 1_000_000) -> DataFrame:
+    few = _joining(i, j, comp[i], comp[j])
+    return pd.DataFrame({"a": pdf["id"].to_numpy()[i[few]], "b": pdf["id"].to_numpy()[j[few]]})
+
+
+def block_near(pdf: pd.DataFrame, share: float, most: int) -> pd.DataFrame:
+    """Members that a member of another component comes near: by set size, and at most ``most`` odd bits of the sketches."""
+    pdf = pdf.sort_values("block").reset_index(drop=True)
+    bits = np.unpackbits(np.array(pdf["sketch"].tolist(), np.int64).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    size, comp, block = pdf["n"].to_numpy(), pd.factorize(pdf["component"])[0], pdf["block"].to_numpy()
+    other = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0  # where the second block begins
+    near = np.zeros(len(pdf), bool)
+    for first in range(0, other or len(pdf), 1024):
+        rows = slice(first, min(first + 1024, other or len(pdf)))
+        odd = (bits.shape[1] - bits[rows] @ bits[other:].T) / 2
+        ok = (odd <= most) & (comp[rows, None] != comp[None, other:])
+        a, b = size[rows, None], size[None, other:]
+        ok &= np.minimum(a, b) >= share * np.maximum(a, b) - 1e-9
+        near[rows] |= ok.any(axis=1)
+        near[other:] |= ok.any(axis=0)
+    return pdf.loc[near, ["id", "d1"]]
+
+
+def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+    """Members of each group dealt into blocks of about ``block``, one row for each pair of blocks: i, j, block (its own)."""
+    count = F.ceil(F.col("size") / block).cast("int")
+    dealt = members.withColumns({"__count": count, "block": F.pmod(F.xxhash64("id", "d1"), count).cast("int")})
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
+    return dealt.withColumns({"i": F.least("block", "__other"), "j": F.greatest("block", "__other")}).drop("__count", "__other", "size")
+
+
+def rare_groups(members: DataFrame, sets: DataFrame, share: Fraction, used: list[str]) -> DataFrame:
+    """(t, size, id, d1, component): members that have a shingle in common among their rarest ones, t standing for it.
+
+    Two sets of similarity ``share`` or more have a common one among the first
+    n - ceil(share * n) + 1 in any order that holds for all sets.
+    """
+    tokens = saved(sets.select("id", "d1", F.size("set").alias("n"), F.explode("set").alias("t")), "shingles", used)
+    often = saved(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "repeated-shingles", used)
+    ranked = tokens.join(often, "t", "left").withColumn("k", F.row_number().over(W.partitionBy("id", "d1").orderBy(F.coalesce("often", F.lit(1)), "t")))
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(share.numerator) / F.lit(share.denominator)) + 1
+    rare = ranked.where(F.col("often").isNotNull() & (F.col("k") <= most)).select("t", "id", "d1")
+    rare = saved(rare.join(members, ["id", "d1"]), "rare-shingles", used)
+    text = F.xxhash64("id", "d1")
+    groups = rare.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(text).alias("x"), F.sum(text % (1 << 31)).alias("y"))
+    groups = saved(groups.where("low <> high").groupBy("size", "x", "y").agg(F.min("t").alias("t")).select("t", "size"), "rare-groups", used)
+    return rare.join(groups, "t")
+
+
+def linked(docs: DataFrame, words: int = 5, similarity: str = "0.8", bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, block: int = 512, sketch_block: int = 4096, most_broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``."""
-    share = Fraction(similarity)
+    spark, share = docs.sparkSession, Fraction(similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    used: list[str] = []  # tables that the result doesn't read
     signed = saved(signatures(docs, words, bands, rows, bits), "signatures")
     known = signed.where("n > 0 AND doc_id IS NOT NULL")
-    first = saved(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
-    reps = known.join(first.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"]).dropDuplicates(["d1", "d2"])
-    reps = saved(reps.select(F.col("doc_id").alias("rep"), "bands", "sketch"), "set-representatives")
+    # Copies have equal samples; partial sums keep one row of a set for each task.
+    reps = saved(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")]), "set-classes")
 
-    member = reps.select("rep", F.explode("bands").alias("h"))
-    buckets = saved(member.groupBy("h").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h", "hub"), "buckets")
-    pairs = saved(member.join(buckets, "h").where("rep <> hub").select("hub", "rep").distinct(), "hub-pairs")
+    member = reps.select("rep", "d1", F.explode("bands").alias("h"))
+    hub = F.min(F.struct("rep", "d1"))
+    buckets = saved(member.groupBy("h").agg(hub.alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h", F.col("hub.rep").alias("hub"), F.col("hub.d1").alias("hub_d1")), "buckets", used)
+    pairs = saved(member.join(buckets, "h").where("rep <> hub").select("hub", "hub_d1", "rep", "d1").distinct(), "hub-pairs", used)
 
-    sketch = reps.select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"])
-    near = pairs.join(sketch.select(F.col("id").alias("rep"), F.col("sketch").alias("s1")), "rep").join(sketch.select(F.col("id").alias("hub"), F.col("sketch").alias("s2")), "hub")
+    sketch = reps.select("rep", "d1", "sketch")
+    one = sketch.select("rep", "d1", F.col("sketch").alias("s1"))
+    two = sketch.select(F.col("rep").alias("hub"), F.col("d1").alias("hub_d1"), F.col("sketch").alias("s2"))
     # Six standard deviations below the threshold, the estimate rules a pair out.
     far = float(share) - 6 * math.sqrt(float(share * (1 - share)) / (bands * rows) * 1.6)
-    near = saved(near.where(odd_bits(F.col("s1"), F.col("s2")) <= most_odd(far, bands * rows, bits)).select("hub", "rep"), "near-pairs")
-    sets = sets_of(docs, near.select(F.explode(F.array("hub", "rep")).alias("id")).distinct(), words, most_broadcast_rows)
+    most = most_odd(far, bands * rows, bits)
+    near = pairs.join(one, ["rep", "d1"]).join(two, ["hub", "hub_d1"]).where(odd_bits(F.col("s1"), F.col("s2")) <= most)
+    near = saved(near.select("hub", "hub_d1", "rep", "d1"), "near-pairs", used)
+    texts = near.select(F.explode(F.array(F.struct(F.col("hub").alias("id"), F.col("hub_d1").alias("d1")), F.struct(F.col("rep").alias("id"), "d1"))).alias("x")).select("x.*").distinct()
+    sets = sets_of(docs, texts, words, most_broadcast_rows, used)
 
     @F.arrow_udf("boolean")
     def confirmed(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share) for x, y in zip(a, b, strict=True)], pa.bool_())
+        views = [[x.values.to_numpy().view(np.uint64) for x in side] for side in (a, b)]
+        return pa.array([_similar(x, y, share) for x, y in zip(*views, strict=True)], pa.bool_())
 
-    with_sets = near.join(sets.select(F.col("id").alias("rep"), F.col("set").alias("x")), "rep").join(sets.select(F.col("id").alias("hub"), F.col("set").alias("y")), "hub")
+    one = sets.select(F.col("id").alias("rep"), "d1", F.col("set").alias("x"))
+    two = sets.select(F.col("id").alias("hub"), F.col("d1").alias("hub_d1"), F.col("set").alias("y"))
+    with_sets = near.join(one, ["rep", "d1"]).join(two, ["hub", "hub_d1"])
     links = saved(with_sets.where(confirmed("x", "y")).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "confirmed-links")
     found = components(links)
 
     # Groups of a hub in which texts other than the hub may still be linked across components.
-    group = pairs.unionByName(pairs.select("hub", F.col("hub").alias("rep")).distinct())
-    group = group.join(found, group["rep"] == found["id"], "left").select("hub", "rep", F.coalesce("component", "rep").alias("component"))
+    group = pairs.select("hub", "rep", "d1").unionByName(pairs.select("hub", F.col("hub").alias("rep"), F.col("hub_d1").alias("d1")).distinct())
+    group = group.join(found, group["rep"] == found["id"], "left").select("hub", "rep", "d1", F.coalesce("component", "rep").alias("component"))
     sizes = group.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = saved(sizes.where("size > 2 AND low <> high").select("hub", "size"), "open-groups")
-    rest = group.join(open_, "hub")
+    open_ = saved(sizes.where("size > 2 AND low <> high").select("hub", "size"), "open-groups", used)
+    rest = saved(group.join(open_, "hub"), "open-members", used)
     # A text's main group is its largest; a group whose texts all share another main group adds nothing.
-    main = rest.groupBy("rep").agg(F.max(F.struct("size", "hub"))["hub"].alias("main"))
-    rest = saved(rest.join(main, "rep"), "open-members")
-    needed = rest.groupBy("hub").agg(F.min("main").alias("low"), F.max("main").alias("high")).where("low <> high OR low = hub").select("hub")
-    rest = saved(rest.join(needed, "hub", "left_semi"), "group-members")
+    main = saved(rest.groupBy("rep", "d1").agg(F.max(F.struct("size", "hub"))["hub"].alias("main")), "main-groups", used)
+    needed = rest.join(main, ["rep", "d1"]).groupBy("hub").agg(F.min("main").alias("low"), F.max("main").alias("high")).where("low <> high OR low = hub").select("hub")
+    needed = saved(needed, "needed-groups", used)
+    rest = saved(rest.join(needed, "hub", "left_semi").withColumnRenamed("rep", "id"), "group-members", used)
     if not rest.isEmpty():
-        sets = sets_of(docs, rest.select(F.col("rep").alias("id")).distinct(), words, most_broadcast_rows)
-        count = F.ceil(F.col("size") / block).cast("int")
-        own = F.pmod(F.xxhash64("rep"), count).cast("int")
-        dealt = rest.withColumns({"blocks": count, "block": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", F.col("rep").alias("id"))
-        more = dealt.join(sets, "id").repartition(partitions(docs.sparkSession), "hub", "i", "j").groupBy("hub", "i", "j").applyInPandas(lambda pdf: block_links(pdf, share), f"a {kind}, b {kind}")
-        more = saved(more, "block-links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
-
-    classes = first.join(found, first["rep"] == found["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+        deal = lambda df: df.repartition(partitions(spark), "group", "i", "j").groupBy("group", "i", "j")
+        facts = reps.select(F.col("rep").alias("id"), "d1", "n", "sketch")
+        dealt = in_blocks(rest.withColumnRenamed("hub", "group"), "group", sketch_block).join(facts, ["id", "d1"])
+        close = deal(dealt).applyInPandas(lambda pdf: block_near(pdf, float(share), most), f"id {kind}, d1 long").distinct()
+        close = saved(close.join(rest.select("id", "d1", "component").distinct(), ["id", "d1"]), "near-members", used)
+        if not close.isEmpty():
+            sets = sets_of(docs, close, words, most_broadcast_rows, used)
+            groups = in_blocks(rare_groups(close, sets.join(close.select("id", "d1"), ["id", "d1"], "left_semi"), share, used).withColumnRenamed("t", "group"), "group", block)
+            more = deal(groups.join(sets, ["id", "d1"])).applyInPandas(lambda pdf: block_links(pdf, share), f"a {kind}, b {kind}")
+            more = saved(more, "block-links", used)
+            if not more.isEmpty():
+                found = components(links.unionByName(more))
+
+    classes = reps.select("d1", "d2", "rep").join(found, F.col("rep") == found["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    classes = saved(classes, "classes")
+    forget(spark, *used)
     out = signed.select("doc_id", "n", "d1", "d2")
     alone = out.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     joined = out.where("n > 0 AND doc_id IS NOT NULL").join(classes.hint("merge"), ["d1", "d2"]).select("doc_id", "n", "component_id")

@@ -60,11 +60,32 @@ def test_components_match_brute_force(spark):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, rep long, n long")
     for words in (2, 5):
         want = brute_components(rows, words)
-        for block in (512, 4):
-            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in odd_sketches.linked(df, words=words, block=block).collect()}
+        for block, sketch_block in ((512, 4096), (4, 5)):
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in odd_sketches.linked(df, words=words, block=block, sketch_block=sketch_block).collect()}
             assert got == want
 
 
+def test_links_beside_a_far_hub(spark):
+    """Texts that share a frame and are linked with each other, not with the smallest id of their buckets."""
+    r = random.Random(8)
+    fill = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    frame, rows = fill(70), []
+    for k in range(60):
+        own = fill(30)
+        rows += [(len(rows) + n, f"{frame} {own} {fill(2) if n else ''}") for n in range(1 + (k % 3 == 1))]
+    rows.append((10_000, "word " + fill(30_000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in odd_sketches.linked(df, words=2, block=8, sketch_block=16).collect()}
+    assert got == brute_components(rows, 2) and len({c for _, c in got.values()}) == 61
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    df = spark.createDataFrame([(5, a), (5, b), (7, a + " x"), (9, b + " y"), (2, b + " z")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in odd_sketches.linked(df, words=2).collect())
+    assert got == [(2, 2), (5, 2), (5, 2), (7, 2), (9, 2)]
+
+
 def test_near_dedup_edges(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c"), (None, None)], "doc_id long, text string")
     got = sorted(map(tuple, odd_sketches.linked(df, words=2).collect()), key=str)
@@ -73,7 +94,7 @@ def test_near_dedup_edges(spark):
 
 
 def test_block_links_span_components():
-    pack = lambda *x: np.array(sorted(x), np.uint64).tobytes()
+    pack = lambda *x: np.array(sorted(x), np.int64)
     pdf = pd.DataFrame({"id": [1, 2, 3], "set": [pack(1, 2, 3, 4, 5), pack(1, 2, 3, 4, 5, 6), pack(9, 10)], "component": [1, 2, 3], "block": [0, 0, 0]})
     assert odd_sketches.block_links(pdf, Fraction("0.8")).values.tolist() == [[1, 2]]
 
