@@ -8,20 +8,26 @@ windows of the benchmark in two forms: as templates, of which a window must have
 number as it is in lower case, so that whole copies are found whatever they are
 made of. Items shorter than a window are one window of their own length. Plain
 windows always count. Template windows of one document and one item on one
-diagonal (same offset) must be consistent: a
-window counts if each of its slots has the value that most windows of the
-diagonal give that value of the item, or if all its slots are equal, so a
-re-parameterised question matches and a chance mixture doesn't.
-A document is contaminated by an item if the tokens of
-the item under windows that count, each counted once, are ``enough`` (or all of
-a shorter item).
+diagonal (same offset) must be consistent in both directions: a window counts if
+each of its slots has the value that most windows of the diagonal give that
+value of the item, and the item's value is the one that most windows give the
+document's; or if all its slots are equal. So a re-parameterised question
+matches, a chance mixture doesn't, and one odd value costs the windows over it.
+A document is contaminated by an item if the tokens of the item under windows
+that count, each counted once, are ``enough`` (or all of a shorter item).
 
 A fixed-size bitmap of the benchmark's window hashes spares the join most
-windows; it only ever passes too many, and the join is exact.
-
-Defined results: null and empty texts have no windows; null item ids and null
-document ids are kept as a group; repeated rows give one result row; ``exact``
-says that all windows that count are word for word.
+windows; it only ever passes too many, and the join is exact. Documents are
+joined by what they hit: those with the same windows and values in the same
+places (copies, or texts that have nothing but one common phrase in common with
+the benchmark) are looked up once, and items of the same text are looked up
+once, so a phrase of many items and many documents isn't multiplied out.
+
+Defined results: null and empty texts have no windows; texts of any length are
+searched whole; null item ids and null document ids are kept as a group; rows of
+one id give one result row an item, of the text that matches most; an empty
+table gives an empty result; other columns, whatever their names, are ignored;
+``exact`` says that all windows that count are word for word.
 """
 
 from __future__ import annotations
@@ -43,6 +49,7 @@ UNITS = frozenset("mm cm m km g kg mg t l ml s ms min h hour hours day days week
 TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[.!?\n]")
 WIDTH, LITERALS, ENOUGH = 8, 4, 13
 TEXTS = 256  # texts taken apart at once
+HITS = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))]))
 END, WORD, CAPITAL, NUMBER, UNIT = range(5)
 
 
@@ -107,25 +114,25 @@ def _slots(tokens: list[str], slot: np.ndarray, at: int, width: int) -> list[str
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
-    """One row for each window of each item: item_id, h, pos, slots, size (template tokens of the item), width.
+    """One row for each window of each text: item (digest of the text), h, pos, slots, size (template tokens), width.
 
     A window without slots has the same hash in both forms; others have a second row, plain and without slots.
     """
-    kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def cut(frames):
         for pdf in frames:
             rows = []
-            for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
+            for item, text in zip(pdf["item"], pdf["text"], strict=True):
                 tokens, typed, plain, slot, row = templates([text])
                 own = min(width, len(slot))
                 ok, slotted = windows(slot, row, own, literals)
                 h, hp = hashes(typed, own), hashes(plain, own)
                 rows += [(item, int(h[p]), int(p), _slots(tokens, slot, p, own), len(slot), own) for p in np.nonzero(ok)[0]]
                 rows += [(item, int(hp[p]), int(p), [], len(slot), own) for p in np.nonzero(slotted)[0]]
-            yield pd.DataFrame(rows, columns=["item_id", "h", "pos", "slots", "size", "width"])
+            yield pd.DataFrame(rows, columns=["item", "h", "pos", "slots", "size", "width"])
 
-    return benchmark.select("item_id", "text").mapInPandas(cut, f"item_id {kind}, h long, pos int, slots array<string>, size int, width int").distinct()
+    texts = benchmark.where("text IS NOT NULL").select(F.md5("text").alias("item"), "text").dropDuplicates(["item"])
+    return texts.mapInPandas(cut, "item string, h long, pos int, slots array<string>, size int, width int").distinct()
 
 
 def bitmap(hashes: DataFrame, count: int) -> tuple[np.ndarray, int]:
@@ -156,17 +163,21 @@ def _most(values: Column, own: Column) -> Column:
 
 
 def _agreeing(found: Column) -> Column:
-    """The windows of a diagonal that agree with the value most windows give each slot, and those whose slots are all equal."""
+    """The windows of a diagonal whose values most windows agree on, in both directions, and those whose slots are all equal."""
 
-    def elected(pairs: Column) -> Column:
-        one = lambda s: F.struct(s.alias("s"), _with(F.transform(F.filter(pairs, lambda p: p["s"] == s), lambda p: p["v"]), lambda values: _most(values, s)).alias("v"))
-        return F.transform(F.array_distinct(pairs["s"]), one)
+    def elected(pairs: Column, a: str, b: str) -> Column:
+        """Pairs in which b is the value that most windows give a."""
+        chosen = lambda x: _with(F.transform(F.filter(pairs, lambda p: p[a] == x), lambda p: p[b]), lambda values: _most(values, x))
+        one = lambda x: _with(chosen(x), lambda y: F.struct((x if a == "s" else y).alias("s"), (y if a == "s" else x).alias("v")))
+        return F.transform(F.array_distinct(pairs[a]), one)
 
     def kept(chosen: Column) -> Column:
         return F.filter(found, lambda w: (w["item_slots"] == w["slots"]) | (F.size(F.array_except(_pairs(w), chosen)) == 0))
 
     pairs = F.flatten(F.transform(found, _pairs))  # each window has one vote for a pair
-    return F.when(F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(pairs["s"])), found).otherwise(_with(_with(pairs, elected), kept))
+    number = F.size(F.array_distinct(pairs))
+    plain = (number == F.size(F.array_distinct(pairs["s"]))) & (number == F.size(F.array_distinct(pairs["v"])))
+    return F.when(plain, found).otherwise(_with(_with(pairs, lambda p: F.array_intersect(elected(p, "s", "v"), elected(p, "v", "s"))), kept))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, enough: int = ENOUGH, most_broadcast_rows: int = 500_000) -> DataFrame:
@@ -179,6 +190,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lite
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def probe(batches):
+        from xxhash import xxh3_128_hexdigest
+
         passes = shared.value.view(np.uint64)
 
         def passing(h, ok):
@@ -187,47 +200,53 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lite
             return at[(passes[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)].tolist()
 
         for batch in batches:
-            ids, out = batch.column(0), ([], [], [], [])
             for start in range(0, batch.num_rows, TEXTS):
                 texts = batch.column(1).slice(start, TEXTS).to_pylist()
                 tokens, typed, plain, slot, row = templates(texts)
-                first = np.searchsorted(row, np.arange(len(texts)))
+                first, own = np.searchsorted(row, np.arange(len(texts))), {}
                 for w in widths:
                     ok, slotted = windows(slot, row, w, literals)
                     h, hp = hashes(typed, w), hashes(plain, w)
                     found = [(p, int(h[p]), _slots(tokens, slot, p, w)) for p in passing(h, ok)]
                     found += [(p, int(hp[p]), []) for p in passing(hp, slotted)]
-                    seen = set()
                     for p, x, slots in sorted(found):
                         r = int(row[p])
-                        if not slots:  # the place of a plain window doesn't matter: its first one in the text will do
-                            if (r, x) in seen:
-                                continue
-                            seen.add((r, x))
-                        for column, v in zip(out, (start + r, x, int(p - first[r]), slots), strict=True):
-                            column.append(v)
-            yield pa.record_batch([ids.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.string()))], names=["doc_id", "h", "pos", "slots"])
-
-    hits = docs.select("doc_id", "text").mapInArrow(probe, f"doc_id {kind}, h long, pos int, slots array<string>")
-    there = items.select("item_id", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "size", "width")
-    matched = hits.join(small_side(there, facts["n"], most_broadcast_rows), "h").where(F.size("slots") == F.size("item_slots"))
+                        # the place of a plain window doesn't matter: its first one in the text will do
+                        own.setdefault(r, {}).setdefault((x, None if not slots else p), (x, int(p - first[r]), slots))
+                rows = []
+                for r, windows_ in own.items():
+                    at = min(p for _, p, _ in windows_.values())
+                    hit = sorted((x, p - at, slots) for x, p, slots in windows_.values())
+                    rows.append((start + r, at, xxh3_128_hexdigest(repr(hit).encode("utf-8", "replace")), [{"h": x, "pos": p, "slots": s} for x, p, s in hit]))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.record_batch([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], HITS)], names=["doc_id", "at", "hit", "windows"])
+
+    hits = docs.select("doc_id", "text").mapInArrow(probe, f"doc_id {kind}, at int, hit string, windows array<struct<h:long,pos:int,slots:array<string>>>")
+    hits = saved(hits, "benchmark-hits")
+    distinct = hits.groupBy("hit").agg(F.first("windows").alias("windows")).select("hit", F.explode("windows").alias("w")).select("hit", "w.*")
+    there = items.select("item", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "size", "width")
+    matched = distinct.join(small_side(there, facts["n"], most_broadcast_rows), "h").where(F.size("slots") == F.size("item_slots"))
     # Plain windows (no diagonal) and a diagonal's have at most as many places in the item as it has windows.
     diagonal = F.when(F.size("slots") > 0, F.col("pos") - F.col("item_pos"))
-    runs = matched.groupBy("doc_id", "item_id", diagonal.alias("diagonal")).agg(
+    runs = matched.groupBy("hit", "item", diagonal.alias("diagonal")).agg(
         F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("found"),
-        F.min("pos").alias("at"),
+        F.min("pos").alias("first"),
         F.max("size").alias("size"),
         F.max("width").alias("width"),
     )
     runs = runs.withColumn("found", _agreeing(F.col("found"))).where(F.size("found") > 0)
     exact = F.forall("found", lambda w: w["item_slots"] == w["slots"])
-    found = runs.groupBy("doc_id", "item_id").agg(
+    found = runs.groupBy("hit", "item").agg(
         F.flatten(F.collect_set(F.array_sort(F.array_distinct(F.col("found.item_pos"))))).alias("places"),
         F.max("width").alias("width"),
         F.max("size").alias("item_tokens"),
-        F.min(F.coalesce(F.array_min("found.item_pos") + F.col("diagonal"), F.col("at"))).alias("first_pos"),
+        F.min(F.coalesce(F.array_min("found.item_pos") + F.col("diagonal"), F.col("first"))).alias("first"),
         F.min(exact).alias("exact"),
     )
     under = F.flatten(F.transform(F.array_distinct("places"), lambda p: F.sequence(p, p + F.col("width") - 1)))
-    found = found.select("doc_id", "item_id", F.size(F.array_distinct(under)).alias("matched_tokens"), "item_tokens", "first_pos", "exact")
-    return found.where(F.col("matched_tokens") >= F.least(F.lit(enough), F.col("item_tokens")))
+    found = found.select("hit", "item", F.size(F.array_distinct(under)).alias("matched_tokens"), "item_tokens", "first", "exact")
+    found = saved(found.where(F.col("matched_tokens") >= F.least(F.lit(enough), F.col("item_tokens"))), "benchmark-matches")
+    named = found.join(benchmark.select("item_id", F.md5("text").alias("item")).distinct(), "item").drop("item")
+    rows = hits.drop("windows").join(small_side(named, named.count(), most_broadcast_rows), "hit")
+    best = F.max(F.struct("matched_tokens", "exact", (-(F.col("at") + F.col("first"))).alias("back"), "item_tokens"))
+    return rows.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.matched_tokens", "x.item_tokens", (-F.col("x.back")).alias("first_pos"), "x.exact")
