@@ -1,14 +1,17 @@
 """Exact byte-level BPE encoding by backtracking, and decoding by an offset table.
 
-A text is cut into pieces by the vocabulary's own pre-tokenizer pattern. Each
-distinct piece is encoded once per worker: an Aho-Corasick automaton over the
-token bytes gives the longest token at every start; tokens are taken greedily,
-each checked against its left neighbour in a pair-compatibility table, and the
-encoder steps back to a shorter token (or to the previous position) when a pair
-could not have come out of the merges. Every position is refused at most once,
-so the work is linear in the piece. Decoding joins slices of one byte string.
-
-Nulls are treated as empty texts: no ids, and the decoded text is "".
+A text is cut into pieces by the vocabulary's own pre-tokenizer pattern. An
+Aho-Corasick automaton over the token bytes gives longest tokens; they are taken
+greedily, each checked against its left neighbour in a pair-compatibility table.
+Most pieces end so. In the others the longest token at every start is looked up,
+and the encoder steps back to a shorter token (or to the previous position) when
+a pair could not have come out of the merges. Every position is refused at most
+once, so the work is linear in the piece. Pieces of up to 64 characters and pairs
+are kept in bounded tables. Decoding joins slices of one byte string.
+
+Nulls are treated as empty texts: no ids, and the decoded text is "". Texts may
+be of any length; repeated rows are encoded alike; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Memo
+from .shared import Memo, small_batches
 
-#: Fixed value: the split pattern of byte-level BPE vocabularies, for Latin texts; other texts are cut by the tokenizer file's own pre-tokenizer.
-LATIN_PIECES = re.compile(r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+#: Fixed value: the split pattern of byte-level BPE vocabularies, for Latin texts. Other texts, and all texts of a file with another pre-tokenizer, are cut by the library.
+LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
+LATIN_PIECES = re.compile(rf""" ?[{LATIN_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+PIECES, PAIRS = 300_000, 300_000  # kept by each worker: about 50 and 30 MB
 NOT_LATIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]")
 
 
@@ -56,12 +61,14 @@ class Splitter:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+            spec = json.load(f)
+        added, cutter = spec["added_tokens"], spec["pre_tokenizer"] or {}
+        self.known_pattern = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
         self.special = {x["content"]: x["id"] for x in added}
         self.any_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if added else None
 
     def cut(self, text: str) -> list[str]:
-        if NOT_LATIN.search(text) is None:
+        if self.known_pattern and NOT_LATIN.search(text) is None:
             return LATIN_PIECES.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -99,27 +106,27 @@ class Bpe:
                 self.rank[whole], self.halves[whole] = rank, (a, b)
         self.length = {i: len(t) for t, i in vocab.items()}
         self.next_shorter = {i: self._prefix(t, vocab) for t, i in vocab.items()}
-        self.compatible = Memo(self._compatible, 1_000_000)
+        self.compatible = Memo(self._compatible, PAIRS, None)
         by_id = {i: t for t, i in vocab.items()} | {i: s.encode() for s, i in self.splitter.special.items()}
         size = max(by_id) + 1
         self.blob = b"".join(by_id.get(i, b"") for i in range(size))
         self.table = np.frombuffer(self.blob, np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(by_id.get(i, b"")) for i in range(size)])])
-        self.packed = Memo(self._packed, 400_000)
+        self.packed = Memo(self._packed, PIECES)
 
     @staticmethod
     def _prefix(token: bytes, vocab: dict) -> int:
         """The longest other token that starts this one, else -1."""
         return next((vocab[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in vocab), -1)
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        """Whether merging leaves this pair of tokens apart.
+    def _compatible(self, pair: int) -> bool:
+        """Whether merging leaves this pair of tokens (left << 32 | right) apart.
 
         The merges inside both tokens are undone, last one first. If the two
         tokens next to the cut have a merge that would have come before the
         merge just undone, the cut would have been closed.
         """
-        left, right = pair
+        left, right = pair >> 32, pair & 0xFFFFFFFF
         before, ties_close = float("inf"), False
         while True:
             rank = self.merged.get((left, right))
@@ -140,21 +147,29 @@ class Bpe:
     def encode_piece(self, piece: str) -> list[int]:
         if piece in self.splitter.special:
             return [self.splitter.special[piece]]
-        raw = piece.encode("utf-8").decode("latin-1")
-        size = len(raw)
-        longest = [-1] * (size + 1)
+        raw, compatible = piece.encode("utf-8").decode("latin-1"), self.compatible
+        out, left = [], -1
+        for _, (_, token) in self.automaton.iter_long(raw):  # the longest token at each end of the one before
+            if left >= 0 and not compatible[left << 32 | token]:
+                return self._backtracked(raw)
+            out.append(token)
+            left = token
+        return out
+
+    def _backtracked(self, raw: str) -> list[int]:
+        longest = [-1] * (len(raw) + 1)
         for end, (length, i) in self.automaton.iter(raw):  # ends ascend, so the last of a start is its longest
             longest[end - length + 1] = i
-        lengths, compatible, refused, out, at, left, token = self.length, self.compatible, (), [], 0, -1, longest[0]
+        lengths, compatible, refused, out, at, left, token = self.length, self.compatible, set(), [], 0, -1, longest[0]
         while token >= 0:
             end = at + lengths[token]
-            if (left < 0 or compatible[left, token]) and end not in refused:
+            if (left < 0 or compatible[left << 32 | token]) and end not in refused:
                 out.append(token)
                 at, left, token = end, token, longest[end]
                 continue
             token = self.next_shorter[token]
             if token < 0:
-                refused = {*refused, at}
+                refused.add(at)
                 token = out.pop()
                 at -= lengths[token]
                 left = out[-1] if out else -1
@@ -215,11 +230,12 @@ def library_pieces(path: str) -> tuple[Splitter, Memo]:
             found = [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
         return array(form, found).tobytes()
 
-    return splitter, Memo(ids, 400_000)
+    return splitter, Memo(ids, PIECES)
 
 
 def encode(text: Column, path: str | None = None) -> Column:
     """``array<int>`` of the ids of each whole text."""
+    small_batches()
     path = path or default_vocabulary()
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
@@ -234,6 +250,7 @@ def encode(text: Column, path: str | None = None) -> Column:
 
 def decode(ids: Column, path: str | None = None) -> Column:
     """The text of each array of ids; null ids give an empty text."""
+    small_batches()
     path = path or default_vocabulary()
 
     @F.arrow_udf(T.StringType())
@@ -250,6 +267,7 @@ def library_encode(text: Column, path: str | None = None, end_id: int | None = N
     Pieces are independent in byte-level BPE, so the library encodes each
     distinct piece once per worker. ``end_id`` is appended to each document.
     """
+    small_batches()
     path = path or default_vocabulary()
     end = b"" if end_id is None else end_id.to_bytes(id_width(path), "little")
 

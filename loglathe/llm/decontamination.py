@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Memo, saved, small_side
+from .shared import Memo, saved, small_batches, small_side
 
 #: Words that count as units after a number.
 UNITS = frozenset("mm cm m km g kg mg t l ml s ms min h hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees litre litres liter liters byte bytes kb mb gb".split())
@@ -183,6 +183,7 @@ def _agreeing(found: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, enough: int = ENOUGH, most_broadcast_rows: int = 500_000) -> DataFrame:
     """Rows (doc_id, item_id, matched_tokens, item_tokens, first_pos, exact) of contaminated documents only."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = saved(item_windows(benchmark, width, literals), "benchmark-windows")
     facts = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
     passes, bits = bitmap(items.select("h"), facts["n"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import partitions, small_batches
 from .token_files import range_parts
 
 SAMPLES = 128
@@ -120,6 +120,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint(text, samples: int = SAMPLES):
     """Column of hexadecimal fingerprints of whole texts."""
+    small_batches()
 
     @F.arrow_udf("string")
     def hexes(texts: pa.Array) -> pa.Array:
@@ -136,6 +137,7 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     of each range also goes to the range before it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     rows = range_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "doc_id", n)
     # one row for each range, so the broadcast below has at most as many rows as there are partitions

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import forget, partitions, saved, small_side
+from .shared import forget, partitions, saved, small_batches, small_side
 
 BANDS, ROWS, SKETCH_BITS = 36, 5, 512
 _MIX, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -263,6 +263,7 @@ def linked(docs: DataFrame, words: int = 5, similarity: str = "0.8", bands: int
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``."""
     spark, share = docs.sparkSession, Fraction(similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(spark)
     used: list[str] = []  # tables that the result doesn't read
     signed = saved(signatures(docs, words, bands, rows, bits), "signatures")
     known = signed.where("n > 0 AND doc_id IS NOT NULL")

@@ -68,6 +68,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Arrow batches of at most 4 MB, unless the application was started with a size of its own.
+
+    Texts may be long, and a worker holds several copies of the batch it is at.
+    """
+    spark = spark or SparkSession.active()
+    if spark.sparkContext.getConf().get(ARROW_BYTES) is None:
+        spark.conf.set(ARROW_BYTES, "4m")
+
+
 def local_path(uri: str):
     """(pyarrow file system, path) of a folder, for tasks that write real files."""
     from pyarrow import fs

@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import local_path, partitions, saved
+from .shared import local_path, partitions, saved, small_batches
 
 MANIFEST = "part int, path string, index_path string, n_docs long, n_tokens long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -59,6 +59,7 @@ def range_parts(df: DataFrame, id_col: str, n: int) -> DataFrame:
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_col: str = "ids", seq_len: int = 2048, batch_rows: int = 64, width: int = 4) -> DataFrame:
     """Write packed ids (``ids_col``, binary, ``width`` bytes an id) and return the saved manifest with each file's ``base``."""
     n = partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
     kind = np.uint16 if width == 2 else np.uint32
     schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Memo
+from .shared import Memo, small_batches
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -77,6 +77,7 @@ def train_ftrl(rows: list[np.ndarray], labels, bits: int = BITS, alpha: float =
 
 def coordinates(text: Column, bits: int = BITS) -> Column:
     """The distinct coordinates of each text, ascending, as packed 32-bit integers."""
+    small_batches()
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
@@ -112,6 +113,7 @@ def score(text: Column, model, session, bits: int = BITS) -> Column:
     """Probability of label 1 of each whole text."""
     if model is None:
         return F.lit(0.0)
+    small_batches(session)
     shared = session.sparkContext.broadcast(model)  # at most 2**bits weights
     dense: list[np.ndarray] = []
 

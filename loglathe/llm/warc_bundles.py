@@ -17,7 +17,10 @@ record. The folder must be one that every executor can open by pyarrow.
 
 Defined results: a null html is an empty payload; rows with the same page id
 and payload as the response are responses too; a null page id is below all
-others; a null url is written as an empty one; other columns are ignored.
+others; a null url is written as an empty one; a payload over ``frame_bytes`` is
+a frame of its own; equal rows are records of one id, each with its own place in
+the index; an empty table gives an empty index; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import local_path, partitions, saved
+from .shared import local_path, partitions, saved, small_batches, small_side
 
 #: Fixed values of the public seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -40,16 +43,17 @@ INDEX_SPEC = "page_id long, record_id string, bundle string, frame int, frame_st
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_id(page_id) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def record_id(page_id, digest: str) -> str:
+    """Page and payload: only rows that are equal in both share an id."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest}>"
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, revisit_of=None, is_revisit: bool = False) -> bytes:
     """One WARC/1.1 record; a revisit has no block but says how long the payload was."""
     clean = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {clean}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
     if is_revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(revisit_of)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(revisit_of, digest)}"]
         payload = b""
     head += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -84,15 +88,25 @@ def read_footer(f) -> list[tuple[int, int, int]]:
     return out
 
 
-def with_revisits(pages: DataFrame, least_revisit: int = 1000, salts: int = 16) -> DataFrame:
-    """page_id, url, payload, digest, is_revisit, refers_to; a hot payload's pages are dealt over ``salts`` tasks."""
+def with_revisits(pages: DataFrame, least_revisit: int = 1000, salts: int = 16, most_broadcast_rows: int = 500_000) -> DataFrame:
+    """page_id, url, payload, digest, is_revisit, refers_to.
+
+    The digests of repeated payloads (under 100 bytes each) are broadcast up to
+    the bound, so payloads stay where they are read. Beyond it the join
+    shuffles, and a hot payload's pages are dealt over ``salts`` tasks.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= least_revisit)
     last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    last = saved(last.select(F.col("digest").alias("d"), "last", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), "repeated-payloads")
-    spread = rows.withColumn("s", F.pmod(F.xxhash64("page_id"), salts).cast("int"))
-    found = spread.join(last.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("s") == F.col("salt")), "left")
+    last = saved(last.select(F.col("digest").alias("d"), "last"), "repeated-payloads")
+    repeated = last.count()
+    if repeated <= most_broadcast_rows:
+        found = rows.join(small_side(last, repeated, most_broadcast_rows), F.col("digest") == F.col("d"), "left")
+    else:
+        last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = rows.withColumn("s", F.pmod(F.xxhash64("page_id"), salts).cast("int"))
+        found = spread.join(last.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("s") == F.col("salt")), "left")
     revisit = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return found.select("page_id", "url", "payload", "digest", revisit.alias("is_revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
 
@@ -128,7 +142,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 1 << 20, bun
                     path = f"{top}/bundle-{uuid.uuid4().hex}.warc.zst"
                     out, frames, at = fs.open_output_stream(path, compression=None), [], 0
                 raw = record(page.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers.as_py(), revisit.as_py())
-                rows.append((page.as_py(), record_id(page.as_py()), plain, len(raw)))
+                rows.append((page.as_py(), record_id(page.as_py(), digest.as_py()), plain, len(raw)))
                 pending.append(raw)
                 plain += len(raw)
                 if plain >= frame_bytes:
@@ -141,6 +155,7 @@ def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = 1 << 20, bun
                 yield flush()
             close()
 
+    small_batches(pages.sparkSession)
     return saved(with_revisits(pages).mapInArrow(write, INDEX_SPEC), "warc-index")
 
 
@@ -166,7 +181,7 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                 for offset, length in zip(row["offsets"], row["lengths"], strict=True):
                     fields, block = parse_record(raw[offset : offset + length])
                     kind = fields["WARC-Type"]
-                    ids = [None if (x := fields.get(k, ":null>").rpartition(":")[2][:-1]) == "null" else int(x) for k in ("WARC-Record-ID", "WARC-Refers-To")]
+                    ids = [None if (x := fields.get(k, "::null:").split(":")[2]) == "null" else int(x) for k in ("WARC-Record-ID", "WARC-Refers-To")]
                     stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     digest = hashlib.sha1(block).hexdigest() if kind == "response" else stated
                     if digest != stated:
