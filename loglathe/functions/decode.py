@@ -3,6 +3,10 @@
 A line is parsed once, to a VARIANT; everything else is taken from the parsed
 value. ``decoded`` adds the helper columns, ``classified`` the shape, and the
 ``*_record`` functions the typed structs.
+
+Each key of a line is looked up once: together with the type of its value it
+stands for a set of bits (which fields of which shapes it fills, and whether it
+breaks one), and the shapes are tests of these bits. The time is parsed once.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 from . import fields
 
 TIME = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?([Zz]|[+-]\d{2}(:?\d{2})?)$"
+#: The forms that a cast reads as they are.
+PLAIN_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})$"
 
 
 def configure(spark: SparkSession) -> None:
@@ -26,6 +32,11 @@ def strip_line_ending(line: Column) -> Column:
     return F.when(F.endswith(line, F.lit("\r")), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_rfc3339(text: Column) -> Column:
     """Timestamp of a text with an offset; seconds may be absent; null for all else."""
     out = F.translate(F.upper(text), ",", ".")
@@ -38,20 +49,35 @@ def parse_rfc3339(text: Column) -> Column:
         (r"(:\d{2}[.\d]*[+-]\d{2})$", "$1:00"),
     ):
         out = F.regexp_replace(out, form, to)
-    return F.when(F.rlike(text, F.lit(TIME)), F.try_to_timestamp(out))
+    return F.when(F.rlike(text, F.lit(PLAIN_TIME)), text.try_cast("timestamp")).when(F.rlike(text, F.lit(TIME)), F.try_to_timestamp(out))
 
 
 def nanos_of(text: Column) -> Column:
     """Digits seven to nine of the fraction, as a number from 0 to 999."""
-    rest = F.regexp_extract(text, r"[.,]\d{6}(\d{1,3})", 1)
+    rest = F.when(F.length(text) > 27, F.regexp_extract(text, r"[.,]\d{6}(\d{1,3})", 1))
     return F.when(rest != "", F.rpad(rest, 3, "0").cast("int")).otherwise(F.lit(0))
 
 
+def plain_number(text: Column) -> Column:
+    """A number with an exponent (``1.5E-7``) in full, without a needless point."""
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d)\.?(\d*)E([+-]?\d+)$", k)
+
+    def placed(x: Column) -> Column:
+        digits, point, size = x["digits"], x["point"], F.length(x["digits"])
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+        large = F.concat(digits, F.repeat(F.lit("0"), point - size))
+        between = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size))
+        return F.concat(part(1), F.when(digits == "", "0").when(point <= 0, small).when(point >= size, large).otherwise(between))
+
+    digits = F.regexp_replace(F.concat(part(2), part(3)), "0+$", "")
+    full = _with(F.struct(digits.alias("digits"), (part(4).cast("int") + 1).alias("point")), placed)
+    return F.when(F.contains(text, F.lit("E")), full).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+
 def text_of_number(value: Column, kind: Column) -> Column:
     """A JSON number as text: shortest form, no exponent, no ``.0``."""
     plain = F.try_variant_get(value, "$", "string")
-    wide = F.regexp_replace(F.try_variant_get(value, "$", "decimal(38,18)").cast("string"), r"\.?0+$", "")
-    return F.when(kind == "DOUBLE", F.coalesce(wide, plain)).otherwise(plain)
+    return F.when(kind == "DOUBLE", plain_number(plain)).otherwise(plain)
 
 
 def coerce_string_or_number(value: Column, kind: Column) -> Column:
@@ -64,16 +90,24 @@ def is_number(kind: Column) -> Column:
 
 def is_uint(value: Column, kind: Column) -> Column:
     big = F.rlike(kind, F.lit(r"^DECIMAL\((19|20),0\)$"))
-    return ((kind == "BIGINT") | big) & (F.try_variant_get(value, "$", "decimal(20,0)") >= 0)
+    return ((kind == "BIGINT") | big) & F.try_variant_get(value, "$", "decimal(20,0)").between(F.lit(0), F.lit(str(2**64 - 1)).cast("decimal(20,0)"))
 
 
 def decoded(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Add __value (VARIANT, null if the line isn't JSON), __map (of an object), __keys (with repeats), __types."""
-    envelope = F.concat(F.lit('{"v":'), F.col(line_col), F.lit(',"__end":1}'))
+    """Add __value (VARIANT, null if the line isn't JSON), __map (of an object), __keys (with repeats), __types.
+
+    A number beyond the range of a double makes a line no JSON.
+    """
+    line = F.col(line_col)
+    envelope = F.concat(F.lit('{"v":'), line, F.lit(',"__end":1}'))
     staged = lines.withColumn("__envelope", F.try_parse_json(envelope))
     whole = (F.size(F.json_object_keys(envelope)) == 2) & (F.try_variant_get("__envelope", "$.__end", "int") == 1)
-    value = F.when(F.col("__envelope").isNotNull() & whole, F.try_variant_get("__envelope", "$.v", "variant"))
-    staged = staged.withColumn("__value", value).drop("__envelope")
+    value = F.try_variant_get("__envelope", "$.v", "variant")
+    infinite = r'"-?Infinity"'
+    endless = F.rlike(line, F.lit(r"\d[eE]\+?\d{3}|\d{300}")) & F.rlike(F.to_json(value), F.lit(infinite)) & ~F.rlike(line, F.lit(infinite))
+    fine = F.col("__envelope").isNotNull() & whole & ~F.coalesce(endless, F.lit(False))
+    # through a generator, so that no filter above repeats the parsing
+    staged = staged.withColumn("__value", F.explode(F.array(F.when(fine, value)))).drop("__envelope")
     staged = staged.withColumn("__map", F.try_variant_get("__value", "$", "map<string,variant>"))
     return staged.withColumns(
         {
@@ -83,83 +117,98 @@ def decoded(lines: DataFrame, line_col: str = "line") -> DataFrame:
     )
 
 
-def _first(column: str, names: list[str]) -> Column:
-    found = [F.col(column)[n] for n in names]
-    return F.coalesce(*found) if len(found) > 1 else found[0]
-
-
-def _value(table: dict, field: str) -> Column:
-    return _first("__map", table[field][0])
-
-
-def _kind(table: dict, field: str) -> Column:
-    return _first("__types", table[field][0])
+#: What a value can be: a string, a string with a time, a non-negative integer, another number, null, anything else.
+CLASSES = ["text", "time", "uint", "number", "null", "other"]
+#: Classes that a field's type takes.
+TAKES = {"str": {"text", "time"}, "ts": {"time"}, "uint": {"uint"}, "strnum": {"text", "time", "uint", "number"}, "any": set(CLASSES)}
+REQUIRED = {"canonical": fields.CANONICAL, "java": fields.JAVA, "time_only": fields.TIME_ONLY}
+
+
+def _bit_plan() -> tuple[dict[str, dict[str, int]], dict[str, int], dict[str, int]]:
+    """(bits of each key for each class of value, all bits of each shape's fields, each shape's bit of a known key)."""
+    own, at = {}, 0
+    for shape, table in [*REQUIRED.items(), ("message", fields.MESSAGE)]:
+        for field in table:
+            own[shape, field] = 1 << at
+            at += 1
+    known = {shape: 1 << at + k for k, shape in enumerate([*REQUIRED, "message", "broken"])}
+    keys: dict[str, dict[str, int]] = {}
+    for shape, table in REQUIRED.items():
+        for field, (names, kind) in table.items():
+            for name in names:
+                bits = keys.setdefault(name, dict.fromkeys(CLASSES, 0))
+                for c in CLASSES:
+                    bits[c] |= known[shape] | (own[shape, field] if c in TAKES[kind] else 0)
+    for field, (names, kind) in fields.MESSAGE.items():
+        for name in names:
+            bits = keys.setdefault(name, dict.fromkeys(CLASSES, 0))
+            for c in CLASSES:
+                fine = c in TAKES[kind] or c == "null" and field not in ("message", "level")
+                bits[c] |= known["message"] | own["message", field] | (0 if fine else known["broken"])
+    every = {shape: sum(own[shape, f] for f in table) for shape, table in [*REQUIRED.items(), ("message", fields.MESSAGE)]}
+    return keys, every | {"message needs": own["message", "message"] | own["message", "level"]}, known
+
+
+KEY_BITS, SHAPE_BITS, KNOWN_BITS = _bit_plan()
+
+
+def _codes(time: Column, other_time: Column) -> Column:
+    """The bits of each known key of a line."""
+    table = F.create_map(*[x for key, bits in KEY_BITS.items() for x in (F.lit(key), F.struct(*[F.lit(bits[c]).cast("long").alias(c) for c in CLASSES]))])
+    times, others = fields.TIME_NAMES, [n for n in fields.MESSAGE["timestamp"][0] if n not in fields.TIME_NAMES]
+
+    def code(e: Column) -> Column:
+        key, kind = e["key"], e["value"]
+        timed = key.isin(times) & time.isNotNull() | key.isin(others) & other_time.isNotNull()
+        chosen = lambda b: (
+            F.when(kind == "STRING", F.when(timed, b["time"]).otherwise(b["text"]))
+            .when(is_number(kind), F.when(is_uint(F.col("__map")[key], kind), b["uint"]).otherwise(b["number"]))
+            .when(kind == "VOID", b["null"])
+            .otherwise(b["other"])
+        )
+        return _with(table[key], chosen)
 
+    return F.transform(F.filter(F.map_entries("__types"), lambda e: e["key"].isin(list(KEY_BITS))), code)
 
-def _string(table: dict, field: str) -> Column:
-    return F.when(_kind(table, field) == "STRING", F.try_variant_get(_value(table, field), "$", "string"))
 
-
-def _fits(table: dict, field: str) -> Column:
-    """A present field has its type."""
-    value, kind = _value(table, field), _kind(table, field)
-    return {
-        "str": kind == "STRING",
-        "ts": parse_rfc3339(_string(table, field)).isNotNull(),
-        "uint": is_uint(value, kind),
-        "strnum": (kind == "STRING") | is_number(kind),
-        "any": F.lit(True),
-    }[table[field][1]]
-
-
-def _required_shape(table: dict) -> Column:
-    """Each field under exactly one of its names, with its type."""
-    known = F.filter("__keys", lambda k: k.isin(fields.names(table)))
-    out = F.size(known) == len(table)
-    for field in table:
-        out = out & F.coalesce(_fits(table, field), F.lit(False))
-    return out
-
-
-def _message_shape() -> Column:
-    """Message and level are there, no field has two names, and what is there has its type (or is null)."""
-    table, alias = fields.MESSAGE, F.create_map(*[F.lit(x) for pair in fields.aliases(fields.MESSAGE).items() for x in pair])
-    found = F.filter(F.transform("__keys", lambda k: alias[k]), lambda f: f.isNotNull())
-    kinds = {kind: [n for f, (own, k) in table.items() if k == kind and f not in ("message", "level") for n in own] for kind in ("str", "strnum", "uint", "ts")}
-
-    def entry_fits(key: Column, value: Column) -> Column:
-        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-        text = F.try_variant_get(value, "$", "string")
-        return (
-            F.when(kind == "VOID", F.lit(True))
-            .when(key.isin(kinds["str"]), kind == "STRING")
-            .when(key.isin(kinds["strnum"]), (kind == "STRING") | is_number(kind))
-            .when(key.isin(kinds["uint"]), is_uint(value, kind))
-            .when(key.isin(kinds["ts"]), (kind == "STRING") & parse_rfc3339(text).isNotNull())
-            .otherwise(F.lit(True))
-        )
-
-    needed = (_kind(table, "message") == "STRING") & (_kind(table, "level") == "STRING")
-    typed = F.forall(F.map_entries("__map"), lambda e: entry_fits(e["key"], e["value"]))
-    return needed & (F.size(found) == F.size(F.array_distinct(found))) & typed
+def _text_of(names: list[str]) -> Column:
+    """The string under the first of these keys that is there."""
+    found = F.coalesce(*[F.col("__map")[n] for n in names])
+    kind = F.coalesce(*[F.col("__types")[n] for n in names])
+    return F.when(kind == "STRING", F.try_variant_get(found, "$", "string"))
 
 
 def classified(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Add ``shape`` to decoded lines: the first of the shapes that fits."""
+    """Add ``shape`` to decoded lines (the first of the shapes that fits), and the parsed times __ts and __ts_other.
+
+    The shape goes through a generator, so that filters on it and projections
+    above are not merged with the tests below.
+    """
     staged = lines if "__value" in lines.columns else decoded(lines, line_col)
+    others = [n for n in fields.MESSAGE["timestamp"][0] if n not in fields.TIME_NAMES]
+    staged = staged.withColumns({"__time": _text_of(fields.TIME_NAMES), "__time_other": _text_of(others)})
+    staged = staged.withColumns({"__ts": parse_rfc3339(F.col("__time")), "__ts_other": parse_rfc3339(F.col("__time_other"))})
+    staged = staged.withColumn("__codes", _codes(F.col("__ts"), F.col("__ts_other")))
+    staged = staged.withColumn("__bits", F.aggregate("__codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    bits, once = F.col("__bits"), F.size("__keys") == F.size("__map")
+    has = lambda mask: bits.bitwiseAND(F.lit(mask)) == F.lit(mask)
+
+    def known(shape: str) -> Column:
+        """How many keys of the line, with repeats, the shape knows."""
+        table = REQUIRED.get(shape, fields.MESSAGE)
+        distinct = F.size(F.filter("__codes", lambda c: c.bitwiseAND(F.lit(KNOWN_BITS[shape])) != 0))
+        return F.when(once, distinct).otherwise(F.size(F.filter("__keys", lambda k: k.isin(fields.names(table)))))
+
+    required = lambda shape: has(SHAPE_BITS[shape]) & (known(shape) == len(REQUIRED[shape]))
+    message = has(SHAPE_BITS["message needs"]) & (bits.bitwiseAND(F.lit(KNOWN_BITS["broken"])) == 0) & (F.bit_count(bits.bitwiseAND(F.lit(SHAPE_BITS["message"]))) == known("message"))
     is_object = F.col("__map").isNotNull()
-    is_string = F.schema_of_variant("__value") == "STRING"
     shape = (
         F.when(F.col("__value").isNull(), F.lit("text"))
-        .when(is_object & _required_shape(fields.CANONICAL), F.lit("canonical"))
-        .when(is_object & _required_shape(fields.JAVA), F.lit("java"))
-        .when(is_object & _message_shape(), F.lit("message"))
-        .when(is_object & _required_shape(fields.TIME_ONLY), F.lit("time_only"))
-        .when(is_object, F.lit("json"))
-        .when(is_string, F.lit("logfmt"))
+        .when(is_object, F.when(required("canonical"), "canonical").when(required("java"), "java").when(message, "message").when(required("time_only"), "time_only").otherwise("json"))
+        .when(F.schema_of_variant("__value") == "STRING", F.lit("logfmt"))
         .otherwise(F.lit("text"))
     )
-    return staged.withColumn("shape", shape)
+    return staged.withColumn("shape", F.explode(F.array(shape))).drop("__codes", "__bits")
 
 
 def resolve_aliases(table: dict) -> Column:
@@ -177,20 +226,25 @@ def rest_map(table: dict) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(rest, lambda k, v: F.to_json(v)))))
 
 
-def _typed(table: dict, field: str) -> Column:
-    value, kind = _value(table, field), _kind(table, field)
+def _typed(found: Column, field: str, kind: str) -> Column:
+    """A field of the resolved keys (value and type by field name); integers keep all of 64 unsigned bits."""
+    value, own = found["values"][field], found["types"][field]
+    text = F.when(own == "STRING", F.try_variant_get(value, "$", "string"))
     return {
-        "str": _string(table, field),
-        "ts": parse_rfc3339(_string(table, field)),
-        "uint": F.when(is_uint(value, kind), F.try_variant_get(value, "$", "decimal(20,0)").cast("bigint")),
-        "strnum": coerce_string_or_number(value, kind),
+        "str": text,
+        "ts": F.coalesce("__ts", "__ts_other"),
+        "uint": F.when(is_uint(value, own), F.try_variant_get(value, "$", "decimal(20,0)")),
+        "strnum": coerce_string_or_number(value, own),
         "any": F.to_json(value),
-    }[table[field][1]]
+    }[kind]
 
 
 def _record(shape: str, table: dict) -> Column:
-    columns = [_typed(table, f).alias(f) for f in table]
-    return F.when(F.col("shape") == shape, F.struct(*columns, rest_map(table).alias("rest")))
+    alias = F.create_map(*[F.lit(x) for pair in fields.aliases(table).items() for x in pair])
+    named = lambda m: F.map_from_entries(F.transform(F.filter(F.map_entries(m), lambda e: e["key"].isin(fields.names(table))), lambda e: F.struct(alias[e["key"]].alias("key"), e["value"].alias("value"))))
+    found = F.struct(named("__map").alias("values"), named("__types").alias("types"))
+    record = lambda x: F.struct(*[_typed(x, f, kind).alias(f) for f, (_, kind) in table.items()], rest_map(table).alias("rest"))
+    return F.when(F.col("shape") == shape, _with(found, record))
 
 
 def canonical_record() -> Column:
@@ -219,26 +273,27 @@ def logfmt_text() -> Column:
 
 
 def time_text() -> Column:
-    message, short = _string(fields.MESSAGE, "timestamp"), _string(fields.TIME_ONLY, "timestamp")
-    return F.when(F.col("shape") == "message", message).when(F.col("shape").isin("canonical", "java", "time_only"), short)
+    """The text of a shape's time; null for shapes without one."""
+    return F.when(F.col("shape") == "message", F.coalesce("__time", "__time_other")).when(F.col("shape").isin("canonical", "java", "time_only"), F.col("__time"))
 
 
 def unified_record(parsed: DataFrame, line_col: str = "line", pairs: Column | None = None) -> DataFrame:
     """Add ts, ts_nanos, level, message for any shape. ``pairs`` is a parsed logfmt struct, if wanted."""
     from .logfmt import logfmt_level, logfmt_message
 
-    shape, level = F.col("shape"), _string(fields.MESSAGE, "level")
-    is_record = shape.isin("canonical", "java", "message")
-    level_of = F.when(is_record, level)
-    message_of = F.when(is_record, _string(fields.MESSAGE, "message"))
+    shape = F.col("shape")
+    is_record, timed = shape.isin("canonical", "java", "message"), shape.isin("canonical", "java", "message", "time_only")
+    level_of = F.when(is_record, _text_of(fields.MESSAGE["level"][0]))
+    message_of = F.when(is_record, _text_of(fields.MESSAGE["message"][0]))
     if pairs is not None:
         level_of = F.when(shape == "logfmt", logfmt_level(pairs)).otherwise(level_of)
         message_of = F.when(shape == "logfmt", logfmt_message(pairs)).otherwise(message_of)
     message_of = F.when(shape == "text", F.col(line_col)).otherwise(message_of)
-    text = time_text()
-    return parsed.withColumns({"ts": parse_rfc3339(text), "ts_nanos": F.when(text.isNotNull(), nanos_of(text)), "level": level_of, "message": message_of})
+    ts = F.when(shape == "message", F.coalesce("__ts", "__ts_other")).when(timed, F.col("__ts"))
+    nanos = F.when(timed, nanos_of(time_text()))
+    return parsed.withColumns({"ts": ts, "ts_nanos": F.when(ts.isNotNull(), nanos), "level": level_of, "message": message_of})
 
 
 def dropped(parsed: DataFrame) -> DataFrame:
     """Without the helper columns."""
-    return parsed.drop("__value", "__map", "__keys", "__types")
+    return parsed.drop("__value", "__map", "__keys", "__types", "__time", "__time_other", "__ts", "__ts_other")

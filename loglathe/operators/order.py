@@ -40,14 +40,14 @@ def with_position(ordered: DataFrame, name: str = "pos") -> DataFrame:
     return tagged.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__own")).cast("long")).drop("__part", "__own", "__start")
 
 
-def source_headers(positioned: DataFrame, mode: str = "swap", last_name: str | None = None, pos: str = "pos") -> DataFrame:
-    """Add ``header`` (``==> name <==`` or null) to rows that carry a dense position.
+def source_headers(positioned: DataFrame, mode: str = "swap", last_name: str | None = None, pos: str = "pos", name: Column | None = None) -> DataFrame:
+    """Add ``header`` (``==> name <==`` or null) to rows that carry a dense position; the name is the file's base name.
 
     ``swap``: where the base name differs from the row before; ``every``;
     ``never``. The row before comes by windows of 100,000 positions, and for the
     first row of a window from its neighbour window's last row.
     """
-    name = base_name(F.col("file"))
+    name = base_name(F.col("file")) if name is None else name
     text = F.concat(F.lit("==> "), name, F.lit(" <=="))
     if mode == "never":
         return positioned.withColumn("header", F.lit(None).cast("string"))

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.lines import block_starts, placed
+
 
 def skip_lines(numbered: DataFrame, n: int) -> DataFrame:
     return numbered.where(F.col("line_no") >= n)
 
 
-def last_lines(numbered: DataFrame, n: int) -> DataFrame:
-    """The last n lines of each file; the counts have one row a file."""
-    counts = numbered.groupBy("file").agg(F.count(F.lit(1)).alias("__count"))
-    return numbered.join(counts, "file").where(F.col("line_no") >= F.col("__count") - n).drop("__count")
+def last_lines(lines: DataFrame, n: int, by: str = "file") -> DataFrame:
+    """The last n lines of each source, with their line_no.
+
+    A first pass counts the lines of each block; only blocks that reach into the
+    last n lines are numbered.
+    """
+    starts = block_starts(lines, F.lit(1), by).where(F.col("__after") < n)
+    last = starts.withColumn("__end", F.col("__after"))
+    numbered = placed(lines, last, "line_no", F.row_number()).withColumn("line_no", F.col("line_no") - 1)
+    back = F.row_number().over(W.partitionBy("file", "block_start").orderBy(F.desc("line_no"))) + F.col("__end")
+    return numbered.withColumn("__back", back).where(F.col("__back") <= n).drop("__back", "__end")
 
 
 def skip_bytes(offset: DataFrame, n: int) -> DataFrame:

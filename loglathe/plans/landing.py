@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lines import read_lines
@@ -14,21 +15,49 @@ from . import synth
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "loglathe-scratch")
+    """A new path below ``spark.checkpoint.dir``; where that is unset, a local one for a local session (as in tests), else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "loglathe-scratch")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def source_of(file: Column) -> Column:
+    return F.regexp_extract(file, r"source=([^/]+)", 1)
+
+
 def write_sources(spark: SparkSession, sf_dir: str) -> str:
-    """One text file for each source, its lines in the order of events."""
+    """A folder for each source with its lines in the order of events, cut into files by ranges of events.
+
+    A source's files are in the order of their names, so no source, however
+    large, is one task's.
+    """
     folder = scratch(spark, "landed")
     ev = synth.events(spark, sf_dir)
     lines = ev.select("event_id", F.concat("m", F.lit(" plain")).alias("value"), F.element_at(F.split("file", "/"), -1).alias("source"))
-    # one task for each source: these are its files
-    lines.repartition("source").sortWithinPartitions("source", "event_id").drop("event_id").write.partitionBy("source").text(folder, lineSep="\n")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartitionByRange(n, "source", "event_id").sortWithinPartitions("source", "event_id")
+    dealt.drop("event_id").write.partitionBy("source").text(folder, lineSep="\n")
     return folder
 
 
 def landed(spark: SparkSession, sf_dir: str, raw: bool = True) -> DataFrame:
     """Lines of new text files, with their source's name."""
-    return read_lines(spark, f"{write_sources(spark, sf_dir)}/*", raw).withColumn("source", F.regexp_extract("file", r"source=([^/]+)", 1))
+    return read_lines(spark, f"{write_sources(spark, sf_dir)}/*", raw).withColumn("source", source_of(F.col("file")))
+
+
+def land_portion(lines: DataFrame | None, spark: SparkSession, folder: str) -> None:
+    """Files of (app, event_id, value) by app, all of one time, so that they arrive in the order of their names; None is one file without lines."""
+    if lines is None:
+        spark.createDataFrame([], "value string").coalesce(1).write.text(f"{folder}/app=0")
+    else:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = lines.repartitionByRange(n, "app", "event_id").sortWithinPartitions("app", "event_id")
+        dealt.select("app", "value").write.partitionBy("app").text(folder, lineSep="\n")
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/part-*")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = int(time.time() * 1000)
+    for status in fs.globStatus(top) or []:  # at most two files for each partition
+        fs.setTimes(status.getPath(), now, -1)

@@ -15,7 +15,7 @@ from ..operators import order, profile, slices
 from ..sources import lines as sources
 from ..streaming import follow
 from . import synth
-from .landing import landed, scratch, write_sources
+from .landing import land_portion, landed, scratch, source_of, write_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +44,7 @@ def query(sql: str | None = None, events: bool = True):
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     decode.configure(spark)
-    return decode.classified(synth.log_lines(spark, sf_dir))
+    return decode.classified(sources.spread(synth.log_lines(spark, sf_dir)))
 
 
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def profile_verdict(spark, sf_dir):
 'r' || event_id AS request_id, '10.0.0.' || (u % 250) AS remote_host, 'ua/1' AS user_agent, '{"user_id":"' || u || '"}' AS rest FROM ev WHERE k = 0""")
 def canonical_records(spark, sf_dir):
     p = parsed(spark, sf_dir).where("shape = 'canonical'").withColumn("r", decode.canonical_record())
-    return p.select("line_no", "r.*").withColumns({"timestamp": ntz("timestamp"), "rest": F.to_json("rest")})
+    return p.select("line_no", "r.*").withColumns({"timestamp": ntz("timestamp"), "status": F.col("status").cast("bigint"), "size": F.col("size").cast("bigint"), "rest": F.to_json("rest")})
 
 
 @query("""SELECT event_id AS line_no, ts AS timestamp, m AS message, lv AS level, 't' || (u % 8) AS thread, 'r' || event_id AS request_id, 'com.acme.C' || (u % 5) AS class, 'run' AS method, 'svc' AS source,
@@ -113,7 +113,7 @@ _REST = """CASE k WHEN 2 THEN 'zone="z' || (u % 2) || '"' WHEN 3 THEN '' ELSE 'e
 @query(f"SELECT event_id AS line_no, {', '.join(f'{x} AS {f}' for f, x in _MESSAGE.items())}, {_REST} AS rest FROM ev WHERE k IN (2, 3, 4)")
 def message_records(spark, sf_dir):
     p = parsed(spark, sf_dir).where("shape = 'message'").withColumn("r", decode.message_record())
-    return p.select("line_no", "r.*").withColumns({"timestamp": ntz("timestamp"), "rest": F.array_join(render.rest_cells(F.col("rest")), ", ")})
+    return p.select("line_no", "r.*").withColumns({"timestamp": ntz("timestamp"), "line": F.col("line").cast("bigint"), "rest": F.array_join(render.rest_cells(F.col("rest")), ", ")})
 
 
 @query("""SELECT event_id AS line_no, ts AS timestamp, CASE k WHEN 5 THEN 'kind="' || ty || '", user=' || u WHEN 10 THEN 'elapsed=' || c || ', level="' || lv || '", message="' || m || '"'
@@ -129,9 +129,11 @@ def json_records(spark, sf_dir):
     return p.select("line_no", F.array_join(render.rest_cells(F.col("r.rest")), ", ").alias("rest"))
 
 
-@query("""SELECT event_id AS line_no, unnest(CASE k WHEN 3 THEN ['host', 'level', 'message', 'method', 'module', 'query_args', 'size', 'status', 'timestamp', 'url'] ELSE ['level', 'message', 'request_id'] END) AS field FROM ev WHERE k IN (3, 4)""")
+@query("""SELECT event_id AS line_no, unnest(CASE k WHEN 2 THEN ['file', 'function', 'level', 'line', 'message', 'module', 'timestamp', 'trace_id']
+WHEN 3 THEN ['host', 'level', 'message', 'method', 'module', 'query_args', 'size', 'status', 'timestamp', 'url'] ELSE ['level', 'message', 'request_id'] END) AS field FROM ev WHERE shape = 'message'""")
 def resolve_aliases(spark, sf_dir):
-    p = parsed(spark, sf_dir).where("line_no % 12 IN (3, 4)")
+    """All message lines."""
+    p = parsed(spark, sf_dir).where("shape = 'message'")
     return p.select("line_no", F.explode(F.map_keys(decode.resolve_aliases(fields.MESSAGE))).alias("field"))
 
 
@@ -148,7 +150,7 @@ WHEN 11 THEN ['host', 'level', 'message', 'timestamp'] END"""
 
 @query(f"SELECT event_id AS line_no, unnest({_OBJECT_FIELDS}) AS field FROM ev WHERE k IN (0, 1, 2, 3, 4, 5, 10, 11)")
 def resolve_aliases_of_all(spark, sf_dir):
-    """Every decoded object; ``resolve_aliases`` and its SQL have two kinds of lines only."""
+    """Every decoded object, of whatever shape."""
     p = parsed(spark, sf_dir).where("__map IS NOT NULL")
     return p.select("line_no", F.explode(F.map_keys(decode.resolve_aliases(fields.MESSAGE))).alias("field"))
 
@@ -170,20 +172,20 @@ def rest_entries(spark, sf_dir):
     return p.select("line_no", F.explode(decode.rest_map({})).alias("key", "value"))
 
 
-@query("""SELECT event_id AS line_no, c::VARCHAR AS whole, (c // 100) || CASE WHEN c % 100 = 0 THEN '' ELSE '.' || rtrim(lpad((c % 100)::VARCHAR, 2, '0'), '0') END AS fraction, c || '000' AS exponent, 'x' AS text FROM ev""")
+@query("""SELECT event_id AS line_no, c::VARCHAR AS whole, (c // 100) || CASE WHEN c % 100 = 0 THEN '' ELSE '.' || rtrim(lpad((c % 100)::VARCHAR, 2, '0'), '0') END AS fraction, c || '000' AS exponent, 'x' AS text,
+(event_id % 9 + 1) || repeat('0', 30) AS large, '-0.' || repeat('0', 24) || (event_id % 9 + 1) || '5' AS small, '18446744073709551615' AS most FROM ev""")
 def coerce_string_or_number(spark, sf_dir):
     ev = synth.events(spark, sf_dir)
     cents = F.lpad((F.col("c") % 100).cast("string"), 2, "0")
-    text = F.concat(F.lit('{"a":'), "c", F.lit(',"b":'), F.expr("c div 100"), F.lit("."), cents, F.lit(',"d":'), "c", F.lit('e3,"t":"x"}'))
+    digit = F.col("event_id") % 9 + 1
+    text = F.concat(F.lit('{"a":'), "c", F.lit(',"b":'), F.expr("c div 100"), F.lit("."), cents, F.lit(',"d":'), "c", F.lit('e3,"t":"x","l":'), digit, F.lit('e30,"s":-'), digit, F.lit('.5e-25,"u":18446744073709551615}'))
     v = ev.select(F.col("event_id").alias("line_no"), F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>").alias("v"))
     one = lambda k: decode.coerce_string_or_number(F.col("v")[k], F.schema_of_variant(F.col("v")[k]))
-    return v.select("line_no", one("a").alias("whole"), one("b").alias("fraction"), one("d").alias("exponent"), one("t").alias("text"))
+    return v.select("line_no", one("a").alias("whole"), one("b").alias("fraction"), one("d").alias("exponent"), one("t").alias("text"), one("l").alias("large"), one("s").alias("small"), one("u").alias("most"))
 
 
 def _logfmt(spark, sf_dir):
-    decode.configure(spark)
-    p = decode.decoded(synth.log_lines(spark, sf_dir)).withColumn("shape", F.when(F.schema_of_variant("__value") == "STRING", F.lit("logfmt")))
-    return p.where("shape = 'logfmt'").withColumn("p", logfmt.parse_logfmt(decode.logfmt_text()))
+    return parsed(spark, sf_dir).where("shape = 'logfmt'").withColumn("p", logfmt.parse_logfmt(decode.logfmt_text()))
 
 
 @query("""SELECT event_id AS line_no, unnest(['level', 'msg', 'user', 'took']) AS key, unnest([lv, m, u::VARCHAR, c::VARCHAR]) AS value, unnest(['string', 'string', 'int', 'int']) AS type FROM ev WHERE k = 7""")
@@ -323,11 +325,11 @@ _LANDED = ", o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event
 
 
 def _numbered(spark, sf_dir):
-    return sources.with_line_numbers(landed(spark, sf_dir))
+    return sources.with_line_numbers(landed(spark, sf_dir), "source")
 
 
 def _offset(spark, sf_dir):
-    return sources.with_byte_offsets(landed(spark, sf_dir))
+    return sources.with_byte_offsets(landed(spark, sf_dir), "source")
 
 
 @query(_LANDED + "SELECT base AS source, n AS line_no, line FROM o")
@@ -347,7 +349,7 @@ def skip_lines(spark, sf_dir):
 
 @query(_LANDED + "SELECT base AS source, n AS line_no, line FROM o WHERE n >= total - 10")
 def last_lines(spark, sf_dir):
-    return slices.last_lines(_numbered(spark, sf_dir), 10).select("source", "line_no", "line")
+    return slices.last_lines(landed(spark, sf_dir), 10, "source").select("source", "line_no", "line")
 
 
 @query(_LANDED + "SELECT base AS source, start_byte::BIGINT AS start_byte, substr(line, greatest(1000 - start_byte, 0)::INT + 1) AS line FROM b WHERE start_byte + length(line) >= 1000")
@@ -440,6 +442,48 @@ def render_record(spark, sf_dir):
     return p.select("line_no", render.render_record(F.col("shape"), F.col("level"), time, F.col("message"), F.col("cells"), F.col("line"), F.col("j.stack_trace")).alias("rendered"))
 
 
+#: Web, container and tracing lines: the fields that no line of the log has.
+_WIDE = {
+    "request_size": ("request_length", "c"), "response_bytes": ("body_bytes_sent", "c * 2"), "request_duration": ("request_time", "'0.' || (u % 9 + 1)"), "upstream_time": ("upstream_response_time", "'0.' || (u % 8 + 1)"),
+    "upstream_header_time": ("upstream_header_time", "u % 100"), "upstream_server": ("upstream_addr", "'10.1.0.' || (u % 250)"), "upstream_status": ("upstream_status", "st"), "path": ("uri", "'/w/' || u"), "log": ("log", "'l' || u"),
+    "stream": ("stream", "'stderr'"), "namespace": ("namespace", "'ns' || (u % 3)"), "pod": ("pod_name", "'pod-' || event_id"), "container": ("container_name", "'web'"), "node": ("node_name", "'n' || (u % 5)"),
+    "span_id": ("spanId", "'sp' || event_id"), "trace_flags": ("traceFlags", "'01'"), "user_agent": ("userAgent", "'ua/' || (u % 7)"), "thread": ("thread_id", "'t' || (u % 8)"), "elapsed": ("latency", "c || 'ms'"), "resource": ("resource", "'{\"a\":' || u || '}'"),
+}
+_WIDE_NUMBERS = {"request_size", "response_bytes", "upstream_header_time", "upstream_status"}
+_WIDE_CELLS = """'path="/w/' || u || '"  request_size="' || c || ' bytes"  log="l' || u || '"  stream="stderr"  pod="pod-' || event_id || '"  namespace="ns' || (u % 3) || '"  container="web"  node="n' || (u % 5) || '"  response_bytes="' || c * 2 || '"  request_time="0.' || (u % 9 + 1)
+|| '"  upstream_time="0.' || (u % 8 + 1) || '"  upstream="10.1.0.' || (u % 250) || '"  upstream_status="' || st || '"  upstream_header_time="' || (u % 100) || 'ms"  span_id="sp' || event_id || '"  trace_flags="01"  { a=' || u || ' }  thread="t' || (u % 8) || '"  user_agent="ua/' || (u % 7) || '"  elapsed="' || c || 'ms"'"""
+
+
+@query(f"SELECT event_id AS line_no, {', '.join(f'CAST({x} AS VARCHAR) AS {f}' for f, (_, x) in _WIDE.items())}, {_WIDE_CELLS} AS cells FROM ev")
+def wide_message_records(spark, sf_dir):
+    """Message lines under other names, with units in the cells."""
+    decode.configure(spark)
+    ev = synth.events(spark, sf_dir)
+    values = {f: F.expr(x.replace("event_id", "e")).cast("string") for f, (_, x) in _WIDE.items()}
+    bare = _WIDE_NUMBERS | {"resource"}
+    parts = [F.concat(F.lit(f',"{name}":'), v if f in bare else F.concat(F.lit('"'), v, F.lit('"'))) for (f, (name, _)), v in zip(_WIDE.items(), values.values(), strict=True)]
+    lines = ev.select(F.col("event_id").alias("line_no"), F.concat(F.lit('{"body":"w","severity":"i"'), *parts, F.lit("}")).alias("line"))
+    p = decode.classified(sources.spread(lines)).where("shape = 'message'").withColumn("r", decode.message_record())
+    return p.select("line_no", *[F.col(f"r.{f}") for f in _WIDE], F.array_join(render.message_cells(F.col("r")), "  ").alias("cells"))
+
+
+@query(""", o AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM ev)
+SELECT pos, unnest([m || ' plain', m || ' two', '']) AS line, unnest([0, 1, 2])::INT AS part_no FROM o WHERE event_id % 2 = 0 UNION ALL SELECT pos, m || ' plain', 0 FROM o WHERE event_id % 2 = 1""")
+def write_rendered(spark, sf_dir):
+    """Rendered rows written as text and read back in the order of the files: records end with a blank line, text lines don't."""
+    folder = scratch(spark, "rendered")
+    rendered = F.when(F.col("event_id") % 2 == 0, F.concat("m", F.lit(" plain\n"), "m", F.lit(" two"))).otherwise(F.concat("m", F.lit(" plain")))
+    ev = synth.events(spark, sf_dir).withColumns({"rendered": rendered, "shape": F.when(F.col("event_id") % 2 == 0, "message").otherwise("text")})
+    sources.write_rendered(ev.orderBy("event_id"), folder, text_shape_col="shape")
+    lines = sources.with_line_numbers(sources.read_lines(spark, folder).withColumn("source", F.lit("all")), "source")
+    # the k-th line of the text is known: even events take three lines, odd ones one
+    first = synth.events(spark, sf_dir).agg(F.min("event_id").alias("first")).first()["first"] or 0
+    even, odd = (3, 1) if first % 2 == 0 else (1, 3)
+    within = F.pmod(F.col("line_no"), F.lit(4))
+    pos = F.floor(F.col("line_no") / 4) * 2 + F.when(within >= even, 1).otherwise(0)
+    return lines.select(pos.cast("long").alias("pos"), "line", F.when(within >= even, within - even).otherwise(within).cast("int").alias("part_no"))
+
+
 @query("""SELECT event_id AS line_no, unnest(['{ a=' || u || ', b="x" }', '1, { c=' || event_id || ' }', '"t"', 'null', 'true', '1.5']) AS shown FROM ev""")
 def render_value(spark, sf_dir):
     texts = F.array(F.concat(F.lit('{"b":"x","a":'), "u", F.lit("}")), F.concat(F.lit('[1,{"c":'), "e", F.lit("}]")), F.lit('"t"'), F.lit("null"), F.lit("true"), F.lit("1.5"))
@@ -459,8 +503,8 @@ def apply_lines(spark, sf_dir):
 
 @query(_LANDED + "SELECT base AS source, count(*) AS lines FROM o GROUP BY base")
 def follow_merged(spark, sf_dir):
-    """Follow the landed files to their end; one file a micro-batch."""
-    return _followed(spark, sf_dir).groupBy(F.regexp_extract("file", r"source=([^/]+)", 1).alias("source")).agg(F.count(F.lit(1)).alias("lines"))
+    """Follow the landed files to their end; a few files a micro-batch."""
+    return _followed(spark, sf_dir).groupBy(source_of(F.col("file")).alias("source")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query(_LANDED + "SELECT base AS source, line FROM o WHERE n >= total - 5")
@@ -469,12 +513,12 @@ def follow_from(spark, sf_dir):
     decode.configure(spark)
     folder, path = write_sources(spark, sf_dir), scratch(spark, "follow")
     existing = sources.expand_paths(spark, [f"{folder}/*/*.txt"])
-    head, stream = follow.follow_from(spark, f"{folder}/*", existing, 5)
+    head, stream = follow.follow_from(spark, f"{folder}/*", existing, 5, source_of(F.col("file")))
     follow.follow_merged(stream, f"{path}/out", f"{path}/checkpoint", interval=None).awaitTermination()
     shown = [head.select("file", "line")]
     if _exists(spark, f"{path}/out"):
         shown.append(spark.read.parquet(f"{path}/out").select("file", "line"))
-    return sources.union_sources(*shown).select(F.regexp_extract("file", r"source=([^/]+)", 1).alias("source"), "line")
+    return sources.union_sources(*shown).select(source_of(F.col("file")).alias("source"), "line")
 
 
 def _exists(spark, path: str) -> bool:
@@ -488,3 +532,28 @@ def _followed(spark, sf_dir):
     stream = follow.follow_lines(spark, f"{folder}/*", [], files_per_trigger=4)
     follow.follow_merged(stream, f"{path}/out", f"{path}/checkpoint", interval=None).awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+#: Lines of two sources (even and odd events) that land in three portions, the second of them empty; every third line has no time.
+_PORTIONS = """, a AS (SELECT *, 2 * (event_id >= (SELECT (min(event_id) + max(event_id) + 1) // 2 FROM events))::BIGINT AS batch_id, 'app=' || (event_id % 2) AS name, CASE WHEN k % 3 <> 0 THEN ts END AS own FROM ev),
+q AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY name, event_id) - 1 AS seq FROM a),
+o AS (SELECT *, seq // 1000 AS sub_no, row_number() OVER (PARTITION BY batch_id ORDER BY seq // 1000, own NULLS LAST, seq) - 1 AS pos FROM q) """
+
+
+@query(_PORTIONS + """SELECT batch_id, sub_no, pos, CASE WHEN lag(name) OVER (ORDER BY batch_id, pos) IS DISTINCT FROM name THEN '==> ' || name || ' <==' END AS header,
+name, own AS ts, m || CASE WHEN own IS NULL THEN ' plain' ELSE '' END AS message FROM o""")
+def follow_ordered(spark, sf_dir):
+    """Order, line cap and headers of each batch; the last header is kept over a batch without lines."""
+    decode.configure(spark)
+    folder, path = scratch(spark, "landing"), scratch(spark, "follow")
+    name, ev = F.regexp_extract("file", r"(app=\d+)", 1), synth.events(spark, sf_dir)
+    text = F.when(F.col("k") % 3 != 0, F.concat(F.lit('{"ts":"'), "t", F.lit('","msg":"'), "m", F.lit('","lvl":"'), "lv", F.lit('"}'))).otherwise(F.concat("m", F.lit(" plain")))
+    lines = ev.select("event_id", (F.col("event_id") % 2).alias("app"), text.alias("value"))
+    ends = lines.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    middle = (ends["low"] + ends["high"] + 1) // 2 if ends["low"] is not None else 0
+    for number, portion in enumerate([lines.where(F.col("event_id") < middle), None, lines.where(F.col("event_id") >= middle)]):
+        land_portion(portion, spark, f"{folder}/{number}")
+        stream = follow.follow_lines(spark, f"{folder}/*/*", [])
+        follow.follow_merged(stream, f"{path}/out", f"{path}/checkpoint", interval=None, name=name).awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return out.select(F.col("batch_id").cast("long"), "sub_no", "pos", "header", name.alias("name"), ntz("ts").alias("ts"), "message")

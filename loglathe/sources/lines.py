@@ -40,29 +40,48 @@ def read_sources(spark: SparkSession, patterns: list[str], raw: bool = False) ->
     return read_lines(spark, expand_paths(spark, patterns), raw)
 
 
-def _placed(lines: DataFrame, amount: Column, name: str, within: Column) -> DataFrame:
-    """Add a running total over each file: within a block, plus the totals of the blocks before.
+def spread(lines: DataFrame) -> DataFrame:
+    """Deal the lines over all cores if they come in fewer splits than there are cores; else leave them where they are."""
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+
+
+def block_starts(lines: DataFrame, amount: Column, by: str = "file") -> DataFrame:
+    """One row for each block of a file: file, block_start, the totals of the source's blocks before it and after it.
+
+    A source is a file, or all files of one value of ``by`` in the order of
+    their names.
+    """
+    totals = lines.groupBy(*dict.fromkeys([by, "file", "block_start"])).agg(F.sum(amount).alias("__total"))
+    order = W.partitionBy(by).orderBy("file", "block_start")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    return totals.select("file", "block_start", *[F.coalesce(F.sum("__total").over(w), F.lit(0)).alias(n) for w, n in ((before, "__start"), (after, "__after"))])
+
+
+def placed(lines: DataFrame, starts: DataFrame, name: str, within: Column) -> DataFrame:
+    """Add a running total over each source: within a block, plus the totals of the blocks before.
 
     A block is one task's share of a file, so no task sorts a whole file, and the
     joined side has one row for each block.
     """
     block = W.partitionBy("file", "block_start").orderBy("__at")
-    tagged = lines.withColumn("__at", F.monotonically_increasing_id())
-    totals = tagged.groupBy("file", "block_start").agg(F.sum(amount).alias("__total"))
-    before = W.partitionBy("file").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("file", "block_start", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
-    joined = tagged.join(starts, ["file", "block_start"])
-    return joined.withColumn(name, (F.col("__start") + within.over(block)).cast("long")).drop("__at", "__start")
+    joined = lines.withColumn("__at", F.monotonically_increasing_id()).join(starts, ["file", "block_start"])
+    return joined.withColumn(name, (F.col("__start") + within.over(block)).cast("long")).drop("__at", "__start", "__after")
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Add line_no, from 0 in each file."""
-    return _placed(lines, F.lit(1), "line_no", F.row_number()).withColumn("line_no", F.col("line_no") - 1)
+def with_line_numbers(lines: DataFrame, by: str = "file") -> DataFrame:
+    """Add line_no, from 0 in each source."""
+    return placed(lines, block_starts(lines, F.lit(1), by), "line_no", F.row_number()).withColumn("line_no", F.col("line_no") - 1)
 
 
-def with_byte_offsets(lines: DataFrame) -> DataFrame:
-    """Add start_byte of each line in its file."""
-    return _placed(lines, F.col("bytes") + 1, "end_byte", F.sum(F.col("bytes") + 1)).withColumn("start_byte", F.col("end_byte") - F.col("bytes") - 1).drop("end_byte")
+def with_byte_offsets(lines: DataFrame, by: str = "file") -> DataFrame:
+    """Add start_byte of each line in its source; file_size becomes the source's."""
+    size = F.col("bytes") + 1
+    out = placed(lines, block_starts(lines, size, by), "end_byte", F.sum(size)).withColumn("start_byte", F.col("end_byte") - F.col("bytes") - 1).drop("end_byte")
+    if by == "file":
+        return out
+    whole = lines.groupBy(by, "file").agg(F.max("file_size").alias("__size")).groupBy(by).agg(F.sum("__size").alias("__size"))
+    return out.join(whole, by).withColumn("file_size", F.col("__size")).drop("__size")
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

@@ -1,29 +1,32 @@
-"""Follow mode: new lines of a landing folder, ordered within each micro-batch.
+"""Follow mode: new lines of a landing folder, ordered within each batch.
 
 Spark's file source reads a file once, when it appears; files are to be moved
 into the folder whole. A rotated file is a new file. Lines that come late stay
-in the micro-batch in which they arrive.
+in the micro-batch in which they arrive. Within a micro-batch, lines in the order
+of their arrival (a file's time, its path, the place in it) are cut into batches
+of at most ``most_lines``, each ordered by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import decode
+from ..functions.derive import base_name
 from ..operators import order
 
 
 def follow_source(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of (file, line, line_no within the read, arrival)."""
+    """A stream of (file, line, block_start, arrival)."""
     reader = spark.readStream.option("lineSep", "\n").option("latestFirst", "false")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     meta = F.col("_metadata")
-    return reader.text(folder).select(meta["file_path"].alias("file"), decode.strip_line_ending(F.col("value")).alias("line"), meta["file_modification_time"].alias("arrival"))
+    return reader.text(folder).select(meta["file_path"].alias("file"), decode.strip_line_ending(F.col("value")).alias("line"), meta["file_block_start"].alias("block_start"), meta["file_modification_time"].alias("arrival"))
 
 
 def follow_lines(spark: SparkSession, folder: str, existing: list[str], files_per_trigger: int | None = None) -> DataFrame:
@@ -35,41 +38,44 @@ def follow_lines(spark: SparkSession, folder: str, existing: list[str], files_pe
     return stream.join(there, "file", "left_anti")
 
 
-def follow_from(spark: SparkSession, folder: str, existing: list[str], n: int) -> tuple[DataFrame, DataFrame]:
-    """(last n lines of each existing file, the stream of new lines)."""
+def follow_from(spark: SparkSession, folder: str, existing: list[str], n: int, source: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(last n lines of each existing source, the stream of new lines).
+
+    A source is a file, unless ``source``, a column of ``file``, takes several as one.
+    """
     from ..operators.slices import last_lines
-    from ..sources.lines import read_lines, with_line_numbers
+    from ..sources.lines import read_lines
 
-    head = last_lines(with_line_numbers(read_lines(spark, existing)), n)
-    return head, follow_lines(spark, folder, existing)
+    lines = read_lines(spark, existing).withColumn("source", F.col("file") if source is None else source)
+    return last_lines(lines, n, "source"), follow_lines(spark, folder, existing)
 
 
-def ordered_batch(batch: DataFrame, batch_id: int, last_name: str | None = None, headers: str = "swap") -> DataFrame:
-    """Rows of one micro-batch in order: batch_id, pos, header, file, ts, level, message, line, shape."""
-    numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
-    parsed = decode.unified_record(decode.classified(numbered))
-    ordered = parsed.orderBy(F.col("ts").asc_nulls_last(), F.coalesce("ts_nanos", F.lit(0)), "arrival", F.split("file", "/"), "line_no")
-    placed = order.source_headers(order.with_position(decode.dropped(ordered)), headers, last_name)
-    return placed.select(F.lit(batch_id).cast("long").alias("batch_id"), "pos", "header", "file", "ts", "level", "message", "line", "shape")
+def ordered_batch(batch: DataFrame, batch_id: int, last_name: str | None = None, headers: str = "swap", most_lines: int = 1000, name: Column | None = None) -> DataFrame:
+    """Rows of one micro-batch in order: batch_id, sub_no, pos, header, file, ts, level, message, line, shape."""
+    arrived = batch.withColumn("__no", F.monotonically_increasing_id()).orderBy("arrival", F.split("file", "/"), "block_start", "__no")
+    arrived = order.with_position(arrived.drop("__no"), "seq").withColumns({"batch_no": F.lit(0), "sub_no": F.floor(F.col("seq") / most_lines).cast("long")})
+    parsed = decode.dropped(decode.unified_record(decode.classified(arrived)))
+    placed = order.with_position(order.order_batches(parsed, "seq", "seq"))
+    placed = order.source_headers(placed, headers, last_name, name=name)
+    return placed.select(F.lit(batch_id).cast("long").alias("batch_id"), "sub_no", "pos", "header", "file", "ts", "level", "message", "line", "shape")
 
 
-def follow_merged(stream: DataFrame, sink: str, checkpoint: str, headers: str = "swap", interval: str | None = "250 milliseconds", then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def follow_merged(stream: DataFrame, sink: str, checkpoint: str, headers: str = "swap", interval: str | None = "250 milliseconds", then: Callable[[DataFrame, int], None] | None = None, most_lines: int = 1000, name: Column | None = None) -> StreamingQuery:
     """Append each micro-batch, ordered, to a Parquet folder (one sub-folder a batch, so a repeat replaces it).
 
-    The last header carries over: it is read back from the rows of the batch before.
+    The last header carries over: each batch leaves its last name beside the
+    checkpoint (``<checkpoint>-headers``, one row), and a batch without rows
+    passes on the one before.
     """
+    shown = base_name(F.col("file")) if name is None else name
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, last = batch.sparkSession, None
-        if batch_id:
-            try:
-                row = spark.read.parquet(f"{sink}/batch_id={batch_id - 1}").orderBy(F.desc("pos")).select("file").first()
-                last = row and row["file"].rsplit("/", 1)[-1]
-            except Exception as e:  # the batch before had no rows
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                    raise
-        out = ordered_batch(batch, batch_id, last, headers).drop("batch_id")
-        out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        spark, kept = batch.sparkSession, f"{checkpoint}-headers"
+        last = spark.read.parquet(f"{kept}/{batch_id - 1}").first()["name"] if batch_id else None
+        ordered_batch(batch, batch_id, last, headers, most_lines, name).drop("batch_id").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        out = spark.read.parquet(f"{sink}/batch_id={batch_id}")
+        row = out.orderBy(F.desc("pos")).select(shown.alias("name")).first()
+        spark.createDataFrame([(row["name"] if row else last,)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{kept}/{batch_id}")
         if then is not None:
             then(out, batch_id)
 

@@ -1,6 +1,7 @@
 """Rules of decoding, shapes, logfmt, order and slices, on small inputs."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,17 @@ SHAPES = [
     ('{"a":01}', "text"),
     ("", "text"),
     (None, "text"),
+    ('{"level":"INFO","message":"m","line":18446744073709551615}', "message"),
+    ('{"level":"INFO","message":"m","line":18446744073709551616}', "json"),
+    ('{"level":"INFO","message":"m","size":1e400}', "text"),
+    ('{"level":"INFO","message":"Infinity 1e400"}', "message"),
+    ('{"message":"m","level":"i","ts":"2025-01-01T00:00:00Z","ts":"2025-01-01T00:00:00Z"}', "json"),
+    ('{"message":"m","level":"i","@timestamp":"2025-01-01T00:00:00Z","ts":null}', "json"),
+    ('{"message":null,"level":"i"}', "json"),
+    ('{"message":"m","level":"i","elapsed":null,"host":null}', "message"),
+    ('{"ts":"2025-01-01T00:00:00Z","time":"2025-01-01T00:00:00Z"}', "json"),
+    ('{"a":' * 200 + "1" + "}" * 200, "json"),
+    ('{"message":"m","level":"i","x":"' + "y" * 2_000_000 + '"}', "message"),
 ]
 
 
@@ -69,6 +81,41 @@ def test_times(spark):
         assert (r["s"], r["n"]) == (1735787045, want) if want is not None else r["s"] is None
 
 
+def test_numbers(spark):
+    decode.configure(spark)
+    cases = {"1e30": "1" + "0" * 30, "1.5e-25": "0." + "0" * 24 + "15", "-2.50E+1": "-25", "5.0": "5", "0.42": "0.42", "1e0": "1", "0e5": "0", "18446744073709551615": "18446744073709551615", "1.7976931348623157e308": "17976931348623157" + "0" * 292, "123456.789e-3": "123.456789"}
+    rows = spark.createDataFrame([(c,) for c in cases], "x string").withColumn("v", F.try_parse_json("x"))
+    got = {r["x"]: r["t"] for r in rows.select("x", decode.coerce_string_or_number(F.col("v"), F.schema_of_variant("v")).alias("t")).collect()}
+    assert got == cases
+    line = spark.createDataFrame([('{"level":"INFO","message":"m","line":18446744073709551615,"size":1e30}',)], "line string")
+    r = decode.classified(line).select(decode.message_record().alias("r")).first()["r"]
+    assert (r["line"], r["size"]) == (2**64 - 1, "1" + "0" * 30)
+
+
+def test_plans_stay_small(spark):
+    decode.configure(spark)
+    p = decode.unified_record(decode.classified(spark.createDataFrame([("{}",)], "line string")))
+    for df in (p.where("shape = 'message' AND ts IS NOT NULL").select(decode.message_record().alias("r")), decode.dropped(p)):
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_logfmt_expressions_match_the_helper(spark):
+    r = random.Random(9)
+    parts = ["a=1", "b=", "=c", "d", 'e="x y"', r'f="q \" \n"', 'g="open', " ", "  ", "\t", "h=-5", "i=1e3", "j=nan", "k=18446744073709551616", "k=18446744073709551615", "a=2", "é=ü", "\u2003", "l=.5", "m=+7", 'n=x"y', "o==", "\\", "p=0x1", 'q=""', "r=1d"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", ""]) for _ in range(r.randint(0, 9))) for _ in range(800)] + [None, "", 'a="' + "\\x" * 20_000, "w " * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", logfmt.parse_logfmt(F.col("t")).alias("p")).withColumn("keys", F.map_keys("p.pairs")).collect()
+    for row in rows:
+        text, got = texts[row["n"]], row["p"]
+        if text is None:
+            assert got is None
+            continue
+        pairs, bare = logfmt.parse_text(text)
+        assert got["bare"] == bare and row["keys"] == list(pairs), text[:200]
+        for key, (kind, s, i, f) in pairs.items():
+            own = got["pairs"][key]
+            assert (own["type"], own["s"], own["i"]) == (kind, s, i) and str(own["f"]) == str(f), (text[:200], key)
+
+
 def test_logfmt():
     p, bare = logfmt.parse_text(r'b=2 a="x \"y\" \n" c= d=-5 =e f=1e3 g="open h i j=18446744073709551616', False)
     assert list(p) == ["", "a", "b", "c", "d", "f", "g"] and bare == []
