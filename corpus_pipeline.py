@@ -1,4 +1,12 @@
-"""A training-text pipeline of five stages; each one works on all that the one before kept."""
+"""A training-text pipeline of five stages; each one works on all that the one before kept.
+
+Defined results, for every stage: null and empty texts stay, as long as nothing
+is taken from them; rows with a null id stay, except toxic ones and ones that
+lose all their lines; rows of one id and one text fare alike; texts of any length
+are judged whole; an empty table gives an empty one; columns beyond those of
+documents are passed on, whatever their names (but names that begin with two
+underscores are the stages' own).
+"""
 
 from __future__ import annotations
 
@@ -19,6 +27,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a score of 0.5 or more go; without usable labels none does."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), eligible=~held_out())
     return docs.withColumn("__score", toxicity.score(F.col("text"), model, spark)).where("__score < 0.5").drop("__score")
 
@@ -38,6 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or enough of it, go."""
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.select("doc_id"))
 
@@ -65,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier and the component search have no SQL form; tests use brute force.
+#: The classifier and the component search have no SQL form; tests/llm/test_pipeline.py compares each stage with plain Python.
 ORACLE_SQL = None
