@@ -1,12 +1,11 @@
 """Exact byte-level BPE encoding by backtracking, and decoding by an offset table.
 
 A text is cut into pieces by the vocabulary's own pre-tokenizer pattern. An
-Aho-Corasick automaton over the token bytes gives longest tokens; they are taken
-greedily, each checked against its left neighbour in a pair-compatibility table.
-Most pieces end so. In the others the longest token at every start is looked up,
-and the encoder steps back to a shorter token (or to the previous position) when
-a pair could not have come out of the merges. Every position is refused at most
-once, so the work is linear in the piece. Pieces of up to 64 characters and pairs
+Aho-Corasick automaton over the token bytes gives the longest token at every
+start. Tokens are taken greedily, each checked against its left neighbour in a
+pair-compatibility table, and the encoder steps back to a shorter token (or to
+the previous position) when a pair could not have come out of the merges. Every
+position is refused at most once, so the work is linear in the piece. Pieces of up to 64 characters and pairs
 are kept in bounded tables. Decoding joins slices of one byte string.
 
 Nulls are treated as empty texts: no ids, and the decoded text is "". Texts may
@@ -32,7 +31,7 @@ from .shared import Memo, small_batches
 #: Fixed value: the split pattern of byte-level BPE vocabularies, for Latin texts. Other texts, and all texts of a file with another pre-tokenizer, are cut by the library.
 LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
 LATIN_PIECES = re.compile(rf""" ?[{LATIN_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
-PIECES, PAIRS = 300_000, 300_000  # kept by each worker: about 50 and 30 MB
+PIECES, PAIRS = 500_000, 300_000  # kept by each worker: about 80 and 30 MB
 NOT_LATIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]")
 
 
@@ -93,8 +92,12 @@ class Bpe:
         vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         self.splitter = Splitter(path)
         self.automaton = ahocorasick.Automaton()
+        self.byte_id = {}
         for token, i in vocab.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), i))
+            if len(token) == 1:  # the least that starts anywhere, so no match is needed
+                self.byte_id[token.decode("latin-1")] = i
+            else:
+                self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, i))
         self.automaton.make_automaton()
         # merge rank and halves of each token; single bytes have neither
         self.rank, self.halves, self.merged = {}, {}, {}
@@ -108,10 +111,7 @@ class Bpe:
         self.next_shorter = {i: self._prefix(t, vocab) for t, i in vocab.items()}
         self.compatible = Memo(self._compatible, PAIRS, None)
         by_id = {i: t for t, i in vocab.items()} | {i: s.encode() for s, i in self.splitter.special.items()}
-        size = max(by_id) + 1
-        self.blob = b"".join(by_id.get(i, b"") for i in range(size))
-        self.table = np.frombuffer(self.blob, np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(by_id.get(i, b"")) for i in range(size)])])
+        self.tokens = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)], pa.large_binary())  # bytes and offsets
         self.packed = Memo(self._packed, PIECES)
 
     @staticmethod
@@ -147,28 +147,20 @@ class Bpe:
     def encode_piece(self, piece: str) -> list[int]:
         if piece in self.splitter.special:
             return [self.splitter.special[piece]]
-        raw, compatible = piece.encode("utf-8").decode("latin-1"), self.compatible
-        out, left = [], -1
-        for _, (_, token) in self.automaton.iter_long(raw):  # the longest token at each end of the one before
-            if left >= 0 and not compatible[left << 32 | token]:
-                return self._backtracked(raw)
-            out.append(token)
-            left = token
-        return out
-
-    def _backtracked(self, raw: str) -> list[int]:
-        longest = [-1] * (len(raw) + 1)
-        for end, (length, i) in self.automaton.iter(raw):  # ends ascend, so the last of a start is its longest
-            longest[end - length + 1] = i
-        lengths, compatible, refused, out, at, left, token = self.length, self.compatible, set(), [], 0, -1, longest[0]
+        raw = piece.encode("utf-8").decode("latin-1")
+        longest = [*map(self.byte_id.__getitem__, raw), -1]
+        for end, (back, i) in self.automaton.iter(raw):  # ends ascend, so the last of a start is its longest
+            longest[end - back] = i
+        lengths, compatible, refused, out, at, left, token = self.length, self.compatible, None, [], 0, -1, longest[0]
         while token >= 0:
             end = at + lengths[token]
-            if (left < 0 or compatible[left << 32 | token]) and end not in refused:
+            if (left < 0 or compatible[left << 32 | token]) and (refused is None or end not in refused):
                 out.append(token)
                 at, left, token = end, token, longest[end]
                 continue
             token = self.next_shorter[token]
             if token < 0:
+                refused = refused or set()
                 refused.add(at)
                 token = out.pop()
                 at -= lengths[token]
@@ -188,12 +180,10 @@ class Bpe:
         while first < len(ends):
             begin = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, begin + chunk, "right")))
-            ids = flat[begin : ends[last - 1]]
-            lengths = self.offsets[ids + 1] - self.offsets[ids]
-            to = np.cumsum(lengths)
-            raw = self.table[np.repeat(self.offsets[ids] - to + lengths, lengths) + np.arange(to[-1] if len(to) else 0)].tobytes()
-            cuts = np.concatenate([[0], to])[np.concatenate([[begin], ends[first:last]]) - begin].tolist()
-            out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+            _, offsets, raw = self.tokens.take(pa.array(flat[begin : ends[last - 1]])).buffers()
+            offsets = np.frombuffer(offsets, np.int64)
+            cuts = offsets[np.concatenate([[begin], ends[first:last]]) - begin].tolist()
+            out += [str(memoryview(raw)[a:b], "utf-8", "replace") if b > a else "" for a, b in zip(cuts, cuts[1:], strict=False)]
             first = last
         return out
 
