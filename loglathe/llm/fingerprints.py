@@ -12,7 +12,8 @@ Defined results: null and empty texts, and texts without words, have the
 fingerprint of the empty set, which is like itself only; rows with one id
 follow each other in order of their texts; null ids come first, and the last
 document is followed by the one of the smallest id that is not null; a single
-row is its own next.
+row is its own next; texts of any length count whole; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -127,8 +127,23 @@ def test_fingerprints_estimate_weighted_jaccard(spark):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def plain_fingerprint(text, samples=fingerprints.SAMPLES):
+    """For each sample the term with the least number, each term's numbers made on their own."""
+    from xxhash import xxh3_64_intdigest
+
+    counts = Counter((text or "").lower().split())
+    if not counts:
+        return [0] * samples
+    keys = [fingerprints.packed_keys(np.array([xxh3_64_intdigest(word.encode())], np.uint64), np.array([n]), samples)[0] for word, n in counts.items()]
+    return [min(int(k[s]) for k in keys) & 0xFFFF for s in range(samples)]
+
+
+def share(a, b):
+    return sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+
+
 def test_compare_edited(spark):
-    rows = [(5, "b c d e"), (1, "a b c d e f g h"), (9, None), (7, ""), (12, "z"), (12, "y y")]
+    rows = [(5, "b c d e"), (1, "a b c d e f g h"), (9, None), (7, ""), (12, "z"), (12, "y y"), (13, "long text " * 20_000 + "é"), (14, "Long text\u00a0 b c")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string")
     got = fingerprints.compare_edited(df).collect()
     order = sorted(((i, t or "") for i, t in rows))
@@ -139,6 +154,9 @@ def test_compare_edited(spark):
         h = len(t) // 2
         edited = t[: len(t) - h] + after[:h]
         assert by[i, len(t)]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        own, other, new = (plain_fingerprint(x) for x in (t, after, edited))
+        assert by[i, len(t)]["fingerprint"] == "".join(f"{x:04x}" for x in own) and by[i, len(t)]["edited_fingerprint"] == "".join(f"{x:04x}" for x in new)
+        assert by[i, len(t)]["near_edited"] == share(own, new) and by[i, len(t)]["near_next"] == share(own, other)
     assert by[9, 0]["fingerprint"] == by[7, 0]["fingerprint"] and by[7, 0]["near_next"] == 1.0
     one = fingerprints.compare_edited(spark.createDataFrame([(3, "q r")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
