@@ -12,9 +12,9 @@ Members of one hub's group that are still in different components may be linked
 with each other too. Their sketches alone are compared, in blocks of thousands;
 texts that no sketch of another component comes near are done. For the others, a
 link at the threshold needs a common shingle among each set's rarest ones (as
-many as the threshold lets two sets differ by, and one more), so texts that
-share one of these are a group. Groups of the same texts are one. Their full
-sets are compared in blocks of bounded size, and each block returns no more
+many as the threshold lets two sets differ by, and one more); texts that share
+none of these with a text of another component are done too. The full sets of
+the rest are compared in blocks of bounded size, and each block returns no more
 links than it takes to join its components: no bucket is capped, no pair that
 can be linked is left out, and no group is expanded into pairs.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .shared import forget, partitions, saved, small_batches, small_side
 
-BANDS, ROWS, SKETCH_BITS = 36, 5, 512
+BANDS, ROWS, SKETCH_BITS, COUNT_BITS = 36, 5, 512, 20
 _MIX, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -241,22 +241,51 @@ def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
     return dealt.withColumns({"i": F.least("block", "__other"), "j": F.greatest("block", "__other")}).drop("__count", "__other", "size")
 
 
-def rare_groups(members: DataFrame, sets: DataFrame, share: Fraction, used: list[str]) -> DataFrame:
-    """(t, size, id, d1, component): members that have a shingle in common among their rarest ones, t standing for it.
+def shingle_counts(sets: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
+    """How often shingles of each of ``2**bits`` hash ranges occur: a table of fixed size, gathered from each task's own."""
+
+    def count(batches):
+        own = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(own, (x.values.to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        at = np.nonzero(own)[0]
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(own[at])], names=["at", "n"])
+
+    got = sets.select("set").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits, np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def sharing(members: DataFrame, sets: DataFrame, share: Fraction, used: list[str]) -> DataFrame:
+    """(id, d1) of members that share one of their rarest shingles with one of another component's members.
 
     Two sets of similarity ``share`` or more have a common one among the first
-    n - ceil(share * n) + 1 in any order that holds for all sets.
+    n - ceil(share * n) + 1 in any order that holds for all sets; here by the
+    count of the shingle's hash range, then by the shingle.
     """
-    tokens = saved(sets.select("id", "d1", F.size("set").alias("n"), F.explode("set").alias("t")), "shingles", used)
-    often = saved(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "repeated-shingles", used)
-    ranked = tokens.join(often, "t", "left").withColumn("k", F.row_number().over(W.partitionBy("id", "d1").orderBy(F.coalesce("often", F.lit(1)), "t")))
-    most = F.col("n") - F.ceil(F.col("n") * F.lit(share.numerator) / F.lit(share.denominator)) + 1
-    rare = ranked.where(F.col("often").isNotNull() & (F.col("k") <= most)).select("t", "id", "d1")
-    rare = saved(rare.join(members, ["id", "d1"]), "rare-shingles", used)
-    text = F.xxhash64("id", "d1")
-    groups = rare.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(text).alias("x"), F.sum(text % (1 << 31)).alias("y"))
-    groups = saved(groups.where("low <> high").groupBy("size", "x", "y").agg(F.min("t").alias("t")).select("t", "size"), "rare-groups", used)
-    return rare.join(groups, "t")
+    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))  # of fixed size
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def rarest(batches):
+        counts = shared.value
+        for batch in batches:
+            own = [x.values.to_numpy().view(np.uint64) for x in batch.column("set")]
+            first = []
+            for x in own:
+                often = counts[(x >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                k = len(x) - -(-len(x) * share.numerator // share.denominator) + 1
+                at = np.lexsort((x, often))[:k]
+                first.append(x[at[often[at] > 1]].view(np.int64))
+            row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in first]))
+            flat = np.concatenate(first) if first else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(flat), *[batch.column(c).take(row) for c in ("id", "d1", "component")]], names=["t", "id", "d1", "component"])
+
+    known = sets.join(members.hint("merge"), ["id", "d1"]).select("id", "d1", "component", "set")
+    rare = saved(known.mapInArrow(rarest, f"t long, id {kind}, d1 long, component {kind}"), "rare-shingles", used)
+    across = rare.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
+    return saved(rare.join(across, "t").select("id", "d1").distinct(), "sharing-members", used)
 
 
 def linked(docs: DataFrame, words: int = 5, similarity: str = "0.8", bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, block: int = 512, sketch_block: int = 4096, most_broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -316,8 +345,11 @@ def linked(docs: DataFrame, words: int = 5, similarity: str = "0.8", bands: int
         close = saved(close.join(rest.select("id", "d1", "component").distinct(), ["id", "d1"]), "near-members", used)
         if not close.isEmpty():
             sets = sets_of(docs, close, words, most_broadcast_rows, used)
-            groups = in_blocks(rare_groups(close, sets.join(close.select("id", "d1"), ["id", "d1"], "left_semi"), share, used).withColumnRenamed("t", "group"), "group", block)
-            more = deal(groups.join(sets, ["id", "d1"])).applyInPandas(lambda pdf: block_links(pdf, share), f"a {kind}, b {kind}")
+            left = rest.join(sharing(close, sets, share, used), ["id", "d1"], "left_semi").drop("size")
+            left = saved(left, "sharing-groups", used)
+            sizes = left.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("hub", "size")
+            dealt = in_blocks(left.join(sizes, "hub").withColumnRenamed("hub", "group"), "group", block)
+            more = deal(dealt.join(sets, ["id", "d1"])).applyInPandas(lambda pdf: block_links(pdf, share), f"a {kind}, b {kind}")
             more = saved(more, "block-links", used)
             if not more.isEmpty():
                 found = components(links.unionByName(more))
