@@ -152,9 +152,28 @@ def _bit_plan() -> tuple[dict[str, dict[str, int]], dict[str, int], dict[str, in
 KEY_BITS, SHAPE_BITS, KNOWN_BITS = _bit_plan()
 
 
+def _literal_map(entries: dict[str, str]) -> Column:
+    """A map from plain names to SQL literals, as one expression: built piece by piece, it would cost seconds."""
+    return F.expr(f"map({', '.join(f'{key!r}, {value}' for key, value in entries.items())})")
+
+
+def _names(names) -> str:
+    """A list of plain names for SQL's IN."""
+    return ", ".join(map(repr, names))
+
+
+def _entries(column: str, names) -> Column:
+    """Entries of a map column under these names."""
+    return F.expr(f"filter(map_entries({column}), e -> e.key IN ({_names(names)}))")
+
+
+def _alias_map(table: dict) -> Column:
+    return _literal_map({name: repr(field) for name, field in fields.aliases(table).items()})
+
+
 def _codes(time: Column, other_time: Column) -> Column:
     """The bits of each known key of a line."""
-    table = F.create_map(*[x for key, bits in KEY_BITS.items() for x in (F.lit(key), F.struct(*[F.lit(bits[c]).cast("long").alias(c) for c in CLASSES]))])
+    table = _literal_map({key: f"named_struct({', '.join(f'{c!r}, {bits[c]}L' for c in CLASSES)})" for key, bits in KEY_BITS.items()})
     times, others = fields.TIME_NAMES, [n for n in fields.MESSAGE["timestamp"][0] if n not in fields.TIME_NAMES]
 
     def code(e: Column) -> Column:
@@ -168,7 +187,7 @@ def _codes(time: Column, other_time: Column) -> Column:
         )
         return _with(table[key], chosen)
 
-    return F.transform(F.filter(F.map_entries("__types"), lambda e: e["key"].isin(list(KEY_BITS))), code)
+    return F.transform(_entries("__types", KEY_BITS), code)
 
 
 def _text_of(names: list[str]) -> Column:
@@ -197,7 +216,7 @@ def classified(lines: DataFrame, line_col: str = "line") -> DataFrame:
         """How many keys of the line, with repeats, the shape knows."""
         table = REQUIRED.get(shape, fields.MESSAGE)
         distinct = F.size(F.filter("__codes", lambda c: c.bitwiseAND(F.lit(KNOWN_BITS[shape])) != 0))
-        return F.when(once, distinct).otherwise(F.size(F.filter("__keys", lambda k: k.isin(fields.names(table)))))
+        return F.when(once, distinct).otherwise(F.expr(f"size(filter(__keys, k -> k IN ({_names(fields.names(table))})))"))
 
     required = lambda shape: has(SHAPE_BITS[shape]) & (known(shape) == len(REQUIRED[shape]))
     message = has(SHAPE_BITS["message needs"]) & (bits.bitwiseAND(F.lit(KNOWN_BITS["broken"])) == 0) & (F.bit_count(bits.bitwiseAND(F.lit(SHAPE_BITS["message"]))) == known("message"))
@@ -213,7 +232,7 @@ def classified(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 def resolve_aliases(table: dict) -> Column:
     """Map of own field names to values of the keys that ``table`` knows; the later of two names wins."""
-    alias = F.create_map(*[F.lit(x) for pair in fields.aliases(table).items() for x in pair])
+    alias = _alias_map(table)
     known = F.array_distinct(F.reverse(F.filter("__keys", lambda k: alias[k].isNotNull())))
     last = F.filter(known, lambda k, i: ~F.exists(F.slice(known, 1, i), lambda x: alias[x] == alias[k]))
     return F.map_from_entries(F.transform(last, lambda k: F.struct(alias[k].alias("key"), F.to_json(F.col("__map")[k]).alias("value"))))
@@ -222,7 +241,7 @@ def resolve_aliases(table: dict) -> Column:
 def rest_map(table: dict) -> Column:
     """Keys that the shape doesn't know, sorted, with their values as JSON text."""
     known = fields.names(table)
-    rest = F.map_filter("__map", lambda k, v: ~k.isin(known)) if known else F.col("__map")
+    rest = F.expr(f"map_filter(__map, (k, v) -> k NOT IN ({_names(known)}))") if known else F.col("__map")
     return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(rest, lambda k, v: F.to_json(v)))))
 
 
@@ -240,8 +259,8 @@ def _typed(found: Column, field: str, kind: str) -> Column:
 
 
 def _record(shape: str, table: dict) -> Column:
-    alias = F.create_map(*[F.lit(x) for pair in fields.aliases(table).items() for x in pair])
-    named = lambda m: F.map_from_entries(F.transform(F.filter(F.map_entries(m), lambda e: e["key"].isin(fields.names(table))), lambda e: F.struct(alias[e["key"]].alias("key"), e["value"].alias("value"))))
+    alias = _alias_map(table)
+    named = lambda m: F.map_from_entries(F.transform(_entries(m, fields.names(table)), lambda e: F.struct(alias[e["key"]].alias("key"), e["value"].alias("value"))))
     found = F.struct(named("__map").alias("values"), named("__types").alias("types"))
     record = lambda x: F.struct(*[_typed(x, f, kind).alias(f) for f, (_, kind) in table.items()], rest_map(table).alias("rest"))
     return F.when(F.col("shape") == shape, _with(found, record))

@@ -12,13 +12,22 @@ from ..plans.landing import scratch
 KEYS = ["ts", "ts_nanos", "__file_parts", "line_no"]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what follows doesn't compute it again."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def merge_chronological(lines: DataFrame) -> DataFrame:
     """Order by time (rows without one last), then file by path parts, then line number.
 
     One range shuffle; file and line number are in the key, so rows without a
-    time, or with one hot second, are still dealt over all partitions.
+    time, or with one hot second, are still dealt over all partitions. The lines
+    are written before it: the shuffle samples its input, which would decode
+    every line a second time.
     """
-    keyed = lines.withColumn("__file_parts", F.split("file", "/"))
+    keyed = written(lines, "to-merge").withColumn("__file_parts", F.split("file", "/"))
     return keyed.orderBy(F.col("ts").asc_nulls_last(), F.coalesce("ts_nanos", F.lit(0)), "__file_parts", "line_no").drop("__file_parts")
 
 
@@ -29,11 +38,8 @@ def with_position(ordered: DataFrame, name: str = "pos") -> DataFrame:
     each) are summed up and added. The frame is written once with both numbers:
     evaluated twice, a range shuffle may cut its partitions elsewhere.
     """
-    spark, path = ordered.sparkSession, scratch(ordered.sparkSession, "ordered")
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    tagged = ordered.withColumns({"__part": F.spark_partition_id(), "__own": own})
-    tagged.write.parquet(path)
-    tagged = spark.read.schema(tagged.schema).parquet(path)
+    tagged = written(ordered.withColumns({"__part": F.spark_partition_id(), "__own": own}), "ordered")
     sizes = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # one row for each partition

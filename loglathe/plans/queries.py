@@ -44,7 +44,7 @@ def query(sql: str | None = None, events: bool = True):
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     decode.configure(spark)
-    return decode.classified(sources.spread(synth.log_lines(spark, sf_dir)))
+    return decode.classified(sources.spread(synth.log_lines(spark, sf_dir), "line_no"))
 
 
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,7 +463,7 @@ def wide_message_records(spark, sf_dir):
     bare = _WIDE_NUMBERS | {"resource"}
     parts = [F.concat(F.lit(f',"{name}":'), v if f in bare else F.concat(F.lit('"'), v, F.lit('"'))) for (f, (name, _)), v in zip(_WIDE.items(), values.values(), strict=True)]
     lines = ev.select(F.col("event_id").alias("line_no"), F.concat(F.lit('{"body":"w","severity":"i"'), *parts, F.lit("}")).alias("line"))
-    p = decode.classified(sources.spread(lines)).where("shape = 'message'").withColumn("r", decode.message_record())
+    p = decode.classified(sources.spread(lines, "line_no")).where("shape = 'message'").withColumn("r", decode.message_record())
     return p.select("line_no", *[F.col(f"r.{f}") for f in _WIDE], F.array_join(render.message_cells(F.col("r")), "  ").alias("cells"))
 
 

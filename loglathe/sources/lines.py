@@ -40,10 +40,10 @@ def read_sources(spark: SparkSession, patterns: list[str], raw: bool = False) ->
     return read_lines(spark, expand_paths(spark, patterns), raw)
 
 
-def spread(lines: DataFrame) -> DataFrame:
-    """Deal the lines over all cores if they come in fewer splits than there are cores; else leave them where they are."""
+def spread(lines: DataFrame, *by: str) -> DataFrame:
+    """Deal lines just read over all cores, by a hash of the columns ``by``, if they come in fewer splits than there are cores; else leave them where they are."""
     cores = lines.sparkSession.sparkContext.defaultParallelism
-    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+    return lines.repartition(cores, *by) if lines.rdd.getNumPartitions() < cores else lines
 
 
 def block_starts(lines: DataFrame, amount: Column, by: str = "file") -> DataFrame:
