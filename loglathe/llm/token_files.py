@@ -3,10 +3,12 @@
 The ids of all documents, in ascending id order, form one stream. It is cut by
 ranges of the document id into files; within a file the stream is laid out in
 sequences of ``seq_len`` ids, a fixed-size list each (16-bit ids where the
-vocabulary allows), beside a fixed-size list of mask bytes (1: an id; 0:
-padding at the file's end). Record batches have
-``batch_rows`` sequences, so a memory-mapped file gives any sequence with its
-mask, or any document, as views of the file without decoding. Beside ``tokens-N.arrow``
+vocabulary allows), beside the number of its ids (all, but in a file's last
+sequence, which is padded with 0). Record batches have ``batch_rows`` sequences,
+so a memory-mapped file gives any sequence, or any document, as a view of the
+file without decoding. A mask (1: an id; 0: padding) follows from the number, as
+a view of one constant array: ones, then zeros. A mask byte for each id in the
+file would cost half as much again as 16-bit ids. Beside ``tokens-N.arrow``
 lies ``tokens-N.index.arrow``: doc_id, start within the file, n_tokens.
 
 A task writes under a name of its own attempt; only the names that successful
@@ -22,6 +24,7 @@ The folder must be one that every executor can open by pyarrow.
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 
@@ -61,7 +64,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_
     n = partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
     kind = np.uint16 if width == 2 else np.uint32
-    schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), seq_len)), ("length", pa.int32())])
 
     def write(batches):
         fs, top = local_path(folder)
@@ -75,8 +78,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", ids_
                 own = values[at : min(size, at + block)]
                 pad = -len(own) % seq_len
                 ids = np.concatenate([own, np.zeros(pad, kind)])
-                mask = np.concatenate([np.ones(len(own), np.uint8), np.zeros(pad, np.uint8)])
-                out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), seq_len) for x in (ids, mask)], schema=schema))
+                length = np.full(len(ids) // seq_len, seq_len, np.int32)
+                length[len(length) - 1 :] -= pad
+                out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), seq_len), pa.array(length)], schema=schema))
             return values[size:]
 
         for batch in batches:
@@ -138,13 +142,22 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.repartition(max(1, partitions(manifest.sparkSession)), "part").mapInArrow(read, DOCUMENTS)
 
 
+@functools.lru_cache(maxsize=8)
+def ones_then_zeros(seq_len: int) -> np.ndarray:
+    out = np.repeat(np.array([1, 0], np.uint8), seq_len)
+    out.flags.writeable = False
+    return out
+
+
 def sequence(path: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sequence and its mask of a local file, both as views of the mapped file."""
+    """One sequence of a local file, as a view of the mapped file, and its mask, as a view of a constant array."""
     source = pa.memory_map(path)
     reader = pa.ipc.open_file(source)
     rows = reader.get_batch(0).num_rows
     batch = reader.get_batch(number // rows)
-    return tuple(batch.column(c)[number % rows].values.to_numpy(zero_copy_only=True) for c in (0, 1))
+    ids = batch.column(0)[number % rows].values.to_numpy(zero_copy_only=True)
+    length, seq_len = batch.column(1)[number % rows].as_py(), len(ids)
+    return ids, ones_then_zeros(seq_len)[seq_len - length : 2 * seq_len - length]
 
 
 def token_files(spark: SparkSession, docs: DataFrame, folder: str, **options) -> tuple[DataFrame, DataFrame]:

@@ -89,4 +89,9 @@ def test_token_files(spark, library):
     files = [f for f in manifest.collect() if f["n_tokens"] >= 16]
     ids, mask = token_files.sequence(files[0]["path"], 0)
     assert len(ids) == 16 and mask.all() and ids.base is not None and mask.base is not None and not mask.flags.writeable
+    for f in files:
+        for number in range(-(-f["n_tokens"] // 16)):
+            ids, mask = token_files.sequence(f["path"], number)
+            want = min(16, f["n_tokens"] - 16 * number)
+            assert mask.tolist() == [1] * want + [0] * (16 - want) and not ids[want:].any() and mask.base is not None
     assert token_files.token_files(spark, packed.limit(0), scratch(spark, "none"), width=2)[1].count() == 0
