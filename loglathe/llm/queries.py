@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, line_runs, odd_sketches, pseudonyms, token_files, toxicity, url_cascade, warc_bundles
+from . import bpe, decontamination, fingerprints, line_runs, odd_sketches, phrases, pseudonyms, secrets, token_files, toxicity, url_cascade, warc_bundles, whitening
 from .shared import scratch, table
 
 #: The rules of the url query, (verdict, host, path).
@@ -72,7 +73,44 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_warc_bundles, op4_token_files, op5_bpe, op6_pseudonyms, op7_url_cascade, op8_fingerprints, op9_near_dedup, op10_line_dedup)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, first=2000, percent=80)
+
+
+_ALL = [op1_decontamination, op2_toxicity, op3_warc_bundles, op4_token_files, op5_bpe, op6_pseudonyms, op7_url_cascade, op8_fingerprints, op9_near_dedup, op10_line_dedup, op11_secrets, op12_whitening, op13_phrases]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+
+def _base_sql() -> str:
+    """Spans of the known forms: lengths of the gaps between matches and of the matches, summed up."""
+    parts = []
+    for rank, (kind, (pattern, group, least)) in enumerate(secrets.BASE.items()):
+        p = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, unnest(range(len(f))) AS i, f, m, g, {least} AS least FROM
+            (SELECT doc_id, regexp_extract_all(text, '{p}') AS f, regexp_extract_all(text, '{p}', {group}) AS m, string_split_regex(text, '{re.sub(r"[(](?![?])", "(?:", p)}') AS g FROM t)""")
+    return " UNION ALL ".join(parts)
+
+
+def _tense_sql() -> str:
+    """Candidates, each with its place in the text."""
+    parts = []
+    for rank, (kind, (one, symbols, window, entropy)) in enumerate(secrets.CLASSES.items(), len(secrets.BASE)):
+        p = f"{one}{{{window},}}"
+        lower = "lower(x)" if symbols == symbols.lower() else "x"
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, i, {window} AS w, {secrets.most_weight(window, entropy)} AS lim, f[i + 1] AS x, {lower.replace("x", "f[i + 1]")} AS y, f, g FROM
+            (SELECT *, unnest(range(len(f))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS f, string_split_regex(text, '{p}') AS g FROM t))""")
+    return " UNION ALL ".join(parts)
+
+
+_WEIGHTS = secrets.weights(max(window for _, _, window, _ in secrets.CLASSES.values()))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -104,4 +142,39 @@ SQL = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
         FROM j GROUP BY doc_id""",
+    "op11_secrets": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        b0 AS ({_base_sql()}),
+        b AS (SELECT doc_id, rank, kind, coalesce(list_sum(list_transform(f[1:i], lambda a: length(a))), 0) + list_sum(list_transform(g[1:i + 1], lambda a: length(a))) AS s, length(f[i + 1]) AS n FROM b0 WHERE length(m[i + 1]) >= least),
+        c0 AS ({_tense_sql()}),
+        c AS (SELECT doc_id, rank, kind, w, lim, x, y, coalesce(list_sum(list_transform(f[1:i], lambda a: length(a))), 0) + list_sum(list_transform(g[1:i + 1], lambda a: length(a))) AS s FROM c0
+              WHERE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND NOT ({" OR ".join(f"regexp_matches(x, '{form}')" for form in secrets.ALLOW)})),
+        win AS (SELECT *, unnest(range(length(x) - w + 1)) AS p FROM c),
+        ch AS (SELECT doc_id, rank, kind, w, lim, x, s, p, substr(y, p + unnest(range(w)) + 1, 1) AS l FROM win),
+        cnt AS (SELECT doc_id, rank, kind, w, lim, x, s, p, l, count(*) AS k FROM ch GROUP BY ALL),
+        hot AS (SELECT doc_id, rank, kind, w, x, s, p FROM cnt GROUP BY doc_id, rank, kind, w, lim, x, s, p HAVING sum({_WEIGHTS}[k + 1]) <= lim),
+        cut AS (SELECT *, CASE WHEN lag(p) OVER (PARTITION BY doc_id, rank, s ORDER BY p) >= p - w THEN 0 ELSE 1 END AS begins FROM hot),
+        isle AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, rank, s ORDER BY p) AS no FROM cut),
+        e AS (SELECT doc_id, rank, kind, s + min(p) AS s, max(p) + w - min(p) AS n, substr(x, min(p)::INT + 1, (max(p) + w - min(p))::INT) AS y FROM isle GROUP BY doc_id, rank, kind, w, x, s, no),
+        every AS (SELECT doc_id, rank, kind, s, n, true AS base FROM b UNION ALL SELECT doc_id, rank, kind, s, n, false FROM e WHERE regexp_matches(y, '[0-9]') AND regexp_matches(y, '[A-Za-z]')),
+        r AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                     string_agg(kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, rank) FILTER (base) AS base, string_agg(kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, rank) AS spans FROM every GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN r ON t.doc_id = r.doc_id""",
+    "op13_phrases": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+        cuts AS (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM c),
+        s AS (SELECT c.lang, c.k, c.phrase, c.a, c.j, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a + r.a))::BIGINT AS score FROM cuts c
+              JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.j + 1:], ' ')),
+        b AS (SELECT lang, k, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        q AS (SELECT lang, a, ws, unnest(range(2, k)) AS m FROM (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE k > 2)),
+        i AS (SELECT lang, a, unnest(list_transform(range(1, len(ws) - m + 2), lambda x: array_to_string(ws[x:x + m - 1], ' '))) AS phrase FROM q),
+        o AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+        d AS (SELECT b.* FROM b LEFT JOIN o ON b.lang = o.lang AND b.phrase = o.phrase WHERE o.longer IS NULL OR 100 * o.longer < 80 * b.a),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM d)
+        SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n ON z.lang = n.lang WHERE rank <= 2000""",
 }
