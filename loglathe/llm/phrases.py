@@ -14,7 +14,10 @@ later of its two steps is within the last cycle. Tasks take texts apart a few MB
 at a time and send each different phrase once with its count; two bitmaps of
 fixed size (phrases that have passed; those that passed within the last cycle)
 spare them most others. A bitmap only lets too many pass; joins with the table
-of passed phrases decide.
+of passed phrases decide. A first pass over the texts counts words and pairs by
+hash in two tables of fixed size; what shares its place with less than ``least``
+occurrences can't reach the threshold and isn't counted at all. This sieve too
+only ever lets too many pass.
 
 Words are in lower case (A-Z only), pieces end at punctuation and line breaks,
 and everything is counted for each language by itself.
@@ -29,7 +32,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -45,6 +49,7 @@ LONGEST = 4
 #: Bits of a bitmap: fixed, whatever the corpus; a full one costs time, never results.
 BITS = 24
 TEXT_BYTES = 8 << 20  # taken apart at once
+CHUNK = 1 << 12  # places of the sieve in one row
 BREAK = b"A"  # no word has a capital letter by then
 TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = re.compile(rb"[.,;:!?\n-\r]")
@@ -81,6 +86,15 @@ def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
 
 
+class Maps(NamedTuple):
+    """Bitmaps by hash: phrases that have passed, those of the last cycle; words and pairs that may reach the threshold."""
+
+    passed: np.ndarray
+    recent: np.ndarray
+    words: np.ndarray
+    pairs: np.ndarray
+
+
 def _tally(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each key's group, a place of each group, its size)."""
     codes, _ = pd.factorize(keys)
@@ -90,29 +104,38 @@ def _tally(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, first, np.bincount(codes, minlength=groups)
 
 
-def _counts(lang: str, texts: list[bytes], with_words: bool, passed: np.ndarray, recent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _coded(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """(number of each word in the dictionary, the dictionary); number 0 is a break."""
+    coded = pa.array([BREAK, *words_of(b"\n".join(texts)), *[BREAK] * LONGEST], pa.binary()).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _counts(lang: str, texts: list[bytes], with_words: bool, maps: Maps) -> Iterator[pa.RecordBatch]:
     """Counts of words (if wanted) and of phrases that may be active, over texts of one language."""
-    words = [BREAK, *words_of(b"\n".join(texts)), *[BREAK] * LONGEST]
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    del words
-    at, dictionary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    at, dictionary = _coded(texts)
     kinds = len(dictionary)
 
     def batch(size: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), phrases.cast(pa.string()), pa.array(n, pa.int64())], schema=COUNTS)
 
+    own = _word_hashes(dictionary, lang)
     if with_words:
         n = np.bincount(at, minlength=kinds)
         yield batch(0, pa.array([b""], pa.binary()), np.array([n[1:].sum()]))
-        yield batch(1, dictionary[1:], n[1:])
-    own = _word_hashes(dictionary, lang)
-    frequent, fresh = _in(passed, own), _in(recent, own)
+        able = np.nonzero(_in(maps.words, own))[0]
+        able = able[able > 0]
+        yield batch(1, dictionary.take(pa.array(able)), n[able])
+    frequent, fresh = _in(maps.passed, own), _in(maps.recent, own)
     frequent[0] = False  # a break
     there, new, h = frequent[at], fresh[at], own[at]  # of the phrase that begins at each place
     codes, h1 = at, own[at]
     for size in range(2, LONGEST + 1):
         places = np.nonzero(there[:-1] & there[1:])[0]
         places = places[places < len(at) - size + 1]
+        longer = _longer(h[places], h1[places + size - 1])
+        if size == 2:
+            able = _in(maps.pairs, longer)
+            places, longer = places[able], longer[able]
         if not len(places):
             return
         group, first, n = _tally(codes[places] * kinds + at[places + size - 1], places)
@@ -123,9 +146,8 @@ def _counts(lang: str, texts: list[bytes], with_words: bool, passed: np.ndarray,
             yield batch(size, pc.binary_join_element_wise(*parts, b" "), n[counted])
         if size == LONGEST:
             return
-        longer = _longer(h[places], h1[places + size - 1])
         there, new, h, codes = np.zeros(len(at), bool), np.zeros(len(at), bool), np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
-        there[places], new[places], h[places], codes[places] = _in(passed, longer), _in(recent, longer), longer, group
+        there[places], new[places], h[places], codes[places] = _in(maps.passed, longer), _in(maps.recent, longer), longer, group
 
 
 def _cut(text: bytes, most: int = TEXT_BYTES) -> Iterator[bytes]:
@@ -137,27 +159,80 @@ def _cut(text: bytes, most: int = TEXT_BYTES) -> Iterator[bytes]:
     yield text[begin:]
 
 
-def scan(texts: DataFrame, with_words: bool, passed: np.ndarray, recent: np.ndarray) -> DataFrame:
-    """(lang, size, phrase, n) of a shard; size 0 is the number of words of a language."""
-    maps = texts.sparkSession.sparkContext.broadcast((passed, recent))  # fixed size
+def _by_language(batches: Iterator[pa.RecordBatch], use: Callable[[str, list[bytes]], Iterator]) -> Iterator:
+    """``use`` of some MB of texts of one language at a time."""
+    held, size = {}, 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+    def flush() -> Iterator:
+        for lang, own in held.items():
+            yield from use(lang, own)
+        held.clear()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, own in held.items():
-                yield from _counts(lang, own, with_words, *maps.value)
-            held.clear()
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for part in _cut(text.as_py()):
+                held.setdefault(lang, []).append(part)
+                size += len(part)
+                if size >= TEXT_BYTES:
+                    yield from flush()
+                    size = 0
+    yield from flush()
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                for part in _cut(text.as_py()):
-                    held.setdefault(lang, []).append(part)
-                    size += len(part)
-                    if size >= TEXT_BYTES:
-                        yield from flush()
-                        size = 0
-        yield from flush()
+
+def sieve(texts: DataFrame, least: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the hashes of words and of pairs whose places have ``least`` occurrences or more.
+
+    Each task counts in two tables of one byte a place and sends them once; so few
+    tasks (two a core) take many files each, whatever the size of the corpus.
+    """
+    spark, most = texts.sparkSession, min(least, 255)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((2, 1 << bits), np.uint8)
+
+        def count(lang: str, own: list[bytes]) -> Iterator:
+            at, dictionary = _coded(own)
+            h = _word_hashes(dictionary, lang)
+            n = np.bincount(at, minlength=len(h))
+            n[0] = 0
+            whole = pd.Series(n).groupby(_slots(h, bits)).sum()
+            add(0, whole.index.to_numpy(), whole.to_numpy())
+            first = np.nonzero((at[:-1] > 0) & (at[1:] > 0))[0]
+            pairs = _slots(_longer(h[at[first]], h[at[first + 1]]), bits).view(np.int64)
+            _, place, size = _tally(pairs, np.arange(len(pairs)))
+            add(1, pairs[place], size)
+            return iter(())
+
+        def add(k: int, places: np.ndarray, n: np.ndarray) -> None:
+            places = places.astype(np.int64)
+            tables[k][places] = np.minimum(tables[k][places] + n, 255)
+
+        for _ in _by_language(batches, count):
+            pass
+        chunks = tables.reshape(-1, CHUNK)
+        for number in np.nonzero(chunks.any(axis=1))[0]:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int32()), "counts": pa.array([chunks[number].tobytes()], pa.binary())})
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), np.uint8)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "able": pa.array([np.packbits(total >= most, bitorder="little").tobytes()], pa.binary())})
+
+    dealt = texts.select("lang", "text").coalesce(2 * spark.sparkContext.defaultParallelism)
+    found = dealt.mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(merge, "chunk int, able binary")
+    out = np.zeros((2 << bits) // 64, np.uint64)
+    for r in found.toLocalIterator():  # a bit a place
+        out[r["chunk"] * CHUNK // 64 : (r["chunk"] + 1) * CHUNK // 64] = np.frombuffer(r["able"], np.uint64)
+    return out[: len(out) // 2], out[len(out) // 2 :]
+
+
+def scan(texts: DataFrame, with_words: bool, maps: Maps) -> DataFrame:
+    """(lang, size, phrase, n) of a shard; size 0 is the number of words of a language."""
+    shared = texts.sparkSession.sparkContext.broadcast(maps)  # fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_language(batches, lambda lang, own: _counts(lang, own, with_words, shared.value))
 
     return texts.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, n long")
 
@@ -201,6 +276,7 @@ def counted(docs: DataFrame, least: int = 30, shards: int = 3, bits: int = BITS)
     dealt.write.partitionBy("shard").parquet(folder)
     texts = spark.read.schema("lang string, text string, shard int").parquet(folder)
     kind = "lang string, size int, phrase string, n long, start int, step int"
+    able = sieve(texts, least, bits)
     totals, until, cohorts, t = spark.createDataFrame([], kind), [], [], 0
     while True:
         recent = [m for m in cohorts[-shards:] if m.any()]
@@ -208,7 +284,7 @@ def counted(docs: DataFrame, least: int = 30, shards: int = 3, bits: int = BITS)
             break
         empty = np.zeros(1 << bits - 6, np.uint64)
         both = [np.bitwise_or.reduce([empty, *maps]) for maps in (cohorts, recent)]
-        found = scan(texts.where(F.col("shard") == t % shards), t < shards, *both)
+        found = scan(texts.where(F.col("shard") == t % shards), t < shards, Maps(*both, *able))
         found = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
         words = found.where("size < 2").withColumn("start", F.lit(0))
         rows = totals.unionByName(words.withColumn("step", F.lit(None).cast("int")))

@@ -77,7 +77,7 @@ def test_long_texts_are_cut_between_pieces(spark):
 
 def test_full_bitmaps_change_nothing(spark):
     r = random.Random(8)
-    check(spark, [("en", " ".join(r.choice("abcdef") for _ in range(40))) for _ in range(40)], least=12, bits=6)
+    check(spark, [("en", " ".join(r.choice("abcdef") for _ in range(40))) for _ in range(40)], least=12, bits=12)
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [("en", "")], [("en", "once only")]])
