@@ -19,7 +19,7 @@ Defined results: null and empty texts are one empty line; rows with one id are
 separate documents for the count, and all of them keep the line if theirs is the
 largest id; a null id is below all others; texts and lines of any length count
 whole; an empty table gives an empty result; other columns are kept, but columns
-named __lines, __dropped, __kept, __drops or __id are replaced.
+named __lines, __dropped, __kept, __drops, __mine, __own or __id are replaced.
 
 The runs are tables of the session's catalog while the work lasts; they and
 their files are dropped at its end.
@@ -116,10 +116,22 @@ class SortedRuns:
         return out.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
 
+def own_key() -> Column:
+    """What tells rows without an id apart: a hash of the text; null for all others."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
+def within(ordered: Column, value: Column) -> Column:
+    """Is a value in a sorted array? By halving steps, since array_contains looks at all of it."""
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size(ordered))).cast("int"), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(ordered, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
+    return F.get(F.transform(F.array(below), lambda n: F.coalesce(F.get(ordered, n - 1) == value, F.lit(False))), F.lit(0))
+
+
 def line_keys(docs: DataFrame, least_chars: int = 20) -> DataFrame:
-    """One row for each document and distinct long key: __id, h1, h2."""
+    """One row for each document and distinct long key: __id, __own (of rows without an id), h1, h2."""
     keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= least_chars)
-    return docs.select(F.col("doc_id").alias("__id"), F.explode(F.transform(F.array_distinct(keys), _hash)).alias("h")).select("__id", "h.h1", "h.h2")
+    return docs.select(F.col("doc_id").alias("__id"), own_key().alias("__own"), F.explode(F.transform(F.array_distinct(keys), _hash)).alias("h")).select("__id", "__own", "h.h1", "h.h2")
 
 
 def deduped(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, batches: int = 4, fan_in: int = 2, most_broadcast_rows: int = 200_000) -> DataFrame:
@@ -140,11 +152,12 @@ def deduped(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, batches
     frequent = saved(runs.totals().where(F.col("n") >= least_docs).select("h1", "h2", "keeper"), "frequent-lines")
     hit = keys.join(small_side(frequent, frequent.count(), most_broadcast_rows), ["h1", "h2"]).where(~F.col("__id").eqNullSafe(F.col("keeper")))
     runs.close()
-    drops = saved(hit.groupBy("__id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")), "line-drops")
+    drops = saved(hit.groupBy("__id", "__own").agg(F.sort_array(F.collect_set(F.struct("h1", "h2"))).alias("__drops")), "line-drops")
     forget(spark, path)
     # Hash arrays are wide and grow with the corpus, so the texts are always dealt by id, at any size.
-    joined = docs.join(drops.hint("merge"), docs["doc_id"].eqNullSafe(drops["__id"]), "left").drop("__id")
+    keyed = docs.withColumn("__mine", own_key())
+    joined = keyed.join(drops.hint("merge"), keyed["doc_id"].eqNullSafe(drops["__id"]) & keyed["__mine"].eqNullSafe(drops["__own"]), "left").drop("__id", "__own", "__mine")
     lines = lines_of(F.col("text"))
-    kept = F.when(F.col("__drops").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(line_key(x)) < least_chars) | ~F.array_contains(F.col("__drops"), _hash(line_key(x)))))
+    kept = F.when(F.col("__drops").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(line_key(x)) < least_chars) | ~within(F.col("__drops"), _hash(line_key(x)))))
     out = joined.withColumn("__kept", kept).withColumns({"__lines": F.size(lines).cast("long"), "__dropped": (F.size(lines) - F.size("__kept")).cast("long")})
     return out.withColumn("text", F.array_join("__kept", "\n")).drop("__kept", "__drops")

@@ -19,6 +19,10 @@ pseudonym, in every document, and different values get different ones.
 - telephone numbers, US social security numbers and e-mail names: digits and
   letters are permuted within their classes, all else stays.
 
+Out of form, and left as they are: card numbers with a letter right before or
+after them (card4111..., 4111...x), or with other separators (``/``, ``_``);
+IBANs in lower case; of an e-mail name over 64 characters, all but the last 64.
+
 Only Spark expressions are used: texts are split at the found values, and the
 values alone are transformed. All rounds are SHA-2 over the key, which is a
 parameter.
@@ -42,7 +46,7 @@ MARK = "\x01"
 ESCAPED = (("\x02", "\x02\x04"), (MARK, "\x02\x03"))
 #: The forms that are looked for, in order.
 FORMS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "date": r"(?<![\d./-])(?:(?:18|19|20|21)\d{2}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.](?:18|19|20|21)\d{2})(?![\d/-]|\.\d)",
@@ -50,9 +54,11 @@ FORMS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\dA-Za-z])\d(?:[ .-]?\d){12,18}(?![\dA-Za-z])",
 }
-#: Runs of groups in which stretches are tried: grouped IBANs, cards.
-IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}){2,}(?:[ -][A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD_RUN = r"(?<![\dA-Za-z+])\d(?:[ .-]?\d){12,}(?![\dA-Za-z])"
+#: Runs of groups in which stretches are tried: grouped IBANs, cards. Nothing is given back once taken, so runs of any length need no stack.
+IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}(?![A-Za-z0-9])){2,}+(?:[ -][A-Z0-9]{1,3}(?![A-Za-z0-9]))?+"
+CARD_RUN = r"(?<![\dA-Za-z+])(?=\d(?:[ .-]?\d){12})\d++(?![A-Za-z])(?:[ .-]\d++(?![A-Za-z]))*+"
+CARD_DIGITS, IBAN_CHARS = (13, 19), (15, 34)
+BLOCK = 256
 IBAN_GROUPS = r"[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?"
 ROUNDS, EPOCH, DAYS = 8, "1800-01-01", (189, 773)
 
@@ -130,7 +136,7 @@ def _filled(value: Column, new: Column) -> Column:
 
 
 def is_card(digits: Column) -> Column:
-    return F.length(digits).between(13, 19) & (F.pmod(luhn_sum(digits), F.lit(10)) == 0) & (F.length(F.replace(digits, F.lit("0"))) > 0)
+    return F.length(digits).between(*CARD_DIGITS) & (F.pmod(luhn_sum(digits), F.lit(10)) == 0) & (F.length(F.replace(digits, F.lit("0"))) > 0)
 
 
 def card(value: Column, key: str) -> Column:
@@ -148,7 +154,7 @@ def _mod97(text: Column) -> Column:
 
 
 def is_iban(text: Column) -> Column:
-    return F.length(text).between(15, 34) & (_mod97(F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))) == 1)
+    return F.length(text).between(*IBAN_CHARS) & (_mod97(F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))) == 1)
 
 
 def iban(value: Column, key: str) -> Column:
@@ -211,22 +217,61 @@ def _within(text: Column, form: str, change) -> Column:
     return _with(text, lambda t: F.when(F.rlike(t, F.lit(form)), outer(t)).otherwise(t))
 
 
-def _stretches(run: Column, valid) -> Column:
-    """``run`` with its valid stretches of whole groups marked: the longest first, none over another."""
+SPANS = "array<struct<a:int,b:int>>"
+
+
+def _dense(spans: Column, size: Column) -> Column:
+    """For each group: 0 outside of all spans, 1 first of one, 2 within, 3 last, 4 first and last. Spans are sorted and don't overlap."""
+    one = lambda x: F.when(x["a"] == x["b"], F.array(F.lit(4))).otherwise(F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(2), x["b"] - x["a"] - 1), F.array(F.lit(3))))
+    gap = lambda n: F.array_repeat(F.lit(0), n)
+    parts = F.transform(spans, lambda x, i: F.concat(gap(x["a"] - F.coalesce(F.get(spans, i - 1)["b"] + 1, F.lit(0))), one(x)))
+    return F.concat(F.flatten(parts), gap(size - F.coalesce(F.get(spans, F.size(spans) - 1)["b"] + 1, F.lit(0))))
+
+
+def _leftmost(spans: Column) -> Column:
+    """Of spans of one length in order, the first, and then each that is beyond the last one taken; in blocks, since an array that grows is copied."""
+    none = F.array().cast(SPANS)
+
+    def take(state: Column, x: Column) -> Column:
+        free = x["a"] > state["last"]
+        return F.struct(F.when(free, x["b"]).otherwise(state["last"]).alias("last"), F.when(free, F.concat(state["got"], F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"))))).otherwise(state["got"]).alias("got"))
+
+    def block(state: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(spans, k * BLOCK + 1, F.lit(BLOCK)), F.struct(state["last"].alias("last"), none.alias("got")), take)
+        return _with(inner, lambda x: F.struct(x["last"].alias("last"), F.concat(state["all"], F.array(x["got"])).alias("all")))
+
+    start = F.struct(F.lit(-1).alias("last"), F.array().cast(f"array<{SPANS}>").alias("all"))
+    return F.when(F.size(spans) == 0, none).otherwise(F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), start, block, lambda s: s["all"])))
+
+
+def _stretches(run: Column, valid, lengths: tuple[int, int]) -> Column:
+    """``run`` with its valid stretches of whole groups marked: the longest first, none over another.
+
+    A stretch has at most 19 groups. For each length from the longest, stretches
+    that meet none taken yet are taken from left to right.
+    """
 
     def candidates(groups: Column) -> Column:
         last = F.size(groups) - 1
-        spans = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda a: F.transform(F.sequence(a, F.least(a + 18, last)), lambda b: F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(groups, a + 1, b - a + 1), " ").alias("s")))))
-        good = F.filter(spans, lambda x: valid(x["s"]))
-        return F.array_sort(F.transform(good, lambda x: F.struct((-F.length(F.replace(x["s"], F.lit(" ")))).alias("n"), x["a"].alias("a"), x["b"].alias("b"))))
+        one = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(groups, a + 1, b - a + 1), " ").alias("s"))
+        good = lambda a: F.filter(F.transform(F.sequence(a, F.least(a + 18, last)), lambda b: one(a, b)), lambda x: valid(x["s"]))
+        found = F.flatten(F.transform(F.sequence(F.lit(0), last), good))
+        return F.transform(found, lambda x: F.struct(F.length(F.replace(x["s"], F.lit(" "))).alias("n"), x["a"].alias("a"), x["b"].alias("b")))
 
     def taken(found: Column) -> Column:
-        none = F.filter(found, lambda x: F.lit(False))
-        return F.aggregate(found, none, lambda got, x: F.when(F.exists(got, lambda g: (g["a"] <= x["b"]) & (x["a"] <= g["b"])), got).otherwise(F.concat(got, F.array(x))))
+        size = F.size(F.split(run, "[ .-]"))
+
+        def level(got: Column, n: Column) -> Column:
+            free = lambda marks: F.filter(found, lambda x: (x["n"] == n) & ~F.exists(F.slice(marks, x["a"] + 1, x["b"] - x["a"] + 1), lambda m: m > 0))
+            return F.array_sort(F.concat(got, _with(_with(_dense(got, size), free), _leftmost)))
+
+        some = F.aggregate(F.sequence(F.lit(lengths[1]), F.lit(lengths[0])), F.array().cast(SPANS), level)
+        return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(some)
 
     def drawn(got: Column) -> Column:
-        mark = lambda at, i: F.when(F.exists(got, lambda g: g[at] == i), F.lit(MARK)).otherwise(F.lit(""))
-        return _with(F.split(run, "[A-Z0-9]+"), lambda gaps: F.array_join(F.transform(F.split(run, "[ .-]"), lambda x, i: F.concat(F.get(gaps, i), mark("a", i), x, mark("b", i))), ""))
+        mark = lambda marks, i, kinds: F.when(F.get(marks, i).isin(*kinds), F.lit(MARK)).otherwise(F.lit(""))
+        whole = lambda gaps, marks: F.array_join(F.transform(F.split(run, "[ .-]"), lambda x, i: F.concat(F.get(gaps, i), mark(marks, i, (1, 4)), x, mark(marks, i, (3, 4)))), "")
+        return F.when(F.size(got) == 0, run).otherwise(_with(F.split(run, "[A-Z0-9]+"), lambda gaps: _with(_dense(got, F.size(F.split(run, "[ .-]"))), lambda marks: whole(gaps, marks))))
 
     return _with(_with(_with(F.split(run, "[ .-]"), candidates), taken), drawn)
 
@@ -235,11 +280,11 @@ def _card_run(run: Column) -> Column:
     def valid(s: Column) -> Column:
         return _with(F.replace(s, F.lit(" ")), is_card)
 
-    return _stretches(run, valid)
+    return _stretches(run, valid, CARD_DIGITS)
 
 
 def _iban_run(run: Column) -> Column:
-    return _stretches(run, lambda s: F.rlike(s, F.lit(f"^{IBAN_GROUPS}$")) & is_iban(F.replace(s, F.lit(" "))))
+    return _stretches(run, lambda s: F.rlike(s, F.lit(f"^{IBAN_GROUPS}$")) & is_iban(F.replace(s, F.lit(" "))), IBAN_CHARS)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -1,10 +1,12 @@
 """Edges of the other operators: nulls, empty texts and tables, ties, clashing columns."""
 
+import datetime
 import hashlib
 import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -301,6 +303,86 @@ def test_cards_in_random_texts_against_plain_python(spark):
         assert got[i] == plain(text), text[:200]
 
 
+def plain_numbers(a, b, low, high, key, tag):
+    number = lambda t, n, v: int(hashlib.sha256(f"{key}|{tag}{t}|{n}|{v}".encode()).hexdigest()[:13], 16)
+    for n in range(4):
+        a = (a + number("a", n, b)) % low
+        b = (b + number("b", n, a)) % high
+    return a, b
+
+
+def plain_iban(text):
+    body = plain_feistel(text[4:], "key", "iban")
+    rest = int("".join(str(int(c, 36)) for c in body + text[:2] + "00")) % 97
+    return f"{text[:2]}{98 - rest:02}{body}"
+
+
+def plain_day(day):
+    a, b = plain_numbers(day // 773, day % 773, 189, 773, "key", "date")
+    return a * 773 + b
+
+
+def plain_ip(text):
+    w, x, y, z = map(int, text.split("."))
+    a, b = plain_numbers(w * 256 + x, y * 256 + z, 65536, 65536, "key", "ip")
+    return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def test_other_forms_against_plain_python(spark):
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice(string.digits) for _ in range(n))
+    epoch, want, texts = datetime.date(1800, 1, 1), [], []
+    for _ in range(60):
+        day = r.randrange(146_097)
+        date, new_date = epoch + datetime.timedelta(day), epoch + datetime.timedelta(plain_day(day))
+        name = "q" + "".join(r.choice("abzAZ09._%+-") for _ in range(r.randint(0, 30)))
+        country, body = r.choice(["DE", "GB", "NO"]), digits(r.randint(11, 18))
+        iban = f"{country}{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02}{body}"
+        grouped = lambda x: " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+        ssn, ip = f"{digits(3)}-{digits(2)}-{digits(4)}", ".".join(str(r.randrange(256)) for _ in range(4))
+        number = f" ({digits(3)}) {digits(3)}-{digits(4)}"
+        texts.append(f"; {name}@mail.example.com; {iban}; {grouped(iban)}; {date.isoformat()}; {date.strftime('%d.%m.') + str(date.year)}; {ssn}; {ip}; +44{number};")
+        new = plain_iban(iban)
+        want.append(f"; {plain_feistel(name, 'key', 'email')}@mail.example.com; {new}; {grouped(new)}; {new_date.isoformat()}; {new_date.strftime('%d.%m.') + str(new_date.year)}; {plain_feistel(ssn, 'key', 'ssn')}; {plain_ip(ip)}; +44{plain_feistel(number, 'key', 'phone')};")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {x["doc_id"]: x["text"] for x in pseudonyms.pseudonymised(df, "key").collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == want[i], text
+
+
+LONG = {
+    "numbers": "12 " * 100_000 + "x",
+    "a word": "abcdefgh" * 130_000,
+    "digits": "1234567890" * 100_000,
+    "names": "a.b_c" * 100_000 + "@",
+    "parts of a host": "a@" + "b." * 200_000 + "com",
+    "groups of letters": "AB12" + " AB12" * 100_000,
+    "cards": "4111 1111 1111 1111 " * 5_000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_texts_of_any_length(spark, kind):
+    df = spark.createDataFrame([(1, LONG[kind]), (2, "4111111111111111")], "doc_id int, text string").repartition(1)
+    pseudonyms.pseudonymised(df.where("doc_id = 2"), "key").collect()  # code is compiled by then
+    began = time.time()
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymised(df, "key").collect()}
+    assert time.time() - began < 20 and got[2]["n_replaced"] == 1
+    assert len(got[1]["text"]) == len(LONG[kind]) and (got[1]["n_replaced"] == {"cards": 5_000, "parts of a host": 1}.get(kind, 0))
+
+
+def test_long_runs_of_groups_against_plain_python(spark):
+    r = random.Random(15)
+    groups = [r.choice(["7", "12", "4111", "123456", "4111111111111111"]) for _ in range(1500)]
+    spans = [(a, b) for a in range(len(groups)) for b in range(a, min(a + 19, len(groups))) if 13 <= len(d := "".join(groups[a : b + 1])) <= 19 and luhn(d) == 0 and set(d) != {"0"}]
+    taken = []
+    for a, b in sorted(spans, key=lambda s: (-len("".join(groups[s[0] : s[1] + 1])), s)):
+        if all(b < x or y < a for x, y in taken):
+            taken.append((a, b))
+    df = spark.createDataFrame([(1, " ".join(groups))], "doc_id int, text string")
+    assert pseudonyms.pseudonymised(df, "key").first()["n_replaced"] == len(taken) > 100
+
+
 def test_dates_are_permuted(spark):
     days = spark.range(0, 146_097, 97).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     out = days.select(pseudonyms.date(F.col("d"), "k").alias("p"))
@@ -349,3 +431,19 @@ def test_line_runs(spark, batches):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
     ties = spark.createDataFrame([(1, line), (1, line), (None, line)], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["text"]) for r in line_runs.deduped(ties).collect()) == [("1", line), ("1", line), ("None", "")]
+
+
+def test_many_repeated_lines_in_one_document(spark):
+    text = "\n".join(f"a repeated line number {k}" for k in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, text), (3, text)], "doc_id long, text string")
+    line_runs.deduped(df.where("doc_id = 3")).collect()
+    began = time.time()
+    got = {r["doc_id"]: (r["__dropped"], len(r["text"])) for r in line_runs.deduped(df).collect()}
+    assert got == {1: (60_000, 0), 2: (60_000, 0), 3: (0, len(text))} and time.time() - began < 20
+
+
+def test_rows_without_an_id_share_nothing(spark):
+    lines = [f"a repeated line number {k}" for k in range(30)]
+    rows = [(None, "\n".join(lines[k : k + 3])) for k in range(0, 30, 3)] * 2 + [(5, "\n".join(lines[:20])), (None, None), (None, "")]
+    got = [r["text"] for r in line_runs.deduped(spark.createDataFrame(rows, "doc_id long, text string"), most_broadcast_rows=0).where("doc_id IS NULL").collect()]
+    assert sorted(got) == sorted([""] * 14 + ["\n".join(lines[k : k + 3]) for k in (21, 24, 27)] * 2 + [lines[20]] * 2)
