@@ -29,6 +29,14 @@ def follow_source(spark: SparkSession, folder: str, files_per_trigger: int | Non
     return reader.text(folder).select(meta["file_path"].alias("file"), decode.strip_line_ending(F.col("value")).alias("line"), meta["file_block_start"].alias("block_start"), meta["file_modification_time"].alias("arrival"))
 
 
+def growing_lines(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """A stream of (file, line, start_byte, bytes, arrival, generation) of files that grow; options as in ``sources.growing``."""
+    from ..sources.growing import NAME, GrowingLines
+
+    spark.dataSource.register(GrowingLines)
+    return spark.readStream.format(NAME).options(**{k: str(v) for k, v in options.items()}).load(folder)
+
+
 def follow_lines(spark: SparkSession, folder: str, existing: list[str], files_per_trigger: int | None = None) -> DataFrame:
     """Only lines of files that weren't there at the start."""
     stream = follow_source(spark, folder, files_per_trigger)
