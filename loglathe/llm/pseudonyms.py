@@ -58,7 +58,6 @@ FORMS = {
 IBAN_RUN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}(?![A-Za-z0-9])){2,}+(?:[ -][A-Z0-9]{1,3}(?![A-Za-z0-9]))?+"
 CARD_RUN = r"(?<![\dA-Za-z+])(?=\d(?:[ .-]?\d){12})\d++(?![A-Za-z])(?:[ .-]\d++(?![A-Za-z]))*+"
 CARD_DIGITS, IBAN_CHARS = (13, 19), (15, 34)
-BLOCK = 256
 IBAN_GROUPS = r"[A-Z]{2}\d{2}(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?"
 ROUNDS, EPOCH, DAYS = 8, "1800-01-01", (189, 773)
 
@@ -206,85 +205,50 @@ def phone(value: Column, key: str) -> Column:
     return F.concat(head, feistel_chars(F.substring(value, F.length(head) + 1, F.length(value)), key, "phone"))
 
 
-def _marked(text: Column, form: str) -> Column:
-    return F.regexp_replace(text, f"({form})", f"{MARK}$1{MARK}")
-
-
 def _within(text: Column, form: str, change) -> Column:
     """``change`` of all that fits ``form`` outside the marked values of ``text``."""
-    inner = lambda part: F.when(F.rlike(part, F.lit(form)), F.array_join(F.transform(F.split(_marked(part, form), MARK), lambda p, i: F.when(i % 2 == 1, change(p)).otherwise(p)), "")).otherwise(part)
-    outer = lambda t: F.array_join(F.transform(F.split(t, MARK), lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(MARK), p, F.lit(MARK))).otherwise(inner(p))), "")
-    return _with(text, lambda t: F.when(F.rlike(t, F.lit(form)), outer(t)).otherwise(t))
-
-
-SPANS = "array<struct<a:int,b:int>>"
-
-
-def _dense(spans: Column, size: Column) -> Column:
-    """For each group: 0 outside of all spans, 1 first of one, 2 within, 3 last, 4 first and last. Spans are sorted and don't overlap."""
-    one = lambda x: F.when(x["a"] == x["b"], F.array(F.lit(4))).otherwise(F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(2), x["b"] - x["a"] - 1), F.array(F.lit(3))))
-    gap = lambda n: F.array_repeat(F.lit(0), n)
-    parts = F.transform(spans, lambda x, i: F.concat(gap(x["a"] - F.coalesce(F.get(spans, i - 1)["b"] + 1, F.lit(0))), one(x)))
-    return F.concat(F.flatten(parts), gap(size - F.coalesce(F.get(spans, F.size(spans) - 1)["b"] + 1, F.lit(0))))
-
+    either = f"{MARK}[^{MARK}]*+{MARK}|(?:{form})"
+    found, gaps = F.regexp_extract_all(text, F.lit(either), F.lit(0)), F.split(text, either)
+    one = lambda gap, x: F.when(x.isNull(), gap).otherwise(F.concat(gap, F.when(F.startswith(x, F.lit(MARK)), x).otherwise(change(x))))
+    return F.when(F.rlike(text, F.lit(form)), F.array_join(F.zip_with(gaps, found, one), "")).otherwise(text)
 
-def _leftmost(spans: Column) -> Column:
-    """Of spans of one length in order, the first, and then each that is beyond the last one taken; in blocks, since an array that grows is copied."""
-    none = F.array().cast(SPANS)
 
-    def take(state: Column, x: Column) -> Column:
-        free = x["a"] > state["last"]
-        return F.struct(F.when(free, x["b"]).otherwise(state["last"]).alias("last"), F.when(free, F.concat(state["got"], F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"))))).otherwise(state["got"]).alias("got"))
+def _stretches(run: Column, valid, most: int) -> Column:
+    """``run`` with its valid stretches of at most ``most`` whole groups marked: the longest first, none over another.
 
-    def block(state: Column, k: Column) -> Column:
-        inner = F.aggregate(F.slice(spans, k * BLOCK + 1, F.lit(BLOCK)), F.struct(state["last"].alias("last"), none.alias("got")), take)
-        return _with(inner, lambda x: F.struct(x["last"].alias("last"), F.concat(state["all"], F.array(x["got"])).alias("all")))
-
-    start = F.struct(F.lit(-1).alias("last"), F.array().cast(f"array<{SPANS}>").alias("all"))
-    return F.when(F.size(spans) == 0, none).otherwise(F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), start, block, lambda s: s["all"])))
-
-
-def _stretches(run: Column, valid, lengths: tuple[int, int]) -> Column:
-    """``run`` with its valid stretches of whole groups marked: the longest first, none over another.
-
-    A stretch has at most 19 groups. For each length from the longest, stretches
-    that meet none taken yet are taken from left to right.
+    What is taken is drawn in a string with a letter for each group: F the first
+    of a stretch, L the last, B both, I between.
     """
+    groups = F.split(run, "[ .-]")
 
     def candidates(groups: Column) -> Column:
         last = F.size(groups) - 1
-        one = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(groups, a + 1, b - a + 1), " ").alias("s"))
-        good = lambda a: F.filter(F.transform(F.sequence(a, F.least(a + 18, last)), lambda b: one(a, b)), lambda x: valid(x["s"]))
-        found = F.flatten(F.transform(F.sequence(F.lit(0), last), good))
-        return F.transform(found, lambda x: F.struct(F.length(F.replace(x["s"], F.lit(" "))).alias("n"), x["a"].alias("a"), x["b"].alias("b")))
+        one = lambda a, b: F.struct((-F.length(F.array_join(F.slice(groups, a + 1, b - a + 1), ""))).alias("n"), a.alias("a"), (b - a + 1).alias("groups"))
+        fits = lambda x: valid(F.array_join(F.slice(groups, x["a"] + 1, x["groups"]), " "), -x["n"])
+        found = lambda a: F.filter(F.transform(F.sequence(a, F.least(a + most - 1, last)), lambda b: one(a, b)), fits)
+        return F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), last), found)))
 
-    def taken(found: Column) -> Column:
-        size = F.size(F.split(run, "[ .-]"))
+    def take(drawn: Column, x: Column) -> Column:
+        new = F.when(x["groups"] == 1, F.lit("B")).otherwise(F.concat(F.lit("F"), F.repeat(F.lit("I"), x["groups"] - 2), F.lit("L")))
+        free = F.substring(drawn, x["a"] + 1, x["groups"]) == F.repeat(F.lit("."), x["groups"])
+        return F.when(free, F.overlay(drawn, new, x["a"] + 1)).otherwise(drawn)
 
-        def level(got: Column, n: Column) -> Column:
-            free = lambda marks: F.filter(found, lambda x: (x["n"] == n) & ~F.exists(F.slice(marks, x["a"] + 1, x["b"] - x["a"] + 1), lambda m: m > 0))
-            return F.array_sort(F.concat(got, _with(_with(_dense(got, size), free), _leftmost)))
+    def marked(drawn: Column) -> Column:
+        letters, gaps = F.split(drawn, ""), F.split(run, "[A-Z0-9]+")
+        mark = lambda c, kinds: F.when(c.isin(*kinds), F.lit(MARK)).otherwise(F.lit(""))
+        parts = F.zip_with(groups, letters, lambda x, c: F.concat(mark(c, "FB"), x, mark(c, "LB")))
+        return F.when(F.contains(drawn, F.lit("L")) | F.contains(drawn, F.lit("B")), F.array_join(F.zip_with(gaps, parts, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")).otherwise(run)
 
-        some = F.aggregate(F.sequence(F.lit(lengths[1]), F.lit(lengths[0])), F.array().cast(SPANS), level)
-        return F.when(F.size(found) == 0, F.array().cast(SPANS)).otherwise(some)
-
-    def drawn(got: Column) -> Column:
-        mark = lambda marks, i, kinds: F.when(F.get(marks, i).isin(*kinds), F.lit(MARK)).otherwise(F.lit(""))
-        whole = lambda gaps, marks: F.array_join(F.transform(F.split(run, "[ .-]"), lambda x, i: F.concat(F.get(gaps, i), mark(marks, i, (1, 4)), x, mark(marks, i, (3, 4)))), "")
-        return F.when(F.size(got) == 0, run).otherwise(_with(F.split(run, "[A-Z0-9]+"), lambda gaps: _with(_dense(got, F.size(F.split(run, "[ .-]"))), lambda marks: whole(gaps, marks))))
-
-    return _with(_with(_with(F.split(run, "[ .-]"), candidates), taken), drawn)
+    return _with(_with(groups, lambda g: F.aggregate(candidates(g), F.repeat(F.lit("."), F.size(g)), take)), marked)
 
 
 def _card_run(run: Column) -> Column:
-    def valid(s: Column) -> Column:
-        return _with(F.replace(s, F.lit(" ")), is_card)
-
-    return _stretches(run, valid, CARD_DIGITS)
+    return _stretches(run, lambda s, n: n.between(*CARD_DIGITS) & _with(F.replace(s, F.lit(" ")), is_card), CARD_DIGITS[1])
 
 
 def _iban_run(run: Column) -> Column:
-    return _stretches(run, lambda s: F.rlike(s, F.lit(f"^{IBAN_GROUPS}$")) & is_iban(F.replace(s, F.lit(" "))), IBAN_CHARS)
+    """Groups have four characters, so a stretch has at most nine."""
+    return _stretches(run, lambda s, n: n.between(*IBAN_CHARS) & F.rlike(s, F.lit(f"^{IBAN_GROUPS}$")) & is_iban(F.replace(s, F.lit(" "))), 9)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
