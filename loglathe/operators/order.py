@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.derive import base_name
-from ..plans.landing import scratch
+from ..plans.landing import forget, scratch
 
 KEYS = ["ts", "ts_nanos", "__file_parts", "line_no"]
 
 
+_WHILE: ContextVar[list[str] | None] = ContextVar("paths of tables that go at the end", default=None)
+
+
+@contextmanager
+def scratch_of_a_while(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``written`` within are deleted at its end: their results have been stored by then."""
+    token = _WHILE.set([])
+    try:
+        yield
+    finally:
+        forget(spark, *_WHILE.get())
+        _WHILE.reset(token)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that what follows doesn't compute it again."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if _WHILE.get() is not None:
+        _WHILE.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,11 +89,17 @@ def source_headers(positioned: DataFrame, mode: str = "swap", last_name: str | N
 
 
 def arrival_batches(lines: DataFrame, start: Column, window_ms: int = 250, most_lines: int = 1000, arrival: str = "arrival", tie: str = "seq") -> DataFrame:
-    """Add batch_no (arrival window) and sub_no (at most ``most_lines`` lines each)."""
+    """Add batch_no (arrival window) and sub_no (at most ``most_lines`` lines each).
+
+    The lines are ordered by arrival over all partitions and numbered; a window's
+    first number comes from one count a window, so a burst isn't one task's.
+    """
     elapsed = F.unix_micros(F.col(arrival)) - F.unix_micros(start)
     numbered = lines.withColumn("batch_no", F.floor(elapsed / (window_ms * 1000)).cast("long"))
-    rank = F.row_number().over(W.partitionBy("batch_no").orderBy(arrival, tie))
-    return numbered.withColumn("sub_no", F.floor((rank - 1) / most_lines).cast("long"))
+    placed = with_position(numbered.orderBy("batch_no", arrival, tie), "__pos")
+    first = placed.groupBy("batch_no").agg(F.min("__pos").alias("__first"))
+    joined = placed.join(first.withColumnRenamed("batch_no", "__batch"), F.col("batch_no").eqNullSafe(F.col("__batch")))
+    return joined.withColumn("sub_no", F.floor((F.col("__pos") - F.col("__first")) / most_lines).cast("long")).drop("__pos", "__first", "__batch")
 
 
 def order_batches(batched: DataFrame, arrival: str = "arrival", tie: str = "seq") -> DataFrame:

@@ -76,6 +76,12 @@ def opened(where: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(where)
 
 
+def opened_file(where: str):
+    """A file given as a URI or a local path, for random access."""
+    store, path = opened(where)
+    return store.open_input_file(path)
+
+
 def _identity(store: fs.FileSystem, path: str, size: int) -> tuple[str, int] | None:
     """(identity, end of the last whole line) of a file, None while it has no whole line."""
     with store.open_input_file(path) as file:

@@ -11,17 +11,22 @@ from pyspark.sql import functions as F
 from ..functions.decode import strip_line_ending
 
 
-def expand_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
-    """Files that the patterns match, sorted; escaped wildcards count as wildcards; an error if there is none."""
-    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), set()
+def file_statuses(spark: SparkSession, patterns: list[str]) -> list:
+    """Hadoop's status of each file that the patterns match, by path; escaped wildcards count as wildcards; an error if there is none."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), {}
     for pattern in patterns:
         path = jvm.org.apache.hadoop.fs.Path(re.sub(r"\\([*?\[\]{}])", r"\1", pattern))
         for status in path.getFileSystem(conf).globStatus(path) or []:
             if status.isFile():
-                found.add(status.getPath().toString())
+                found[status.getPath().toString()] = status
     if not found:
         raise FileNotFoundError(f"no file matches {patterns}")
-    return sorted(found)
+    return [found[name] for name in sorted(found)]
+
+
+def expand_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Files that the patterns match, sorted; escaped wildcards count as wildcards; an error if there is none."""
+    return [status.getPath().toString() for status in file_statuses(spark, patterns)]
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], raw: bool = False) -> DataFrame:

@@ -1,16 +1,22 @@
-"""Follow mode: new lines of a landing folder, ordered within each batch.
-
-Spark's file source reads a file once, when it appears; files are to be moved
-into the folder whole. A rotated file is a new file. Lines that come late stay
-in the micro-batch in which they arrive. Within a micro-batch, lines in the order
-of their arrival (a file's time, its path, the place in it) are cut into batches
-of at most ``most_lines``, each ordered by itself.
+"""Follow mode: new lines, ordered within each batch.
+
+Two sources: ``growing_lines`` follows files that grow, are renamed or replaced
+(``sources.growing``); ``follow_source`` follows a landing folder with Spark's
+file source, which reads a file once, when it appears, so that files are to be
+moved into the folder whole.
+
+Two ways to batches: ``follow_batches`` keeps lines in the state store until
+there are enough or the time is over (``streaming.batches``); ``follow_merged``
+takes each micro-batch, in the order of arrival (a file's time, its path, the
+place in it), in batches of at most ``most_lines``, each ordered by itself. Lines
+that come late stay in the batch in which they arrive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import decode
 from ..functions.derive import base_name
 from ..operators import order
+from ..plans.landing import forget
 
 
 def follow_source(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -58,6 +65,20 @@ def follow_from(spark: SparkSession, folder: str, existing: list[str], n: int, s
     return last_lines(lines, n, "source"), follow_lines(spark, folder, existing)
 
 
+def follow_batches(lines: DataFrame, sink: str, checkpoint: str, by: Column | None = None, headers: str = "swap", window_ms: int = 250, most_lines: int = 1000, name: Column | None = None) -> StreamingQuery:
+    """Decode growing lines and append them to a Parquet folder in batches of ``window_ms`` or ``most_lines``, whichever is first.
+
+    Batch numbers, positions and the last header are kept in the state store, per
+    value of ``by``; a restart from the checkpoint goes on with them, and with the
+    lines that were held.
+    """
+    from .batches import arriving_batches
+
+    parsed = decode.unified_record(decode.classified(lines.withColumn("name", base_name(F.col("file")) if name is None else name)))
+    out = arriving_batches(decode.dropped(parsed), by, most_lines, window_ms, headers)
+    return out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{window_ms} milliseconds").start()
+
+
 def ordered_batch(batch: DataFrame, batch_id: int, last_name: str | None = None, headers: str = "swap", most_lines: int = 1000, name: Column | None = None) -> DataFrame:
     """Rows of one micro-batch in order: batch_id, sub_no, pos, header, file, ts, level, message, line, shape."""
     arrived = batch.withColumn("__no", F.monotonically_increasing_id()).orderBy("arrival", F.split("file", "/"), "block_start", "__no")
@@ -68,6 +89,14 @@ def ordered_batch(batch: DataFrame, batch_id: int, last_name: str | None = None,
     return placed.select(F.lit(batch_id).cast("long").alias("batch_id"), "sub_no", "pos", "header", "file", "ts", "level", "message", "line", "shape")
 
 
+def _last_name(spark: SparkSession, path: str) -> str | None:
+    """The name that a batch left; none where there is no such batch, or it is gone."""
+    try:
+        return spark.read.schema("name string").parquet(path).first()["name"]
+    except (AnalysisException, TypeError):
+        return None
+
+
 def follow_merged(stream: DataFrame, sink: str, checkpoint: str, headers: str = "swap", interval: str | None = "250 milliseconds", then: Callable[[DataFrame, int], None] | None = None, most_lines: int = 1000, name: Column | None = None) -> StreamingQuery:
     """Append each micro-batch, ordered, to a Parquet folder (one sub-folder a batch, so a repeat replaces it).
 
@@ -79,11 +108,13 @@ def follow_merged(stream: DataFrame, sink: str, checkpoint: str, headers: str =
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, kept = batch.sparkSession, f"{checkpoint}-headers"
-        last = spark.read.parquet(f"{kept}/{batch_id - 1}").first()["name"] if batch_id else None
-        ordered_batch(batch, batch_id, last, headers, most_lines, name).drop("batch_id").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        last = _last_name(spark, f"{kept}/{batch_id - 1}")
+        with order.scratch_of_a_while(spark):
+            ordered_batch(batch, batch_id, last, headers, most_lines, name).drop("batch_id").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         out = spark.read.parquet(f"{sink}/batch_id={batch_id}")
         row = out.orderBy(F.desc("pos")).select(shown.alias("name")).first()
         spark.createDataFrame([(row["name"] if row else last,)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{kept}/{batch_id}")
+        forget(spark, f"{kept}/{batch_id - 2}")  # a batch is repeated at most from the one before
         if then is not None:
             then(out, batch_id)
 
