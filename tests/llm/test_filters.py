@@ -438,7 +438,7 @@ def test_many_repeated_lines_in_one_document(spark):
     line_runs.deduped(df.where("doc_id = 3")).collect()
     began = time.time()
     got = {r["doc_id"]: (r["__dropped"], len(r["text"])) for r in line_runs.deduped(df).collect()}
-    assert got == {1: (60_000, 0), 2: (60_000, 0), 3: (0, len(text))} and time.time() - began < 20
+    assert got == {1: (60_000, 0), 2: (60_000, 0), 3: (0, len(text))} and time.time() - began < 60
 
 
 def test_rows_without_an_id_share_nothing(spark):
