@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fields
+from .once import once
 
 TIME = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?([Zz]|[+-]\d{2}(:?\d{2})?)$"
 #: The forms that a cast reads as they are.
@@ -93,28 +94,37 @@ def is_uint(value: Column, kind: Column) -> Column:
     return ((kind == "BIGINT") | big) & F.try_variant_get(value, "$", "decimal(20,0)").between(F.lit(0), F.lit(str(2**64 - 1)).cast("decimal(20,0)"))
 
 
-def decoded(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Add __value (VARIANT, null if the line isn't JSON), __map (of an object), __keys (with repeats), __types.
+@once
+def _envelope(line_col: str) -> Column:
+    return F.concat(F.lit('{"v":'), F.col(line_col), F.lit(',"__end":1}'))
 
-    A number beyond the range of a double makes a line no JSON.
-    """
-    line = F.col(line_col)
-    envelope = F.concat(F.lit('{"v":'), line, F.lit(',"__end":1}'))
-    staged = lines.withColumn("__envelope", F.try_parse_json(envelope))
-    whole = (F.size(F.json_object_keys(envelope)) == 2) & (F.try_variant_get("__envelope", "$.__end", "int") == 1)
-    value = F.try_variant_get("__envelope", "$.v", "variant")
+
+@once
+def _value(line_col: str) -> Column:
+    """The parsed value of a line; null if the line isn't JSON as a whole, or has a number beyond a double."""
+    line, value = F.col(line_col), F.try_variant_get("__envelope", "$.v", "variant")
+    whole = (F.size(F.json_object_keys(_envelope(line_col))) == 2) & (F.try_variant_get("__envelope", "$.__end", "int") == 1)
     infinite = r'"-?Infinity"'
     endless = F.rlike(line, F.lit(r"\d[eE]\+?\d{3}|\d{300}")) & F.rlike(F.to_json(value), F.lit(infinite)) & ~F.rlike(line, F.lit(infinite))
     fine = F.col("__envelope").isNotNull() & whole & ~F.coalesce(endless, F.lit(False))
     # through a generator, so that no filter above repeats the parsing
-    staged = staged.withColumn("__value", F.explode(F.array(F.when(fine, value)))).drop("__envelope")
-    staged = staged.withColumn("__map", F.try_variant_get("__value", "$", "map<string,variant>"))
-    return staged.withColumns(
-        {
-            "__keys": F.when(F.col("__map").isNotNull(), F.json_object_keys(line_col)),
-            "__types": F.transform_values("__map", lambda k, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))),
-        }
-    )
+    return F.explode(F.array(F.when(fine, value)))
+
+
+@once
+def _keys_and_types(line_col: str) -> dict[str, Column]:
+    keys = F.when(F.col("__map").isNotNull(), F.json_object_keys(line_col))
+    return {"__keys": keys, "__types": F.transform_values("__map", lambda k, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))}
+
+
+def decoded(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """Add __value (VARIANT, null if the line isn't JSON), __map (of an object), __keys (with repeats), __types.
+
+    A number beyond the range of a double makes a line no JSON.
+    """
+    staged = lines.withColumn("__envelope", F.try_parse_json(_envelope(line_col)))
+    staged = staged.withColumn("__value", _value(line_col)).drop("__envelope")
+    return staged.withColumn("__map", F.try_variant_get("__value", "$", "map<string,variant>")).withColumns(_keys_and_types(line_col))
 
 
 #: What a value can be: a string, a string with a time, a non-negative integer, another number, null, anything else.
@@ -197,26 +207,30 @@ def _text_of(names: list[str]) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(found, "$", "string"))
 
 
-def classified(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Add ``shape`` to decoded lines (the first of the shapes that fits), and the parsed times __ts and __ts_other.
-
-    The shape goes through a generator, so that filters on it and projections
-    above are not merged with the tests below.
-    """
-    staged = lines if "__value" in lines.columns else decoded(lines, line_col)
+@once
+def _times() -> tuple[dict[str, Column], dict[str, Column]]:
+    """The texts of a line's times, and the times."""
     others = [n for n in fields.MESSAGE["timestamp"][0] if n not in fields.TIME_NAMES]
-    staged = staged.withColumns({"__time": _text_of(fields.TIME_NAMES), "__time_other": _text_of(others)})
-    staged = staged.withColumns({"__ts": parse_rfc3339(F.col("__time")), "__ts_other": parse_rfc3339(F.col("__time_other"))})
-    staged = staged.withColumn("__codes", _codes(F.col("__ts"), F.col("__ts_other")))
-    staged = staged.withColumn("__bits", F.aggregate("__codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
-    bits, once = F.col("__bits"), F.size("__keys") == F.size("__map")
+    texts = {"__time": _text_of(fields.TIME_NAMES), "__time_other": _text_of(others)}
+    return texts, {"__ts": parse_rfc3339(F.col("__time")), "__ts_other": parse_rfc3339(F.col("__time_other"))}
+
+
+@once
+def _bits() -> tuple[Column, Column]:
+    """The bits of each known key, and all of them together."""
+    return _codes(F.col("__ts"), F.col("__ts_other")), F.aggregate("__codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
+@once
+def _shape() -> Column:
+    bits, same = F.col("__bits"), F.size("__keys") == F.size("__map")
     has = lambda mask: bits.bitwiseAND(F.lit(mask)) == F.lit(mask)
 
     def known(shape: str) -> Column:
         """How many keys of the line, with repeats, the shape knows."""
         table = REQUIRED.get(shape, fields.MESSAGE)
         distinct = F.size(F.filter("__codes", lambda c: c.bitwiseAND(F.lit(KNOWN_BITS[shape])) != 0))
-        return F.when(once, distinct).otherwise(F.expr(f"size(filter(__keys, k -> k IN ({_names(fields.names(table))})))"))
+        return F.when(same, distinct).otherwise(F.expr(f"size(filter(__keys, k -> k IN ({_names(fields.names(table))})))"))
 
     required = lambda shape: has(SHAPE_BITS[shape]) & (known(shape) == len(REQUIRED[shape]))
     message = has(SHAPE_BITS["message needs"]) & (bits.bitwiseAND(F.lit(KNOWN_BITS["broken"])) == 0) & (F.bit_count(bits.bitwiseAND(F.lit(SHAPE_BITS["message"]))) == known("message"))
@@ -227,7 +241,19 @@ def classified(lines: DataFrame, line_col: str = "line") -> DataFrame:
         .when(F.schema_of_variant("__value") == "STRING", F.lit("logfmt"))
         .otherwise(F.lit("text"))
     )
-    return staged.withColumn("shape", F.explode(F.array(shape))).drop("__codes", "__bits")
+    return F.explode(F.array(shape))
+
+
+def classified(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """Add ``shape`` to decoded lines (the first of the shapes that fits), and the parsed times __ts and __ts_other.
+
+    The shape goes through a generator, so that filters on it and projections
+    above are not merged with the tests below.
+    """
+    staged = lines if "__value" in lines.columns else decoded(lines, line_col)
+    (texts, times), (codes, bits) = _times(), _bits()
+    staged = staged.withColumns(texts).withColumns(times).withColumn("__codes", codes).withColumn("__bits", bits)
+    return staged.withColumn("shape", _shape()).drop("__codes", "__bits")
 
 
 def resolve_aliases(table: dict) -> Column:
@@ -266,51 +292,68 @@ def _record(shape: str, table: dict) -> Column:
     return F.when(F.col("shape") == shape, _with(found, record))
 
 
+@once
 def canonical_record() -> Column:
     return _record("canonical", fields.CANONICAL)
 
 
+@once
 def java_record() -> Column:
     return _record("java", fields.JAVA)
 
 
+@once
 def message_record() -> Column:
     return _record("message", fields.MESSAGE)
 
 
+@once
 def time_only_record() -> Column:
     return _record("time_only", fields.TIME_ONLY)
 
 
+@once
 def json_record() -> Column:
     return F.when(F.col("shape") == "json", F.struct(rest_map({}).alias("rest")))
 
 
+@once
 def logfmt_text() -> Column:
     """Content of a logfmt line (a JSON string); null for other shapes."""
     return F.when(F.col("shape") == "logfmt", F.try_variant_get("__value", "$", "string"))
 
 
+@once
 def time_text() -> Column:
     """The text of a shape's time; null for shapes without one."""
     return F.when(F.col("shape") == "message", F.coalesce("__time", "__time_other")).when(F.col("shape").isin("canonical", "java", "time_only"), F.col("__time"))
 
 
-def unified_record(parsed: DataFrame, line_col: str = "line", pairs: Column | None = None) -> DataFrame:
-    """Add ts, ts_nanos, level, message for any shape. ``pairs`` is a parsed logfmt struct, if wanted."""
-    from .logfmt import logfmt_level, logfmt_message
-
+@once
+def _unified(line_col: str) -> dict[str, Column]:
     shape = F.col("shape")
     is_record, timed = shape.isin("canonical", "java", "message"), shape.isin("canonical", "java", "message", "time_only")
-    level_of = F.when(is_record, _text_of(fields.MESSAGE["level"][0]))
-    message_of = F.when(is_record, _text_of(fields.MESSAGE["message"][0]))
-    if pairs is not None:
-        level_of = F.when(shape == "logfmt", logfmt_level(pairs)).otherwise(level_of)
-        message_of = F.when(shape == "logfmt", logfmt_message(pairs)).otherwise(message_of)
-    message_of = F.when(shape == "text", F.col(line_col)).otherwise(message_of)
     ts = F.when(shape == "message", F.coalesce("__ts", "__ts_other")).when(timed, F.col("__ts"))
-    nanos = F.when(timed, nanos_of(time_text()))
-    return parsed.withColumns({"ts": ts, "ts_nanos": F.when(ts.isNotNull(), nanos), "level": level_of, "message": message_of})
+    return {
+        "ts": ts,
+        "ts_nanos": F.when(ts.isNotNull(), F.when(timed, nanos_of(time_text()))),
+        "level": F.when(is_record, _text_of(fields.MESSAGE["level"][0])),
+        "message": F.when(shape == "text", F.col(line_col)).when(is_record, _text_of(fields.MESSAGE["message"][0])),
+    }
+
+
+@once
+def _unified_with_pairs(line_col: str, pairs: str) -> dict[str, Column]:
+    from .logfmt import logfmt_level, logfmt_message
+
+    columns, parsed = _unified(line_col), F.col(pairs)
+    own = {"level": logfmt_level(parsed), "message": logfmt_message(parsed)}
+    return columns | {k: F.when(F.col("shape") == "logfmt", v).otherwise(columns[k]) for k, v in own.items()}
+
+
+def unified_record(parsed: DataFrame, line_col: str = "line", pairs: str | None = None) -> DataFrame:
+    """Add ts, ts_nanos, level, message for any shape. ``pairs`` names the column of a parsed logfmt struct, if wanted."""
+    return parsed.withColumns(_unified(line_col) if pairs is None else _unified_with_pairs(line_col, pairs))
 
 
 def dropped(parsed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decode, derive, fields, logfmt, render
+from ..functions.once import once
 from ..operators import order, profile, slices
 from ..sources import lines as sources
 from ..streaming import follow
@@ -47,9 +48,13 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.classified(sources.spread(synth.log_lines(spark, sf_dir), "line_no"))
 
 
+@once
+def _pairs():
+    return logfmt.parse_logfmt(decode.logfmt_text())
+
+
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parsed(spark, sf_dir).withColumn("pairs", logfmt.parse_logfmt(decode.logfmt_text()))
-    return decode.unified_record(p, pairs=F.col("pairs"))
+    return decode.unified_record(parsed(spark, sf_dir).withColumn("pairs", _pairs()), pairs="pairs")
 
 
 def ntz(column: str):
@@ -185,7 +190,7 @@ def coerce_string_or_number(spark, sf_dir):
 
 
 def _logfmt(spark, sf_dir):
-    return parsed(spark, sf_dir).where("shape = 'logfmt'").withColumn("p", logfmt.parse_logfmt(decode.logfmt_text()))
+    return parsed(spark, sf_dir).where("shape = 'logfmt'").withColumn("p", _pairs())
 
 
 @query("""SELECT event_id AS line_no, unnest(['level', 'msg', 'user', 'took']) AS key, unnest([lv, m, u::VARCHAR, c::VARCHAR]) AS value, unnest(['string', 'string', 'int', 'int']) AS type FROM ev WHERE k = 7""")
@@ -419,12 +424,25 @@ WHEN 10 THEN 'elapsed=' || c || '  level="' || lv || '"  message="' || m || '"'
 WHEN 11 THEN 'host="a"  hostname="b"  level="' || lv || '"  message="' || m || '"' END"""
 
 
-def _cells(spark, sf_dir):
-    p = unified(spark, sf_dir).withColumns({"c": decode.canonical_record(), "j": decode.java_record(), "g": decode.message_record(), "t": decode.time_only_record(), "o": decode.json_record()})
+@once
+def _cell_columns():
+    """The records, and the cells of each line by its shape."""
     col = F.col
+    records = {"c": decode.canonical_record(), "j": decode.java_record(), "g": decode.message_record(), "t": decode.time_only_record(), "o": decode.json_record()}
     cells = F.when(col("shape") == "canonical", render.canonical_cells(col("c"))).when(col("shape") == "java", render.java_cells(col("j"))).when(col("shape") == "message", render.message_cells(col("g")))
-    cells = cells.when(col("shape") == "time_only", render.nested_rest_cells(col("t.rest"))).when(col("shape") == "json", render.nested_rest_cells(col("o.rest"))).when(col("shape") == "logfmt", render.logfmt_cells(col("pairs")))
-    return decode.dropped(p.withColumn("cells", cells))
+    cells = cells.when(col("shape") == "time_only", render.nested_rest_cells(col("t.rest"))).when(col("shape") == "json", render.nested_rest_cells(col("o.rest")))
+    return records, cells.when(col("shape") == "logfmt", render.logfmt_cells(col("pairs")))
+
+
+def _cells(spark, sf_dir):
+    records, cells = _cell_columns()
+    return decode.dropped(unified(spark, sf_dir).withColumns(records).withColumn("cells", cells))
+
+
+@once
+def _rendered():
+    time = derive.time_column(F.col("ts"), F.col("g.request_id"))
+    return render.render_record(F.col("shape"), F.col("level"), time, F.col("message"), F.col("cells"), F.col("line"), F.col("j.stack_trace"))
 
 
 @query(f"SELECT event_id AS line_no, {_CELLS} AS cells FROM ev")
@@ -437,9 +455,7 @@ SELECT event_id AS line_no, CASE WHEN k = 8 THEN m || ' plain' WHEN k = 9 THEN '
 WHEN k IN (5, 6, 10, 11) THEN '    JSON ' || rpad(tm, 20, ' ') || ' │ ' || cells
 ELSE lpad(ln, 8, ' ') || ' ' || rpad(tm, 20, ' ') || ' │ ' || m || pad || cells || CASE WHEN k = 1 THEN pad || 'E: x' || pad || chr(9) || 'at a' || u || pad || chr(9) || 'at b' ELSE '' END END AS rendered FROM x""".replace("{{", "{"))
 def render_record(spark, sf_dir):
-    p = _cells(spark, sf_dir)
-    time = derive.time_column(F.col("ts"), F.col("g.request_id"))
-    return p.select("line_no", render.render_record(F.col("shape"), F.col("level"), time, F.col("message"), F.col("cells"), F.col("line"), F.col("j.stack_trace")).alias("rendered"))
+    return _cells(spark, sf_dir).select("line_no", _rendered().alias("rendered"))
 
 
 #: Web, container and tracing lines: the fields that no line of the log has.
