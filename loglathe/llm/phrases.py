@@ -42,6 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from xxhash import xxh3_64_intdigest
 
 from .shared import forget, saved, scratch, small_batches
 
@@ -57,16 +58,15 @@ COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.s
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words in order; ``BREAK`` between pieces."""
-    return text.translate(TABLE).replace(b"\n", b" " + BREAK + b" ").split()
+def _spaced(text: bytes) -> bytes:
+    """Words in lower case between blanks; ``BREAK`` between pieces."""
+    return text.translate(TABLE).replace(b"\n", b" " + BREAK + b" ")
 
 
 def _word_hashes(words: pa.Array, lang: str) -> np.ndarray:
     """A hash of each word (of a dictionary) and its language."""
-    plain = np.array(words.to_pylist(), dtype=object)
     own = np.uint64(zlib.crc32(lang.encode()) * 0x9E3779B1 % 2**64)
-    return pd.util.hash_array(plain, categorize=False) ^ own if len(plain) else np.zeros(0, np.uint64)
+    return np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words)) ^ own
 
 
 def _longer(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -105,9 +105,12 @@ def _tally(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _coded(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
-    """(number of each word in the dictionary, the dictionary); number 0 is a break."""
-    coded = pa.array([BREAK, *words_of(b"\n".join(texts)), *[BREAK] * LONGEST], pa.binary()).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    """(number of each word in the dictionary, the dictionary); number 0 is a break, 1 no word at all and not among them."""
+    ends = (b" " + BREAK) * LONGEST
+    text = BREAK + b"  " + _spaced(b"\n".join(texts)) + ends
+    coded = pc.split_pattern(pa.array([text], pa.large_binary()), b" ").flatten().dictionary_encode()
+    at = coded.indices.to_numpy()
+    return at[at != 1].astype(np.int64), coded.dictionary.cast(pa.binary())
 
 
 def _counts(lang: str, texts: list[bytes], with_words: bool, maps: Maps) -> Iterator[pa.RecordBatch]:
@@ -121,9 +124,9 @@ def _counts(lang: str, texts: list[bytes], with_words: bool, maps: Maps) -> Iter
     own = _word_hashes(dictionary, lang)
     if with_words:
         n = np.bincount(at, minlength=kinds)
-        yield batch(0, pa.array([b""], pa.binary()), np.array([n[1:].sum()]))
+        yield batch(0, pa.array([b""], pa.binary()), np.array([n[2:].sum()]))
         able = np.nonzero(_in(maps.words, own))[0]
-        able = able[able > 0]
+        able = able[able > 1]
         yield batch(1, dictionary.take(pa.array(able)), n[able])
     frequent, fresh = _in(maps.passed, own), _in(maps.recent, own)
     frequent[0] = False  # a break
@@ -194,7 +197,7 @@ def sieve(texts: DataFrame, least: int, bits: int = BITS) -> tuple[np.ndarray, n
             at, dictionary = _coded(own)
             h = _word_hashes(dictionary, lang)
             n = np.bincount(at, minlength=len(h))
-            n[0] = 0
+            n[:2] = 0
             whole = pd.Series(n).groupby(_slots(h, bits)).sum()
             add(0, whole.index.to_numpy(), whole.to_numpy())
             first = np.nonzero((at[:-1] > 0) & (at[1:] > 0))[0]
@@ -267,7 +270,7 @@ def _rest(phrase: Column, first: Column) -> Column:
     return F.substring(phrase, F.length(first) + 2, F.length(phrase))
 
 
-def counted(docs: DataFrame, least: int = 30, shards: int = 3, bits: int = BITS) -> DataFrame:
+def counted(docs: DataFrame, least: int = 30, shards: int = 2, bits: int = BITS) -> DataFrame:
     """(lang, size, phrase, n): words and phrases of up to four words found at least ``least`` times; size 0: all words of a language."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -331,7 +334,7 @@ def uncovered(candidates: DataFrame, percent: int = 80) -> DataFrame:
     return kept.where(F.col("__longer").isNull() | (wide("__longer") * 100 < wide("a") * percent)).drop("__longer")
 
 
-def collocations(docs: DataFrame, least: int = 30, first: int = 2000, percent: int = 80, shards: int = 3, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, first: int = 2000, percent: int = 80, shards: int = 2, bits: int = BITS) -> DataFrame:
     """The first phrases of each language by score: lang, rank, phrase, a, l, r, n, score."""
     counts = counted(docs, least, shards, bits)
     found = uncovered(saved(scored(counts), "phrase-scores"), percent)
