@@ -40,9 +40,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Memo, saved, small_batches, small_side
+from .shared import Memo, forget, saved, small_batches, small_side
 
 #: Words that count as units after a number.
 UNITS = frozenset("mm cm m km g kg mg t l ml s ms min h hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees litre litres liter liters byte bytes kb mb gb".split())
@@ -151,41 +152,36 @@ def _pairs(window: Column) -> Column:
     return F.array_distinct(F.zip_with(window["item_slots"], window["slots"], lambda s, v: F.struct(s.alias("s"), v.alias("v"))))
 
 
-def _with(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+DIAGONAL = ["hit", "item", "diagonal"]
 
 
-def _most(values: Column, own: Column) -> Column:
-    """The most frequent value; of several the item's own, or else the last in order."""
-    votes = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (v == own).alias("own"), v.alias("v")))
-    return F.array_max(votes)["v"]
+def refused(slotted: DataFrame) -> DataFrame:
+    """(hit, item, diagonal, item_pos) of windows that disagree with most others of their diagonal.
 
-
-def _agreeing(found: Column) -> Column:
-    """The windows of a diagonal whose values most windows agree on, in both directions, and those whose slots are all equal."""
-
-    def elected(pairs: Column, a: str, b: str) -> Column:
-        """Pairs in which b is the value that most windows give a."""
-        chosen = lambda x: _with(F.transform(F.filter(pairs, lambda p: p[a] == x), lambda p: p[b]), lambda values: _most(values, x))
-        one = lambda x: _with(chosen(x), lambda y: F.struct((x if a == "s" else y).alias("s"), (y if a == "s" else x).alias("v")))
-        return F.transform(F.array_distinct(pairs[a]), one)
-
-    def kept(chosen: Column) -> Column:
-        return F.filter(found, lambda w: (w["item_slots"] == w["slots"]) | (F.size(F.array_except(_pairs(w), chosen)) == 0))
-
-    pairs = F.flatten(F.transform(found, _pairs))  # each window has one vote for a pair
-    number = F.size(F.array_distinct(pairs))
-    plain = (number == F.size(F.array_distinct(pairs["s"]))) & (number == F.size(F.array_distinct(pairs["v"])))
-    return F.when(plain, found).otherwise(_with(_with(pairs, lambda p: F.array_intersect(elected(p, "s", "v"), elected(p, "v", "s"))), kept))
+    Each window has one vote for each of its pairs (item's value, document's
+    value). A pair is elected if the document's value is the most frequent one for
+    the item's, and the item's for the document's (of several the equal one, or
+    else the last in order). Votes are counted by grouping, so a diagonal of any
+    length is linear.
+    """
+    differs = F.col("item_slots") != F.col("slots")
+    mixed = slotted.groupBy(*DIAGONAL).agg(F.bool_or(differs).alias("differs")).where("differs").drop("differs")
+    pairs = slotted.join(mixed, DIAGONAL, "left_semi").select(*DIAGONAL, "item_pos", differs.alias("differs"), F.explode(_pairs(F.struct("item_slots", "slots"))).alias("p")).select(*DIAGONAL, "item_pos", "differs", "p.s", "p.v")
+    votes = pairs.groupBy(*DIAGONAL, "s", "v").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("s") == F.col("v")
+    most = lambda of, by: F.max(F.struct("n", same.alias("own"), F.col(of).alias("x"))).over(W.partitionBy(*DIAGONAL, by))["x"]
+    wrong = votes.withColumns({"for_s": most("v", "s"), "for_v": most("s", "v")}).where((F.col("for_s") != F.col("v")) | (F.col("for_v") != F.col("s")))
+    return pairs.where("differs").join(wrong.select(*DIAGONAL, "s", "v"), [*DIAGONAL, "s", "v"], "left_semi").select(*DIAGONAL, "item_pos").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, enough: int = ENOUGH, most_broadcast_rows: int = 500_000) -> DataFrame:
     """Rows (doc_id, item_id, matched_tokens, item_tokens, first_pos, exact) of contaminated documents only."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = saved(item_windows(benchmark, width, literals), "benchmark-windows")
-    facts = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
+    done: list[str] = []
+    items = saved(item_windows(benchmark, width, literals), "benchmark-windows", done)
+    size = F.length(F.concat_ws("", "slots")) + 64
+    facts = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths"), F.sum(size).alias("bytes")).first()
     passes, bits = bitmap(items.select("h"), facts["n"])
     shared, widths = spark.sparkContext.broadcast(passes), sorted(facts["widths"])  # widths: at most `width`
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -226,27 +222,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lite
     hits = saved(hits, "benchmark-hits")
     distinct = hits.groupBy("hit").agg(F.first("windows").alias("windows")).select("hit", F.explode("windows").alias("w")).select("hit", "w.*")
     there = items.select("item", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "size", "width")
-    matched = distinct.join(small_side(there, facts["n"], most_broadcast_rows), "h").where(F.size("slots") == F.size("item_slots"))
-    # Plain windows (no diagonal) and a diagonal's have at most as many places in the item as it has windows.
+    matched = distinct.join(small_side(there, facts["n"], most_broadcast_rows, facts["bytes"]), "h").where(F.size("slots") == F.size("item_slots"))
+    # plain windows are on no diagonal
     diagonal = F.when(F.size("slots") > 0, F.col("pos") - F.col("item_pos"))
-    runs = matched.groupBy("hit", "item", diagonal.alias("diagonal")).agg(
-        F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("found"),
-        F.min("pos").alias("first"),
-        F.max("size").alias("size"),
-        F.max("width").alias("width"),
-    )
-    runs = runs.withColumn("found", _agreeing(F.col("found"))).where(F.size("found") > 0)
-    exact = F.forall("found", lambda w: w["item_slots"] == w["slots"])
-    found = runs.groupBy("hit", "item").agg(
-        F.flatten(F.collect_set(F.array_sort(F.array_distinct(F.col("found.item_pos"))))).alias("places"),
+    matched = saved(matched.withColumn("diagonal", diagonal).drop("h").distinct(), "benchmark-pairs", done)
+    counted = matched.join(refused(matched.where("diagonal IS NOT NULL")), [*DIAGONAL, "item_pos"], "left_anti")
+    found = counted.groupBy("hit", "item").agg(
+        F.collect_set("item_pos").alias("places"),
         F.max("width").alias("width"),
         F.max("size").alias("item_tokens"),
-        F.min(F.coalesce(F.array_min("found.item_pos") + F.col("diagonal"), F.col("first"))).alias("first"),
-        F.min(exact).alias("exact"),
+        F.min("pos").alias("first"),
+        F.min(F.col("item_slots") == F.col("slots")).alias("exact"),
     )
-    under = F.flatten(F.transform(F.array_distinct("places"), lambda p: F.sequence(p, p + F.col("width") - 1)))
+    under = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1)))
     found = found.select("hit", "item", F.size(F.array_distinct(under)).alias("matched_tokens"), "item_tokens", "first", "exact")
     found = saved(found.where(F.col("matched_tokens") >= F.least(F.lit(enough), F.col("item_tokens"))), "benchmark-matches")
+    forget(spark, *done)
     named = found.join(benchmark.select("item_id", F.md5("text").alias("item")).distinct(), "item").drop("item")
     rows = hits.drop("windows").join(small_side(named, named.count(), most_broadcast_rows), "hit")
     best = F.max(F.struct("matched_tokens", "exact", (-(F.col("at") + F.col("first"))).alias("back"), "item_tokens"))

@@ -51,13 +51,17 @@ def saved(df: DataFrame, name: str, until: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint only if its counted rows are within a bound.
+#: Bytes of a side that may be broadcast, where its size in bytes is known.
+MOST_BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, rows: int, most_rows: int, size: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint only if its counted rows (and its bytes, if given) are within a bound.
 
     Beyond the bound the join shuffles both sides and adaptive execution splits
     skewed partitions, so no broadcast ever grows with the corpus.
     """
-    return F.broadcast(df) if rows <= most_rows else df.hint("merge")
+    return F.broadcast(df) if rows <= most_rows and (size or 0) <= MOST_BROADCAST_BYTES else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -115,6 +115,28 @@ def test_a_phrase_counts_once_however_often_it_occurs(spark):
     assert got.keys() == {(2, 0)}
 
 
+def test_long_reparameterised_items(spark):
+    """A copy of a long item with other values, all different, and one with a value that disagrees in places."""
+    r = random.Random(2)
+    words = ["walks", "to", "the", "shop", "and", "buys", "some", "apples", "for", "his", "friend", "at", "price"]
+    parts = [f"{r.choice(words)} {r.choice(words)} {k} {r.choice(words)} {r.choice(words)}" for k in range(4_000)]
+    item = " ".join(parts)
+    other = re.sub(r"\d+", lambda m: str(int(m[0]) + 50_000), item)
+    wrong = re.sub(r"\b5(\d\d)0\b", r"77\g<1>0", other)
+    began = time.time()
+    got = {i: r["matched_tokens"] for (i, _), r in leaks(spark, [item], [item, other, wrong, "some apples for his friend"]).items()}
+    assert time.time() - began < 90 and got.keys() == {0, 1, 2} and got[0] == got[1] == 20_000 >= got[2] > 0
+
+
+def test_one_phrase_in_many_items_and_many_documents(spark):
+    """Items and documents share a phrase that is too short to count; one document has an item whole."""
+    phrase = "which of the following is the correct answer"
+    own = lambda k, j: "".join(chr(97 + (k * 7 + j * 3) // 26**d % 26) for d in range(3)) + "qj"[j % 2]
+    items = [f"{phrase} " + " ".join(own(k, j) for j in range(8)) for k in range(600)]
+    docs = [f"{own(k, 20)} text {phrase} goes {own(k, 30)}" for k in range(600)] + [f"x {items[7]} y"]
+    assert leaks(spark, items, docs).keys() == {(600, 7)}
+
+
 def test_toxicity(spark):
     bad = [(i, f"you are a trash person number{i} ok") for i in range(60)]
     good = [(100 + i, f"you are a kind person number{i} ok") for i in range(60)]
