@@ -6,10 +6,14 @@ import os
 import tempfile
 import time
 import uuid
+from itertools import groupby
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import blocks
 from ..sources.lines import read_lines
 from . import synth
 
@@ -50,9 +54,56 @@ def write_sources(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of ``write_sources``, written once an application for each data set."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _LANDED:
+        _LANDED[key] = write_sources(spark, sf_dir)
+    return _LANDED[key]
+
+
 def landed(spark: SparkSession, sf_dir: str, raw: bool = True) -> DataFrame:
-    """Lines of new text files, with their source's name."""
-    return read_lines(spark, f"{write_sources(spark, sf_dir)}/*", raw).withColumn("source", source_of(F.col("file")))
+    """Lines of the landed text files, with their source's name."""
+    return read_lines(spark, f"{landed_folder(spark, sf_dir)}/*", raw).withColumn("source", source_of(F.col("file")))
+
+
+def landed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block index of the landed files, stored beside them."""
+    folder = landed_folder(spark, sf_dir)
+    return blocks.index(spark, [f"{folder}/*/*.txt"], f"{folder}-index")
+
+
+def append_portion(lines: DataFrame, folder: str, finished: bool) -> int:
+    """Append (app, event_id, value) to the files ``app-<app>.log`` of a folder, in the order of events, and count the lines.
+
+    A line feed comes before each line but a file's first one, so the last line
+    stays unfinished; ``finished`` adds the line feed. One task has an app, and
+    takes its lines batch by batch.
+    """
+
+    def add(batches):
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top)
+        for batch in batches:
+            for app, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: r[0]):
+                path, texts = f"{top}/app-{app}.log", [x for _, x in rows]
+                there = store.get_file_info(path).type == fs.FileType.File
+                with store.open_append_stream(path) as out:
+                    out.write((("\n" if there else "") + "\n".join(texts)).encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartition(n, "app").sortWithinPartitions("app", "event_id").select("app", "value")
+    total = dealt.mapInArrow(add, "n long").agg(F.sum("n")).first()[0] or 0
+    if finished:
+        store, top = fs.FileSystem.from_uri(folder)
+        for info in store.get_file_info(fs.FileSelector(top, allow_not_found=True)):
+            with store.open_append_stream(info.path) as out:
+                out.write(b"\n")
+    return total
 
 
 def land_portion(lines: DataFrame | None, spark: SparkSession, folder: str) -> None:

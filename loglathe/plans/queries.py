@@ -8,15 +8,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode, derive, fields, logfmt, render
 from ..functions.once import once
 from ..operators import order, profile, slices
+from ..sources import blocks
 from ..sources import lines as sources
 from ..streaming import follow
 from . import synth
-from .landing import land_portion, landed, scratch, source_of, write_sources
+from .landing import append_portion, land_portion, landed, landed_blocks, landed_folder, scratch, source_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -354,9 +356,35 @@ def skip_lines(spark, sf_dir):
 
 @query(_LANDED + "SELECT base AS source, n AS line_no, line FROM o WHERE n >= total - 10")
 def last_lines(spark, sf_dir):
+    """By the stored index: only the blocks that reach into the last lines are read."""
+    return blocks.lines_to_the_end(landed_blocks(spark, sf_dir), 10, source_of(F.col("file"))).select("source", "line_no", "line")
+
+
+@query(_LANDED + "SELECT base AS source, n AS line_no, line FROM o WHERE n >= total - 10")
+def last_lines_counted(spark, sf_dir):
+    """Without an index, by a count of each block's lines."""
     return slices.last_lines(landed(spark, sf_dir), 10, "source").select("source", "line_no", "line")
 
 
+@query(_LANDED + "SELECT base AS source, total - n AS back, line FROM o WHERE n >= total - 10")
+def last_lines_from_the_end(spark, sf_dir):
+    """By going back from the end of each file."""
+    files = blocks.listed(spark, [f"{landed_folder(spark, sf_dir)}/*/*.txt"])
+    tails = blocks.last_lines_of_sources(files, 10, source_of(F.col("file")))
+    return tails.select("source", F.col("back").cast("bigint").alias("back"), "line")
+
+
+@query(_LANDED + "SELECT base AS source, n AS line_no, start_byte::BIGINT AS start_byte, line FROM b")
+def indexed_lines(spark, sf_dir):
+    """Numbers and offsets by the stored index, block by block."""
+    return blocks.numbered_lines(landed_blocks(spark, sf_dir), source_of(F.col("file"))).select("source", "line_no", "start_byte", "line")
+
+
+@query(_LANDED + "SELECT base AS source, n AS line_no, line FROM o WHERE n >= 25")
+def indexed_skip(spark, sf_dir):
+    return blocks.lines_from(landed_blocks(spark, sf_dir), 25, source_of(F.col("file"))).select("source", "line_no", "line")
+
+
 @query(_LANDED + "SELECT base AS source, start_byte::BIGINT AS start_byte, substr(line, greatest(1000 - start_byte, 0)::INT + 1) AS line FROM b WHERE start_byte + length(line) >= 1000")
 def skip_bytes(spark, sf_dir):
     return slices.skip_bytes(_offset(spark, sf_dir), 1000).select("source", "start_byte", "line")
@@ -376,6 +404,12 @@ def union_sources(spark, sf_dir):
 
 @query("SELECT base AS source, count(*) AS lines, sum(length(m || ' plain') + 1)::BIGINT AS bytes FROM ev GROUP BY base")
 def source_stats(spark, sf_dir):
+    """By the stored index, without reading a line."""
+    return blocks.totals(landed_blocks(spark, sf_dir), source_of(F.col("file"))).groupBy("source").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT base AS source, count(*) AS lines, sum(length(m || ' plain') + 1)::BIGINT AS bytes FROM ev GROUP BY base")
+def source_stats_of_lines(spark, sf_dir):
     return profile.source_stats(landed(spark, sf_dir).withColumn("file", F.col("source"))).select(F.col("file").alias("source"), "lines", "bytes")
 
 
@@ -405,6 +439,16 @@ def similar_sources(spark, sf_dir):
     return profile.similar_sources(parts, target).withColumn("distance", F.col("distance").cast("bigint"))
 
 
+@query("""WITH names AS (SELECT DISTINCT p_name AS name FROM part), asked AS (SELECT DISTINCT substr(p_name, 1, length(p_name) - 1) || 'X' AS target FROM part),
+near AS (SELECT target, name, levenshtein(name, target) AS distance FROM asked JOIN names ON abs(length(name) - length(target)) <= 3 AND levenshtein(lower(name), lower(target)) BETWEEN 1 AND 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, name) AS rank FROM near) SELECT * FROM ranked WHERE rank <= 3""", events=False)
+def similar_to_many(spark, sf_dir):
+    """Each name of the parts with its last letter changed, against all names."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name"))
+    asked = parts.select(F.expr("concat(substr(name, 1, length(name) - 1), 'X')").alias("target"))
+    return profile.similar_to_many(parts, asked).select("target", "name", F.col("distance").cast("bigint").alias("distance"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("SELECT event_id AS line_no, base FROM ev")
 def base_names(spark, sf_dir):
     return synth.log_lines(spark, sf_dir).select("line_no", derive.base_name(F.col("file")).alias("base"))
@@ -517,6 +561,74 @@ def apply_lines(spark, sf_dir):
     return sources.apply_lines(synth.log_lines(spark, sf_dir).select("line_no", "line"), shout, "line_no long, line string")
 
 
+@query(", h AS (SELECT (SELECT min(epoch_us(ts)) FROM events) // 86400000000 + 1 AS day) SELECT event_id AS line_no, shape, lts AS ts FROM ev, h WHERE shape IN ('message', 'time_only') AND lts IS NOT NULL AND epoch_us(lts) >= day * 86400000000 AND epoch_us(lts) < day * 86400000000 + 43200000000")
+def records_by_time(spark, sf_dir):
+    """Records written by shape and date, then half a day of two shapes read back."""
+    folder = scratch(spark, "records")
+    records = decode.dropped(decode.unified_record(parsed(spark, sf_dir)))
+    sources.write_records(records.select("file", "line_no", "shape", "ts", "level", "message"), folder)
+    first = synth.events(spark, sf_dir).agg(F.expr("date_add(min(event_time), 1)").alias("day")).first()["day"]
+    found = sources.read_records(spark, folder, f"{first} 00:00:00", f"{first} 12:00:00", ["message", "time_only"])
+    return found.select("line_no", "shape", ntz("ts").alias("ts"))
+
+
+def _portions(spark, sf_dir):
+    """Lines of two apps (even and odd events) in three portions by the number of the event."""
+    lines = synth.log_lines(spark, sf_dir).select((F.col("line_no") % 2).alias("app"), F.col("line_no").alias("event_id"), F.col("line").alias("value"))
+    ends = lines.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    cuts = [low, low + (high - low) // 3, low + (high - low) * 2 // 3, high + 1]
+    return [lines.where(F.col("event_id").between(a, b - 1)) for a, b in zip(cuts, cuts[1:])]
+
+
+@query("SELECT 'app-' || (event_id % 2) || '.log' AS file, event_id % 12 AS kind, count(*) AS lines, sum(CASE k WHEN 5 THEN 0 ELSE event_id % 1000 END)::BIGINT AS checksum FROM ev WHERE k IN (5, 6, 8) GROUP BY 1, 2")
+def follow_growing(spark, sf_dir):
+    """Two files that grow three times, their last lines unfinished in between; each run starts from the checkpoint of the one before.
+
+    Every line comes once: lines and a sum of the numbers in them, by kind.
+    """
+    folder, path = scratch(spark, "growing"), scratch(spark, "follow")
+    portions = _portions(spark, sf_dir)
+    for number, portion in enumerate(portions):
+        append_portion(portion, folder, number == len(portions) - 1)
+        lines = follow.growing_lines(spark, folder, start="earliest")
+        lines.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    kind = F.when(F.col("line").startswith('{"time"'), 5).when(F.col("line").startswith('{"user"'), 6).when(F.col("line").startswith("evt ") & F.col("line").endswith(" plain"), 8)
+    number = F.when(kind == 6, F.regexp_extract("line", r'"x":(\d+)', 1)).when(kind == 8, F.regexp_extract("line", r"(\d+) plain$", 1)).otherwise(F.lit("0"))
+    return out.withColumns({"kind": kind.cast("bigint"), "no": number.cast("bigint")}).where("kind IS NOT NULL").groupBy("file", "kind").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("no") % 1000).alias("checksum"))
+
+
+@query("SELECT CASE shape WHEN 'text' THEN 'parse_errors' ELSE shape END AS shape, count(*) AS n FROM ev GROUP BY 1")
+def follow_profile(spark, sf_dir):
+    """Shapes counted while files grow, over restarts: the totals are those of the whole."""
+    decode.configure(spark)
+    folder, path = scratch(spark, "growing"), scratch(spark, "profile")
+    portions = _portions(spark, sf_dir)
+    for number, portion in enumerate(portions):
+        append_portion(portion, folder, number == len(portions) - 1)
+        follow.follow_profile(follow.growing_lines(spark, folder, start="earliest"), f"{path}/out", f"{path}/checkpoint", None).awaitTermination()
+    return follow.profile_totals(spark, f"{path}/out")
+
+
+@query("SELECT 'app-' || (event_id % 2) || '.log' AS file, count(*) AS lines, (SELECT count(*) FROM ev) AS positions, true AS within FROM ev GROUP BY 1")
+def follow_batches(spark, sf_dir):
+    """Batches by number or time from the state store: all lines, dense positions, no batch over its limit, each in order."""
+    decode.configure(spark)
+    folder, path = scratch(spark, "growing"), scratch(spark, "batches")
+    total = sum(append_portion(p, folder, last) for p, last in zip(_portions(spark, sf_dir), (False, False, True)))
+    query_ = follow.follow_batches(follow.growing_lines(spark, folder, start="earliest"), f"{path}/out", f"{path}/checkpoint", window_ms=1000)
+    try:
+        follow.wait_for(spark, query_, f"{path}/out", total)
+    finally:
+        query_.stop()
+    out = spark.read.parquet(f"{path}/out")
+    order_ = W.partitionBy("batch_no").orderBy("pos")
+    bad = out.withColumn("back", F.lag("ts").over(order_) > F.col("ts")).groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.max("back").alias("back")).where("n > 1000 OR back").isEmpty()
+    positions = out.agg(F.countDistinct("pos").alias("positions"), F.max("pos").alias("last")).where(F.col("last") + 1 == F.col("positions"))
+    return out.groupBy("file").agg(F.count(F.lit(1)).alias("lines")).join(F.broadcast(positions.select("positions"))).withColumn("within", F.lit(bad))
+
+
 @query(_LANDED + "SELECT base AS source, count(*) AS lines FROM o GROUP BY base")
 def follow_merged(spark, sf_dir):
     """Follow the landed files to their end; a few files a micro-batch."""
@@ -527,7 +639,7 @@ def follow_merged(spark, sf_dir):
 def follow_from(spark, sf_dir):
     """The last five lines of the files there at the start; nothing is new after it."""
     decode.configure(spark)
-    folder, path = write_sources(spark, sf_dir), scratch(spark, "follow")
+    folder, path = landed_folder(spark, sf_dir), scratch(spark, "follow")
     existing = sources.expand_paths(spark, [f"{folder}/*/*.txt"])
     head, stream = follow.follow_from(spark, f"{folder}/*", existing, 5, source_of(F.col("file")))
     follow.follow_merged(stream, f"{path}/out", f"{path}/checkpoint", interval=None).awaitTermination()
@@ -544,7 +656,7 @@ def _exists(spark, path: str) -> bool:
 
 def _followed(spark, sf_dir):
     decode.configure(spark)
-    folder, path = write_sources(spark, sf_dir), scratch(spark, "follow")
+    folder, path = landed_folder(spark, sf_dir), scratch(spark, "follow")
     stream = follow.follow_lines(spark, f"{folder}/*", [], files_per_trigger=4)
     follow.follow_merged(stream, f"{path}/out", f"{path}/checkpoint", interval=None).awaitTermination()
     return spark.read.parquet(f"{path}/out")

@@ -104,6 +104,30 @@ def write_rendered(ordered: DataFrame, path: str, rendered_col: str = "rendered"
     ordered.select(value.alias("value")).write.text(path, lineSep="\n")
 
 
+def write_records(records: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Append records (with shape and ts) to a Parquet folder by shape and date, each file in the order of time.
+
+    Rows are dealt by ranges of (date, shape, time), so a file holds a stretch of
+    time of its own, however many rows a day has, and statistics of files and row
+    groups prune reads by time; rows without a time are a partition of their own.
+    """
+    dated = records.withColumn("date", F.col("ts").cast("date"))
+    dealt = dated.repartitionByRange("date", "shape", "ts").sortWithinPartitions("shape", "date", "ts")
+    dealt.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("shape", "date").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None, shapes: list[str] | None = None) -> DataFrame:
+    """Records from a time on, before another, of some shapes; only the partitions and row groups that may hold them are read."""
+    out = spark.read.parquet(path)
+    if shapes:
+        out = out.where(F.col("shape").isin(shapes))
+    for limit, late in ((begin, False), (end, True)):
+        if limit is not None:
+            time = F.lit(limit).cast("timestamp")
+            out = out.where((F.col("date") <= time.cast("date")) & (F.col("ts") < time) if late else (F.col("date") >= time.cast("date")) & (F.col("ts") >= time))
+    return out
+
+
 def apply_lines(lines: DataFrame, fn, schema: str) -> DataFrame:
     """Apply a function of pandas batches to the lines."""
     return lines.mapInPandas(fn, schema)

@@ -14,6 +14,7 @@ that come late stay in the batch in which they arrive.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -24,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import decode
 from ..functions.derive import base_name
 from ..operators import order
+from ..operators.profile import shape_counts
 from ..plans.landing import forget
 
 
@@ -79,6 +81,23 @@ def follow_batches(lines: DataFrame, sink: str, checkpoint: str, by: Column | No
     return out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{window_ms} milliseconds").start()
 
 
+def wait_for(spark: SparkSession, query: StreamingQuery, sink: str, rows: int, seconds: int = 600) -> None:
+    """Until a sink holds so many rows; an error if the query ends or the time is over."""
+    began = time.monotonic()
+    while True:
+        try:
+            if spark.read.parquet(sink).count() >= rows:
+                return
+        except AnalysisException:  # nothing is there yet
+            if not rows:
+                return
+        if query.exception() is not None:
+            raise query.exception()
+        if time.monotonic() - began > seconds:
+            raise TimeoutError(f"fewer than {rows} rows after {seconds} seconds")
+        time.sleep(0.5)
+
+
 def ordered_batch(batch: DataFrame, batch_id: int, last_name: str | None = None, headers: str = "swap", most_lines: int = 1000, name: Column | None = None) -> DataFrame:
     """Rows of one micro-batch in order: batch_id, sub_no, pos, header, file, ts, level, message, line, shape."""
     arrived = batch.withColumn("__no", F.monotonically_increasing_id()).orderBy("arrival", F.split("file", "/"), "block_start", "__no")
@@ -121,3 +140,23 @@ def follow_merged(stream: DataFrame, sink: str, checkpoint: str, headers: str =
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def follow_profile(stream: DataFrame, sink: str, checkpoint: str, interval: str | None = "1 second") -> StreamingQuery:
+    """Count the shapes of lines while they come: each micro-batch appends the totals that it has changed.
+
+    The totals are in the state store, so a restart goes on with them; a repeated
+    batch replaces its own rows.
+    """
+    counts = shape_counts(decode.classified(stream))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def profile_totals(spark: SparkSession, sink: str) -> DataFrame:
+    """The latest total of each shape."""
+    return spark.read.schema("shape string, n long, batch_id long").parquet(sink).groupBy("shape").agg(F.max_by("n", "batch_id").alias("n"))

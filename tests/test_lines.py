@@ -206,3 +206,54 @@ def test_follow_orders_each_batch_and_starts_at_the_end(spark, tmp_path):
     got = spark.read.parquet(f"file://{tmp_path}/out").orderBy("batch_id", "pos").collect()
     assert [r["message"] for r in got] == ["a", "b", "late"]
     assert [r["header"] for r in got] == ["==> new.log <==", None, None]
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_near_names_of_many_targets(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abAB é") for _ in range(r.choice([0, 1, 2, 3, 4, 5, 7, 12, 13, 20])))
+    names, targets = [word() for _ in range(300)] + [None], [word() for _ in range(150)] + [None, "ab"]
+    for name in names[:60]:  # some that are near
+        t = list(name)
+        for _ in range(r.randint(0, 4)):
+            at = r.randint(0, len(t))
+            t[at : at + r.randint(0, 1)] = [r.choice("abc")] * r.randint(0, 1)
+        targets.append("".join(t))
+    got = sorted(map(tuple, profile.similar_to_many(spark.createDataFrame([(n, 1) for n in names], "name string, target int"), spark.createDataFrame([(t,) for t in targets], "target string")).select("target", "name", "distance", "rank").collect()))
+    want = []
+    for t in {t for t in targets if t is not None}:
+        near = sorted((plain_distance(n, t), n) for n in {n for n in names if n is not None} if 1 <= plain_distance(n.lower(), t.lower()) <= 3)
+        want += [(t, n, d, k) for k, (d, n) in enumerate(near[:3], 1)]
+    assert got == sorted(want)
+    assert "CartesianProduct" not in profile.similar_to_many(spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([("b",)], "target string"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_pruned_by_shape_date_and_time(spark, tmp_path):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "message").otherwise("java").alias("shape"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 20).alias("ts"), F.concat(F.lit("m"), "id").alias("message"))
+    rows = rows.unionByName(spark.createDataFrame([("text", None, "none")], "shape string, ts timestamp, message string"))
+    sources.write_records(rows, f"{tmp_path}/out", rows_per_file=500)
+    whole = spark.read.parquet(f"{tmp_path}/out")
+    assert whole.count() == 40_001 and whole.where("ts IS NULL").count() == 1
+    found = sources.read_records(spark, f"{tmp_path}/out", "2023-11-18 00:00:00", "2023-11-18 01:00:00", ["java"])
+    assert sorted(r["message"] for r in found.collect()) == sorted(r["message"] for r in rows.where("shape = 'java' AND ts >= '2023-11-18' AND ts < '2023-11-18 01:00:00'").collect())
+    scan = next(p for p in _nodes(found._jdf.queryExecution().executedPlan()) if p.nodeName().startswith("Scan parquet"))
+    assert scan.metrics().apply("numPartitions").value() == 1  # one shape and day
+    # each file has a stretch of time of its own
+    spans = spark.read.parquet(f"{tmp_path}/out").where("shape = 'java' AND ts IS NOT NULL").groupBy(F.input_file_name().alias("f")).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
+    assert len(spans) > 20 and all(x["b"] < y["a"] for x, y in zip(spans, spans[1:]))
+
+
+def _nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        yield from _nodes(plan.executedPlan())
