@@ -51,6 +51,38 @@ def merge_chronological(lines: DataFrame) -> DataFrame:
     return keyed.orderBy(F.col("ts").asc_nulls_last(), F.coalesce("ts_nanos", F.lit(0)), "__file_parts", "line_no").drop("__file_parts")
 
 
+def merge_sorted(lines: DataFrame, name: str = "pos") -> DataFrame:
+    """Number the lines in the order of ``merge_chronological``, without a shuffle of what is in order already.
+
+    Each partition is sorted by itself and written as two runs, lines with a time
+    and lines without. A run that meets no other (by its first and last key) keeps
+    its lines where they are: its numbers are the lines of all runs before it, and
+    the place in it. Only runs that overlap are dealt by ranges. So of sources that
+    follow each other in time, as rotated files do, only the edges are shuffled;
+    of sources that all run at once, everything is. The result has positions, and
+    is in order where it is read by them.
+    """
+    key = F.struct(F.col("ts").isNull().alias("late"), "ts", F.coalesce("ts_nanos", F.lit(0)).alias("nanos"), F.split("file", "/").alias("parts"), "line_no")
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = lines.withColumn("__key", key).sortWithinPartitions("__key").withColumns({"__part": F.spark_partition_id(), "__own": own, "__late": F.col("ts").isNull()})
+    runs = written(sorted_, "runs")
+    bounds = runs.groupBy("__part", "__late").agg(F.min("__key").alias("low"), F.max("__key").alias("high"), F.count(F.lit(1)).alias("n"), F.min("__own").alias("__first"))
+    # a few rows for each partition: runs in order, and islands of runs that overlap
+    in_order = W.orderBy("low", "high", "__part")
+    bounds = bounds.withColumn("__new", F.coalesce(F.max("high").over(in_order.rowsBetween(W.unboundedPreceding, -1)) < F.col("low"), F.lit(True)))
+    bounds = bounds.withColumn("__island", F.sum(F.col("__new").cast("int")).over(in_order))
+    islands = bounds.groupBy("__island").agg(F.sum("n").alias("__size"), F.count(F.lit(1)).alias("__runs"))
+    before = W.orderBy("__island").rowsBetween(W.unboundedPreceding, -1)
+    alone = F.when(F.col("__runs") == 1, F.col("__size")).otherwise(0)
+    islands = islands.withColumns({"__start": F.coalesce(F.sum("__size").over(before), F.lit(0)), "__alone_before": F.coalesce(F.sum(alone).over(before), F.lit(0))})
+    places = written(bounds.select("__part", "__late", "__first", "__island").join(islands.drop("__size"), "__island"), "islands")
+    placed = runs.join(F.broadcast(places), ["__part", "__late"])
+    kept = placed.where("__runs = 1").withColumn(name, (F.col("__start") + F.col("__own") - F.col("__first")).cast("long"))
+    meeting = placed.where("__runs > 1").select(*lines.columns, "__key", "__alone_before")
+    mixed = with_position(meeting.orderBy("__key"), "__at").withColumn(name, (F.col("__at") + F.col("__alone_before")).cast("long"))
+    return kept.select(*lines.columns, name).unionByName(mixed.select(*lines.columns, name))
+
+
 def with_position(ordered: DataFrame, name: str = "pos") -> DataFrame:
     """Number the rows of an ordered frame from 0, without a window over all rows.
 

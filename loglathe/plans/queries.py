@@ -327,6 +327,18 @@ def source_headers(spark, sf_dir):
     return order.source_headers(_merged(spark, sf_dir)).select("pos", "header")
 
 
+@query(""", f AS (SELECT *, '/logs/app-' || lpad((event_id // 500)::VARCHAR, 8, '0') || '.log' AS name FROM ev)
+SELECT row_number() OVER (ORDER BY lts NULLS LAST, name, event_id) - 1 AS pos, name AS file, event_id AS line_no FROM f""")
+def merge_sorted(spark, sf_dir):
+    """Files that follow each other, as after rotation: only those that overlap in time are shuffled."""
+    decode.configure(spark)
+    name = F.concat(F.lit("/logs/app-"), F.lpad(F.expr("line_no div 500").cast("string"), 8, "0"), F.lit(".log"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = synth.log_lines(spark, sf_dir).withColumn("file", name).repartitionByRange(n, "file", "line_no").sortWithinPartitions("file", "line_no")
+    parsed_ = decode.dropped(decode.unified_record(decode.classified(lines)))
+    return order.merge_sorted(parsed_).select("pos", "file", "line_no")
+
+
 #: Lines of landed files are numbered from 0 within each source; text as in the form of plain lines.
 _LANDED = ", o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY base) AS total, m || ' plain' AS line FROM ev), b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY base ORDER BY n) - length(line) - 1 AS start_byte, sum(length(line) + 1) OVER (PARTITION BY base) AS size FROM o) "
 

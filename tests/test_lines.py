@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglathe.functions import decode, derive, logfmt, render
@@ -194,6 +195,23 @@ def test_positions_are_dense_when_the_range_sampler_samples(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("kind", ["rotated", "at once", "empty", "mixed"])
+def test_merge_of_sorted_runs(spark, kind):
+    n = {"empty": 0}.get(kind, 24_000)
+    r = spark.range(0, n, 1, 12)
+    time = {"rotated": "id", "at once": "id % 2000", "mixed": "id + if(id between 6000 and 7999, -3000, 0)"}.get(kind, "id")
+    late = "id % 10 = 0"
+    rows = r.select(F.concat(F.lit("/a/x"), F.lpad(F.expr("id div 2000").cast("string"), 3, "0")).alias("file"), F.expr("id % 2000").alias("line_no"), F.expr(f"if({late}, null, timestamp_seconds({time}))").alias("ts"), F.expr(f"if({late}, null, cast(id % 3 AS int))").alias("ts_nanos"), F.concat(F.lit("m"), "id").alias("line"))
+    merged = order.merge_sorted(rows)
+    got = [tuple(x) for x in merged.orderBy("pos").select("pos", "file", "line_no", "line").collect()]
+    want = sorted((x["ts"] is None, x["ts"] or 0, x["ts_nanos"] or 0, x["file"].split("/"), x["line_no"], x["file"], x["line"]) for x in rows.collect())
+    assert got == [(k, x[5], x[4], x[6]) for k, x in enumerate(want)]
+    # the plan of the runs that are kept has no shuffle, so what is shuffled are the rows of overlapping runs
+    shuffled = {"rotated": 0, "empty": 0, "at once": 24_000, "mixed": 6_000}[kind]
+    moved = [p for p in _nodes(merged._jdf.queryExecution().analyzed()) if p.nodeName() == "Union"][0].children().apply(1)
+    assert DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, moved), spark).count() <= shuffled
+
+
 def test_follow_orders_each_batch_and_starts_at_the_end(spark, tmp_path):
     decode.configure(spark)
     land = tmp_path / "land"
