@@ -70,8 +70,7 @@ def counted(files: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
 def index(spark: SparkSession, patterns: list[str], where: str, block_bytes: int = BLOCK) -> DataFrame:
     """The index of these files: stored in the folder ``where``, and extended by what isn't in it yet.
 
-    Adds ``before``: the lines of the file that begin before the block's first
-    line feed... that is, the line feeds of the blocks before.
+    Adds ``before``: the line feeds of the file's blocks before this one.
     """
     files = listed(spark, patterns)
     stored = spark.read.schema(INDEX).parquet(f"{where}/*") if _exists(spark, where) else spark.createDataFrame([], INDEX)
