@@ -47,56 +47,100 @@ def gamma_quantiles() -> np.ndarray:
     return low.astype(np.float32)
 
 
+@functools.cache
+def sample_seeds(samples: int) -> np.ndarray:
+    return (np.arange(1, samples + 1, dtype=np.uint64) * _GOLDEN)[None, :]
+
+
 def packed_keys(hashes: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
     """One number for each weighted term and sample: the key in order, then 16 bits of the term and its grid step.
 
-    The least number over a text's terms holds the sample's bits in its end.
+    The least number over a text's terms holds the sample's bits in its end. A
+    weight of 1 is always at grid step 0, as its logarithm is 0.
     """
-    x = hashes[:, None] ^ (np.arange(1, samples + 1, dtype=np.uint64) * _GOLDEN)[None, :]
+    x = hashes[:, None] ^ sample_seeds(samples)
     x *= _MIX
     x ^= x >> np.uint64(32)
     x *= _STEP
     x ^= x >> np.uint64(29)
     quarters = x.astype("<u8", copy=False).view("<u2").reshape(len(hashes), samples, 4)  # four uniform variables
-    scale = np.float32(2.0**-16)
+    half, scale = np.float32(0.5), np.float32(2.0**-16)
     r = gamma_quantiles()[quarters[:, :, 0]]
-    beta = (quarters[:, :, 1] + np.float32(0.5)) * scale
-    c = (quarters[:, :, 2] + np.float32(0.5)) * scale
-    c *= (quarters[:, :, 3] + np.float32(0.5)) * scale
+    steps = np.float32(65535.5) - quarters[:, :, 1]
+    steps *= scale  # 1 - beta
+    c = quarters[:, :, 2] + half
+    c *= quarters[:, :, 3] + half
+    c *= scale * scale
     np.log(c, out=c)
     np.negative(c, out=c)  # gamma(2, 1)
     np.log(c, out=c)
-    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + beta)
-    bits = (c - r * (t - beta + 1)).view(np.uint32)
+    low = np.maximum(hashes & np.uint64(0xFFFF), np.uint64(1))  # 0 is the empty set's
+    heavy = np.nonzero(weights > 1)[0]
+    if len(heavy):
+        beta = 1 - steps[heavy]
+        t = np.floor(np.log(weights[heavy].astype(np.float32))[:, None] / r[heavy] + beta)
+        steps[heavy] = t - beta + 1
+        code = (hashes[heavy] & np.uint64(0xFFFF)).astype(np.int64)[:, None] + t.astype(np.int64) * 0x9E37 & 0xFFFF
+        low[heavy] = 0
+    steps *= r
+    c -= steps
+    bits = c.view(np.uint32)
     bits ^= (bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(1 << 31)  # floats in order as whole numbers
-    code = ((hashes & np.uint64(0xFFFF)).astype(np.int64)[:, None] + t.astype(np.int64) * 0x9E37) & 0xFFFF
-    return bits.astype(np.uint64) << np.uint64(16) | np.maximum(code, 1).astype(np.uint64)  # 0 is the empty set's
+    out = bits.astype(np.uint64)
+    out <<= np.uint64(16)
+    out |= low[:, None]
+    if len(heavy):
+        out[heavy] |= np.maximum(code, 1).astype(np.uint64)
+    return out
 
 
 class Sampler:
-    """Fingerprints; it keeps the numbers of weighted terms met and starts anew when full."""
+    """Fingerprints; it keeps the numbers of weighted terms met.
+
+    When ``kept_terms`` are full, those that were met again since the last time
+    stay, if they are no more than half; all others are forgotten.
+    """
 
     def __init__(self, samples: int = SAMPLES, kept_terms: int = 100_000, block: int = 256):
         self.samples, self.block = samples, block
         self.slots: dict[tuple[str, int], int] = {}
         self.known = np.zeros((kept_terms, samples), np.uint64)
-
-    def rows(self, terms: list[tuple[str, int]]) -> list[int]:
-        """Where the numbers of at most ``block`` weighted terms are kept."""
+        self.again = np.zeros(kept_terms, bool)
+        self.taken = np.empty((block, samples), np.uint64)
+
+    def make_room(self) -> None:
+        at = np.nonzero(self.again)[0]
+        if len(at) > len(self.known) // 2:
+            at = at[:0]
+        place = np.full(len(self.known), -1)
+        place[at] = np.arange(len(at))
+        for first in range(0, len(at), self.block):  # rows only move towards the front
+            part = at[first : first + self.block]
+            self.known[first : first + len(part)] = self.known[part]
+        moved = place.tolist()
+        self.slots = {x: moved[k] for x, k in self.slots.items() if moved[k] >= 0}
+        self.again[:] = False
+
+    def least(self, terms: list[tuple[str, int]]) -> np.ndarray:
+        """The least number of each sample over at most ``block`` weighted terms."""
         from xxhash import xxh3_64_intdigest
 
-        at = list(map(self.slots.get, terms))
-        if None not in at:
-            return at
-        lack = [x for x, n in zip(terms, at, strict=True) if n is None]
-        if len(self.slots) + len(lack) > len(self.known):
-            self.slots.clear()
-            return self.rows(terms)
-        hashes = np.array([xxh3_64_intdigest(word.encode("utf-8", "replace")) for word, _ in lack], np.uint64)
-        first = len(self.slots)
-        self.known[first : first + len(lack)] = packed_keys(hashes, np.array([n for _, n in lack]), self.samples)
-        self.slots.update(zip(lack, range(first, first + len(lack)), strict=True))
-        return [self.slots[x] for x in terms]
+        found = list(map(self.slots.get, terms))
+        lack = [x for x, k in zip(terms, found, strict=True) if k is None] if None in found else []
+        at = np.array([k for k in found if k is not None] if lack else found, np.intp)
+        self.again[at] = True
+        own = np.take(self.known, at, axis=0, out=self.taken[: len(at)], mode="clip")
+        least = own.min(axis=0, initial=np.iinfo(np.uint64).max)
+        if lack:
+            hashes = np.array([xxh3_64_intdigest(word.encode("utf-8", "replace")) for word, _ in lack], np.uint64)
+            new = packed_keys(hashes, np.array([n for _, n in lack]), self.samples)
+            np.minimum(least, new.min(axis=0), out=least)
+            if len(self.slots) + len(lack) > len(self.known):
+                self.make_room()
+            first = len(self.slots)
+            self.known[first : first + len(lack)] = new
+            self.slots.update(zip(lack, range(first, first + len(lack)), strict=True))
+        return least
 
     def fingerprint(self, text: str) -> np.ndarray:
         """One unsigned 16-bit number for each sample."""
@@ -105,8 +149,7 @@ class Sampler:
             return np.zeros(self.samples, np.uint16)
         least = np.full(self.samples, np.iinfo(np.uint64).max)
         for first in range(0, len(terms), self.block):
-            own = self.known[self.rows(terms[first : first + self.block])]
-            np.minimum(least, own.min(axis=0), out=least)
+            np.minimum(least, self.least(terms[first : first + self.block]), out=least)
         return (least & np.uint64(0xFFFF)).astype(np.uint16)
 
 
