@@ -163,3 +163,49 @@ def test_compare_edited(spark):
     assert fingerprints.compare_edited(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "q r"), (None, "s")], "doc_id long, text string")
     assert fingerprints.compare_edited(nulls).count() == 2
+
+
+def test_samples_follow_the_formula():
+    """Each sample against consistent weighted sampling in plain Python with doubles; 32-bit floats may differ at near ties."""
+    import math
+    import random
+
+    from xxhash import xxh3_64_intdigest
+
+    def gamma(share):
+        low, high = 0.0, 40.0
+        for _ in range(50):
+            x = (low + high) / 2
+            low, high = (x, high) if (1 + x) * math.exp(-x) > 1 - share else (low, x)
+        return low
+
+    def sample(counts, k):
+        best = None
+        for word, n in counts.items():
+            h, mask = xxh3_64_intdigest(word.encode()), (1 << 64) - 1
+            x = (h ^ (k * 0x9E3779B97F4A7C15 & mask)) * 0xBF58476D1CE4E5B9 & mask
+            x ^= x >> 32
+            x = x * 0x94D049BB133111EB & mask
+            x ^= x >> 29
+            u = [((x >> 16 * i & 0xFFFF) + 0.5) / 65536 for i in range(4)]
+            r, c = gamma(u[0]), -math.log(u[2] * u[3])
+            t = math.floor(math.log(n) / r + u[1])
+            key = math.log(c) - r * (t - u[1] + 1)
+            if best is None or key < best[0]:
+                best = key, max((h + t * 0x9E37) & 0xFFFF, 1)
+        return best[1]
+
+    draw, same, all_ = random.Random(3), 0, 0
+    for _ in range(4):
+        counts = {f"w{draw.randrange(10**6)}": draw.choice([1, 1, 2, 7, 300]) for _ in range(25)}
+        text = " ".join(w for w, n in counts.items() for _ in range(n))
+        got = fingerprints.Sampler(kept_terms=1000).fingerprint(text)
+        same += sum(int(x) == sample(counts, k) for k, x in enumerate(got, 1))
+        all_ += len(got)
+    assert same >= 0.99 * all_
+
+
+def test_known_terms_may_be_forgotten_at_any_time():
+    texts = [" ".join(f"t{(i * 37 + j * j) % 700}" for j in range(120)) for i in range(60)]
+    small, large = fingerprints.Sampler(kept_terms=300, block=64), fingerprints.Sampler()
+    assert all((small.fingerprint(t) == large.fingerprint(t)).all() for t in texts + texts)
