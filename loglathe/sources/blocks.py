@@ -153,7 +153,8 @@ def numbered_lines(blocks: DataFrame, source: Column | None = None, raw: bool =
 
 def _placed(lines: DataFrame, files: DataFrame) -> DataFrame:
     places = files.select("file", "source", "lines_before", "bytes_before")
-    return lines.join(places, "file").withColumns({"line_no": F.col("line_no") + F.col("lines_before"), "start_byte": F.col("start_byte") + F.col("bytes_before")}).drop("lines_before", "bytes_before")
+    # a row for each file, and the driver lists the files anyway; by its own estimate (of the index, not of what is read by it) Spark would broadcast the lines
+    return lines.join(F.broadcast(places), "file").withColumns({"line_no": F.col("line_no") + F.col("lines_before"), "start_byte": F.col("start_byte") + F.col("bytes_before")}).drop("lines_before", "bytes_before")
 
 
 def _blocks_with_lines(blocks: DataFrame, files: DataFrame, first: Column, last: Column | None = None) -> DataFrame:
@@ -175,7 +176,7 @@ def lines_to_the_end(blocks: DataFrame, n: int, source: Column | None = None) ->
     first = (F.sum("lines").over(W.partitionBy("source")) - n).alias("__from")
     files = files.select("*", first)
     placed = _placed(lines_of(_blocks_with_lines(blocks, files, F.col("__from"))), files)
-    return placed.join(files.select("file", "__from"), "file").where(F.col("line_no") >= F.col("__from")).drop("__from")
+    return placed.join(F.broadcast(files.select("file", "__from")), "file").where(F.col("line_no") >= F.col("__from")).drop("__from")
 
 
 def last_lines_of_files(files: DataFrame, n: int, block_bytes: int = 64 << 10, raw: bool = False) -> DataFrame:

@@ -88,3 +88,18 @@ def test_only_blocks_that_hold_the_lines_are_read(spark, tmp_path):
     assert found.count() == 29
     assert blocks._blocks_with_lines(found, files, F.lit(99_990)).count() == 1 and blocks._blocks_with_lines(found, files, F.lit(50_000), F.lit(50_001)).count() <= 2
     assert blocks.lines_to_the_end(found, 3).count() == 3
+
+
+@pytest.mark.parametrize("cut", [blocks.numbered_lines, lambda b: blocks.lines_from(b, 2), lambda b: blocks.lines_to_the_end(b, 2)])
+def test_lines_are_never_broadcast(spark, folder, cut):
+    """Spark takes the lines for as small as the index they are read by."""
+    top, _ = folder
+    found = blocks.index(spark, [f"{top}/logs/*"], f"file://{top}/index", 16)
+    nodes = cut(found)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    sent = [k for k, line in enumerate(nodes) if "BroadcastExchange" in line]
+    assert sent
+    for k in sent:
+        below = nodes[k + 1 :]
+        below = below[: next((i for i, line in enumerate(below) if depth(line) <= depth(nodes[k])), len(below))]
+        assert not any("MapInArrow" in line for line in below)
