@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -99,11 +100,24 @@ def wait_for(spark: SparkSession, query: StreamingQuery, sink: str, rows: int, s
 
 
 def ordered_batch(batch: DataFrame, batch_id: int, last_name: str | None = None, headers: str = "swap", most_lines: int = 1000, name: Column | None = None) -> DataFrame:
-    """Rows of one micro-batch in order: batch_id, sub_no, pos, header, file, ts, level, message, line, shape."""
-    arrived = batch.withColumn("__no", F.monotonically_increasing_id()).orderBy("arrival", F.split("file", "/"), "block_start", "__no")
-    arrived = order.with_position(arrived.drop("__no"), "seq").withColumns({"batch_no": F.lit(0), "sub_no": F.floor(F.col("seq") / most_lines).cast("long")})
+    """Rows of one micro-batch in order: batch_id, sub_no, pos, header, file, ts, level, message, line, shape.
+
+    Nothing is sorted by ranges, whose samples of keys would go to the driver and
+    would decode each line twice. A line's place of arrival is its place in its
+    block of a file, after the lines of the blocks before (a count each). All
+    sub-batches but the last are full, so a line's position follows from its
+    sub-batch and its place in it, and lines are decoded where these are ordered.
+    """
+    spark, block = batch.sparkSession, ["arrival", "file", "block_start"]
+    came = order.written(batch.withColumn("__no", F.monotonically_increasing_id()), "arrived")
+    before = W.orderBy("arrival", F.split("file", "/"), "block_start").rowsBetween(W.unboundedPreceding, -1)
+    starts = came.groupBy(*block).agg(F.count(F.lit(1)).alias("__n")).select(*block, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # one row for each block
+    place = F.row_number().over(W.partitionBy(*block).orderBy("__no"))
+    arrived = came.join(F.broadcast(starts), block).withColumn("seq", (F.col("__start") + place - 1).cast("long")).drop("__no", "__start")
+    arrived = arrived.withColumn("sub_no", F.floor(F.col("seq") / most_lines).cast("long")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sub_no")
     parsed = decode.dropped(decode.unified_record(decode.classified(arrived)))
-    placed = order.with_position(order.order_batches(parsed, "seq", "seq"))
+    within = F.row_number().over(W.partitionBy("sub_no").orderBy(F.col("ts").asc_nulls_last(), F.coalesce("ts_nanos", F.lit(0)), "seq"))
+    placed = order.written(parsed.withColumn("pos", (F.col("sub_no") * most_lines + within - 1).cast("long")), "placed")
     placed = order.source_headers(placed, headers, last_name, name=name)
     return placed.select(F.lit(batch_id).cast("long").alias("batch_id"), "sub_no", "pos", "header", "file", "ts", "level", "message", "line", "shape")
 
