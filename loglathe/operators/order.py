@@ -124,11 +124,12 @@ def arrival_batches(lines: DataFrame, start: Column, window_ms: int = 250, most_
     """Add batch_no (arrival window) and sub_no (at most ``most_lines`` lines each).
 
     The lines are ordered by arrival over all partitions and numbered; a window's
-    first number comes from one count a window, so a burst isn't one task's.
+    first number comes from one count a window, so a burst isn't one task's. The
+    lines are written before they are ordered, as in ``merge_chronological``.
     """
     elapsed = F.unix_micros(F.col(arrival)) - F.unix_micros(start)
     numbered = lines.withColumn("batch_no", F.floor(elapsed / (window_ms * 1000)).cast("long"))
-    placed = with_position(numbered.orderBy("batch_no", arrival, tie), "__pos")
+    placed = with_position(written(numbered, "to-batch").orderBy("batch_no", arrival, tie), "__pos")
     first = placed.groupBy("batch_no").agg(F.min("__pos").alias("__first"))
     joined = placed.join(first.withColumnRenamed("batch_no", "__batch"), F.col("batch_no").eqNullSafe(F.col("__batch")))
     return joined.withColumn("sub_no", F.floor((F.col("__pos") - F.col("__first")) / most_lines).cast("long")).drop("__pos", "__first", "__batch")
