@@ -110,10 +110,15 @@ def write_records(records: DataFrame, path: str, rows_per_file: int = 1_000_000)
     Rows are dealt by ranges of (date, shape, time), so a file holds a stretch of
     time of its own, however many rows a day has, and statistics of files and row
     groups prune reads by time; rows without a time are a partition of their own.
+    The ranges are cut by a sample, which would compute every record a second
+    time, so the records are written to a table of a while before they are dealt.
     """
-    dated = records.withColumn("date", F.col("ts").cast("date"))
-    dealt = dated.repartitionByRange("date", "shape", "ts").sortWithinPartitions("shape", "date", "ts")
-    dealt.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("shape", "date").parquet(path)
+    from ..operators.order import scratch_of_a_while, written
+
+    with scratch_of_a_while(records.sparkSession):
+        dated = written(records.withColumn("date", F.col("ts").cast("date")), "to-deal")
+        dealt = dated.repartitionByRange("date", "shape", "ts").sortWithinPartitions("shape", "date", "ts")
+        dealt.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("shape", "date").parquet(path)
 
 
 def read_records(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None, shapes: list[str] | None = None) -> DataFrame:
