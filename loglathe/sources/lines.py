@@ -45,10 +45,26 @@ def read_sources(spark: SparkSession, patterns: list[str], raw: bool = False) ->
     return read_lines(spark, expand_paths(spark, patterns), raw)
 
 
-def spread(lines: DataFrame, *by: str) -> DataFrame:
-    """Deal lines just read over all cores, by a hash of the columns ``by``, if they come in fewer splits than there are cores; else leave them where they are."""
+def spread(lines: DataFrame, *by: str, task_bytes: int = 1 << 20) -> DataFrame:
+    """Deal lines just read over tasks by a hash of the columns ``by``: as many rounds of tasks on all cores as bring a task to ``task_bytes`` of what is read.
+
+    Decoding takes far longer than reading, and a Parquet file has as many tasks
+    with rows as row groups, whatever its splits; so the size of a task is set
+    here and does not grow with the input.
+    """
+    read = sum(_size(lines.sparkSession, name) for name in lines.inputFiles())
     cores = lines.sparkSession.sparkContext.defaultParallelism
-    return lines.repartition(cores, *by) if lines.rdd.getNumPartitions() < cores else lines
+    rounds = max(1, -(-min(read // task_bytes, MOST_TASKS) // cores))  # whole rounds of all cores
+    return lines.repartition(rounds * cores, *by)
+
+
+#: Beyond it tasks grow again: a shuffle's bookkeeping grows with the square of their number.
+MOST_TASKS = 5000
+
+
+def _size(spark: SparkSession, name: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
 
 
 def block_starts(lines: DataFrame, amount: Column, by: str = "file") -> DataFrame:
