@@ -16,8 +16,15 @@ nothing else, and nothing is written by the source.
 Options: ``path`` (a folder, of a store that pyarrow opens), ``pattern`` (of the
 path below it, default ``*``), ``start`` (``latest``, ``earliest`` or a number:
 that many last lines of each file that is there at the start), ``splitBytes``
-(bytes of a task, default 64 MB), ``blockBytes`` (read at once), ``failOnDataLoss``
-(default true: an error if a file of an offset is gone before it was read).
+(most bytes of a task, default 16 MB), ``minPartitions`` (tasks a micro-batch is
+dealt to while they have 256 KB each, default 1), ``blockBytes`` (read at once),
+``failOnDataLoss`` (default true: an error if a file of an offset is gone before
+it was read), ``maxBytesPerTrigger`` (most bytes of a micro-batch, default all:
+whole lines, files of the oldest change first, the rest in the micro-batches that
+follow; a line that is longer is taken whole). Not for ``availableNow``, which
+asks a source of this kind once for its end: it would stop at the first part.
+A file that is read in part is marked in the offset with the name and generation
+its lines go under, so the rest of a renamed or replaced file keeps them.
 """
 
 from __future__ import annotations
@@ -38,7 +45,8 @@ SCHEMA = "file string, line string, start_byte long, bytes long, arrival timesta
 ARROW = pa.schema([("file", pa.string()), ("line", pa.string()), ("start_byte", pa.int64()), ("bytes", pa.int64()), ("arrival", pa.timestamp("us", "UTC")), ("generation", pa.int32())])
 HEAD_BYTES = 1024
 BLOCK_BYTES = 1 << 20
-SPLIT_BYTES = 64 << 20
+SPLIT_BYTES = 16 << 20
+LEAST_SPLIT_BYTES = 256 << 10
 
 
 def back_to_line_feed(file, end: int, count: int = 1, block: int = BLOCK_BYTES) -> int:
@@ -69,6 +77,29 @@ def last_lines_start(file, end: int, count: int, block: int = BLOCK_BYTES) -> in
     return back_to_line_feed(file, end - 1 if closed else end, count, block)
 
 
+def line_end(file, first: int, most: int, stop: int, beyond: bool, block: int = BLOCK_BYTES) -> int:
+    """The end of the last line that ends within ``most`` bytes from ``first`` on, or else ``first``; with ``beyond`` the end of a longer line."""
+    at = first + most
+    while at > first:
+        begin = max(first, at - block)
+        file.seek(begin)
+        feed = file.read(at - begin).rfind(b"\n")
+        if feed >= 0:
+            return begin + feed + 1
+        at = begin
+    at = first + most
+    while beyond and at < stop:
+        file.seek(at)
+        data = file.read(min(block, stop - at))
+        feed = data.find(b"\n")
+        if feed >= 0:
+            return at + feed + 1
+        if not data:
+            break
+        at += len(data)
+    return first
+
+
 def opened(where: str) -> tuple[fs.FileSystem, str]:
     """(store, path) of a folder given as a URI or a local path."""
     if "://" in where or where.startswith("file:"):
@@ -156,9 +187,12 @@ def changes(start: dict[str, dict], end: dict[str, dict]) -> list[tuple[str, str
                     goes_on[name] = before, free.pop(before)["end"]
     out = []
     for name in sorted(end):
-        source, first = goes_on.get(name, (name, 0))
+        source, first, generation = name, 0, int(name in start)
+        if name in goes_on:
+            before, first = goes_on[name]
+            source, generation = start[before].get("source", before), start[before].get("generation", 0)
         if first < end[name]["end"]:
-            out.append((name, source, first, end[name]["end"], 0 if name in goes_on or name not in start else 1))
+            out.append((name, source, first, end[name]["end"], generation))
     return sorted(out, key=lambda x: (x[1], x[4], x[0]))
 
 
@@ -166,9 +200,16 @@ class GrowingReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.where, self.pattern, self.start = options["path"], options.get("pattern", "*"), options.get("start", "latest")
         self.split, self.block = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES))), int(options.get("blockbytes", options.get("blockBytes", BLOCK_BYTES)))
+        self.tasks, self.most = int(options.get("minpartitions", options.get("minPartitions", 1))), int(options.get("maxbytespertrigger", options.get("maxBytesPerTrigger", 0)))
+        self.first = self.seen = None  # offsets: of the start, of the last micro-batch
         self.strict = str(options.get("failondataloss", options.get("failOnDataLoss", "true"))).lower() == "true"
 
     def initialOffset(self) -> dict:
+        if self.first is None:
+            self.first = self._initial()
+        return self.first
+
+    def _initial(self) -> dict:
         files = {} if self.start == "earliest" else found_files(self.where, self.pattern)
         if self.start not in ("earliest", "latest"):
             store, top = opened(self.where)
@@ -178,13 +219,34 @@ class GrowingReader(DataSourceStreamReader):
         return {"files": files}
 
     def latestOffset(self) -> dict:
-        return {"files": found_files(self.where, self.pattern)}
+        files = found_files(self.where, self.pattern)
+        return {"files": self._part((self.seen or self.initialOffset())["files"], files) if self.most else files}
+
+    def _part(self, start: dict[str, dict], files: dict[str, dict]) -> dict[str, dict]:
+        """``files`` up to at most ``most`` bytes beyond ``start``, but one line at least."""
+        store, top = opened(self.where)
+        out, left = dict(files), self.most
+        for name, source, first, stop, generation in sorted(changes(start, files), key=lambda c: (files[c[0]]["at"], c[1], c[4], c[0])):
+            end = stop
+            if stop - first > left:
+                try:
+                    with store.open_input_file(f"{top}/{name}") as file:
+                        end = line_end(file, first, left, stop, left == self.most, self.block)
+                except FileNotFoundError:  # renamed meanwhile; found by the next trigger
+                    end = first
+                out[name] = files[name] | {"end": end} | ({"source": source, "generation": generation} if end < stop else {})
+            left = 0 if end < stop else max(0, left - (end - first))
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
+        self.seen = end  # also called with the last offset of the checkpoint, before a restarted stream asks for its end
+        new = changes(start["files"], end["files"])
+        share = -(-sum(stop - first for _, _, first, stop, _ in new) // self.tasks)
+        split = min(self.split, max(share, LEAST_SPLIT_BYTES))
         return [
-            Range(name, source, end["files"][name]["id"], first, begin, min(begin + self.split, stop), stop, end["files"][name]["at"], generation)
-            for name, source, first, stop, generation in changes(start["files"], end["files"])
-            for begin in range(first, stop, self.split)
+            Range(name, source, end["files"][name]["id"], first, begin, min(begin + split, stop), stop, end["files"][name]["at"], generation)
+            for name, source, first, stop, generation in new
+            for begin in range(first, stop, split)
         ]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,19 @@ def configure_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def _typed(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.astype({"arrival": "datetime64[ns]", "ts": "datetime64[ns]", "ts_nanos": "Int32"})
+
+
+def _frame(lines: list[tuple]) -> pd.DataFrame:
+    return _typed(pd.DataFrame(lines, columns=FIELDS))
+
+
+def _tuples(frame: pd.DataFrame) -> list[tuple]:
+    frame = frame.astype(object)
+    return list(frame.where(frame.notna(), None).itertuples(index=False, name=None))
+
+
 class Batches(StatefulProcessor):
     def __init__(self, most_lines: int, window_ms: int, headers: str):
         self.most, self.window, self.headers = most_lines, window_ms, headers
@@ -51,39 +65,42 @@ class Batches(StatefulProcessor):
         return tuple(self.at.get()) if self.at.exists() else (0, 0, None, 0)
 
     def _batch(self, lines: list[tuple], number: int, pos: int, last: str | None) -> tuple[pd.DataFrame, int, str | None]:
-        ts, nanos = FIELDS.index("ts"), FIELDS.index("ts_nanos")
-        timed = sorted((x for x in lines if not pd.isna(x[ts])), key=lambda x: (x[ts], 0 if pd.isna(x[nanos]) else x[nanos]))
-        rows = []
-        for k, line in enumerate(timed + [x for x in lines if pd.isna(x[ts])]):
-            name = "" if line[1] is None else line[1]
-            shown = self.headers == "every" or self.headers == "swap" and name != last
-            rows.append((number, pos + k, f"==> {name} <==" if shown else None, *line))
-            last = name
-        frame = pd.DataFrame(rows, columns=["batch_no", "pos", "header", *FIELDS])
-        for c in ("arrival", "ts"):
-            frame[c] = pd.to_datetime(frame[c])
-        frame["ts_nanos"] = frame["ts_nanos"].astype("Int32")
-        return frame, pos + len(rows), last
+        return self._batches(_frame(lines), number, pos, last)
+
+    def _batches(self, lines: pd.DataFrame, number: int, pos: int, last: str | None) -> tuple[pd.DataFrame, int, str | None]:
+        """Lines in batches of ``most_lines`` as they arrived, each in order; (batches, next position, last name)."""
+        batch, late = np.arange(len(lines)) // self.most, lines["ts"].isna().to_numpy()
+        ts = np.where(late, 0, lines["ts"].to_numpy().view(np.int64))
+        nanos = np.where(late, 0, lines["ts_nanos"].fillna(0).to_numpy(np.int64))
+        frame = lines.iloc[np.lexsort((nanos, ts, late, batch))].reset_index(drop=True)  # equal ones as they arrived
+        names = frame["name"].astype(object).where(frame["name"].notna(), "").to_numpy()
+        header = np.full(len(frame), None, object)
+        if self.headers != "never":
+            shown = np.ones(len(frame), bool) if self.headers == "every" else names != np.array([last, *names[:-1]], object)
+            header[shown] = [f"==> {name} <==" for name in names[shown]]
+        for k, (column, values) in enumerate({"batch_no": number + batch, "pos": pos + np.arange(len(frame)), "header": header}.items()):
+            frame.insert(k, column, values)
+        return frame, pos + len(frame), names[-1]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         number, pos, last, due = self._state()
-        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        held = _frame([tuple(x) for x in self.held.get()] if self.held.exists() else [])
         for frame in rows:
-            frame = frame.sort_values(["arrival", "file", "generation", "start_byte"], kind="stable")[FIELDS].astype(object)
-            held += list(frame.where(frame.notna(), None).itertuples(index=False, name=None))
-            while len(held) >= self.most:
-                out, pos, last = self._batch(held[: self.most], number, pos, last)
-                held, number = held[self.most :], number + 1
+            frame = _typed(frame.sort_values(["arrival", "file", "generation", "start_byte"], kind="stable")[FIELDS])
+            held = pd.concat([held, frame], ignore_index=True) if len(held) else frame
+            if full := len(held) // self.most:
+                out, pos, last = self._batches(held.iloc[: full * self.most], number, pos, last)
+                held, number = held.iloc[full * self.most :], number + full
                 if due:
                     self.handle.deleteTimer(due)
                     due = 0
                 yield out
-        if held and not due:
+        if len(held) and not due:
             due = timerValues.getCurrentProcessingTimeInMs() + self.window
             self.handle.registerTimer(due)
         self.held.clear()
-        if held:
-            self.held.put(held)
+        if len(held):
+            self.held.put(_tuples(held))
         self.at.update((number, pos, last, due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

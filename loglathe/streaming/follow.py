@@ -40,10 +40,14 @@ def follow_source(spark: SparkSession, folder: str, files_per_trigger: int | Non
 
 
 def growing_lines(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """A stream of (file, line, start_byte, bytes, arrival, generation) of files that grow; options as in ``sources.growing``."""
+    """A stream of (file, line, start_byte, bytes, arrival, generation) of files that grow; options as in ``sources.growing``.
+
+    A micro-batch is dealt to all cores, unless ``minPartitions`` says otherwise.
+    """
     from ..sources.growing import NAME, GrowingLines
 
     spark.dataSource.register(GrowingLines)
+    options = {"minPartitions": 2 * spark.sparkContext.defaultParallelism} | options
     return spark.readStream.format(NAME).options(**{k: str(v) for k, v in options.items()}).load(folder)
 
 
@@ -73,7 +77,8 @@ def follow_batches(lines: DataFrame, sink: str, checkpoint: str, by: Column | No
 
     Batch numbers, positions and the last header are kept in the state store, per
     value of ``by``; a restart from the checkpoint goes on with them, and with the
-    lines that were held.
+    lines that were held. A key's task sorts its share of a micro-batch, so where
+    much may be waiting, bound micro-batches by the source's ``maxBytesPerTrigger``.
     """
     from .batches import arriving_batches
 
@@ -83,19 +88,22 @@ def follow_batches(lines: DataFrame, sink: str, checkpoint: str, by: Column | No
 
 
 def wait_for(spark: SparkSession, query: StreamingQuery, sink: str, rows: int, seconds: int = 600) -> None:
-    """Until a sink holds so many rows; an error if the query ends or the time is over."""
-    began = time.monotonic()
+    """Until a sink holds so many rows; an error if the query ends, or if no row comes for so many seconds."""
+    came, there = time.monotonic(), 0
     while True:
         try:
-            if spark.read.parquet(sink).count() >= rows:
+            before, there = there, spark.read.parquet(sink).count()
+            if there >= rows:
                 return
+            if there > before:
+                came = time.monotonic()
         except AnalysisException:  # nothing is there yet
             if not rows:
                 return
         if query.exception() is not None:
             raise query.exception()
-        if time.monotonic() - began > seconds:
-            raise TimeoutError(f"fewer than {rows} rows after {seconds} seconds")
+        if time.monotonic() - came > seconds:
+            raise TimeoutError(f"{there} of {rows} rows, and no more for {seconds} seconds")
         time.sleep(0.5)
 
 

@@ -73,6 +73,40 @@ def test_batches_of_one_processor(spark):
     assert list(batches.Batches(1, 1, "never")._batch([line("x", at, 0, "a")], 0, 0, None)[0]["header"]) == [None]
 
 
+def test_backlog_in_bounded_micro_batches(spark, tmp_path):
+    """What waits is taken in several micro-batches; batches, positions and headers go on over them."""
+    land = tmp_path / "land"
+    land.mkdir()
+    for name in "ab":
+        (land / f"{name}.log").write_text("".join(record(n % 60, f"{name}{n}") for n in range(100)))
+    decode.configure(spark)
+    lines = follow.growing_lines(spark, f"file://{land}", start="earliest", maxBytesPerTrigger=2000)
+    query = follow.follow_batches(lines, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", most_lines=30, window_ms=500)
+    try:
+        follow.wait_for(spark, query, f"file://{tmp_path}/out", 200, 90)
+        sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    finally:
+        query.stop()
+    got = rows(spark, tmp_path)
+    assert len(sizes) > 4 and max(sizes) <= 50 and [p for _, p, *_ in got] == list(range(200)) and len({m for *_, m in got}) == 200
+    names = [f for *_, f, _ in got]
+    assert [h for _, _, h, _, _ in got] == [f"==> {n} <==" if n != before else None for n, before in zip(names, [None, *names])]
+
+
+def test_batches_of_a_frame_are_those_of_single_batches():
+    b, at = batches.Batches(3, 1, "swap"), datetime.datetime(2025, 1, 1)
+    lines = [("f", "xy"[k % 2], at, None if k % 4 == 1 else at.replace(second=(7 * k) % 5), k % 3 or None, None, str(k), str(k), "text") for k in range(12)]
+    whole, pos, last = b._batches(batches._frame(lines), 5, 2, "x")
+    want, at_pos, name = [], 2, "x"
+    for n in range(4):
+        part = lines[3 * n : 3 * n + 3]
+        for line in sorted((x for x in part if x[3]), key=lambda x: (x[3], x[4] or 0)) + [x for x in part if not x[3]]:
+            want.append((5 + n, at_pos, f"==> {line[1]} <==" if line[1] != name else None, line[6]))
+            at_pos, name = at_pos + 1, line[1]
+    assert list(whole[["batch_no", "pos", "header", "message"]].itertuples(index=False, name=None)) == want and (pos, last) == (at_pos, name)
+    assert batches._tuples(batches._frame(lines)) == lines
+
+
 def test_many_micro_batches_leave_bounded_files(spark, tmp_path):
     """Follow mode on a landing folder: no scratch tables and two header folders at most, and an absent header is no error."""
     decode.configure(spark)

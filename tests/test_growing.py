@@ -117,6 +117,64 @@ def test_random_writes_in_small_ranges(spark, tmp_path):
     assert got == {k: v.split("\n")[:-1] for k, v in want.items() if "\n" in v}
 
 
+def test_parts_of_a_backlog(tmp_path):
+    """Bounded micro-batches take every line once, under the name and generation it has without a bound."""
+    r, land = random.Random(5), tmp_path / "land"
+    land.mkdir()
+
+    def new(name, turn, mode="w"):
+        with open(land / name, mode) as f:
+            f.writelines(f"{name}{turn} {k} " + "x" * r.choice([0, 3, 90]) + "\n" for k in range(30))
+
+    def lines(reader, start, end):
+        return [(b["file"], b["generation"], b["start_byte"], b["line"]) for p in reader.partitions(start, end) for x in reader.read(p) for b in x.to_pylist()]
+
+    for name in "ab":
+        new(name, 0)
+    whole = growing.GrowingReader({"path": str(land), "start": "earliest"})
+    part = growing.GrowingReader({"path": str(land), "start": "earliest", "maxBytesPerTrigger": "50", "minPartitions": "3"})
+    at, want, got = whole.initialOffset(), [], []
+    seen = part.initialOffset()
+    for turn in range(1, 4):
+        end = whole.latestOffset()
+        want, at = want + lines(whole, at, end), end
+        for step in range(1000):
+            if step % 7 == 3:  # a restart: the engine shows the new reader the last offset
+                part = growing.GrowingReader({"path": str(land), "start": "earliest", "maxBytesPerTrigger": "50"})
+                part.partitions(seen, seen)
+            end = part.latestOffset()
+            if end == seen:
+                break
+            taken = lines(part, seen, end)
+            size = sum(len(x[3]) + 1 for x in taken)
+            assert taken and (size <= 50 or len(taken) == 1)
+            got, seen = got + taken, end
+            if step == 4 and turn == 2:  # renamed and replaced, while it is read in part
+                assert any("source" in x for x in seen["files"].values())
+        assert step > 10
+        if turn == 1:
+            new("a", 1, "a")
+            os.rename(land / "a", land / "a.1")
+            new("a", 2)
+        else:
+            new("b", turn)
+    assert sorted(got) == sorted(want) and len(got) == len(set(got)) and {x[1] for x in got} == {0, 1}
+
+
+def test_ranges_are_dealt_to_all_tasks(tmp_path):
+    (tmp_path / "a").write_bytes(b"some line of a log\n" * 100_000)
+    options = {"path": str(tmp_path), "start": "earliest"}
+    count = lambda **kw: len((reader := growing.GrowingReader(options | kw)).partitions(reader.initialOffset(), reader.latestOffset()))
+    assert count() == 1 and count(minPartitions="4") == 4 and count(minPartitions="1000") == 8 and count(splitBytes="190000", minPartitions="4") == 10
+
+
+def test_a_line_beyond_the_bound_is_taken_whole():
+    file = io.BytesIO(b"ab\ncd\n" + b"x" * 50 + b"\nlast\n")
+    for block in (1, 3, 100):
+        assert [growing.line_end(file, 0, n, 62, True, block) for n in (1, 2, 3, 5, 6, 20)] == [3, 3, 3, 3, 6, 6]
+        assert growing.line_end(file, 6, 10, 62, True, block) == 57 and growing.line_end(file, 6, 10, 62, False, block) == 6
+
+
 def test_changes_without_inodes():
     was = {"app": {"id": ":A", "end": 500}}
     assert growing.changes(was, {"app": {"id": ":A", "end": 30}, "app.1": {"id": ":A", "end": 520}}) == [("app.1", "app", 500, 520, 0), ("app", "app", 0, 30, 1)]
