@@ -6,7 +6,6 @@ import os
 import tempfile
 import time
 import uuid
-from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -80,24 +79,38 @@ def append_portion(lines: DataFrame, folder: str, finished: bool) -> int:
     """Append (app, event_id, value) to the files ``app-<app>.log`` of a folder, in the order of events, and count the lines.
 
     A line feed comes before each line but a file's first one, so the last line
-    stays unfinished; ``finished`` adds the line feed. One task has an app, and
-    takes its lines batch by batch.
+    stays unfinished; ``finished`` adds the line feed. Lines are made and sorted by
+    all tasks, in files by ranges of events; what one task does for an app is to
+    append the bytes of these files, a few MB at a time.
     """
+    spark = lines.sparkSession
+    parts = scratch(spark, "portion")
+    dealt = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "app", "event_id").sortWithinPartitions("app", "event_id")
+    dealt.select("app", "value").write.partitionBy("app").text(parts, lineSep="\n")
 
     def add(batches):
-        store, top = fs.FileSystem.from_uri(folder)
+        (store, top), (_, source) = fs.FileSystem.from_uri(folder), fs.FileSystem.from_uri(parts)
         store.create_dir(top)
         for batch in batches:
-            for app, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: r[0]):
-                path, texts = f"{top}/app-{app}.log", [x for _, x in rows]
-                there = store.get_file_info(path).type == fs.FileType.File
+            for app in batch.column(0).to_pylist():
+                files = sorted(i.path for i in store.get_file_info(fs.FileSelector(f"{source}/app={app}")) if i.base_name.startswith("part-"))
+                path, n = f"{top}/app-{app}.log", 0
+                held = b"\n" if store.get_file_info(path).type == fs.FileType.File else b""
                 with store.open_append_stream(path) as out:
-                    out.write((("\n" if there else "") + "\n".join(texts)).encode())
-            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
-
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.repartition(n, "app").sortWithinPartitions("app", "event_id").select("app", "value")
-    total = dealt.mapInArrow(add, "n long").agg(F.sum("n")).first()[0] or 0
+                    for file in files:
+                        with store.open_input_stream(file) as part:
+                            while data := part.read(8 << 20):
+                                n += data.count(b"\n")
+                                out.write(held + data[:-1])
+                                held = data[-1:]  # the last line feed of all is left out
+                yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    store, source = fs.FileSystem.from_uri(parts)
+    apps = [i.base_name.removeprefix("app=") for i in store.get_file_info(fs.FileSelector(source)) if i.base_name.startswith("app=")]
+    total = 0
+    if apps:
+        total = spark.createDataFrame(pa.table({"app": apps})).repartition(len(apps), "app").mapInArrow(add, "n long").agg(F.sum("n")).first()[0]
+    forget(spark, parts)
     if finished:
         store, top = fs.FileSystem.from_uri(folder)
         for info in store.get_file_info(fs.FileSelector(top, allow_not_found=True)):

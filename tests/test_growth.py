@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loglathe.functions import decode
 from loglathe.operators import order
+from loglathe.plans import landing
 from loglathe.sources import lines as sources
 from loglathe.streaming import follow
 
@@ -53,3 +54,17 @@ def test_records_are_written_before_they_are_dealt(spark, plans, tmp_path):
     sources.write_records(parsed, f"{tmp_path}/records")
     assert spark.read.parquet(f"{tmp_path}/records").count() == 50
     assert any("Generate" in p for p in plans) and not any(map(decoded_before_a_range, plans))
+
+
+def test_a_portion_is_sorted_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The one task of an app only appends files that others have sorted."""
+    kept = []
+    monkeypatch.setattr(landing, "forget", lambda spark, *paths: kept.extend(paths))
+    lines = spark.range(200).selectExpr("id % 2 AS app", "id AS event_id", "concat('line ', id) AS value")
+    folder = f"file://{tmp_path}/land"
+    assert landing.append_portion(lines.where("event_id < 150").repartition(3), folder, False) == 150
+    assert (tmp_path / "land" / "app-1.log").read_text().endswith("line 147\nline 149")
+    assert landing.append_portion(lines.where("event_id >= 150"), folder, True) == 50 and landing.append_portion(lines.where("event_id < 0"), folder, False) == 0
+    for app in (0, 1):
+        assert (tmp_path / "land" / f"app-{app}.log").read_text() == "".join(f"line {k}\n" for k in range(app, 200, 2))
+    assert len({r["file"] for r in spark.read.text(f"{kept[0]}/*").selectExpr("_metadata.file_path AS file").collect()}) > 2
