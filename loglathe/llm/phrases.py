@@ -287,14 +287,15 @@ def counted(docs: DataFrame, least: int = 30, shards: int = 2, bits: int = BITS)
             break
         empty = np.zeros(1 << bits - 6, np.uint64)
         both = [np.bitwise_or.reduce([empty, *maps]) for maps in (cohorts, recent)]
-        found = scan(texts.where(F.col("shard") == t % shards), t < shards, Maps(*both, *able))
-        found = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-        words = found.where("size < 2").withColumn("start", F.lit(0))
-        rows = totals.unionByName(words.withColumn("step", F.lit(None).cast("int")))
+        shard, rows = texts.where(F.col("shard") == t % shards), totals
+        total = lambda found: found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+        if t < shards:  # words by a scan of their own: two filters on one scan would go below the grouping and do all of it twice
+            words = total(scan(shard, True, Maps(empty, empty, *able)))
+            rows = rows.unionByName(words.withColumn("start", F.lit(0)).withColumn("step", F.lit(None).cast("int")))
         if t:
             passed = totals.where("step IS NOT NULL").select(F.col("lang").alias("__lang"), F.col("phrase").alias("__phrase"), F.col("step").alias("__step"))
             left, right = passed.toDF("lang", "__left", "__a"), passed.toDF("lang", "__right", "__b")
-            grams = found.where("size >= 2").withColumn("__left", _first(F.col("phrase"), F.col("size") - 1)).withColumn("__right", _rest(F.col("phrase"), _first(F.col("phrase"), F.lit(1))))
+            grams = total(scan(shard, False, Maps(*both, *able))).withColumn("__left", _first(F.col("phrase"), F.col("size") - 1)).withColumn("__right", _rest(F.col("phrase"), _first(F.col("phrase"), F.lit(1))))
             grams = grams.join(left, ["lang", "__left"]).join(right, ["lang", "__right"]).withColumn("start", F.greatest("__a", "__b")).where(F.col("start") > t - shards)
             rows = rows.unionByName(grams.select("lang", "size", "phrase", "n", "start", F.lit(None).cast("int").alias("step")))
         merged = rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.max("step").alias("step"))

@@ -89,3 +89,23 @@ def test_products_beyond_64_bits(spark):
     rows = [("en", 1, "a", 10**18), ("en", 1, "b", 10**18 + 7), ("en", 2, "a b", 10**18 - 1)]
     got = phrases.scored(spark.createDataFrame(rows, "lang string, size int, phrase string, n long")).first()
     assert (got["score"], got["l"], got["r"]) == (2_000_000 * (10**18 - 1) // (2 * 10**18 + 7), 10**18, 10**18 + 7)
+
+
+def test_a_step_scans_its_shard_once(spark, monkeypatch):
+    """Each text is taken once for the sieve, once a step, and once more where words and longer phrases are counted in one step."""
+    taken, seen, save = spark.sparkContext.accumulator(0), [], phrases.saved
+    of_language = phrases._by_language
+
+    def counted(batches, use):
+        def rows():
+            for b in batches:
+                taken.add(b.num_rows)
+                yield b
+
+        return of_language(rows(), use)
+
+    monkeypatch.setattr(phrases, "_by_language", counted)
+    monkeypatch.setattr(phrases, "saved", lambda df, name, until=None: (seen.append(name), save(df, name, until))[1])
+    phrases.counted(spark.createDataFrame([("en", "one two")] * 40, "lang string, text string").repartition(1), 30)
+    steps = seen.count("phrase-counts")
+    assert steps > 3 and taken.value == 40 + 20 * steps + 20
