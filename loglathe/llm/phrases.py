@@ -14,10 +14,11 @@ later of its two steps is within the last cycle. Tasks take texts apart a few MB
 at a time and send each different phrase once with its count; two bitmaps of
 fixed size (phrases that have passed; those that passed within the last cycle)
 spare them most others. A bitmap only lets too many pass; joins with the table
-of passed phrases decide. A first pass over the texts counts words and pairs by
-hash in two tables of fixed size; what shares its place with less than ``least``
-occurrences can't reach the threshold and isn't counted at all. This sieve too
-only ever lets too many pass.
+of passed phrases decide. A first pass over the texts counts words, pairs and
+triples by hash in three tables of fixed size; what shares its place with less
+than ``least`` occurrences can't reach the threshold and isn't counted at all.
+This sieve too only ever lets too many pass. Shuffle files go as soon as the step
+that wrote them is stored, so the disk holds those of one step, not of all.
 
 Words are in lower case (A-Z only), pieces end at punctuation and line breaks,
 and everything is counted for each language by itself.
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from xxhash import xxh3_64_intdigest
 
-from .shared import forget, saved, scratch, small_batches
+from .shared import forget, saved, scratch, shuffles_dropped, small_batches
 
 LONGEST = 4
 #: Bits of a bitmap: fixed, whatever the corpus; a full one costs time, never results.
@@ -87,12 +88,13 @@ def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Maps(NamedTuple):
-    """Bitmaps by hash: phrases that have passed, those of the last cycle; words and pairs that may reach the threshold."""
+    """Bitmaps by hash: phrases that have passed, those of the last cycle; words, pairs and triples that may reach the threshold."""
 
     passed: np.ndarray
     recent: np.ndarray
     words: np.ndarray
     pairs: np.ndarray
+    triples: np.ndarray
 
 
 def _tally(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,8 +138,8 @@ def _counts(lang: str, texts: list[bytes], with_words: bool, maps: Maps) -> Iter
         places = np.nonzero(there[:-1] & there[1:])[0]
         places = places[places < len(at) - size + 1]
         longer = _longer(h[places], h1[places + size - 1])
-        if size == 2:
-            able = _in(maps.pairs, longer)
+        if size < LONGEST:
+            able = _in(maps.pairs if size == 2 else maps.triples, longer)
             places, longer = places[able], longer[able]
         if not len(places):
             return
@@ -182,16 +184,16 @@ def _by_language(batches: Iterator[pa.RecordBatch], use: Callable[[str, list[byt
     yield from flush()
 
 
-def sieve(texts: DataFrame, least: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the hashes of words and of pairs whose places have ``least`` occurrences or more.
+def sieve(texts: DataFrame, least: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps of the hashes of words, of pairs and of triples whose places have ``least`` occurrences or more.
 
-    Each task counts in two tables of one byte a place and sends them once; so few
+    Each task counts in three tables of one byte a place and sends them once; so few
     tasks (two a core) take many files each, whatever the size of the corpus.
     """
     spark, most = texts.sparkSession, min(least, 255)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 1 << bits), np.uint8)
+        tables = np.zeros((3, 1 << bits), np.uint8)
 
         def count(lang: str, own: list[bytes]) -> Iterator:
             at, dictionary = _coded(own)
@@ -200,10 +202,14 @@ def sieve(texts: DataFrame, least: int, bits: int = BITS) -> tuple[np.ndarray, n
             n[:2] = 0
             whole = pd.Series(n).groupby(_slots(h, bits)).sum()
             add(0, whole.index.to_numpy(), whole.to_numpy())
-            first = np.nonzero((at[:-1] > 0) & (at[1:] > 0))[0]
-            pairs = _slots(_longer(h[at[first]], h[at[first + 1]]), bits).view(np.int64)
-            _, place, size = _tally(pairs, np.arange(len(pairs)))
-            add(1, pairs[place], size)
+            first, longer = np.nonzero(at)[0], h[at[at > 0]]
+            for k in (1, 2):
+                more = at[first + k] > 0  # texts end with breaks
+                first, longer = first[more], longer[more]
+                longer = _longer(longer, h[at[first + k]])
+                slots = _slots(longer, bits).view(np.int64)
+                _, place, size = _tally(slots, np.arange(len(slots)))
+                add(k, slots[place], size)
             return iter(())
 
         def add(k: int, places: np.ndarray, n: np.ndarray) -> None:
@@ -224,10 +230,10 @@ def sieve(texts: DataFrame, least: int, bits: int = BITS) -> tuple[np.ndarray, n
 
     dealt = texts.select("lang", "text").coalesce(2 * spark.sparkContext.defaultParallelism)
     found = dealt.mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(merge, "chunk int, able binary")
-    out = np.zeros((2 << bits) // 64, np.uint64)
+    out = np.zeros((3 << bits) // 64, np.uint64)
     for r in found.toLocalIterator():  # a bit a place
         out[r["chunk"] * CHUNK // 64 : (r["chunk"] + 1) * CHUNK // 64] = np.frombuffer(r["able"], np.uint64)
-    return out[: len(out) // 2], out[len(out) // 2 :]
+    return tuple(out.reshape(3, -1))
 
 
 def scan(texts: DataFrame, with_words: bool, maps: Maps) -> DataFrame:
@@ -302,7 +308,8 @@ def counted(docs: DataFrame, least: int = 30, shards: int = 2, bits: int = BITS)
         step = F.coalesce("step", F.when((F.col("size") > 0) & (F.col("n") >= least), F.lit(t + 1)))
         merged = merged.withColumn("step", step).where((F.col("size") == 0) | F.col("step").isNotNull() | (F.col("start") + shards > t + 1))
         done, until = until, []
-        totals = saved(merged, "phrase-counts", until)
+        with shuffles_dropped(spark):
+            totals = saved(merged, "phrase-counts", until)
         forget(spark, *done)
         cohorts.append(bitmap(totals.where((F.col("step") == t + 1) & F.col("size").between(1, LONGEST - 1)), bits))
         t += 1
@@ -338,7 +345,9 @@ def uncovered(candidates: DataFrame, percent: int = 80) -> DataFrame:
 def collocations(docs: DataFrame, least: int = 30, first: int = 2000, percent: int = 80, shards: int = 2, bits: int = BITS) -> DataFrame:
     """The first phrases of each language by score: lang, rank, phrase, a, l, r, n, score."""
     counts = counted(docs, least, shards, bits)
-    found = uncovered(saved(scored(counts), "phrase-scores"), percent)
+    with shuffles_dropped(docs.sparkSession):
+        scores = saved(scored(counts), "phrase-scores")
+    found = uncovered(scores, percent)
     order = [F.desc("score"), F.desc("a"), F.encode("phrase", "UTF-8")]
     # in two levels, so that a language isn't one task's
     part = F.pmod(F.xxhash64("phrase"), F.lit(64))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,23 @@ def saved(df: DataFrame, name: str, until: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+SHUFFLES_DROPPED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written here leaves no shuffle files behind (else they stay until the driver collects garbage).
+
+    Spark before 4.1 doesn't know the setting and keeps them.
+    """
+    before = spark.conf.get(SHUFFLES_DROPPED, None)
+    spark.conf.set(SHUFFLES_DROPPED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLES_DROPPED) if before is None else spark.conf.set(SHUFFLES_DROPPED, before)
+
+
 #: Bytes of a side that may be broadcast, where its size in bytes is known.
 MOST_BROADCAST_BYTES = 64 << 20
 

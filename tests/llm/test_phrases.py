@@ -2,11 +2,13 @@
 
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from loglathe.llm import phrases
+from loglathe.llm import phrases, shared
 
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
@@ -109,3 +111,31 @@ def test_a_step_scans_its_shard_once(spark, monkeypatch):
     phrases.counted(spark.createDataFrame([("en", "one two")] * 40, "lang string, text string").repartition(1), 30)
     steps = seen.count("phrase-counts")
     assert steps > 3 and taken.value == 40 + 20 * steps + 20
+
+
+def test_triples_that_cannot_reach_the_threshold_are_not_counted(spark):
+    """All pairs are frequent, no triple is but one."""
+    texts = [f"a{i % 40} b c{i // 40}" for i in range(1600)] + ["x y z"] * 40
+    able = phrases.sieve(spark.createDataFrame([("en", text) for text in texts], "lang string, text string"), 30)
+    full = np.full(1 << phrases.BITS - 6, 2**64 - 1, np.uint64)
+    found = [b.to_pydict() for b in phrases._counts("en", [text.encode() for text in texts], False, phrases.Maps(full, full, *able))]
+    assert [(b["size"][0], len(b["size"])) for b in found] == [(2, 82), (3, 1)] and found[1]["phrase"] == ["x y z"]
+
+
+def test_a_step_leaves_no_shuffle_files(spark, monkeypatch):
+    save, left = phrases.saved, []
+
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+
+    def saved(df, name, until=None):
+        before, out, end = files(), save(df, name, until), time.monotonic() + 10
+        while (now := files()) > before and time.monotonic() < end:  # they are deleted in the background
+            time.sleep(0.1)
+        left.append(now - before)
+        return out
+
+    monkeypatch.setattr(phrases, "saved", saved)
+    rows = spark.createDataFrame([("en", "one two three")] * 40, "lang string, text string")
+    assert phrases.collocations(rows).count() == 1 and len(left) > 4 and max(left) <= 0
+    assert spark.conf.get(shared.SHUFFLES_DROPPED, "false") == "false"
