@@ -32,9 +32,9 @@ table gives an empty result; other columns, whatever their names, are ignored;
 
 from __future__ import annotations
 
+import functools
 import re
-import zlib
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,26 +43,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Memo, forget, saved, small_batches, small_side
+from .shared import forget, saved, small_batches, small_side
 
 #: Words that count as units after a number.
 UNITS = frozenset("mm cm m km g kg mg t l ml s ms min h hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees litre litres liter liters byte bytes kb mb gb".split())
+#: What a token is; ``templates`` cuts whole arrays of characters by the same rule.
 TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[.!?\n]")
+GAP = re.compile(r"[^\w.,:!?\n]")  # in no token, and not beside a sign that may be in a number
 WIDTH, LITERALS, ENOUGH = 8, 4, 13
 TEXTS = 256  # texts taken apart at once
+BLOCK = 200_000  # characters taken apart at once, to the next gap
 HITS = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))]))
 END, WORD, CAPITAL, NUMBER, UNIT = range(5)
-
-
-def _kind(token: str) -> tuple[int, int]:
-    if token in ".!?\n":
-        return END, 0
-    low = token.lower()
-    h = zlib.crc32(low.encode("utf-8", "replace")) + (len(low) << 32)
-    return (NUMBER if token[0].isdigit() else UNIT if low in UNITS else CAPITAL if token[0].isupper() and token[1:].islower() else WORD), h
-
-
-_kinds = Memo(lambda t: (k := _kind(t))[0] + (k[1] << 3))
+LETTER, DIGIT, STOP, JOINER, NUMERAL, UPPER, TITLE, LOWER = (1 << n for n in range(8))
+STEP = 0x9E3779B97F4A7C15 | 1 << 8  # odd, so it has an inverse
+BACK = pow(STEP, -1, 1 << 64)
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -71,19 +66,103 @@ def _mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(29))
 
 
-def templates(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' (tokens, template hashes, plain hashes, slot type of each: 0 none, 1 number, 2 unit, 3 name, number of the text)."""
-    found = [TOKEN.findall(t) if t else [] for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    raw = list(chain.from_iterable(found))
-    packed = np.fromiter(map(_kinds.__getitem__, raw), np.int64, len(raw))
-    kind, h = packed & 7, packed >> 3
+@functools.lru_cache(maxsize=1)
+def code_points() -> tuple[np.ndarray, np.ndarray]:
+    """(what ``TOKEN`` and str's methods say, hash of the lower case) of every code point."""
+    every = np.arange(0x110000, dtype="<u4")
+    text = every.tobytes().decode("utf-32-le", "surrogatepass")
+    bits = np.zeros(len(every), np.uint8)
+    for bit, pattern in ((LETTER, r"[^\W\d_]+"), (DIGIT, r"\d+"), (STOP, r"[.!?\n]"), (JOINER, r"[.,:]")):
+        for m in re.finditer(pattern, text):
+            bits[m.start() : m.end()] |= bit
+    for bit, holds in ((NUMERAL, np.char.isdigit), (UPPER, np.char.isupper), (TITLE, np.char.istitle), (LOWER, np.char.islower)):
+        bits[holds(every.view("<U1"))] |= bit
+    lower = text.replace("\u0130", "i").lower().encode("utf-32-le", "surrogatepass")  # the only one that gets longer
+    return bits, _mixed(np.frombuffer(lower, "<u4").astype(np.uint64) + np.uint64(7))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hash(low: str) -> int:
+    at = code_points()[1]
+    return sum(int(at[ord(c)]) * pow(STEP, n, 1 << 64) for n, c in enumerate(low)) % (1 << 64)
+
+
+@functools.lru_cache(maxsize=1)
+def _units() -> np.ndarray:
+    return np.array(sorted(map(_hash, UNITS)), np.uint64)
+
+
+def _cut(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, kind, hash of the lower case) of each token; units are told where they stand after a number or are capitalised."""
+    bits, lower = code_points()
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    n, b = len(code), np.append(bits[code], np.uint8(0))
+    part = b[:n] & (LETTER | DIGIT | STOP)
+    sign = np.nonzero(b & JOINER)[0]
+    part[sign[(part[sign - 1] == DIGIT) & (b[sign + 1] & DIGIT > 0) & (sign > 0)]] = DIGIT
+    new = part == STOP
+    new[:1] = True
+    new[1:] |= part[1:] != part[:-1]
+    start = np.nonzero(new)[0]
+    end = np.append(start[1:], n)
+    h = np.add.reduceat(lower[code] * _powers(STEP, n), start) * _powers(BACK, n)[start]
+    keep = part[start] > 0
+    start, end, h = start[keep], end[keep], h[keep]
+    first = b[start]
+    kind = np.where(part[start] == STOP, END, np.where(first & NUMERAL > 0, NUMBER, WORD))
+    name = np.nonzero((kind == WORD) & (first & UPPER > 0) & (end - start > 1))[0]
+    if len(name):
+        rest = np.bitwise_or.reduceat(b, np.column_stack([start[name] + 1, end[name]]).ravel())[::2]
+        kind[name[rest & (TITLE | LOWER) == LOWER]] = CAPITAL
+    if "\u0130" in text or "\u03a3" in text:  # their lower case is longer, or depends on the place in the word
+        for i in np.unique(np.searchsorted(start, np.nonzero((code == 0x130) | (code == 0x3A3))[0], "right") - 1):
+            h[i] = _hash(text[start[i] : end[i]].lower())
+    after = np.append(True, kind[:-1] == NUMBER)[: len(kind)]
+    maybe, units = np.nonzero((kind == CAPITAL) | (kind == WORD) & after)[0], _units()
+    kind[maybe[units[np.searchsorted(units, h[maybe]) % len(units)] == h[maybe]]] = UNIT
+    return start, end, kind, h
+
+
+class Tokens(NamedTuple):
+    """Tokens of several texts (their text, start and end in it), template and plain hashes, slot types (0 none, 1 number, 2 unit, 3 name), numbers of the texts."""
+
+    text: str
+    start: np.ndarray
+    end: np.ndarray
+    typed: np.ndarray
+    plain: np.ndarray
+    slot: np.ndarray
+    row: np.ndarray
+
+    def slots(self, at: int, width: int) -> list[str]:
+        """Type and value of each slot of a window."""
+        return [f"{'nuv'[self.slot[i] - 1]}:{self.text[self.start[i] : self.end[i]].lower()}" for i in range(at, at + width) if self.slot[i]]
+
+
+def templates(texts: list[str | None]) -> Tokens:
+    """All texts' tokens, ends of sentences left out."""
+    text = "\0".join(t or "" for t in texts)
+    found, at = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)], 0
+    while at < len(text):
+        gap = GAP.search(text, at + BLOCK)
+        to = gap.end() if gap else len(text)
+        start, end, *rest = _cut(text[at:to])
+        found.append((start + at, end + at, *rest))
+        at = to
+    start, end, kind, h = map(np.concatenate, zip(*found, strict=True))
+    sizes = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
+    row = np.searchsorted(np.cumsum(sizes), start, "right")
     before = np.concatenate([[END], kind[:-1]])[: len(kind)]
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = END
+    before[1:][row[1:] != row[:-1]] = END
     slot = np.where(kind == NUMBER, 1, np.where((kind == UNIT) & (before == NUMBER), 2, np.where((kind == CAPITAL) & (before != END), 3, 0)))
     keep = np.nonzero(kind != END)[0]
     slot, h = slot[keep], h[keep]
-    return [raw[i] for i in keep], _mixed(np.where(slot > 0, slot, h)), _mixed(h), slot, np.repeat(np.arange(len(found)), sizes)[keep]
+    return Tokens(text, start[keep], end[keep], _mixed(np.where(slot > 0, slot.astype(np.uint64), h)), _mixed(h), slot, row[keep])
 
 
 def hashes(value: np.ndarray, width: int) -> np.ndarray:
@@ -110,10 +189,6 @@ def windows(slot: np.ndarray, row: np.ndarray, width: int, literals: int) -> tup
     return within & (free >= min(literals, width)), within & (free < width)
 
 
-def _slots(tokens: list[str], slot: np.ndarray, at: int, width: int) -> list[str]:
-    return [f"{'nuv'[slot[i] - 1]}:{tokens[i].lower()}" for i in range(at, at + width) if slot[i]]
-
-
 def item_windows(benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
     """One row for each window of each text: item (digest of the text), h, pos, slots, size (template tokens), width.
 
@@ -124,12 +199,12 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, literals: int = LITER
         for pdf in frames:
             rows = []
             for item, text in zip(pdf["item"], pdf["text"], strict=True):
-                tokens, typed, plain, slot, row = templates([text])
-                own = min(width, len(slot))
-                ok, slotted = windows(slot, row, own, literals)
-                h, hp = hashes(typed, own), hashes(plain, own)
-                rows += [(item, int(h[p]), int(p), _slots(tokens, slot, p, own), len(slot), own) for p in np.nonzero(ok)[0]]
-                rows += [(item, int(hp[p]), int(p), [], len(slot), own) for p in np.nonzero(slotted)[0]]
+                t = templates([text])
+                own = min(width, len(t.slot))
+                ok, slotted = windows(t.slot, t.row, own, literals)
+                h, hp = hashes(t.typed, own), hashes(t.plain, own)
+                rows += [(item, int(h[p]), int(p), t.slots(p, own), len(t.slot), own) for p in np.nonzero(ok)[0]]
+                rows += [(item, int(hp[p]), int(p), [], len(t.slot), own) for p in np.nonzero(slotted)[0]]
             yield pd.DataFrame(rows, columns=["item", "h", "pos", "slots", "size", "width"])
 
     texts = benchmark.where("text IS NOT NULL").select(F.md5("text").alias("item"), "text").dropDuplicates(["item"])
@@ -199,15 +274,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lite
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 texts = batch.column(1).slice(start, TEXTS).to_pylist()
-                tokens, typed, plain, slot, row = templates(texts)
-                first, own = np.searchsorted(row, np.arange(len(texts))), {}
+                t = templates(texts)
+                first, own = np.searchsorted(t.row, np.arange(len(texts))), {}
                 for w in widths:
-                    ok, slotted = windows(slot, row, w, literals)
-                    h, hp = hashes(typed, w), hashes(plain, w)
-                    found = [(p, int(h[p]), _slots(tokens, slot, p, w)) for p in passing(h, ok)]
+                    ok, slotted = windows(t.slot, t.row, w, literals)
+                    h, hp = hashes(t.typed, w), hashes(t.plain, w)
+                    found = [(p, int(h[p]), t.slots(p, w)) for p in passing(h, ok)]
                     found += [(p, int(hp[p]), []) for p in passing(hp, slotted)]
                     for p, x, slots in sorted(found):
-                        r = int(row[p])
+                        r = int(t.row[p])
                         # the place of a plain window doesn't matter: its first one in the text will do
                         own.setdefault(r, {}).setdefault((x, None if not slots else p), (x, int(p - first[r]), slots))
                 rows = []
