@@ -54,9 +54,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text; ``exact`` says that they decode to the text."""
-    coded = docs.withColumn("ids", bpe.encode(F.col("text")))
-    exact = bpe.decode(F.col("ids")) == F.coalesce("text", F.lit(""))
-    return coded.withColumns({"n_tokens": F.size("ids").cast("long"), "exact": exact}).drop("text")
+    coded = docs.withColumn("__coded", bpe.round_trip(F.col("text")))
+    exact = F.col("__coded.text") == F.coalesce("text", F.lit(""))
+    return coded.withColumns({"ids": F.col("__coded.ids"), "n_tokens": F.size("__coded.ids").cast("long"), "exact": exact}).drop("text", "__coded")
 
 
 STAGES = [

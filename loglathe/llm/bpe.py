@@ -31,7 +31,8 @@ from .shared import Memo, small_batches
 #: Fixed value: the split pattern of byte-level BPE vocabularies, for Latin texts. Other texts, and all texts of a file with another pre-tokenizer, are cut by the library.
 LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
 LATIN_PIECES = re.compile(rf""" ?[{LATIN_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
-PIECES, PAIRS = 500_000, 300_000  # kept by each worker: about 80 and 30 MB
+PIECES, PAIRS = 200_000, 150_000  # kept by each worker: about 40 MB
+LIBRARY_PIECES = 500_000  # kept by each worker that encodes by the library: about 80 MB
 NOT_LATIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]")
 
 
@@ -85,12 +86,12 @@ class Bpe:
     def __init__(self, path: str):
         import ahocorasick
 
+        self.splitter = Splitter(path)  # first: it reads the file too, and lets go of it
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            model = json.load(f)["model"]
         letters = byte_letters()
         as_bytes = lambda token: bytes(letters[c] for c in token)
-        vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
-        self.splitter = Splitter(path)
+        vocab = {as_bytes(t): i for t, i in model.pop("vocab").items()}
         self.automaton = ahocorasick.Automaton()
         self.byte_id = {}
         for token, i in vocab.items():
@@ -99,16 +100,17 @@ class Bpe:
             else:
                 self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, i))
         self.automaton.make_automaton()
-        # merge rank and halves of each token; single bytes have neither
-        self.rank, self.halves, self.merged = {}, {}, {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        # by id, as numbers of 4 bytes: merge rank and halves of each token (single bytes have neither), length, next shorter token
+        self.rank, self.left_half, self.right_half, self.length, self.next_shorter = (array("i", [-1]) * (max(vocab.values()) + 1) for _ in range(5))
+        self.merged = {}
+        for rank, pair in enumerate(model.pop("merges")):
             left, right = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             a, b, whole = vocab[left], vocab[right], vocab[left + right]
-            self.merged[a, b] = rank
-            if whole not in self.rank:
-                self.rank[whole], self.halves[whole] = rank, (a, b)
-        self.length = {i: len(t) for t, i in vocab.items()}
-        self.next_shorter = {i: self._prefix(t, vocab) for t, i in vocab.items()}
+            self.merged[a << 32 | b] = rank
+            if self.rank[whole] < 0:
+                self.rank[whole], self.left_half[whole], self.right_half[whole] = rank, a, b
+        for t, i in vocab.items():
+            self.length[i], self.next_shorter[i] = len(t), self._prefix(t, vocab)
         self.compatible = Memo(self._compatible, PAIRS, None)
         by_id = {i: t for t, i in vocab.items()} | {i: s.encode() for s, i in self.splitter.special.items()}
         self.tokens = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)], pa.large_binary())  # bytes and offsets
@@ -129,17 +131,17 @@ class Bpe:
         left, right = pair >> 32, pair & 0xFFFFFFFF
         before, ties_close = float("inf"), False
         while True:
-            rank = self.merged.get((left, right))
+            rank = self.merged.get(left << 32 | right)
             if rank is not None and (rank < before or ties_close and rank == before):
                 return False
-            rank_left, rank_right = self.rank.get(left, -1), self.rank.get(right, -1)
+            rank_left, rank_right = self.rank[left], self.rank[right]
             if rank_left < 0 and rank_right < 0:
                 return True
             # Of one merge at several places the leftmost goes first, so the right token's is undone first.
             if rank_left > rank_right:
-                before, ties_close, left = rank_left, False, self.halves[left][1]
+                before, ties_close, left = rank_left, False, self.right_half[left]
             else:
-                before, ties_close, right = rank_right, True, self.halves[right][0]
+                before, ties_close, right = rank_right, True, self.left_half[right]
 
     def _packed(self, piece: str) -> bytes:
         return array("I", self.encode_piece(piece)).tobytes()
@@ -220,7 +222,21 @@ def library_pieces(path: str) -> tuple[Splitter, Memo]:
             found = [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
         return array(form, found).tobytes()
 
-    return splitter, Memo(ids, PIECES)
+    return splitter, Memo(ids, LIBRARY_PIECES)
+
+
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
+def _id_lists(b: Bpe, texts: pa.Array) -> pa.ListArray:
+    flat = [b.encode(x.as_py()) for x in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), np.int32)))
+
+
+def _texts(b: Bpe, lists: pa.ListArray) -> pa.Array:
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    return pa.array(b.decode_many(lists.flatten().to_numpy(zero_copy_only=False), sizes), pa.string())
 
 
 def encode(text: Column, path: str | None = None) -> Column:
@@ -228,12 +244,9 @@ def encode(text: Column, path: str | None = None) -> Column:
     small_batches()
     path = path or default_vocabulary()
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
+    @F.arrow_udf(IDS)
     def ids(texts: pa.Array) -> pa.Array:
-        b = bpe(path)
-        flat = [b.encode(x.as_py()) for x in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), np.int32)))
+        return _id_lists(bpe(path), texts)
 
     return ids(text)
 
@@ -245,12 +258,29 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf(T.StringType())
     def texts(arrays: pa.Array) -> pa.Array:
-        sizes = arrays.value_lengths().fill_null(0).to_numpy()
-        return pa.array(bpe(path).decode_many(arrays.flatten().to_numpy(zero_copy_only=False), sizes), pa.string())
+        return _texts(bpe(path), arrays)
 
     return texts(ids)
 
 
+def round_trip(text: Column, path: str | None = None) -> Column:
+    """``struct<ids, text>``: the ids of each whole text, and the text that they decode to.
+
+    Spark fuses ``decode`` over ``encode`` with ``encode`` in one worker, which
+    then encodes each text twice; this encodes it once.
+    """
+    small_batches()
+    path = path or default_vocabulary()
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", IDS), T.StructField("text", T.StringType())]))
+    def both(texts: pa.Array) -> pa.Array:
+        b = bpe(path)
+        lists = _id_lists(b, texts)
+        return pa.StructArray.from_arrays([lists, _texts(b, lists)], ["ids", "text"])
+
+    return both(text)
+
+
 def library_encode(text: Column, path: str | None = None, end_id: int | None = None) -> Column:
     """Ids by the tokenizers library, packed as little-endian unsigned integers of ``id_width`` bytes.
 

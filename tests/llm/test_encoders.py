@@ -74,6 +74,22 @@ def test_columns(spark, library):
     assert spark.sql("SELECT cast(NULL AS array<int>) AS i").select(bpe.decode(F.col("i")).alias("d")).first()["d"] == ""
 
 
+def test_a_round_trip_is_one_pass(spark, library):
+    rows = texts(spark).select("text", bpe.round_trip(F.col("text")).alias("c"))
+    for row in rows.collect():
+        assert row["c"]["ids"] == library.encode(row["text"] or "", add_special_tokens=False).ids
+        assert row["c"]["text"] == (row["text"] or "")
+    assert texts(spark).limit(0).select(bpe.round_trip(F.col("text"))).count() == 0
+
+
+def test_tables_of_a_worker_are_bounded():
+    own = bpe.Bpe(bpe.default_vocabulary())
+    for n in range(300_000):
+        own.packed[f"{n} "]
+    assert len(own.packed) + len(own.packed.older) <= 200_000
+    assert len(own.compatible) + len(own.compatible.older) <= 150_000
+
+
 def test_token_files(spark, library):
     docs = texts(spark).unionByName(texts(spark).where("doc_id = 4")).unionByName(texts(spark).where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
     packed = docs.drop("ids").withColumn("ids", bpe.library_encode(F.col("text"), end_id=0))

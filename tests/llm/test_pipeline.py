@@ -86,3 +86,9 @@ def test_stages_on_nulls_ties_and_nothing(spark, folder):
         none = stage(spark, some.limit(0), folder)
         assert none.count() == 0 and none.columns == some.columns, name
     assert sorted(np.array([x["n_tokens"] for x in cp.tokenise(spark, some, folder).collect()]) > 0) == [False, True, True, True]
+
+
+def test_tokens_encode_each_text_once(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = cp.tokenise(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan
